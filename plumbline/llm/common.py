@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six, all ASCII, so bytes of UTF-8 decide.
@@ -146,8 +146,7 @@ def id_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     n = int(min(MAX_BINS, hi - lo + 1, max(1, 64 * total // block_bytes)))
     width = (hi - lo) // n + 1
     bin_ = F.coalesce(F.floor((half - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
-    sums = docs.groupBy(bin_.alias("bin")).agg(F.sum(size).alias("size")).toPandas().sort_values("bin")
-    before = sums["size"].cumsum() - sums["size"]
-    sums["block"] = (before // block_bytes).astype("int64")
-    spread = docs.sparkSession.createDataFrame(sums[["bin", "block"]])
+    sums = docs.groupBy(bin_.alias("bin")).agg(F.sum(size).alias("size"))
+    before = F.sum("size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    spread = sums.select("bin", F.floor(before / block_bytes).alias("block"))
     return docs.withColumn("bin", bin_).join(F.broadcast(spread), "bin").drop("bin")

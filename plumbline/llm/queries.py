@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import chat_format, fingerprint, mixing, quality_rules
 from .common import table
 
 
@@ -43,3 +43,17 @@ FROM placed
 
 QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
 ORACLES = {"op9_mixing": MIXING_SQL}
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.examples(given.unionByName(added)))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_chat_formatting": op5_chat_formatting, "op8_fingerprints": op8_fingerprints}
