@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, mixing, quality_rules
+from . import chat_format, fingerprint, html_extract, mixing, quality_rules
 from .common import table
 
 
@@ -57,3 +57,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_chat_formatting": op5_chat_formatting, "op8_fingerprints": op8_fingerprints}
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op4_html_extraction": op4_html_extraction}
