@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, mixing, quality_rules
+from . import chat_format, fingerprint, html_extract, line_dedup, mixing, quality_rules
 from .common import table
 
 
@@ -64,3 +64,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_html_extraction": op4_html_extraction}
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES |= {"op1_line_dedup": op1_line_dedup}
