@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, line_dedup, mixing, quality_rules
+from . import chat_format, fingerprint, html_extract, line_dedup, mixing, quality_rules, substring_dedup
 from .common import table
 
 
@@ -71,3 +71,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_line_dedup": op1_line_dedup}
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op10_suffix_array_dedup": op10_suffix_array_dedup}
