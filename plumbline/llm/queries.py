@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, line_dedup, mixing, quality_rules, substring_dedup
+from . import chat_format, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup
 from .common import table
 
 
@@ -78,3 +78,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_suffix_array_dedup": op10_suffix_array_dedup}
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
