@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup
+from . import chat_format, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality_rules, sentence_pieces, substring_dedup
 from .common import table
 
 
@@ -85,3 +85,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_sentence_pieces": op2_sentence_pieces}
