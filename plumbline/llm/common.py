@@ -92,9 +92,9 @@ def slices(column: pa.Array, size: int = SLICE_BYTES):
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row the number of words before it (one entry more than rows)."""
-    word = IS_WORD[data]
+    word = is_word[data]
     head = word.copy()
     head[1:] &= ~word[:-1]
     inner = at[1:-1][at[1:-1] < len(data)]

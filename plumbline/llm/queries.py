@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality_rules, sentence_pieces, substring_dedup
+from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, mixing, ngram_join, quality_rules, sentence_pieces, substring_dedup
 from .common import table
 
 
@@ -92,3 +92,11 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_sentence_pieces": op2_sentence_pieces}
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_matches", "best_license", "best_dice", "licenses")
+
+
+QUERIES |= {"op6_license_scans": op6_license_scans}
