@@ -9,7 +9,7 @@ from .common import id_blocks
 
 WORDS = 5
 #: One shingle hash in so many is kept.
-SCALE = 8
+SCALE = 4
 BLOCK_BYTES = 4 << 20
 SPACE = " \t\n\x0b\f\r"
 
@@ -73,6 +73,8 @@ def with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     After the last comes the first. Null ids come first, a null text is empty, repeated rows follow one another.
     Rows go to blocks of ids; each block's first document is also sent to the block before, so the texts move once.
     """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = max(1 << 14, min(block_bytes, total // (16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     plain = id_blocks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), block_bytes)
     ids = id_blocks(docs.select("doc_id", "text"), block_bytes).groupBy("block").agg(F.min("doc_id").alias("first_id"))
     blocks = ids.select("block", "first_id", F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy())).alias("previous"))
