@@ -14,6 +14,8 @@ from .common import checkpointed, slices, word_spans
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
+#: Offsets that are tried for a source, evenly apart from a random one; the one that comes nearest to its target is used.
+OFFSETS = 16
 
 
 def count_words(batches):
@@ -35,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
     weights go round the sources in code-point order, null last. What a capped source can't take is shared among
     the others by weight until none is above its cap: with the caps in order of cap / weight, the level (words a
-    unit of weight) is the first that its own source's cap allows. One row a source reaches the global windows.
+    unit of weight) is the first that its own source's cap allows, which is the greatest of those allowed. One row a source reaches the global windows.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -48,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
         F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)).alias("rest_weight"),
     )
     level = F.col("rest") / F.col("rest_weight")
-    free = F.min(F.when(F.col("weight") * level <= cap, level)).over(Window.partitionBy())
+    free = F.max(F.when(F.col("weight") * level <= cap, level)).over(Window.partitionBy())
     return levels.select("source", "source_size", F.least(F.col("weight") * free, cap.cast("double")).alias("target"))
 
 
@@ -63,8 +65,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
 
     A document of a source expects target / source_size copies. Within a source, in order of size, the prefix
     sums of these plus one offset are taken; each integer that a document's step crosses is one copy. The order by
-    size spreads the copies over all lengths, so the words taken miss the target by little more than the longest
-    document. Prefix sums come from ranges of (source, size, id): a count for each range and source, then a place
+    size spreads the copies over all lengths, so the words taken miss the target by the longest document at most;
+    of OFFSETS offsets, evenly apart from a random start, the one that misses it least is used. Prefix sums come from ranges of (source, size, id): a count for each range and source, then a place
     within the range, so that a source with most of the rows is no single task's.
 
     Nulls: a null text has size 0, a null source is a source of its own (the last), a null doc_id sorts first.
@@ -82,9 +84,18 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id")))
     joined = placed.join(known, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("before") + F.col("place")
-    crossed = F.floor(place * step + offset(F.col("source"), seed)) - F.floor((place - 1) * step + offset(F.col("source"), seed))
-    return joined.select("doc_id", "source", "bytes", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+    rows = joined.select("doc_id", "source", "bytes", "size", "source_size", "target", (F.col("before") + F.col("place")).alias("place"), step.alias("step"))
+
+    def copies(shift: F.Column) -> F.Column:
+        crossed = F.floor(F.col("place") * F.col("step") + shift) - F.floor((F.col("place") - 1) * F.col("step") + shift)
+        return F.least(crossed, F.lit(most)).cast("long")
+
+    start = offset(F.col("source"), seed)
+    takes = rows.groupBy("source", "target").agg(*[F.sum(copies((start + k) / OFFSETS) * F.col("size")).alias(f"take{k}") for k in range(OFFSETS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"take{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
+    chosen = takes.select(F.col("source").alias("_source"), ((offset(F.col("source"), seed) + nearest) / OFFSETS).alias("_shift"))
+    shifted = rows.join(chosen, F.col("source").eqNullSafe(F.col("_source")))
+    return shifted.select("doc_id", "source", "bytes", "size", "source_size", "target", copies(F.col("_shift")).alias("copies"))
 
 
 def mix_report(docs: DataFrame, **parameters) -> DataFrame:

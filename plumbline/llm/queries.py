@@ -30,15 +30,21 @@ levels AS (
     sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
   FROM weighted),
 targets AS (
-  SELECT source, source_size, least(weight * min(CASE WHEN weight * (rest / rest_weight) <= source_size * 3 THEN rest / rest_weight END) OVER (), CAST(source_size * 3 AS DOUBLE)) AS target
+  SELECT source, source_size, least(weight * max(CASE WHEN weight * (rest / rest_weight) <= source_size * 3 THEN rest / rest_weight END) OVER (), CAST(source_size * 3 AS DOUBLE)) AS target
   FROM levels),
 placed AS (
-  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS place,
+  SELECT doc_id, s.source, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS place,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
     CAST(('0x' || substr(md5('17:' || coalesce(s.source, chr(0))), 1, 4)) AS BIGINT) / 65536 AS u
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(least(floor(place * step + u) - floor((place - 1) * step + u), 3) * size AS BIGINT) AS taken
-FROM placed
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+offsets AS (SELECT CAST(range AS INTEGER) AS k FROM range(16)),
+takes AS (
+  SELECT source, k, min(u) AS u, abs(sum(least(floor(place * step + (u + k) / 16) - floor((place - 1) * step + (u + k) / 16), 3) * size) - min(target)) AS off
+  FROM placed, offsets GROUP BY source, k),
+chosen AS (
+  SELECT source, (u + k) / 16 AS shift FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM takes) WHERE n = 1)
+SELECT doc_id, size, source_size, target, CAST(least(floor(place * step + shift) - floor((place - 1) * step + shift), 3) * size AS BIGINT) AS taken
+FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
 """
 
 QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
