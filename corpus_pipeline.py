@@ -1,26 +1,49 @@
-"""A training-data pipeline over the table documents."""
+"""A training-data pipeline over the table documents: each stage is one operator of plumbline.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, quality_rules
+from plumbline.llm import line_dedup, mixing, ngram_join, quality_rules, sentence_pieces
 from plumbline.llm.common import table
 
+#: Near duplicates: five words and a similarity of 0.8.
+SHINGLE_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. The rules are learned from the labelled documents among docs."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go from the texts, n_chars follows; a text of which nothing is left goes."""
+    cut = line_dedup.dedup_lines(docs)
+    left = (F.col("removed_lines") == 0) | (F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r")) != "")
+    n_chars = F.when(F.col("removed_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long")
+    return cut.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, the one of least doc_id."""
+    return ngram_join.first_of_each(docs, SHINGLE_WORDS, NEAR_PERCENT)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as their source's target weight asks for."""
+    """Documents come in as many copies (none to three) as the targets of their sources ask for."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality_rules", quality), ("mixing", mix)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix."""
+    return sentence_pieces.encode_documents(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mixing", mix), ("sentence_pieces", pieces)]
 
-#: SQL can't express the learned rules; tests compare the stages with brute force.
+#: SQL can't express the learned rules and the tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
