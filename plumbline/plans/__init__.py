@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, and SQL with the same results."""
 
-QUERIES = {}
-ORACLES = {}
+from . import judging, labels, relations, texts
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "judging", "labels", "relations", "texts"]
