@@ -24,7 +24,6 @@ from .common import RollingHash, buffers, id_blocks, mix
 
 LENGTH = 100
 TRIGGER = 40
-BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -190,8 +189,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = id_blocks(given, max(1 << 16, min(BLOCK_BYTES, total // (4 * partitions)))).select("block", "doc_id", "text").repartition(partitions, "block")
-    buckets = 2 * partitions
+    block_bytes, buckets = blobs.sizes(total, partitions)
+    blocks = id_blocks(given, block_bytes).select("block", "doc_id", "text").repartition(partitions, "block")
     asked = blocks.groupBy("block").applyInArrow(asker(length, trigger, buckets), blobs.ASKED)
     replies = asked.groupBy("bucket", "flow").applyInArrow(lambda key, t: blobs.varied(t) if key[1].as_py() == TRIGGERS else blobs.seen_before(t), blobs.ANSWER)
     strings = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(string_asker(length, trigger, buckets), blobs.ASKED)
