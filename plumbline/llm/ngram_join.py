@@ -129,9 +129,10 @@ def prefixes(batches):
 class PrefixTree:
     """Sets as sequences in one global order, sorted, so that neighbours share the longest paths from the root."""
 
-    def __init__(self, members: list[tuple[bytes, int, int]]):
+    def __init__(self, members: list[tuple[bytes, int, int]], kind=np.uint64):
+        self.kind = kind
         self.members = sorted(members)
-        self.sequences = [np.frombuffer(s, np.uint64) for s, _, _ in self.members]
+        self.sequences = [np.frombuffer(s, kind) for s, _, _ in self.members]
         self.common = [0]
         for a, b in zip(self.sequences, self.sequences[1:], strict=False):
             m = min(len(a), len(b))
@@ -139,13 +140,14 @@ class PrefixTree:
             self.common.append(int(differs[0]) if len(differs) else m)
 
     def probe(self, sequence: bytes, n: int, percent: int):
-        """Ids of the members whose sets link with the set of the sequence (n with the n-grams of its own)."""
-        probe = np.sort(np.frombuffer(sequence, np.uint64))
+        """Ids of the members whose sets link with the set of the sequence (n with the n-grams of its own). With short
+        hashes different n-grams may look equal, so more than those; never fewer."""
+        probe = np.sort(np.frombuffer(sequence, self.kind))
         overlap, valid = np.zeros(1, dtype=np.int64), 0  # overlap[d]: of the path's first d n-grams; known up to valid
         for (_, size, member), path, common in zip(self.members, self.sequences, self.common, strict=True):
             valid = min(valid, common)
             need = -(-percent * (n + size) // (100 + percent))
-            if min(n, size) < need or overlap[valid] + min(len(path) - valid, len(probe) - overlap[valid]) < need:
+            if min(n, size) < need or overlap[valid] + len(path) - valid < need or len(probe) < need:
                 continue
             rest = path[valid:]
             place = np.searchsorted(probe, rest)
@@ -172,10 +174,17 @@ def star_links(percent: int):
     return links
 
 
-def tree_links(percent: int):
-    def links(key, table):
+def shorten(batches):
+    """Sets with 32 of the 64 bits of each n-gram, enough to tell candidates."""
+    for batch in batches:
+        short = [(np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for s in batch.column("seq").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.binary())], ["id", "seq"])
+
+
+def tree_candidates(percent: int):
+    def candidates(key, table):
         rows = list(zip(*[table.column(c).to_pylist() for c in ("probing", "seq", "n", "id", "label")], strict=True))
-        tree = PrefixTree([(s, n, i) for probing, s, n, i, _ in rows if not probing])
+        tree = PrefixTree([(s, n, i) for probing, s, n, i, _ in rows if not probing], np.uint32)
         label = {i: l for _, _, _, i, l in rows}
         a, b = [], []
         for probing, seq, n, i, l in rows:
@@ -184,9 +193,9 @@ def tree_links(percent: int):
                     if label[other] != l:
                         a.append(i)
                         b.append(other)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"center": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64())})
 
-    return links
+    return candidates
 
 
 def near_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -211,8 +220,12 @@ def set_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
     edges = met.where((F.col("id") != F.col("center")) & fits).select("center", "id").distinct()
     of = sets.select("id", "n", "seq")
-    pairs = edges.join(of, "id").join(of.select(F.col("id").alias("center"), F.col("n").alias("center_n"), F.col("seq").alias("center_seq")), "center")
-    links = checkpointed(pairs.select("center", "center_seq", "center_n", "id", "seq", "n").mapInArrow(star_links(percent), "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of, "id").join(of.select(F.col("id").alias("center"), F.col("n").alias("center_n"), F.col("seq").alias("center_seq")), "center")
+        return checkpointed(both.select("center", "center_seq", "center_n", "id", "seq", "n").mapInArrow(star_links(percent), "a long, b long"))
+
+    links = verified(edges)
     labels = components(sets.select("id"), links)
 
     labelled = tokens.join(labels, "id")
@@ -220,11 +233,12 @@ def set_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     groups = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("members"), F.sum("sum").alias("sum")).where("parts > 1")
     groups = groups.groupBy("members", "sum").agg(F.min(F.struct("token", "top.label")).alias("of"))  # groups of the same members are one
     groups = groups.select("of.token", F.col("of.label").alias("largest"), (F.floor(F.col("members") / CHUNK) + 1).cast("int").alias("chunks"))
-    open_ = labelled.join(groups, "token").join(of.select("id", "seq"), "id")
+    open_ = labelled.join(groups, "token").join(of.select("id", "seq").mapInArrow(shorten, "id long, seq binary"), "id")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     stored = open_.select("token", chunk.alias("chunk"), F.lit(False).alias("probing"), "id", "n", "label", "seq")
     probing = open_.where(F.col("label") != F.col("largest")).select("token", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probing"), "id", "n", "label", "seq")
-    rest = checkpointed(stored.unionByName(probing).groupBy("token", "chunk").applyInArrow(tree_links(percent), "a long, b long").distinct())
+    candidates = checkpointed(stored.unionByName(probing).groupBy("token", "chunk").applyInArrow(tree_candidates(percent), "center long, id long").distinct())
+    rest = verified(candidates)
     links = links.unionByName(rest)
     if rest.head(1):
         again = rest.alias("r").join(labels.alias("x"), F.col("r.a") == F.col("x.id")).join(labels.alias("y"), F.col("r.b") == F.col("y.id"))
