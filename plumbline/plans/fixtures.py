@@ -62,6 +62,17 @@ VIEWS = {
       SELECT task, model_id, idx, ground_truth AS gold,
         nullif(regexp_extract(regexp_replace(model_response, '<think>.*</think> ', ''), '(^|[^A-Za-z])([ABCD])([^A-Za-z]|$)', 2), '') AS pred
       FROM responses""",
+    "answers": """
+      SELECT task, model_id, idx, gold, CASE (idx * 3 + model_id) % 14
+        WHEN 0 THEN concat('Let us see.', chr(10), 'Answer: ', p) WHEN 1 THEN concat('**', p, '**') WHEN 2 THEN concat(p, ') first option', chr(10), 'done with it')
+        WHEN 3 THEN concat('<think>maybe D</think>', chr(10), p) WHEN 4 THEN concat('Final answer:', chr(10), p) WHEN 5 THEN concat('Both A and ', p, ' hold') WHEN 6 THEN 'True.'
+        WHEN 7 THEN concat('ANSWER:', lower(p)) WHEN 8 THEN '' WHEN 9 THEN concat('uses CWE-79 and CWE-', CAST(idx % 90 AS STRING)) WHEN 10 THEN concat('T1059.001, T', CAST(1000 + idx % 50 AS STRING))
+        WHEN 11 THEN concat('see', chr(10), 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:', substr('NLH', CAST(idx % 3 + 1 AS INT), 1)) WHEN 12 THEN concat('<think>open ', p) ELSE concat('mitigated by M10', CAST(10 + idx % 9 AS STRING), ' a dog', chr(10)) END AS text
+      FROM (SELECT task, model_id, idx, gold, coalesce(pred, 'X') AS p FROM predictions)""",
+    "class_replies": """
+      SELECT idx, rater, CASE (idx + length(rater)) % 7 WHEN 0 THEN concat('{"class": "', class, '", "confidence": 0.9}') WHEN 1 THEN concat('```json {"class": "', class, '"} ```') WHEN 2 THEN concat('broken "class": "', class, '", oops')
+        WHEN 3 THEN concat('Final answer: ', class) WHEN 4 THEN concat('K or A? It should be ', class) WHEN 5 THEN concat('so ', class) ELSE '' END AS reply, class
+      FROM ka_verdicts""",
     "cells": """
       SELECT task, model_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN 2 * yes > votes THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc
       FROM (SELECT task, model_id, idx, sum(CASE WHEN is_correct THEN 1 ELSE 0 END) AS yes, count(*) AS votes FROM verdicts WHERE NOT skipped GROUP BY task, model_id, idx) GROUP BY task, model_id""",
