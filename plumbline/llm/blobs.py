@@ -17,7 +17,7 @@ ANSWER = "block long, bucket int, flow int, bits binary"
 def sizes(total_bytes: int, partitions: int) -> tuple[int, int]:
     """Bytes of text in a block, and the number of buckets: blocks spread evenly over the partitions, and the number of
     messages (blocks times buckets) stays twice the square of the partitions, as in any shuffle."""
-    return max(1 << 16, min(1 << 26, total_bytes // (4 * partitions))), max(8, partitions // 2)
+    return max(1 << 16, min(1 << 26, total_bytes // (2 * partitions))), max(8, partitions)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

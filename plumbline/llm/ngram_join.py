@@ -84,9 +84,14 @@ def counted(asked):
     parts = [from_planes(x) for x in asked.column("hashes").to_pylist()]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     hashes = np.concatenate(parts)
-    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in asked.column("extra").to_pylist()]).astype(np.int64)
-    _, inverse = np.unique(hashes, return_inverse=True)
-    total = np.minimum(np.bincount(inverse, weights=counts), 65535).astype(np.uint16)[inverse]
+    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in asked.column("extra").to_pylist()]).astype(np.uint32)
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    first = np.flatnonzero(new)
+    sums = np.minimum(np.add.reduceat(counts[order], first), 65535).astype(np.uint16)
+    total = np.zeros(len(hashes), dtype=np.uint16)
+    total[order] = np.repeat(sums, np.diff(np.append(first, len(hashes))))
     return blobs.answers(asked, total, starts)
 
 

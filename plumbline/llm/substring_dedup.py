@@ -162,7 +162,7 @@ def remover(length: int, trigger: int, buckets: int, with_text: bool):
         before = start[blobs.read_bits(replies, STRINGS, distinct, buckets)[inverse] | ~lead]
         np.add.at(covered, before, 1)
         np.add.at(covered, before + length, -1)
-        gone = np.cumsum(covered[:-1]) > 0
+        gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
         removed, spans, digests, texts = [], [], [], []
         for i in range(len(docs)):
             here = gone[at[i] : at[i + 1]]
