@@ -267,7 +267,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     _, labels = set_links(checkpointed(firsts), percent)
     known = classes.join(labels, "id").select(F.col("key").alias("_key"), F.col("n").alias("_n"), "label")
     least = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(known, (F.col("key") == F.col("_key")) & (F.col("n_shingles") == F.col("_n")), "left")
-    return least.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return least.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
