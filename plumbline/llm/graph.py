@@ -1,26 +1,5 @@
 """Connected components of link tables."""
 
-from __future__ import annotations
+from ..operators.graphs import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpointed
-
-
-def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """id, label: the least id that links (a, b) reach from each id of vertices.
-
-    Labels fall to the least of the neighbours' and then to the label of the label, so paths halve in each round;
-    rounds end when no label changes.
-    """
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(vertices.select("id", F.col("id").alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        of = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-        new = checkpointed(lower.join(of, F.col("label") == F.col("_id")).select("id", "old", F.least("label", "_label").alias("label")))
-        labels = new.select("id", "label")
-        if not new.where("label <> old").head(1):
-            return labels
+__all__ = ["components"]

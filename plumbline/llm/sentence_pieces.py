@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a worker remembers at most; others are encoded anew in each batch.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 BATCH_CHARS = 4 << 20
 #: New words are indexed in runs of about this many characters.
 INDEX_CHARS = 1 << 19
