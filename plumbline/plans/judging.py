@@ -52,7 +52,7 @@ add(
 )
 add(
     "j06_disagreement_samples",
-    lambda t: agreement.disagreement_samples(t.verdicts, "def", "v1"),
+    lambda t: agreement.disagreement_samples(t.verdicts, "def", "v1").withColumn("place", F.col("place").cast("long")),
     """SELECT * FROM (SELECT a.task, a.model_id, a.idx, a.is_correct AS first, b.is_correct AS second, row_number() OVER (PARTITION BY a.task, a.model_id ORDER BY a.idx) AS place
        FROM kept a JOIN kept b ON a.task = b.task AND a.model_id = b.model_id AND a.idx = b.idx AND a.judge = 'def' AND b.judge = 'v1' WHERE a.is_correct <> b.is_correct) WHERE place <= 25""",
     kept=KEPT,

@@ -23,16 +23,16 @@ def with_path(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_path", F.col("_metadata.file_path"))
 
 
-def response_tree(spark: SparkSession, root: str, schema: str = RESPONSE) -> DataFrame:
+def response_tree(spark: SparkSession, root: str, schema: str = RESPONSE, names: str = "*.jsonl") -> DataFrame:
     """Responses below root; model and task come from the path, "-" in a task counts as "_", broken lines go."""
-    rows = with_path(spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root))
+    rows = with_path(spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", names).json(root))
     model, task = F.regexp_extract("_path", RESPONSE_PATH, 1), F.regexp_extract("_path", RESPONSE_PATH, 2)
     return rows.withColumn("model", model).withColumn("task", F.lower(F.replace(task, F.lit("-"), F.lit("_")))).where("model <> '' and not model like '%_smoke'").drop("_path")
 
 
-def verdict_tree(spark: SparkSession, root: str, schema: str = VERDICT) -> DataFrame:
+def verdict_tree(spark: SparkSession, root: str, schema: str = VERDICT, names: str = "*.jsonl") -> DataFrame:
     """Verdicts below root with model, judge, version ("" for the default, else _v1, _v2 or __by_...) and task."""
-    rows = with_path(spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root))
+    rows = with_path(spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", names).json(root))
     parts = [F.regexp_extract("_path", VERDICT_PATH, g).alias(n) for g, n in enumerate(("model", "judge", "version", "task"), 1)]
     return rows.select("*", *parts).drop("_path")
 
@@ -78,15 +78,15 @@ def concatenated(spark: SparkSession, path: str) -> DataFrame:
     return with_path(spark.read.option("wholetext", "true").text(path)).mapInPandas(objects, "file string, position long, object string")
 
 
-def tsv(spark: SparkSession, path: str, columns: list[str], quoted: bool = False) -> DataFrame:
-    """Tab-separated rows with a header; short rows are filled with empty text."""
-    reader = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("sep", "\t").option("header", "true").option("quote", '"' if quoted else "")
+def tsv(spark: SparkSession, path: str, columns: list[str], quoted: bool = False, header: bool = True) -> DataFrame:
+    """Tab-separated rows; short rows are filled with empty text."""
+    reader = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("sep", "\t").option("header", header).option("quote", '"' if quoted else "")
     return reader.csv(path).na.fill("")
 
 
-def nested(spark: SparkSession, path: str, field: str, element: str) -> DataFrame:
-    """The elements of one array of whole-document JSON files."""
-    rows = spark.read.schema(f"`{field}` array<{element}>").option("multiLine", "true").json(path)
+def nested(spark: SparkSession, path: str, field: str, element: str, whole: bool = True) -> DataFrame:
+    """The elements of one array of JSON documents, each a whole file or else a line."""
+    rows = spark.read.schema(f"`{field}` array<{element}>").option("multiLine", whole).json(path)
     return rows.select(F.explode(field).alias("_e")).select("_e.*")
 
 
@@ -101,11 +101,11 @@ def option_details(spark: SparkSession, path: str, letters: str = "ABCD") -> Dat
     )
 
 
-def verdict_files(spark: SparkSession, folder: str, schema: str, compact_to: str | None = None) -> DataFrame:
+def verdict_files(spark: SparkSession, folder: str, schema: str, compact_to: str | None = None, whole: bool = True) -> DataFrame:
     """Many small one-verdict files in one scan; compact_to rewrites them as Parquet."""
-    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(folder)
+    rows = spark.read.schema(schema).option("multiLine", whole).option("recursiveFileLookup", "true").json(folder)
     if compact_to:
-        rows.coalesce(max(1, rows.rdd.getNumPartitions() // 64)).write.mode("overwrite").parquet(compact_to)
+        rows.hint("rebalance").write.mode("overwrite").parquet(compact_to)
         rows = rows.sparkSession.read.parquet(compact_to)
     return rows
 
