@@ -99,7 +99,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = checkpointed(found.select("doc_id", "text_hash", "seq", "need", "rank", "after"))
     key = ["need", "rank", "after"]
     place = F.struct("doc_id", "text_hash", "seq")
-    firsts = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = checkpointed(found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that the join can be split where a run is very common
     return found.join(firsts, key).where(place > F.col("first")).select("doc_id", "text_hash", "seq", "need")
 
 
