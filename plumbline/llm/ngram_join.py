@@ -236,13 +236,17 @@ def set_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     labelled = tokens.join(labels, "id")
     parts = labelled.groupBy("token", "label").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
     groups = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("members"), F.sum("sum").alias("sum")).where("parts > 1")
-    groups = groups.groupBy("members", "sum").agg(F.min(F.struct("token", "top.label")).alias("of"))  # groups of the same members are one
-    groups = groups.select("of.token", F.col("of.label").alias("largest"), (F.floor(F.col("members") / CHUNK) + 1).cast("int").alias("chunks"))
+    groups = groups.groupBy("members", "sum").agg(F.min(F.struct("token", "top.label", "top.k")).alias("of"))  # groups of the same members are one
+    in_chunks = lambda n: (F.floor(n / CHUNK) + 1).cast("int")
+    groups = groups.select("of.token", F.col("of.label").alias("largest"), in_chunks(F.col("members")).alias("chunks"), in_chunks(F.col("members") - F.col("of.k")).alias("probe_chunks"))
     open_ = labelled.join(groups, "token").join(of.select("id", "seq").mapInArrow(shorten, "id long, seq binary"), "id")
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    stored = open_.select("token", chunk.alias("chunk"), F.lit(False).alias("probing"), "id", "n", "label", "seq")
-    probing = open_.where(F.col("label") != F.col("largest")).select("token", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probing"), "id", "n", "label", "seq")
-    candidates = checkpointed(stored.unionByName(probing).groupBy("token", "chunk").applyInArrow(tree_candidates(percent), "center long, id long").distinct())
+    # stored sets in chunks, probing sets in chunks, a task for each pair of chunks: none holds more than two chunks
+    chunk = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of_set = ["id", "n", "label", "seq"]
+    stored = open_.select("token", chunk("chunks", 1).alias("chunk"), each("probe_chunks").alias("probe_chunk"), F.lit(False).alias("probing"), *of_set)
+    probing = open_.where(F.col("label") != F.col("largest")).select("token", each("chunks").alias("chunk"), chunk("probe_chunks", 2).alias("probe_chunk"), F.lit(True).alias("probing"), *of_set)
+    candidates = checkpointed(stored.unionByName(probing).groupBy("token", "chunk", "probe_chunk").applyInArrow(tree_candidates(percent), "center long, id long").distinct())
     rest = verified(candidates)
     links = links.unionByName(rest)
     if rest.head(1):
