@@ -81,7 +81,8 @@ class Parse:
         new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         low, high = start[first], start[np.append(first[1:], len(start)) - 1] if len(first) else start[first]
-        return grams[owner[first]], hashed.spans(low, high + self.length), low + begin, high + begin
+        # least hashes are small ones; mixed again they spread over the buckets
+        return mix(grams[owner[first]]), hashed.spans(low, high + self.length), low + begin, high + begin
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the strings of LENGTH bytes in the phrases given, in corpus order."""
