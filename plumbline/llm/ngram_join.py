@@ -84,14 +84,18 @@ def counted(asked):
     parts = [from_planes(x) for x in asked.column("hashes").to_pylist()]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     hashes = np.concatenate(parts)
+    del parts
     counts = np.concatenate([np.frombuffer(x, np.uint8) for x in asked.column("extra").to_pylist()]).astype(np.uint32)
     order = np.argsort(hashes)
     ordered = hashes[order]
+    n = len(hashes)
+    del hashes
     new = np.append(True, ordered[1:] != ordered[:-1])
     first = np.flatnonzero(new)
     sums = np.minimum(np.add.reduceat(counts[order], first), 65535).astype(np.uint16)
-    total = np.zeros(len(hashes), dtype=np.uint16)
-    total[order] = np.repeat(sums, np.diff(np.append(first, len(hashes))))
+    total = np.zeros(n, dtype=np.uint16)
+    total[order] = np.repeat(sums, np.diff(np.append(first, n)))
+    pa.default_memory_pool().release_unused()
     return blobs.answers(asked, total, starts)
 
 
@@ -100,6 +104,7 @@ def set_maker(n: int, percent: int, buckets: int):
         sets, at = shingle_sets(docs.column("text"), n)
         distinct, inverse = np.unique(sets & KEPT, return_inverse=True)
         common = blobs.read_values(replies, 0, distinct, buckets, np.uint16)[inverse]
+        pa.default_memory_pool().release_unused()
         ids, rows = docs.column("doc_id").to_pylist(), {"doc_id": [], "n": [], "key": [], "seq": [], "rare": []}
         for i, doc in enumerate(ids):
             mine, seen = sets[at[i] : at[i + 1]], common[at[i] : at[i + 1]]
