@@ -68,9 +68,7 @@ def ranks(cells: DataFrame) -> DataFrame:
 
 def top_k(predictions: DataFrame, cells: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     """Flagged items of each task when only the best k models vote, for every k."""
-    ks = cells.select(F.explode(F.sequence(F.lit(1), F.lit(1) * F.lit(10))).alias("k")).distinct()
-    ranked = ranks(cells).select("task", "model_id", "rank", "n_models")
-    chosen = ranked.join(F.broadcast(ks), (F.col("rank") <= F.col("k")) & (F.col("k") <= F.col("n_models")))  # ten numbers
+    chosen = ranks(cells).select("task", "model_id", F.explode(F.sequence(F.col("rank").cast("long"), F.col("n_models"))).alias("k"))  # a model of rank r is among the best k from k = r on
     rows = predictions.join(chosen.select("task", "model_id", "k"), ["task", "model_id"])
     votes = vote(rows, ["task", "k", "idx"]).join(gold, ["task", "idx"])
     return votes.groupBy("task", "k").agg(F.count("*").alias("n"), F.count_if((F.col("winner") != F.col("gold")) & (F.col("fraction") >= threshold)).alias("flagged"))

@@ -42,7 +42,7 @@ add(
 TOPK = "SELECT p.task, k, idx, gold, pred, count(*) AS n, min(p.model_id) AS first FROM predictions p JOIN ranked r ON p.task = r.task AND p.model_id = r.model_id JOIN (SELECT unnest(range(1, 11)) AS k) ON rank <= k AND k <= n_models WHERE pred IS NOT NULL GROUP BY ALL"
 add(
     "g06_top_k",
-    lambda t: votes.top_k(t.predictions, t.cells, golds(t), 0.5).withColumn("k", F.col("k").cast("long")),
+    lambda t: votes.top_k(t.predictions, t.cells, golds(t), 0.5),
     "SELECT task, k, count(*) AS n, count_if(winner <> gold AND f >= 0.5) AS flagged FROM (SELECT task, k, idx, gold, arg_max(pred, 1000 * n - first) AS winner, max(n) / sum(n) AS f FROM topk GROUP BY ALL) GROUP BY ALL",
     ranked=RANKED, topk=TOPK,
 )
