@@ -144,7 +144,7 @@ def id_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     if lo is None or lo == hi:
         return docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("long"))
     n = int(min(MAX_BINS, hi - lo + 1, max(1, 16 * total // block_bytes)))
-    width = (hi - lo) // n + 1
+    width = min((hi - lo) // n + 1, (1 << 63) - 1)
     bin_ = F.coalesce(F.floor((half - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
     sums = docs.groupBy(bin_.alias("bin")).agg(F.sum(size).alias("size"))
     before = F.sum("size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

@@ -182,3 +182,15 @@ def test_components(spark):
     ids = spark.range(60).withColumnRenamed("id", "id")
     got = {r.id: r.label for r in components(ids, links).collect()}
     assert got[8] == 1 and got[9] == 1 and got[17] == 10 and got[50] == 1 and got[59] == 59 and got[0] == 0
+
+
+def test_blocks_follow_the_ids(spark):
+    from plumbline.llm.common import id_blocks
+
+    ids = [None, -(1 << 63), -5, 0, 1, 2, 3, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, "x" * 100) for i in ids] + [(2, None)], "doc_id long, text string")
+    for size in (1, 50, 10_000):
+        got = sorted(((r.doc_id is not None, r.doc_id or 0), r.block) for r in id_blocks(docs, size).collect())
+        assert len(got) == 9 and [b for _, b in got] == sorted(b for _, b in got)
+    one = spark.createDataFrame([(7, "a"), (7, "b"), (None, "c")], "doc_id long, text string")
+    assert sorted(r.block for r in id_blocks(one, 1).collect()) == [0, 1, 1]
