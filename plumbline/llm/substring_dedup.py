@@ -191,6 +191,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block_bytes, buckets = blobs.sizes(total, partitions)
+    buckets = max(8, buckets // 2)  # two questions at once, and one hash for about 15 bytes of text
     blocks = id_blocks(given, block_bytes).select("block", "doc_id", "text").repartition(partitions, "block")
     asked = blocks.groupBy("block").applyInArrow(asker(length, trigger, buckets), blobs.ASKED)
     replies = asked.groupBy("bucket", "flow").applyInArrow(lambda key, t: blobs.varied(t) if key[1].as_py() == TRIGGERS else blobs.seen_before(t), blobs.ANSWER)
