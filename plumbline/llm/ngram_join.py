@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import LOWER, RollingHash, checkpointed, id_blocks, mix, slices, windows, word_spans
+from .common import LOWER, RollingHash, checkpointed, free_shuffles, id_blocks, mix, slices, windows, word_spans
 from .graph import components
 
 WORDS = 4
@@ -270,6 +270,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     and get a null component_id. Repeated rows are alike. An empty table gives no rows; further columns go.
     """
     sets = checkpointed(near_sets(docs, n, percent))
+    free_shuffles(docs.sparkSession)  # the texts and counts have gone through shuffles that nothing needs any more
     able = sets.where("key is not null and doc_id is not null")
     classes = able.groupBy("key", "n").agg(F.min("doc_id").alias("id"))
     firsts = able.join(classes.select(F.col("key").alias("_key"), "id"), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id"]).select("id", "n", "seq", "rare")
