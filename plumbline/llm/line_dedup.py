@@ -23,7 +23,7 @@ from .common import RollingHash, checkpointed, slices, word_spans
 MIN_WORDS = 50
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LINES = "doc_id long, text_hash long, seq int, h1 long, h2 long, need int"
+LINES = "doc_id long, text_hash long, seq int, h1 long, h2 long, need int, most int"
 
 
 def line_spans(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,11 +51,13 @@ def lines_of(min_words: int):
                 sums = np.concatenate([[0], np.cumsum(words)])
                 reach = np.searchsorted(sums, sums[:-1] + min_words)  # the first cut with enough words
                 need = np.where(reach <= first[row + 1], reach - np.arange(len(row)), 0)
+                # a window that ends at a line, with the fewest lines back, has need to most lines from where it starts
+                most = np.where(need > 0, np.maximum(np.minimum(np.append(reach[1:] - 1, len(row)), first[row + 1]) - np.arange(len(row)), need), 0)
                 ids = batch.slice(first_row, len(at) - 1)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column("doc_id").take(take), ids.column("text_hash").take(take), pa.array(seq, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(need, pa.int32())],
-                    ["doc_id", "text_hash", "seq", "h1", "h2", "need"],
+                    [ids.column("doc_id").take(take), ids.column("text_hash").take(take), pa.array(seq, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(need, pa.int32()), pa.array(most, pa.int32())],
+                    ["doc_id", "text_hash", "seq", "h1", "h2", "need", "most"],
                 )
 
     return lines
@@ -77,24 +79,30 @@ def pairs(ranks: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, seq, need: the shortest runs of min_words words that occur before in the corpus.
+    """doc_id, text_hash, seq, need: runs of need lines that occur before in the corpus and cover all lines that go.
+
+    A line of a run of min_words words or more that occurs before is either in the shortest window of so many words
+    from the run's start, or in the shortest one that ends at the line itself; both lie in the run. So the windows
+    looked up are, for each line, the shortest that starts there and the shortest that ends there.
 
     Corpus order is (doc_id, text_hash, seq), null ids first; seq counts the lines that have a word.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     lines = checkpointed(keyed.mapInArrow(lines_of(min_words), LINES))
     known = ranked(lines, ["h1", "h2"])
-    ranks = checkpointed(lines.join(known, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "need", "rank"))
+    ranks = checkpointed(lines.join(known, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "need", "most", "rank"))
     found, length = None, 1
     while True:
-        here = ranks.where(F.col("need").between(length, 2 * length - 1)).withColumn("target", F.col("seq") + F.col("need") - length)
+        low, high = F.greatest("need", F.lit(length)), F.least("most", F.lit(2 * length - 1))
+        here = ranks.where((F.col("need") > 0) & (low <= high)).withColumn("need", F.explode(F.sequence(low, high))).drop("most")
+        here = here.withColumn("target", F.col("seq") + F.col("need") - length)
         here = here.withColumn("after", F.col("rank")).drop("target") if length == 1 else pairs(here, shifted(ranks, F.lit(0)))
         found = here if found is None else found.unionByName(here)
-        if not ranks.where(F.col("need") >= 2 * length).head(1):
+        if not ranks.where(F.col("most") >= 2 * length).head(1):
             break
         doubled = checkpointed(pairs(ranks.withColumn("target", F.col("seq") + length), shifted(ranks, F.lit(0))).withColumnRenamed("rank", "before"))
         known = ranked(doubled, ["before", "after"])
-        ranks = checkpointed(doubled.join(known, ["before", "after"]).select("doc_id", "text_hash", "seq", "need", "rank"))
+        ranks = checkpointed(doubled.join(known, ["before", "after"]).select("doc_id", "text_hash", "seq", "need", "most", "rank"))
         length *= 2
     found = checkpointed(found.select("doc_id", "text_hash", "seq", "need", "rank", "after"))
     key = ["need", "rank", "after"]
