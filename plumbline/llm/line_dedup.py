@@ -90,7 +90,8 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     lines = checkpointed(keyed.mapInArrow(lines_of(min_words), LINES))
     known = ranked(lines, ["h1", "h2"])
-    ranks = checkpointed(lines.join(known, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "need", "most", "rank"))
+    # repeated rows count once here, or each doubling would square their number; rewriter() sees to their copies
+    ranks = checkpointed(lines.join(known, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "need", "most", "rank").distinct())
     found, length = None, 1
     while True:
         low, high = F.greatest("need", F.lit(length)), F.least("most", F.lit(2 * length - 1))

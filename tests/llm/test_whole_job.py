@@ -37,3 +37,11 @@ def test_line_dedup_takes_whole_runs(spark):
     rng = random.Random(1)
     texts = ["\n".join(rng.choice([words(n, n) for n in (1, 2, 3, 5, 8)]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
     assert line_dedup_of(spark, texts, 12) == maximal_runs_brute(texts, 12)
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    text = "\n".join(words(3, f"line{i}w") for i in range(40))
+    other = "\n".join(words(3, f"line{i}w") for i in range(20, 40)) + "\nthe end"
+    docs = spark.createDataFrame([(1, text)] * 4 + [(2, other)] * 2, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs, 50).collect())
+    assert got == [(1, "", 40)] * 3 + [(1, text, 0), (2, "", 21), (2, "the end", 20)]
