@@ -42,6 +42,8 @@ class Element:
     path: str
     parent: int
     out: bool
+    bound: bool = False  # in an article or main element, or one itself
+    named: bool = False  # there, in a part with a name of NOT_TEXT_NAMES: text only where ratios say so
     chars: int = 0
 
 
@@ -53,11 +55,11 @@ class Page:
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def left_out(tag: str, attributes: str, stack: list[int], page: Page) -> tuple[str, bool]:
-    """The step of a tag path, and whether the element is no part of a main text by what it is called."""
+def left_out(tag: str, attributes: str, stack: list[int], page: Page) -> tuple[str, bool, bool]:
+    """The step of a tag path, whether the element is never main text, and whether its names speak against it."""
     if tag == "header" and not any(page.elements[i].tag in ("article", "main") for i in stack):
-        return tag, True
-    step, out = tag, tag in NOT_TEXT
+        return tag, True, False
+    step, out, named = tag, tag in NOT_TEXT, False
     if attributes:
         for name, *values in NAMES.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -68,8 +70,8 @@ def left_out(tag: str, attributes: str, stack: list[int], page: Page) -> tuple[s
                 if name == "class" and words:
                     step += "." + words[0]
                 if tag not in ("html", "body", "article", "main"):
-                    out |= any(w in NOT_TEXT_NAMES or any(part in NOT_TEXT_NAMES for part in re.split(r"[-_]+", w)) for w in words)
-    return step, out
+                    named |= any(w in NOT_TEXT_NAMES or any(part in NOT_TEXT_NAMES for part in re.split(r"[-_]+", w)) for w in words)
+    return step, out, named
 
 
 def parse(source: str) -> Page:
@@ -118,9 +120,9 @@ def parse(source: str) -> Page:
             text(" ")
         if tag in VOID:
             continue
-        step, out = left_out(tag, attributes, stack, page)
+        step, out, named = left_out(tag, attributes, stack, page)
         above = page.elements[stack[-1]]
-        page.elements.append(Element(tag, f"{above.path}/{step}", stack[-1], out or above.out))
+        page.elements.append(Element(tag, f"{above.path}/{step}", stack[-1], out or above.out or (named and not above.bound), above.bound or tag in ("article", "main"), above.named or (named and above.bound)))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             at = end.start() if end else size
@@ -166,8 +168,10 @@ def main_text(source: str | None) -> str:
     """The text of the content nodes, blocks joined by two new lines; empty if there is none.
 
     Paths whose fused ratio reaches the page's standard deviation of ratios are content. The content element is the
-    deepest that holds nearly all text on such paths (an article or main element, where there is one); all of its
-    blocks belong to the text, but for the parts that are named as something else.
+    deepest that holds nearly all text on such paths (the outermost article elements with such text, or else main
+    elements, where there are any); all of its blocks belong to the text, but for the parts that are named as something
+    else and whose paths are not content. Blocks on content paths outside of it belong to the text too, if no name
+    speaks against them.
     """
     if not source:
         return ""
@@ -194,8 +198,7 @@ def main_text(source: str | None) -> str:
         found = [i for i, e in enumerate(page.elements) if e.tag == tag and not e.out and e.chars]
         outer = [i for i in found if not any(page.elements[i].path.startswith(page.elements[j].path + "/") and inside(page, i, j) for j in found)]
         if outer:
-            top = max(page.elements[i].chars for i in outer)
-            chosen, articles = {i for i in outer if page.elements[i].chars * 3 >= top}, True
+            chosen, articles = set(outer), True
             break
     if not articles:
         best = 0
@@ -206,9 +209,11 @@ def main_text(source: str | None) -> str:
     within = [False] * len(page.elements)
     for i, e in enumerate(page.elements):
         within[i] = not e.out and (i in chosen or (e.parent >= 0 and within[e.parent]))
+    high = {page.elements[block_of(page, element)].path for element, _, piece in page.pieces if piece.strip() and page.elements[element].path in content}
     blocks, last = [], None
     for element, block, piece in page.pieces:
-        if within[element]:
+        e = page.elements[element]
+        if not e.out and (within[element] and not e.named or page.elements[block_of(page, element)].path in high):
             if block != last:
                 blocks.append([])
             blocks[-1].append(piece)
@@ -219,6 +224,13 @@ def main_text(source: str | None) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
+def block_of(page: Page, i: int) -> int:
+    """The nearest element at or above i that makes a block."""
+    while page.elements[i].parent >= 0 and page.elements[i].tag not in BLOCK:
+        i = page.elements[i].parent
+    return i
+
+
 def inside(page: Page, i: int, j: int) -> bool:
     i = page.elements[i].parent
     while i >= 0:

@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import line_dedup
+from plumbline.llm import html_extract, line_dedup
 
 
 def words(n, tag):
@@ -45,3 +45,10 @@ def test_line_dedup_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text)] * 4 + [(2, other)] * 2, "doc_id long, text string")
     got = sorted((r.doc_id, r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs, 50).collect())
     assert got == [(1, "", 40)] * 3 + [(1, text, 0), (2, "", 21), (2, "the end", 20)]
+
+
+def test_html_keeps_all_content():
+    long = "A long sentence, with a comma and more words. " * 12
+    page = f"<body><article><p>{long}</p><p>{long}</p><div class='legal-notice'><p>{long}inside</p></div><div class=related><a href=x>one</a><a href=y>two</a></div></article><article><p>A short one, with a point.</p></article><p>{long}outside</p></body>"
+    got = html_extract.main_text(page).split("\n\n")
+    assert got == [long.strip(), long.strip(), long + "inside", "A short one, with a point.", long + "outside"]
