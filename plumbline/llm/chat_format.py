@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +18,27 @@ ASSISTANT = "assistant"
 CONTROL = r"(\\*)(<turn>|</turn>|###)"
 CONTROL_BACK = r"\\(\\*)(<turn>|</turn>|###)"
 
+DELTAS = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("delta", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
+EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+#: A batch of full examples ends once it has so many code points.
+BATCH_CHARS = 4_000_000
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
 
 def escape(text: F.Column) -> F.Column:
     """Puts one more backslash before each control string, whatever number it has."""
     return F.regexp_replace(text, CONTROL, r"\\$1$2")
 
 
-def unescape(text: F.Column) -> F.Column:
-    """Takes one backslash before each control string away."""
-    return F.regexp_replace(text, CONTROL_BACK, "$1$2")
-
-
 def escape_role(role: F.Column) -> F.Column:
     """As escape(); the end mark of a role is broken up too."""
     return F.regexp_replace(escape(role), r":(\\*)\n", ":\\\\$1\n")
 
 
-def unescape_role(role: F.Column) -> F.Column:
-    return unescape(F.regexp_replace(role, r":\\(\\*)\n", ":$1\n"))
-
-
 def turns_of(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text with nulls as empty strings; further columns go."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -75,56 +77,73 @@ def examples(conversations: DataFrame) -> DataFrame:
     )
 
 
+def expand_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full examples of sorted rows; only the context of one conversation and a batch are held."""
+    now, context, out, size = None, None, [], 0
+    for batch in batches:
+        for conv, example, delta, start, end in zip(*(batch.column(c).to_pylist() for c in DELTAS.names), strict=True):
+            if context is None or conv != now:
+                now, context = conv, ""
+            before = len(context)
+            context += delta
+            out.append((conv, example, context, None if start is None else before + start, None if end is None else before + end))
+            size += len(context)
+            if size >= BATCH_CHARS:
+                yield batch_of(out, EXAMPLES)
+                out, size = [], 0
+    if out:
+        yield batch_of(out, EXAMPLES)
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    return formatted.select(*DELTAS.names).repartition("conv_id").sortWithinPartitions("conv_id", "example")
+
+
 def expand(formatted: DataFrame) -> DataFrame:
     """examples() written out: conv_id, example, text, loss_from, loss_to. The output grows with the square of the
-    number of replies of a conversation, as full contexts do."""
-    order = Window.partitionBy("conv_id").orderBy("example")
-    before = F.coalesce(F.sum(F.char_length("delta")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = F.collect_list("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return formatted.select("conv_id", "example", F.array_join(parts, "").alias("text"), (before + F.col("loss_from")).alias("loss_from"), (before + F.col("loss_to")).alias("loss_to"))
+    number of replies of a conversation, as full contexts do. Rows of a conversation stand together, in order."""
+    return in_order(formatted).mapInArrow(expand_stream, "conv_id long, example long, text string, loss_from long, loss_to long")
 
 
-def read_turns(formatted: DataFrame) -> DataFrame:
-    """conv_id, example, turns (role, text, in order) and loss_text, parsed from the formatted texts alone."""
-    pieces = F.filter(F.split("delta", r"(?<!\\)<turn> ### "), lambda p: p != "")
-    closed = F.transform(pieces, lambda p: F.substring(p, F.lit(1), F.char_length(p) - len(CLOSE + "\n")))
-    turn = lambda p: F.struct(unescape_role(F.regexp_extract(p, r"(?s)^(.*?):\n", 1)).alias("role"), unescape(F.regexp_extract(p, r"(?s)^.*?:\n(.*)$", 1)).alias("text"))
-    loss = F.when(F.col("loss_from").isNotNull(), unescape(F.substring("delta", F.col("loss_from").cast("int") + 1, (F.col("loss_to") - F.col("loss_from")).cast("int"))))
-    return formatted.select("conv_id", "example", F.transform(closed, turn).alias("turns"), loss.alias("loss_text"), F.char_length("delta").alias("n"))
+def turns_in(text: str) -> list[tuple[str, str]]:
+    """Roles and texts of the turns of an example, parsed from its text alone."""
+    plain = lambda x: re.sub(CONTROL_BACK, r"\1\2", x)
+    pieces = [p[: -len(CLOSE + "\n")].split(HEAD + "\n", 1) for p in re.split(r"(?<!\\)<turn> ### ", text) if p]
+    return [(plain(re.sub(r":\\(\\*)\n", r":\1\n", role)), plain(body)) for role, body in pieces]
 
 
-def digest_stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digests of the conversations of sorted rows, a row at a time; only hash states are kept."""
-    now, state = None, None
+def digest_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the conversations of expand()'s rows; the last example of a conversation holds all of its turns."""
+    now, last, loss_chars, loss_hash, chars = None, None, 0, hashlib.sha256(), 0
 
     def close():
-        return (None if now == "" else int(now), state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        turns = turns_in(last)
+        return now, len(turns), hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest(), loss_chars, loss_hash.hexdigest(), chars
 
-    for frame in frames:
+    for batch in batches:
         out = []
-        for conv, n, turns, loss, chars in frame.itertuples(index=False):
-            if state is None or conv != now:
-                if state is not None:
-                    out.append(close())
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            state[0] += n
-            state[1].update(turns.encode())
-            if loss is not None:
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-            state[4] += chars
+        for conv, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss_from", "loss_to")), strict=True):
+            if last is not None and conv != now:
+                out.append(close())
+                last = None
+            if last is None:
+                loss_chars, loss_hash, chars = 0, hashlib.sha256(), 0
+            now, last = conv, text
+            chars += len(text)
+            if start is not None:
+                loss = re.sub(CONTROL_BACK, r"\1\2", text[start:end])
+                loss_chars += len(loss)
+                loss_hash.update(loss.encode())
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
-    if state is not None:
-        yield pd.DataFrame([close()], columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield batch_of(out, DIGESTS)
+    if last is not None:
+        yield batch_of([close()], DIGESTS)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the examples.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the full examples.
 
-    A conversation's digest needs its rows in order; they stream through one task, which holds a batch of them.
+    formatted_chars is the sum of the lengths of the full texts. These are made and read in one task for a
+    conversation, a batch of BATCH_CHARS at a time, and are neither stored nor shuffled.
     """
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = read_turns(formatted).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), "example", F.size("turns").cast("long").alias("n_turns"), turns.alias("turns"), "loss_text", F.col("n").cast("long").alias("n"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "example").drop("example")
-    return ordered.mapInPandas(digest_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_order(formatted).mapInArrow(lambda batches: digest_stream(expand_stream(batches)), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

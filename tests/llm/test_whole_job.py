@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import html_extract, line_dedup
+from plumbline.llm import chat_format, html_extract, line_dedup
 
 
 def words(n, tag):
@@ -52,3 +52,14 @@ def test_html_keeps_all_content():
     page = f"<body><article><p>{long}</p><p>{long}</p><div class='legal-notice'><p>{long}inside</p></div><div class=related><a href=x>one</a><a href=y>two</a></div></article><article><p>A short one, with a point.</p></article><p>{long}outside</p></body>"
     got = html_extract.main_text(page).split("\n\n")
     assert got == [long.strip(), long.strip(), long + "inside", "A short one, with a point.", long + "outside"]
+
+
+def test_chat_digests_read_full_examples(spark):
+    data = [(c, t, r, f"text {t} <turn> " * (t + 1)) for c in (1, 2, None) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "assistant", "user"][: 7 - (c or 0)])]
+    formatted = chat_format.examples(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    expected = {}
+    for c, t, r, _ in data:  # each reply, and turns after the last one, with all turns before
+        turns = [x for x in data if x[0] == c and x[1] <= t]
+        if r == "assistant" or t == max(x[1] for x in data if x[0] == c):
+            expected[c] = expected.get(c, 0) + sum(len(f"<turn> ### {x[2]}:\n{x[3].replace('<turn>', chr(92) + '<turn>')} </turn>\n") for x in turns)
+    assert {r.conv_id: r.formatted_chars for r in chat_format.digests(formatted).collect()} == expected
