@@ -1,4 +1,4 @@
-"""License scans: runs of lines are compared with license templates by the Dice coefficient of their word bigrams."""
+"""License scans: windows of words are compared with license templates by the Dice coefficient of their word bigrams."""
 
 from __future__ import annotations
 
@@ -30,7 +30,12 @@ TEMPLATES: dict[str, Sequence[str]] = {
     ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",),
+    "BSD-3-Clause": (
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -72,37 +77,39 @@ class Templates:
         self.having = {b: [k for k, s in enumerate(self.sets) if b in s] for b in self.known.tolist()}
 
 
-def runs_of(lines: list[list[int]], templates: Templates, least: float) -> list[tuple[str, float, int, int]]:
-    """License, Dice, first and last line of the best runs of lines; a line's bigrams don't cross into the next.
+def windows_of(pairs: Sequence[int], hits: Sequence[int], templates: Templates, least: float) -> list[tuple[str, float, int, int]]:
+    """License, Dice, first and last word of the best windows of words, line ends being no bounds.
 
-    lines: the bigrams of each line. Bounds: at Dice d with a template of b bigrams, a run has d / (2 - d) * b to
-    (2 - d) / d * b distinct bigrams, and shares d / (2 - d) * b at least.
+    pairs: the bigram that begins at each word of a row; hits: the places whose bigram a template has. A best window
+    begins and ends with a bigram of the template. Bounds: at Dice d with a template of b bigrams, a window has
+    d / (2 - d) * b to (2 - d) / d * b distinct bigrams, and shares d / (2 - d) * b at least.
     """
     found = []
-    near: dict[int, set[int]] = {}
-    for number, line in enumerate(lines):
-        for b in line:
-            for k in templates.having.get(b, ()):
-                near.setdefault(k, set()).add(number)
+    near: dict[int, list[int]] = {}
+    for place in hits:
+        for k in templates.having[pairs[place]]:
+            near.setdefault(k, []).append(place)
     for k, where in near.items():
         template = templates.sets[k]
         b = len(template)
         low, high = least / (2 - least) * b - 1e-9, (2 - least) / least * b + 1e-9
-        if len(set().union(*(template.intersection(lines[i]) for i in where))) < low:
+        if len({pairs[i] for i in where}) < low:
             continue
         for first in where:
-            run: set[int] = set()
-            shared: set[int] = set()
-            best = None
-            for last in range(first, len(lines)):
-                run.update(lines[last])
-                shared.update(template.intersection(lines[last]))
-                if len(run) > high:
+            seen: set[int] = set()
+            shared, best = 0, None
+            for last in range(first, len(pairs)):
+                pair = pairs[last]
+                if pair in seen or not pair:
+                    continue
+                seen.add(pair)
+                if len(seen) > high:
                     break
-                if len(run) >= low and len(shared) >= low and last in where:
-                    dice = 2 * len(shared) / (len(run) + b)
-                    if dice >= least - 1e-12 and (best is None or dice > best[0]):
-                        best = (dice, last)
+                if pair in template:
+                    shared += 1
+                    dice = 2 * shared / (len(seen) + b)
+                    if shared >= low and dice >= least - 1e-12 and (best is None or dice > best[0]):
+                        best = (dice, last + 1)
             if best:
                 found.append((templates.names[k], best[0], first, best[1]))
     found.sort(key=lambda x: (-x[1], x[0], x[2], x[3]))
@@ -131,12 +138,10 @@ def scanner(texts: Mapping[str, Sequence[str]], least: float):
                         matches.append([])
                         continue
                     inner = breaks[np.searchsorted(breaks, at[row]) : np.searchsorted(breaks, at[row + 1])]
-                    bounds = np.searchsorted(start, np.concatenate([[at[row]], inner, [at[row + 1]]]))
-                    lines = []
-                    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-                        own = pairs[a : max(a, z - 1)]  # the last word's bigram would reach into the next line
-                        lines.append(own.tolist())
-                    matches.append(runs_of(lines, templates, least))
+                    own = slice(first[row], first[row + 1])
+                    line = lambda word: int(np.searchsorted(inner, start[first[row] + word]))  # noqa: B023, E731
+                    found = windows_of(pairs[own].tolist(), np.flatnonzero(known[own]).tolist(), templates, least)
+                    matches.append([(name, dice, line(a), line(z)) for name, dice, a, z in found])
             best = [max(m, key=lambda x: x[1]) if m else None for m in matches]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -156,8 +161,8 @@ def scanner(texts: Mapping[str, Sequence[str]], least: float):
 def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = DICE) -> DataFrame:
     """doc_id, n_matches, best_license, best_dice, licenses, matches for each row of docs, over whole texts.
 
-    matches are runs of lines (numbered from 0, split at new lines) that don't overlap, the better first to choose;
-    licenses are their distinct names, sorted, joined by commas. A null or empty text has no match: best_license and
+    matches are windows of words that don't overlap, the better first to choose, with the lines (numbered from 0, split
+    at new lines) where they begin and end; licenses are their distinct names, sorted, joined by commas. A null or empty text has no match: best_license and
     best_dice are null. Repeated rows are alike, null ids stay, further columns go. An empty table gives no rows.
     Templates have a few thousand bigrams, which tasks get with their code; nothing is shuffled.
     """

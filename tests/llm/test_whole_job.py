@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import chat_format, html_extract, line_dedup
+from plumbline.llm import chat_format, html_extract, license_scan, line_dedup
 
 
 def words(n, tag):
@@ -63,3 +63,12 @@ def test_chat_digests_read_full_examples(spark):
         if r == "assistant" or t == max(x[1] for x in data if x[0] == c):
             expected[c] = expected.get(c, 0) + sum(len(f"<turn> ### {x[2]}:\n{x[3].replace('<turn>', chr(92) + '<turn>')} </turn>\n") for x in turns)
     assert {r.conv_id: r.formatted_chars for r in chat_format.digests(formatted).collect()} == expected
+
+
+def test_license_scan_of_words(spark):
+    mit, (bsd2,), (isc,) = license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["BSD-2-Clause"], license_scan.TEMPLATES["ISC"]
+    texts = ["Copyright 2020 Foo Ltd. All rights reserved.", "some All rights\nreserved here", words(90, "a") + " " + mit + " " + words(90, "b"), bsd2.replace(". ", ".\n"), license_scan.TEMPLATES["BSD-3-Clause"][1], "x\n" + isc, "Licensed under CC BY 4.0. All rights reserved."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == ["proprietary", "proprietary", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0,proprietary"]
+    assert all(r.best_dice == 1.0 for r in got.values()) and (got[1].matches[0].first_line, got[1].matches[0].last_line) == (0, 1)
