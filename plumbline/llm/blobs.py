@@ -12,12 +12,19 @@ import pyarrow as pa
 
 ASKED = "bucket int, block long, flow int, hashes binary, extra binary"
 ANSWER = "block long, bucket int, flow int, bits binary"
+#: Bytes of text in a block and of questions in a bucket, at most (a block: plus one document).
+BLOCK_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 
 
-def sizes(total_bytes: int, partitions: int) -> tuple[int, int]:
-    """Bytes of text in a block, and the number of buckets: blocks spread evenly over the partitions, and the number of
-    messages (blocks times buckets) stays twice the square of the partitions, as in any shuffle."""
-    return max(1 << 16, min(1 << 26, total_bytes // (2 * partitions))), max(8, partitions)
+def sizes(total_bytes: int, text_per_asked: float) -> tuple[int, int]:
+    """Bytes of text in a block, and the number of buckets.
+
+    Both have bounded sizes, so a task's memory doesn't grow with the input; small inputs get smaller ones, to be spread.
+    A message has a hash at least, so there are never more messages than hashes; at 1 TB there are about forty hashes to
+    each message, at 10 TB four, and beyond that the exchange is one of single hashes, as a plain join of them is.
+    """
+    return max(1 << 16, min(BLOCK_BYTES, total_bytes // 64)), max(8, int(total_bytes / text_per_asked / BUCKET_BYTES), min(48, total_bytes >> 20))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -52,42 +59,6 @@ def answers(asked: pa.Table, values: np.ndarray, starts: np.ndarray) -> pa.Table
     return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "flow": asked.column("flow"), "bits": pa.array(bits, pa.binary())})
 
 
-def seen_before(asked: pa.Table) -> pa.Table:
-    """For each hash whether a block of smaller number has it."""
-    blocks, starts, hashes, question = gathered(asked)
-    order = np.lexsort((blocks[question], hashes))
-    out = np.zeros(len(hashes), dtype=bool)
-    out[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-    return answers(asked, out, starts)
-
-
-def varied(asked: pa.Table) -> pa.Table:
-    """For each hash whether it comes with two different extra values (4 bytes; 0 says that its block has several)."""
-    _, starts, hashes, _ = gathered(asked)
-    extra = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("extra").to_pylist()]) if len(asked) else np.zeros(0, np.uint32)
-    order = np.argsort(hashes, kind="stable")
-    h, e = hashes[order], extra[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(e, first), np.maximum.reduceat(e, first)
-    out = np.zeros(len(h), dtype=bool)
-    out[order] = ((low != high) | (low == 0))[group]
-    return answers(asked, out, starts)
-
-
-def read_bits(replies: pa.Table, flow: int, hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers of a flow, in the order of the sorted distinct hashes that were asked."""
-    at = cuts(hashes, buckets)
-    out = np.zeros(len(hashes), dtype=bool)
-    for b, f, bits in zip(replies.column("bucket").to_pylist(), replies.column("flow").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        if f == flow:
-            n = int(at[b + 1] - at[b])
-            out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return out
-
-
 def read_values(replies: pa.Table, flow: int, hashes: np.ndarray, buckets: int, kind=np.uint32) -> np.ndarray:
     at = cuts(hashes, buckets)
     out = np.zeros(len(hashes), dtype=kind)

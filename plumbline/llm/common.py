@@ -1,15 +1,18 @@
-"""Helpers that several operators share: checkpoints, byte-level text arithmetic, blocks of documents."""
+"""Helpers that several operators share: byte-level text arithmetic, hashes of spans, blocks of documents."""
 
 from __future__ import annotations
 
-import gc
-import time
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graphs import checkpointed
+
+__all__ = ["checkpointed"]
+
 #: Words are runs of characters other than these six, all ASCII, so bytes of UTF-8 decide.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 IS_WORD = np.ones(256, dtype=bool)
@@ -18,27 +21,10 @@ IS_WORD[list(SPACE_BYTES)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in slices of about this many bytes, so that work arrays stay in a few dozen MB.
 SLICE_BYTES = 1 << 20
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back; lineage ends here."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that a checkpoint has cut off, which it does when the
-    driver's JVM collects its garbage; the driver alone may not come to that for half an hour."""
-    for _ in range(2):  # what the first collection finds unused, the second frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+#: Spans of more bytes are hashed by BLAKE2b, shorter ones eight bytes at a time.
+LONG_SPAN = 1 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,37 +34,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalises 64-bit values (the public splitmix64 steps)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-_POWERS = {}
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n at least."""
-    if _POWERS.get("n", 0) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-        _POWERS["n"] = size
-    return _POWERS["up"], _POWERS["down"]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes; hashes of two seeds are independent.
 
-
-class RollingHash:
-    """Hashes of any span of a byte array, from prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+    Eight bytes at a time go through a non-linear step, so there are no strings that are equal for any multiplier, as
+    there are for polynomials modulo 2^64.
+    """
+    length = end - start
+    out = mix(length.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF))
+    eight, add = lanes(data), np.uint64((0xD1B54A32D192ED03 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    which = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    at, left, state = start[which], length[which], out[which]
+    while len(which):
+        value = eight[at]
+        short = left < 8
+        if short.any():
+            value[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        state = mix((state ^ value) + add)
+        more = left > 8
+        if more.all():
+            at, left = at + 8, left - 8
+            continue
+        out[which[~more]] = state[~more]
+        which, at, left, state = which[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(length > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,25 +135,70 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return mix(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
 
-#: Bins of doc_id at most; a table of them may be broadcast (at most 16 MB).
-MAX_BINS = 1 << 20
+#: Bounds of blocks are looked up in two steps, so many at a time.
+FAN = 1 << 10
 
 
-def id_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """docs (doc_id, text) with block, a number that never falls as doc_id rises.
+def order_key() -> F.Column:
+    """The order of documents: by doc_id, null ids first, then by a hash of the text."""
+    known = F.col("doc_id").isNotNull().cast("int").alias("known")
+    return F.struct(known, F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
 
-    Ids are counted in at most 2^20 bins of equal width; runs of bins with about block_bytes of text make a
-    block. Null ids come first. Only the bins, whose number has that bound, are broadcast. Equal ids share a block.
+
+def block_bounds(docs: DataFrame, block_bytes: int) -> list[tuple[int, int, int]]:
+    """The keys with which blocks of about block_bytes of text begin, in order; the first block has no bound.
+
+    Keys and sizes (40 bytes a document) are dealt out by ranges of keys, and each range is cut where its running sum of
+    bytes passes a multiple of block_bytes. So neither far ids nor null or equal ids, nor a few long texts, gather in
+    one block; a single text may exceed it. One row a block comes to the driver: 24 bytes for each block_bytes of text.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    half = F.shiftright("doc_id", 1)  # differences of halves don't overflow
-    lo, hi, total = docs.agg(F.min(half), F.max(half), F.sum(size)).first()
-    if lo is None or lo == hi:
-        return docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("long"))
-    n = int(min(MAX_BINS, hi - lo + 1, max(1, 16 * total // block_bytes)))
-    width = min((hi - lo) // n + 1, (1 << 63) - 1)
-    bin_ = F.coalesce(F.floor((half - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
-    sums = docs.groupBy(bin_.alias("bin")).agg(F.sum(size).alias("size"))
-    before = F.sum("size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    spread = sums.select("bin", F.floor(before / block_bytes).alias("block"))
-    return docs.withColumn("bin", bin_).join(F.broadcast(spread), "bin").drop("bin")
+    slim = docs.select(order_key().alias("key"), size.alias("size")).select("key.*", "size")
+    ranged = slim.repartitionByRange("known", "id", "hash").withColumn("part", F.spark_partition_id())
+    running = F.sum("size").over(Window.partitionBy("part").orderBy("known", "id", "hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    cuts = ranged.select("known", "id", "hash", "part", F.floor(running / block_bytes).alias("cut"))
+    firsts = cuts.groupBy("part", "cut").agg(F.min(F.struct("known", "id", "hash")).alias("key")).select("key.*").toPandas()
+    return sorted(firsts.itertuples(index=False, name=None))[1:]
+
+
+def below(bounds: F.Column, key: F.Column, strictly: bool = False, fan: int = FAN) -> F.Column:
+    """How many of the sorted bounds (fan at most) are not above the key, or are below it: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(fan.bit_length()))])
+
+    def step(at: F.Column, by: F.Column) -> F.Column:
+        bound = F.get(bounds, at + by - 1)
+        return F.when(bound.isNotNull() & ((bound < key) if strictly else (bound <= key)), at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def id_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """docs (doc_id, text, ...) with block, a number that never falls as documents ascend by order_key().
+
+    The bounds of block_bounds() are looked up in two steps: the group of FAN bounds, then the bound in it, from a table
+    of one row a group that is broadcast (24 bytes a bound). Of rows that agree in id and text and are more than a
+    block holds, each goes to one of the blocks that begin with them.
+    """
+    spark, bounds = docs.sparkSession, block_bounds(docs, block_bytes)
+    if not bounds:
+        return docs.withColumn("block", F.lit(0).cast("long"))
+    kind = "struct<known:int,id:long,hash:long>"
+    literal = lambda b: F.struct(*[F.lit(int(x)).cast(t).alias(n) for x, n, t in zip(b, ("known", "id", "hash"), ("int", "long", "long"), strict=True)])
+    groups = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]
+    key = F.col("_key")
+
+    def looked_up(strictly: bool) -> F.Column:
+        if len(groups) == 1:
+            return below(F.array(*[literal(b) for b in bounds]), key, strictly).cast("long")
+        return (F.col("_group") * FAN + below(F.col("_bounds"), key, strictly)).cast("long")
+
+    keyed = docs.withColumn("_key", order_key())
+    if len(groups) > 1:  # a group's own first bound is not above the key, but for keys before all bounds
+        heads = F.array(*[literal(g[0]) for g in groups])
+        rows = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], f"_group long, _bounds array<{kind}>")
+        keyed = keyed.withColumn("_at", F.greatest(below(heads, key, fan=len(groups)) - 1, F.lit(0)).cast("long")).join(F.broadcast(rows), F.col("_at") == F.col("_group"))
+    block = looked_up(False)
+    if any(a == b for a, b in zip(bounds, bounds[1:], strict=False)):  # only then may a key fill several blocks
+        low = F.least(looked_up(True) + 1, block)
+        block = low + F.pmod(F.monotonically_increasing_id(), block - low + 1)
+    return keyed.withColumn("block", block).select(*docs.columns, "block")

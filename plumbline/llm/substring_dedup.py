@@ -1,13 +1,15 @@
 """Suffix-array dedup: bytes of strings of fixed length that occur before in the corpus go, by prefix-free parsing.
 
-A rolling hash of TRIGGER bytes marks triggers: each string of LENGTH bytes has one, the least hash in it. Consecutive
-strings with the same trigger make a phrase, the text from the first one's start to the last one's end, so phrases
-begin and end by content, overlap, and hold every string of LENGTH bytes exactly once. The distinct phrases are the
-dictionary, their sequence in corpus order is the parse. A phrase that the parse has before is a repeat as a whole.
-Only dictionary entries that share a trigger with a different entry can share a part of LENGTH bytes; their suffixes
-(one for each such start) are ordered by those LENGTH bytes and the parse order. The order of the bytes is that of
-their 64-bit hashes: neighbours of equal bytes are all that is asked of a suffix array here, and a sort of hashes
-spreads over tasks evenly, which a lexicographic order of a repetitive text does not.
+A rolling hash of GRAM bytes marks triggers: of the grams in a string of LENGTH bytes the one with the least hash, so
+that every string has one and equal strings have it at the same place. Consecutive strings with one trigger make a
+phrase, the text from the first one's start to the last one's end: phrases begin and end by content, overlap, and hold
+every string exactly once. The sequence of phrases in corpus order is the parse, the distinct phrases are the dictionary.
+
+A phrase that the parse has before is a repeat as a whole. Strings of different phrases can only be equal where these
+share a trigger; such phrases of the dictionary meet, with their bytes, in the bucket of their trigger. There the suffixes
+of the dictionary (one for each string) are sorted lexicographically to LENGTH bytes, byte by byte, and those that agree
+in all of them, an interval of the suffix array, are put in the order of the parse: all but the first are repeats.
+No suffix need be compared beyond its phrase, so the order of the parse at equal suffixes is that of its phrases.
 """
 
 from __future__ import annotations
@@ -16,160 +18,292 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import RollingHash, buffers, id_blocks, mix
+from .common import buffers, id_blocks, lanes, mix
 
 LENGTH = 100
-TRIGGER = 40
-CHUNK = 1 << 20
+GRAM = 40
+#: Texts are parsed in pieces of about so many bytes, whose hashes stay in a processor's cache.
+CHUNK = 1 << 16
 POSITION = np.uint64((1 << 24) - 1)
+STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Strings of triggers with more different phrases than this are dealt out one by one, by their own bytes.
+HOT = 4096
 
-TRIGGERS, PHRASES, STRINGS = 0, 1, 2
+PHRASES, STRINGS = 0, 1
+SEEN, SHARED, MANY = 1, 2, 4
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Text bytes for each byte of a question, about: a phrase of 20 bytes begins with every 30 bytes.
+TEXT_PER_ASKED = 1.5
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all strings of width bytes, from those of 8, 16, 32, ... bytes."""
+    n, eight = len(data) - width + 1, lanes(data)
+    tail = (np.uint64(1) << np.uint64(8 * (width & 7))) - np.uint64(1)
+    if width < 8:
+        return mix((eight[:n] & tail) + STEP)
+    level, size, out, done = mix(eight[: len(data) - 7] + STEP), 8, None, 0
+    while size <= width:
+        if width & size:
+            part = level[done : done + n]
+            out, done = part if out is None else mix(out * STEP + part), done + size
+        if 2 * size <= width:
+            level = level[:-size] * STEP + level[size:]
+            level ^= level >> np.uint64(29)
+        size *= 2
+    return mix(out * STEP + (eight[done : done + n] & tail)) if width & 7 else out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each run of width values."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(values)] = values
-    square = padded.reshape(-1, width)
-    before = np.minimum.accumulate(square, axis=1).ravel()
-    after = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[:n], before[width - 1 : width - 1 + n])
+    """The least of each run of width values, from those of 2, 4, 8, ... values."""
+    n, size = len(values) - width + 1, 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[:n], values[width - size : width - size + n])
 
 
 class Parse:
-    """Phrases of a block: trigger and phrase hashes, first and last start of a string (as places in data)."""
+    """Phrases of a block in corpus order: hashes of the trigger and (96 bits) of the phrase, first and last string."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, trigger: int):
-        self.data, self.length = data, length
+    KINDS = (("trigger", np.uint64), ("phrase", np.uint64), ("check", np.uint32), ("low", np.int64), ("high", np.int64))
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, gram: int):
+        self.data, self.length, self.gram = data, length, gram
         parts = []
         row = 0
         while row < len(at) - 1:
             if at[row + 1] - at[row] > CHUNK:  # a long text goes in pieces that overlap
                 for begin in range(at[row], max(at[row] + 1, at[row + 1] - length + 1), CHUNK):
                     end = min(begin + CHUNK + length - 1, at[row + 1])
-                    parts.append(self.phrases(begin, end, np.array([0, end - begin]), trigger))
+                    parts.append(self.phrases(begin, end, np.array([0, end - begin])))
                 row += 1
                 continue
             last = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1)
-            parts.append(self.phrases(at[row], at[last], at[row : last + 1] - at[row], trigger))
+            parts.append(self.phrases(at[row], at[last], at[row : last + 1] - at[row]))
             row = last
-        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
-        self.trigger, self.phrase, self.low, self.high = join(0, np.uint64), join(1, np.uint64), join(2, np.int64), join(3, np.int64)
+        for k, (name, kind) in enumerate(self.KINDS):
+            setattr(self, name, np.concatenate([p[k] for p in parts if p]) if any(parts) else np.zeros(0, kind))
 
-    def phrases(self, begin: int, end: int, at: np.ndarray, trigger: int):
+    def phrases(self, begin: int, end: int, at: np.ndarray):
         piece = self.data[begin:end]
         if len(piece) < self.length:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashed = RollingHash(piece)
-        place = np.arange(len(piece) - trigger + 1)
-        grams = hashed.spans(place, place + trigger)
-        least = sliding_min((grams & ~POSITION) | place.astype(np.uint64), self.length - trigger + 1)
+            return ()
+        grams = window_hashes(piece, self.gram)
+        least = sliding_min((grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64), self.length - self.gram + 1)
         owner = (least & POSITION).astype(np.int64)
-        inside = np.zeros(len(piece) + 1, dtype=np.int64)
+        inside = np.zeros(len(piece) + 1, dtype=np.int8)
         long = np.diff(at) >= self.length
-        np.add.at(inside, at[:-1][long], 1)
-        np.add.at(inside, at[1:][long] - self.length + 1, -1)
-        start = np.flatnonzero(np.cumsum(inside)[: len(owner)] > 0)
+        inside[at[:-1][long]] += 1
+        inside[at[1:][long] - self.length + 1] -= 1
+        start = np.flatnonzero(np.cumsum(inside[: len(owner)], dtype=np.int8) > 0)
+        if not len(start):
+            return ()
         owner = owner[start]
         new = np.ones(len(start), dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
-        low, high = start[first], start[np.append(first[1:], len(start)) - 1] if len(first) else start[first]
+        low, high = start[first], start[np.append(first[1:], len(start)) - 1]
+        size = high - low + self.length
+        phrase = size.astype(np.uint64)
+        for k in range(-(-int(size.max()) // self.gram)):  # grams that cover the phrase
+            phrase = mix(phrase * STEP + grams[low + np.minimum(k * self.gram, size - self.gram)])
+        ends = (size.astype(np.uint64) + phrase) ^ mix(phrase + lanes(piece)[low])
+        for k in range(0, int(size.max()), self.gram):
+            ends = mix(ends ^ grams[low + np.minimum(k, size - self.gram)])
         # least hashes are small ones; mixed again they spread over the buckets
-        return mix(grams[owner[first]]), hashed.spans(low, high + self.length), low + begin, high + begin
+        return mix(grams[owner[first]]), phrase, (ends >> np.uint64(32)).astype(np.uint32), low + begin, high + begin
+
+    def places(self, which: np.ndarray) -> np.ndarray:
+        """Starts of the strings in the phrases given, one phrase after the other."""
+        return runs(self.low[which], self.high[which] - self.low[which] + 1)
+
+
+def runs(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... for each, so many as counts says."""
+    return np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(low) else np.zeros(0, np.int64)
+
+
+def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts' indexes in lexicographic order of the length bytes there, equal ones in their given order; and
+    whether each, in that order, begins a new string. Eight bytes settle most; ties are sorted by the next eight."""
+    order = np.arange(len(start))
+    new = np.zeros(len(start), dtype=bool)
+    new[:1] = True
+    eight = lanes(data)
+    tied = order.copy()
+    for depth in range(0, length, 8):
+        value = eight[start[order[tied]] + depth].byteswap()
+        if length - depth < 8:
+            value >>= np.uint64(8 * (8 - length + depth))
+        group = np.cumsum(new)[tied]
+        by = np.lexsort((value, group)) if depth else np.argsort(value, kind="stable")
+        order[tied] = order[tied][by]
+        value, group = value[by], group[by]
+        differs = (value[1:] != value[:-1]) & (group[1:] == group[:-1])
+        new[tied[1:][differs]] = True
+        same = ~new
+        same[:-1] |= ~new[1:]
+        tied = np.flatnonzero(same)
+        if not len(tied):
+            break
+    return order, new
+
+
+def repeated(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """For each start whether a start given before has the same string."""
+    order, new = suffix_array(data, start, length)
+    out = np.zeros(len(start), dtype=bool)
+    out[order[~new]] = True
+    return out
+
+
+def parsed(docs: pa.Table, length: int, gram: int) -> tuple[pa.Table, np.ndarray, np.ndarray, Parse]:
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending"), ("hash", "ascending")], null_placement="at_start"))
+    data, at = buffers(docs.column("text"))
+    return docs, data, at, Parse(data, at, length, gram)
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the strings of LENGTH bytes in the phrases given, in corpus order."""
-        low, counts = self.low[which], self.high[which] - self.low[which] + 1
-        start = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(which) else np.zeros(0, np.int64)
-        out, done = np.zeros(len(start), dtype=np.uint64), 0
-        while done < len(start):  # in pieces, as the sums of a whole block take eight times its room
-            stop = int(np.searchsorted(start, start[done] + CHUNK))
-            base = start[done]
-            hashed = RollingHash(self.data[base : start[stop - 1] + self.length])
-            out[done:stop] = hashed.spans(start[done:stop] - base, start[done:stop] - base + self.length)
-            done = stop
-        return start, mix(out)
 
+def distinct(parse: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the phrases of a block: the first of each kind, sorted by hashes; the number of each one's kind; whether it
+    is the first."""
+    order = np.lexsort((parse.check, parse.phrase, parse.trigger))
+    new = np.ones(len(order), dtype=bool)
+    for name in ("trigger", "phrase", "check"):
+        value = getattr(parse, name)[order]
+        new[1:] = (value[1:] != value[:-1]) | (new[1:] if name != "trigger" else False)
+    kind = np.zeros(len(order), dtype=np.int64)
+    kind[order] = np.cumsum(new) - 1
+    lead = np.zeros(len(order), dtype=bool)
+    lead[order[new]] = True  # lexsort is stable
+    return order[new], kind, lead
 
-def in_order(docs: pa.Table) -> pa.Table:
-    """Rows by (doc_id, text), null ids first."""
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if not docs.column("doc_id").null_count else docs.take(pa.array(sorted(range(len(docs)), key=lambda i: ((x := docs.column("doc_id")[i].as_py()) is not None, x or 0, docs.column("text")[i].as_py()))))
 
+IDENTITY = np.dtype([("phrase", "<u8"), ("check", "<u4")])
 
-def parsed(docs: pa.Table, length: int, trigger: int) -> tuple[pa.Table, np.ndarray, np.ndarray, Parse]:
-    docs = in_order(docs)
-    data, at = buffers(docs.column("text"))
-    return docs, data, at, Parse(data, at, length, trigger)
 
+def asker(length: int, gram: int, buckets: int):
+    def questions(key, docs):
+        parse = parsed(docs, length, gram)[3]
+        first, _, _ = distinct(parse)
+        identity = np.zeros(len(first), dtype=IDENTITY)
+        identity["phrase"], identity["check"] = parse.phrase[first], parse.check[first]
+        return blobs.ask(key[0].as_py(), PHRASES, parse.trigger[first], buckets, identity)
 
-def first_index(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, the place of each in values, and whether a place is the first of its value."""
-    distinct, first, inverse = np.unique(values, return_index=True, return_inverse=True)
-    lead = np.zeros(len(values), dtype=bool)
-    lead[first] = True
-    return distinct, inverse, lead
+    return questions
 
 
-def asker(length: int, trigger: int, buckets: int):
-    def questions(key, docs):
-        block = key[0].as_py()
-        _, _, _, parse = parsed(docs, length, trigger)
-        phrases, inverse, _ = first_index(parse.phrase)
-        triggers, of = np.unique(parse.trigger, return_inverse=True)
-        check = (parse.phrase >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        low = np.full(len(triggers), np.iinfo(np.uint32).max, dtype=np.uint32)
-        high = np.zeros(len(triggers), dtype=np.uint32)
-        np.minimum.at(low, of, check)
-        np.maximum.at(high, of, check)
-        return pa.concat_tables([blobs.ask(block, TRIGGERS, triggers, buckets, np.where(low == high, low, 0).astype(np.uint32)), blobs.ask(block, PHRASES, phrases, buckets)])
+def judged(asked: pa.Table, hot: int = HOT) -> pa.Table:
+    """For each phrase: SEEN in a block before, SHARED trigger with another phrase, MANY other phrases."""
+    blocks, starts, triggers, question = blobs.gathered(asked)
+    identity = np.concatenate([np.frombuffer(x, IDENTITY) for x in asked.column("extra").to_pylist()]) if len(asked) else np.zeros(0, IDENTITY)
+    phrase, check = identity["phrase"], identity["check"]
+    order = np.lexsort((blocks[question], check, phrase, triggers))
+    t, p, c = triggers[order], phrase[order], check[order]
+    same = t[1:] == t[:-1]
+    equal = same & (p[1:] == p[:-1]) & (c[1:] == c[:-1])
+    group = np.cumsum(np.append(True, ~same)) - 1
+    kinds = np.bincount(group, weights=np.append(True, ~equal)).astype(np.int64)[group]
+    out = np.zeros(len(order), dtype=np.uint8)
+    out[order] = np.where(np.append(False, equal), SEEN, 0) | np.where(kinds > 1, SHARED, 0) | np.where(kinds > hot, MANY, 0)
+    return blobs.answers(asked, out, starts)
+
+
+class Open:
+    """What of a block's parse must be looked at string by string: places, in messages to the buckets of STRINGS."""
+
+    def __init__(self, parse: Parse, replies: pa.Table, buckets: int):
+        first, kind, lead = distinct(parse)
+        told = blobs.read_values(replies, PHRASES, parse.trigger[first], buckets, np.uint8)[kind]
+        self.repeat = ((told & SEEN) > 0) | ~lead
+        look = ~self.repeat & ((told & SHARED) > 0)
+        some = np.flatnonzero(look & ((told & MANY) == 0))
+        hot = parse.places(np.flatnonzero(look & ((told & MANY) > 0)))
+        again = repeated(parse.data, hot, parse.length)  # here, so that a common string is sent once a block
+        self.known, hot = hot[again], hot[~again]
+        low, counts = np.concatenate([parse.low[some], hot]), np.concatenate([parse.high[some] - parse.low[some] + 1, np.ones(len(hot), np.int64)])
+        where = np.concatenate([blobs.bucket_of(parse.trigger[some], buckets), blobs.bucket_of(string_hashes(parse.data, hot, parse.length), buckets)])
+        order = np.lexsort((low, where))
+        self.low, self.counts, where = low[order], counts[order], where[order]
+        self.cuts = np.searchsorted(where, np.arange(buckets + 1))
+
+    def ask(self, parse: Parse, block: int) -> pa.Table:
+        some = np.flatnonzero(np.diff(self.cuts))
+        counts, texts = [], []
+        for b in some:
+            low, n = self.low[self.cuts[b] : self.cuts[b + 1]], self.counts[self.cuts[b] : self.cuts[b + 1]]
+            counts.append(n.astype(np.int32).tobytes())
+            texts.append(parse.data[runs(low, n + parse.length - 1)].tobytes())
+        n = len(some)
+        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "flow": pa.array(np.full(n, STRINGS), pa.int32()), "hashes": pa.array(counts, pa.binary()), "extra": pa.array(texts, pa.binary())})
+
+    def repeats(self, replies: pa.Table) -> np.ndarray:
+        """Starts of the strings that occur before."""
+        found = [self.known]
+        for b, flow, bits in zip(*(replies.column(c).to_pylist() for c in ("bucket", "flow", "bits")), strict=True):
+            if flow == STRINGS:
+                own = slice(self.cuts[b], self.cuts[b + 1])
+                place = runs(self.low[own], self.counts[own])
+                found.append(place[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(place)).astype(bool)])
+        return np.concatenate(found)
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """To deal strings out, no more: a mix of their eight-byte parts."""
+    eight, out = lanes(data), np.zeros(len(start), dtype=np.uint64)
+    for k in [*range(0, length - 7, 8), max(0, length - 8)]:
+        out = mix(out * STEP + eight[start + k]) if length >= 8 else out + data[start]
+    return mix(out)
+
+
+def string_asker(length: int, gram: int, buckets: int):
+    def questions(key, docs, replies):
+        parse = parsed(docs, length, gram)[3]
+        return Open(parse, replies, buckets).ask(parse, key[0].as_py())
 
     return questions
 
 
-def settle(parse: Parse, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which phrases the parse has before, and which others' strings must be looked at one by one."""
-    phrases, inverse, lead = first_index(parse.phrase)
-    repeat = blobs.read_bits(replies, PHRASES, phrases, buckets)[inverse] | ~lead
-    triggers, of = np.unique(parse.trigger, return_inverse=True)
-    shared = blobs.read_bits(replies, TRIGGERS, triggers, buckets)[of]
-    return repeat, np.flatnonzero(shared & ~repeat)
+def sorter(length: int):
+    """Of a bucket: the suffix array of its part of the dictionary, and for each string whether it occurs before."""
 
+    def sort(asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("block")
+        counts = [np.frombuffer(x, np.int32).astype(np.int64) for x in asked.column("hashes").to_pylist()]
+        data = np.frombuffer(b"".join(asked.column("extra").to_pylist()), np.uint8)
+        each = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        sizes = each + length - 1
+        start = runs(np.cumsum(sizes) - sizes, each)
+        ends = np.concatenate([[0], np.cumsum([int(c.sum()) for c in counts])]).astype(np.int64)
+        return blobs.answers(asked, repeated(data, start, length), ends)
 
-def string_asker(length: int, trigger: int, buckets: int):
-    def questions(key, docs, replies):
-        _, _, _, parse = parsed(docs, length, trigger)
-        _, open_ = settle(parse, replies, buckets)
-        return blobs.ask(key[0].as_py(), STRINGS, np.unique(parse.strings(open_)[1]), buckets)
+    return sort
 
-    return questions
 
-
-def remover(length: int, trigger: int, buckets: int, with_text: bool):
+def remover(length: int, gram: int, buckets: int, with_text: bool):
     def remove(key, docs, replies):
-        docs, data, at, parse = parsed(docs, length, trigger)
-        repeat, open_ = settle(parse, replies, buckets)
-        covered = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(covered, parse.low[repeat], 1)
-        np.add.at(covered, parse.high[repeat] + length, -1)
-        start, hashes = parse.strings(open_)
-        distinct, inverse, lead = first_index(hashes)
-        before = start[blobs.read_bits(replies, STRINGS, distinct, buckets)[inverse] | ~lead]
-        np.add.at(covered, before, 1)
-        np.add.at(covered, before + length, -1)
-        gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
+        docs, data, at, parse = parsed(docs, length, gram)
+        found = Open(parse, replies, buckets)
+        single = found.repeats(replies)
+        begin = np.concatenate([parse.low[found.repeat], single])
+        end = np.concatenate([parse.high[found.repeat], single]) + length
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        new = np.ones(len(begin), dtype=bool)  # a run of removed bytes ends with its document
+        new[1:] = (begin[1:] > end[:-1]) | ((begin[1:] == end[:-1]) & np.isin(begin[1:], at))
+        begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1] if len(end) else end
+        of = np.searchsorted(begin, at)
         removed, spans, digests, texts = [], [], [], []
         for i in range(len(docs)):
-            here = gone[at[i] : at[i + 1]]
-            kept = data[at[i] : at[i + 1]][~here].tobytes() if here.any() else data[at[i] : at[i + 1]].tobytes()
-            removed.append(int(here.sum()))
-            spans.append(int(here[:1].sum()) + int((here[1:] & ~here[:-1]).sum()))
+            a, z = begin[of[i] : of[i + 1]], end[of[i] : of[i + 1]]
+            kept = b"".join(data[x:y].tobytes() for x, y in zip(np.append(at[i], z), np.append(a, at[i + 1]), strict=True))
+            removed.append(int((z - a).sum()))
+            spans.append(len(a))
             texts.append(kept if with_text else None)
             digests.append(hashlib.sha256(kept).hexdigest())
         out = {"doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(at), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
@@ -178,24 +312,23 @@ def remover(length: int, trigger: int, buckets: int, with_text: bool):
     return remove
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs; with_text adds kept, the bytes that stay.
 
-    A byte goes if a string of length bytes that covers it starts earlier too: in a row before in the order of
-    (doc_id, text), null ids first, or earlier in the row. Strings are judged on the texts as given and never cross
+    A byte goes if a string of length bytes that covers it starts earlier too: in a row before in the order of doc_id
+    (null ids first; of equal ids, by a hash of the text), or earlier in the row. Strings are judged on the texts as given and never cross
     rows. Null text: as empty, 0 bytes. Texts under length bytes lose nothing. Repeated rows: the later ones are
     copies. An empty table gives no rows; further columns go.
+
+    Blocks of documents and buckets of triggers have bounded sizes (see blobs), so their numbers grow with the corpus.
     """
-    spark = docs.sparkSession
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block_bytes, buckets = blobs.sizes(total, partitions)
-    buckets = max(8, buckets // 2)  # two questions at once, and one hash for about 15 bytes of text
-    blocks = id_blocks(given, block_bytes).select("block", "doc_id", "text").repartition(partitions, "block")
-    asked = blocks.groupBy("block").applyInArrow(asker(length, trigger, buckets), blobs.ASKED)
-    replies = asked.groupBy("bucket", "flow").applyInArrow(lambda key, t: blobs.varied(t) if key[1].as_py() == TRIGGERS else blobs.seen_before(t), blobs.ANSWER)
-    strings = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(string_asker(length, trigger, buckets), blobs.ASKED)
-    more = strings.groupBy("bucket").applyInArrow(lambda t: blobs.seen_before(t), blobs.ANSWER)
+    block_bytes, buckets = blobs.sizes(total, TEXT_PER_ASKED)
+    blocks = id_blocks(given, block_bytes).select("block", "doc_id", "text", F.xxhash64("text").alias("hash")).repartition("block")
+    asked = blocks.groupBy("block").applyInArrow(asker(length, gram, buckets), blobs.ASKED)
+    replies = asked.groupBy("bucket").applyInArrow(lambda t: judged(t, hot), blobs.ANSWER)
+    strings = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(string_asker(length, gram, buckets), blobs.ASKED)
+    more = strings.groupBy("bucket").applyInArrow(sorter(length), blobs.ANSWER)
     schema = RESULT + (", kept binary" if with_text else "")
-    return blocks.groupBy("block").cogroup(replies.unionByName(more).groupBy("block")).applyInArrow(remover(length, trigger, buckets, with_text), schema)
+    return blocks.groupBy("block").cogroup(replies.unionByName(more).groupBy("block")).applyInArrow(remover(length, gram, buckets, with_text), schema)

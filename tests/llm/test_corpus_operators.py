@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import line_dedup, ngram_join, substring_dedup
+from plumbline.llm import line_dedup, ngram_join, quality_rules, substring_dedup
 from plumbline.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -19,6 +19,8 @@ def ordered(rows):
 
 
 def line_brute(texts, least):
+    """Texts without the lines of any run of least words or more that starts earlier too; lines without a word are no
+    part of runs and stay."""
     seen, out = set(), []
     for text in texts:
         lines = (text or "").split("\n")
@@ -26,15 +28,12 @@ def line_brute(texts, least):
         sizes = [len(WORD.findall(x)) for x in real]
         gone = set()
         for i in range(len(real)):
-            n = m = 0
-            while i + m < len(real) and n < least:
-                n += sizes[i + m]
-                m += 1
-            if n >= least:
-                key = tuple(real[i : i + m])
-                if key in seen:
-                    gone.update(range(i, i + m))
-                seen.add(key)
+            for j in range(i + 1, len(real) + 1):
+                if sum(sizes[i:j]) >= least:
+                    run = tuple(real[i:j])
+                    if run in seen:
+                        gone.update(range(i, j))
+                    seen.add(run)
         kept, k = [], 0
         for x in lines:
             if WORD.search(x):
@@ -170,11 +169,85 @@ def test_small_sets(spark, lists):
 
 def test_prefix_tree_is_exact():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 40, size=rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
-    tree = ngram_join.PrefixTree([(s.tobytes(), len(s), i) for i, s in enumerate(sets)])
-    for s in sets[:20]:
-        got = set(tree.probe(s.tobytes(), len(s), 50))
-        assert got == {i for i, x in enumerate(sets) if 100 * len(set(s) & set(x)) >= 50 * len(set(s) | set(x))}
+    sets = [np.unique(rng.integers(0, 40, size=rng.integers(1, 30))).astype(np.uint64) << np.uint64(16) for _ in range(80)]
+    for percent in (50, 85):
+        tree = ngram_join.PrefixTree([(ngram_join.packed(s), len(s), i) for i, s in enumerate(sets)])
+        for s in sets[:20]:
+            got = set(tree.probe(ngram_join.packed(s), len(s), percent))
+            assert got == {i for i, x in enumerate(sets) if 100 * len(set(s) & set(x)) >= percent * len(set(s) | set(x))}
+
+
+def test_subtrees_are_passed_over():
+    """Of 4,000 sets with one passage in common a probe looks at few, not at all."""
+    rng, looked = np.random.default_rng(4), []
+    sets = [np.concatenate([np.arange(40), 1000 + np.sort(rng.choice(60, 6, False))[:, None] * 30 + np.arange(30)], axis=None).astype(np.uint64) << np.uint64(16) for _ in range(4000)]
+
+    class Counted(list):
+        def __getitem__(self, i):
+            looked.append(i)
+            return super().__getitem__(i)
+
+    tree = ngram_join.PrefixTree([(ngram_join.packed(s), len(s), i) for i, s in enumerate(sets)])
+    tree.paths = Counted(tree.paths)
+    assert 7 in set(tree.probe(ngram_join.packed(sets[7]), len(sets[7]), 85)) and len(looked) < 1500
+
+
+def test_unlinked_sets_in_chunks(spark):
+    """Sets of common passages, which share prefix n-grams but are not near, in groups cut in many chunks."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(16)]
+    texts = [" ".join(passages[k] for k in sorted(rng.choice(16, 6, False))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (300, 1 << 20):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs, 4, 85, stored=chunk, probing=chunk // 2).collect()}
+        assert [got[i] for i in range(len(texts))] == join_brute(texts, 4, 85)
+
+
+def thue_morse(n, swap):
+    return "".join("a " [(bin(i).count("1") + swap) & 1] for i in range(n))
+
+
+def test_strings_that_collide_in_polynomials(spark):
+    """Complementary Thue-Morse strings have equal polynomial hashes modulo 2^64, whatever the base is."""
+    texts = [thue_morse(1024, 0) + "a", thue_morse(1024, 1) + "a", "x y " + thue_morse(2048, 0).replace(" ", "b") + " z", "x y " + thue_morse(2048, 1).replace(" ", "b") + " z", thue_morse(1024, 0) + "a\n" + thue_morse(1024, 1) + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i] for i in range(5)] == line_brute(texts, 50) and got[1][1] == 0
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs).collect()}
+    assert [joined[i] for i in range(5)] == join_brute(texts, 4, 85)
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules.statistics(docs).collect()}[4] == 0
+    removed = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert [removed[i] for i in range(5)] == byte_brute(texts, 100)
+
+
+def test_lines_of_equal_hashes(monkeypatch):
+    monkeypatch.setattr(quality_rules, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    lines = ["a", "b", "a", "c", "b", "a"]
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    assert quality_rules.equal_before(data, np.arange(6), np.arange(1, 7), np.array([0, 0, 0, 0, 1, 1])).tolist() == [False, False, True, False, False, False]
+
+
+def test_suffix_array_is_lexicographic():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 500).astype(np.uint8)
+    for length in (3, 8, 12, 100):
+        start = rng.permutation(500 - length)
+        order, new = substring_dedup.suffix_array(data, start, length)
+        strings = [data[start[i] : start[i] + length].tobytes() for i in order]
+        assert strings == sorted(strings) and new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:])]
+        assert all(i < j for i, j, fresh in zip(order, order[1:], new[1:]) if not fresh)
+
+
+def test_strings_of_common_triggers(spark):
+    """A line that all documents have, each between texts of its own; dealt out as phrases and string by string."""
+    rng = np.random.default_rng(8)
+    line = " ".join(f"common{i}" for i in range(25))
+    own = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, int(rng.integers(10, 90))))
+    texts = [own() + line + own() for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (0, 3, 4096):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs, hot=hot).collect()}
+        assert [got[i] for i in range(60)] == byte_brute(texts, 100)
 
 
 def test_components(spark):
@@ -184,13 +257,36 @@ def test_components(spark):
     assert got[8] == 1 and got[9] == 1 and got[17] == 10 and got[50] == 1 and got[59] == 59 and got[0] == 0
 
 
-def test_blocks_follow_the_ids(spark):
+def blocks_of(docs, size):
     from plumbline.llm.common import id_blocks
 
+    return [(r.doc_id, r.block) for r in id_blocks(docs, size).orderBy("doc_id").collect()]
+
+
+def test_blocks_follow_the_ids(spark):
     ids = [None, -(1 << 63), -5, 0, 1, 2, 3, (1 << 63) - 1]
-    docs = spark.createDataFrame([(i, "x" * 100) for i in ids] + [(2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "x" * 100) for i in ids] + [(4, None)], "doc_id long, text string")
     for size in (1, 50, 10_000):
-        got = sorted(((r.doc_id is not None, r.doc_id or 0), r.block) for r in id_blocks(docs, size).collect())
+        got = blocks_of(docs, size)
         assert len(got) == 9 and [b for _, b in got] == sorted(b for _, b in got)
-    one = spark.createDataFrame([(7, "a"), (7, "b"), (None, "c")], "doc_id long, text string")
-    assert sorted(r.block for r in id_blocks(one, 1).collect()) == [0, 1, 1]
+    assert len({b for _, b in blocks_of(docs, 1)}) == 9
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """One far id, half of the ids null, one id for all rows, one row repeated: no block takes much over its size."""
+    from plumbline.llm import common
+
+    far = [(i, f"text {i} " + "x" * 90) for i in range(2000)] + [(1 << 62, "far")]
+    half = [(None if i % 2 else i, f"text {i} " + "x" * 90) for i in range(2000)]
+    one = [(7, f"text {i} " + "x" * 90) for i in range(2000)]
+    same = [(7, "x" * 100)] * 2000
+    for fan in (common.FAN, 4):
+        monkeypatch.setattr(common, "FAN", fan)
+        monkeypatch.setattr(common.below, "__defaults__", (False, fan))
+        for rows in (far, half, one, same) if fan > 4 else (far, half):
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            sizes = collections.Counter(b for _, b in blocks_of(docs, 5000))
+            assert len(sizes) >= 40 and max(sizes.values()) <= (60 if rows is not same else 120), (fan, sizes.most_common(3))
+    texts = [t for _, t in one[:40]] + [one[0][1]]
+    docs = spark.createDataFrame([(None if i % 2 else 1 << 62, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert docs.count() == substring_dedup.dedup_substrings(docs).count() == ngram_join.jaccard_join(docs).count() == 41
