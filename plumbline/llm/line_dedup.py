@@ -2,14 +2,18 @@
 
 The corpus is a sequence of line ids a document. Distributed prefix doubling ranks its suffixes by their first 1, 2,
 4, ... lines: the rank of a doubled prefix is the place of its pair of ranks in a global sort. A suffix whose prefix
-occurs once is settled and leaves. An interval of the suffix array with a common prefix of enough lines is a repeated
-run; its first occurrence in corpus order stays, the later ones are deleted. Doubling ends at the depth that the
-threshold of words asks for, as the order beyond doesn't change an interval.
+occurs once is settled and leaves. The suffixes that have a common prefix of L lines are an interval of the suffix array;
+the ranks of their first 2^k and last 2^k of these lines, 2^k the greatest power not above L, tell it apart from all
+others. An interval whose common prefix has the words of the threshold is a repeated run; its first occurrence in corpus
+order stays, the later ones are deleted. Doubling ends at the depth that the threshold of words asks for, as a longer
+run is covered by the intervals of its parts of that length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import RollingHash, checkpointed, slices, word_spans
+from .common import checkpointed, slices, word_spans
 
 #: A repeated run has so many words at least.
 MIN_WORDS = 50
@@ -44,8 +48,9 @@ def lines_of(min_words: int):
                 begin, end, row, words = line_spans(data, at, starts)
                 if not len(begin):
                     continue
-                h1 = RollingHash(data).spans(begin, end)
-                h2 = RollingHash(data ^ np.uint8(0x5B)).spans(begin, end)
+                raw = memoryview(data.tobytes())
+                ids128 = b"".join([hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(begin.tolist(), end.tolist(), strict=True)])
+                h1, h2 = np.frombuffer(ids128, np.int64).reshape(-1, 2).T.copy()
                 first = np.searchsorted(row, np.arange(len(at)))
                 seq = np.arange(len(row)) - first[row]
                 sums = np.concatenate([[0], np.cumsum(words)])
@@ -56,7 +61,7 @@ def lines_of(min_words: int):
                 ids = batch.slice(first_row, len(at) - 1)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column("doc_id").take(take), ids.column("text_hash").take(take), pa.array(seq, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(need, pa.int32()), pa.array(most, pa.int32())],
+                    [ids.column("doc_id").take(take), ids.column("text_hash").take(take), pa.array(seq, pa.int32()), pa.array(h1), pa.array(h2), pa.array(need, pa.int32()), pa.array(most, pa.int32())],
                     ["doc_id", "text_hash", "seq", "h1", "h2", "need", "most"],
                 )
 
@@ -112,15 +117,15 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.join(firsts, key).where(place > F.col("first")).select("doc_id", "text_hash", "seq", "need")
 
 
-def cut_lines(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
-    """text without the lines that a (seq, need) covers, and their number."""
-    gone = set()
-    for seq, need in covered:
-        gone.update(range(seq, seq + need))
-    kept, seq, removed = [], 0, 0
+def cut_lines(text: str, covered: list[tuple[int, int]] | None) -> tuple[str, int]:
+    """text without the lines that a (seq, need) covers, and their number; None covers all."""
+    covered = sorted(covered, reverse=True) if covered is not None else [(0, len(text))]
+    kept, seq, removed, until = [], 0, 0, 0
     for line in text.split("\n"):
         if line.strip(" \t\x0b\f\r"):
-            if seq in gone:
+            while covered and covered[-1][0] <= seq:
+                until = max(until, sum(covered.pop()))
+            if seq < until:
                 removed += 1
             else:
                 kept.append(line)
@@ -136,9 +141,9 @@ def rewriter(min_words: int):
             texts, removed = [], []
             for text, spans, copy in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_copy").to_pylist(), strict=True):
                 n = 0
-                if text is not None and copy > 1 and len(WORD.findall(text)) >= min_words:
-                    spans = [{"seq": 0, "need": len(text)}]
-                if spans:
+                if text is not None and copy > 1 and sum(1 for _ in islice(WORD.finditer(text), min_words)) == min_words:
+                    text, n = cut_lines(text, None)
+                elif spans:
                     text, n = cut_lines(text, [(s["seq"], s["need"]) for s in spans])
                 texts.append(text)
                 removed.append(n)
