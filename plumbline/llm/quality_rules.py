@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import IS_WORD, RollingHash, row_hash, slices, windows, word_spans
+from .common import IS_WORD, row_hash, slices, span_hashes, windows, word_spans
 
 #: Labelled rows that the list is fitted on, at most; a uniform sample by hash of doc_id is taken beyond.
 FIT_ROWS = 20_000
@@ -63,6 +64,23 @@ def later(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def equal_before(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each span whether an equal one occurs before in its row: equal hashes point at them, the bytes decide."""
+    hashes = span_hashes(data, start, end)
+    order = np.lexsort((hashes, row))
+    same = np.flatnonzero((hashes[order][1:] == hashes[order][:-1]) & (row[order][1:] == row[order][:-1]))
+    out = np.zeros(len(start), dtype=bool)
+    one, two = order[same], order[same + 1]
+    text = lambda i: data[start[i] : end[i]].tobytes()
+    out[two] = True
+    for r in {int(row[a]) for a, b in zip(one.tolist(), two.tolist(), strict=True) if text(a) != text(b)}:  # equal hashes of unequal spans
+        seen = set()
+        for i in np.flatnonzero(row == r):
+            out[i] = text(i) in seen
+            seen.add(text(i))
+    return out
+
+
 def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The number of set flags from each entry of at to the next."""
     sums = np.zeros(len(flags) + 1, dtype=np.int64)
@@ -77,8 +95,7 @@ def text_stats(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     n_words = np.diff(first)
     point = (data & 0xC0) != 0x80  # the first byte of each code point
     word = IS_WORD[data]
-    hashed = RollingHash(data)
-    words = hashed.spans(start, end)
+    words = span_hashes(data, start, end)
     row_of_word = np.repeat(np.arange(rows), n_words)
     apart = row_hash(np.arange(rows))
 
@@ -96,7 +113,7 @@ def text_stats(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     real = np.diff(words_before) > 0
     line_start, line_end = line_start[real], line_end[real]
     line_row = np.searchsorted(at, line_start, side="right") - 1
-    dup = later(hashed.spans(line_start, line_end) ^ apart[line_row])
+    dup = equal_before(data, line_start, line_end, line_row)
 
     chars = np.concatenate([[0], np.cumsum(point)])
     length = chars[end] - chars[start]
@@ -236,20 +253,20 @@ def wanted(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, as judge() judges them.
+
+    A null or empty text goes, as it fails the base rules. Repeated rows are kept or go together. Labels without a
+    document don't matter; without labels only the base rules reject. An empty table gives an empty one. Columns of
+    any names, those of the statistics too, are passed on.
+    """
     rules = fit(statistics(docs.join(F.broadcast(wanted(labels, parameters.get("fit_rows", FIT_ROWS))), "doc_id", "left_semi")), labels, **parameters)
-    columns = docs.columns
-    names = {f"_stat_{c}": c for c in COUNTS}
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
     def counted(batches):
         for batch in batches:
-            parts = [text_stats(data, at) for _, data, at in slices(batch.column("text"))]
-            extra = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for k in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            parts = [text_stats(data, at) for _, data, at in slices(batch.column("_row").field("text"))]
+            counts = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for k in range(len(COUNTS))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *counts], ["_row", *COUNTS])
 
-    wide = docs.mapInArrow(counted, StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]]))
-    packed = wide.select(F.struct(*[f"`{c}`" for c in columns]).alias("_row"), *[F.col(n).alias(c) for n, c in names.items()])
-    kept = packed.where(~base_failed() & rejected(rules).isNull())
-    return kept.select("_row.*")
+    wide = packed.mapInArrow(counted, StructType([packed.schema["_row"], *[StructField(n, LongType()) for n in COUNTS]]))
+    return wide.where(~base_failed() & rejected(rules).isNull()).select("_row.*")
