@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, RollingHash, mix, slices, word_spans
+from .common import LOWER, mix, slices, span_hashes, word_spans
 
 DICE = 0.8
 
@@ -44,6 +46,18 @@ TEMPLATES: dict[str, Sequence[str]] = {
     "proprietary": ("All rights reserved.",),
 }
 
+#: Whole licenses, each a text as published, by SPDX identifier.
+FOLDER = Path(__file__).parent / "licenses"
+
+
+def all_templates(folder: Path = FOLDER) -> dict[str, list[str]]:
+    """TEMPLATES and the whole licenses of the folder."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for path in sorted(folder.glob("*.txt")):
+        out.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
+    return out
+
+
 #: Normal form: letters and digits, A-Z lower-cased; other ASCII divides words, other bytes belong to them.
 IS_PART = np.zeros(256, dtype=bool)
 IS_PART[48:58] = IS_PART[65:91] = IS_PART[97:123] = IS_PART[128:] = True
@@ -55,7 +69,7 @@ def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Hashes of the bigrams that begin at each word (the last word of a row has none: 0), word starts, row bounds."""
     data = LOWER[data]
     start, end, first = word_spans(data, at, IS_PART)
-    words = RollingHash(data).spans(start, end)
+    words = span_hashes(data, start, end)
     pairs = np.zeros(len(words), dtype=np.uint64)
     pairs[:-1] = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]) | np.uint64(1)
     pairs[first[1:][first[1:] > 0] - 1] = 0
@@ -63,62 +77,69 @@ def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Templates:
-    """Bigram sets of the templates, and for each bigram the templates with it."""
+    """Distinct bigrams of the templates (sorted hashes), their lengths in bigrams, and the union of all."""
 
     def __init__(self, texts: Mapping[str, Sequence[str]]):
-        self.names, self.sets = [], []
+        self.names, self.sets, self.lengths = [], [], []
         for name, variants in texts.items():
             for text in variants:
                 raw = text.encode()
                 pairs, _, _ = bigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                self.names.append(name)
-                self.sets.append(frozenset(pairs[pairs > 0].tolist()))
-        self.known = np.array(sorted(set().union(*self.sets)), dtype=np.uint64)
-        self.having = {b: [k for k, s in enumerate(self.sets) if b in s] for b in self.known.tolist()}
-
-
-def windows_of(pairs: Sequence[int], hits: Sequence[int], templates: Templates, least: float) -> list[tuple[str, float, int, int]]:
-    """License, Dice, first and last word of the best windows of words, line ends being no bounds.
-
-    pairs: the bigram that begins at each word of a row; hits: the places whose bigram a template has. A best window
-    begins and ends with a bigram of the template. Bounds: at Dice d with a template of b bigrams, a window has
-    d / (2 - d) * b to (2 - d) / d * b distinct bigrams, and shares d / (2 - d) * b at least.
+                if len(pairs) > 1:
+                    self.names.append(name)
+                    self.sets.append(np.unique(pairs[:-1]))
+                    self.lengths.append(len(pairs) - 1)
+        self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+
+
+def within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values if len(sorted_values) else np.zeros(len(values), bool)
+
+
+def distinct_in_windows(before: np.ndarray, width: int, counts: np.ndarray) -> np.ndarray:
+    """For each window of width places, the number of different values at the places that count. before: the place of
+    the same value before each place, or -1."""
+    place = np.flatnonzero(counts)
+    if width >= len(before):
+        return np.array([int((before[place] < 0).sum())])
+    # a place is the first of its value in the windows that begin after the one before it and not after itself
+    low, high = np.maximum(before[place] + 1, place - width + 1), np.minimum(place, len(before) - width)
+    low, high = low[low <= high], high[low <= high]
+    change = np.bincount(low, minlength=len(before) + 1) - np.bincount(high + 1, minlength=len(before) + 1)
+    return np.cumsum(change)[: len(before) - width + 1]
+
+
+def windows_of(pairs: np.ndarray, templates: Templates, least: float) -> list[tuple[str, float, int, int]]:
+    """License, Dice, first and last word of the best windows of a row's bigrams, line ends being no bounds.
+
+    A window has as many bigrams as the template (or all, if the row has fewer); its Dice is that of the two sets of
+    distinct bigrams. Of windows that overlap the better counts, then that of the longer template, then of the one that
+    comes first, then the earlier.
+    Bounds: at Dice d with a template of b distinct bigrams, a row shares d / (2 - d) * b of them at least. Linear in
+    the row for each template that it shares so many with.
     """
+    order = np.argsort(pairs, kind="stable")
+    before = np.full(len(pairs), -1)
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    ones, own = np.ones(len(pairs), dtype=bool), pairs[before < 0]
+    met = own[within(templates.known, own)]
     found = []
-    near: dict[int, list[int]] = {}
-    for place in hits:
-        for k in templates.having[pairs[place]]:
-            near.setdefault(k, []).append(place)
-    for k, where in near.items():
-        template = templates.sets[k]
-        b = len(template)
-        low, high = least / (2 - least) * b - 1e-9, (2 - least) / least * b + 1e-9
-        if len({pairs[i] for i in where}) < low:
+    for k, template in enumerate(templates.sets):
+        low = least / (2 - least) * len(template) - 1e-9
+        if len(met) < low or within(template, met).sum() < low:
             continue
-        for first in where:
-            seen: set[int] = set()
-            shared, best = 0, None
-            for last in range(first, len(pairs)):
-                pair = pairs[last]
-                if pair in seen or not pair:
-                    continue
-                seen.add(pair)
-                if len(seen) > high:
-                    break
-                if pair in template:
-                    shared += 1
-                    dice = 2 * shared / (len(seen) + b)
-                    if shared >= low and dice >= least - 1e-12 and (best is None or dice > best[0]):
-                        best = (dice, last + 1)
-            if best:
-                found.append((templates.names[k], best[0], first, best[1]))
-    found.sort(key=lambda x: (-x[1], x[0], x[2], x[3]))
-    chosen, taken = [], set()
-    for match in found:
-        span = range(match[2], match[3] + 1)
-        if not taken.intersection(span):
-            chosen.append(match)
-            taken.update(span)
+        width = templates.lengths[k]
+        shared = distinct_in_windows(before, width, within(template, pairs))
+        dice = 2 * shared / (distinct_in_windows(before, width, ones) + len(template))
+        found += [(-dice[i], -width, k, i, min(i + width, len(pairs))) for i in np.flatnonzero(dice >= least - 1e-12).tolist()]
+    starts, ends, chosen = [], [], []
+    for dice, _, k, first, last in sorted(found):  # windows cover the words from first to last
+        i = bisect_left(starts, first)
+        if (i == len(starts) or starts[i] > last) and (i == 0 or ends[i - 1] < first):
+            starts.insert(i, first)
+            ends.insert(i, last)
+            chosen.append((templates.names[k], -float(dice), first, last))
     return sorted(chosen, key=lambda x: x[2])
 
 
@@ -129,19 +150,15 @@ def scanner(texts: Mapping[str, Sequence[str]], least: float):
             matches: list[list[tuple[str, float, int, int]]] = []
             for _, data, at in slices(batch.column("text")):
                 pairs, start, first = bigrams(data, at)
-                place = np.searchsorted(templates.known, pairs)
-                known = templates.known[np.minimum(place, len(templates.known) - 1)] == pairs
-                hits = np.concatenate([[0], np.cumsum(known)])
+                hits = np.concatenate([[0], np.cumsum(within(templates.known, pairs))])
                 breaks = np.flatnonzero(data == 10)
                 for row in range(len(at) - 1):
                     if hits[first[row + 1]] == hits[first[row]]:
                         matches.append([])
                         continue
                     inner = breaks[np.searchsorted(breaks, at[row]) : np.searchsorted(breaks, at[row + 1])]
-                    own = slice(first[row], first[row + 1])
                     line = lambda word: int(np.searchsorted(inner, start[first[row] + word]))  # noqa: B023, E731
-                    found = windows_of(pairs[own].tolist(), np.flatnonzero(known[own]).tolist(), templates, least)
-                    matches.append([(name, dice, line(a), line(z)) for name, dice, a, z in found])
+                    matches.append([(name, dice, line(a), line(z)) for name, dice, a, z in windows_of(pairs[first[row] : first[row + 1] - 1], templates, least)])
             best = [max(m, key=lambda x: x[1]) if m else None for m in matches]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -158,12 +175,13 @@ def scanner(texts: Mapping[str, Sequence[str]], least: float):
     return scan
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = DICE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] | None = None, least: float = DICE) -> DataFrame:
     """doc_id, n_matches, best_license, best_dice, licenses, matches for each row of docs, over whole texts.
 
-    matches are windows of words that don't overlap, the better first to choose, with the lines (numbered from 0, split
-    at new lines) where they begin and end; licenses are their distinct names, sorted, joined by commas. A null or empty text has no match: best_license and
-    best_dice are null. Repeated rows are alike, null ids stay, further columns go. An empty table gives no rows.
-    Templates have a few thousand bigrams, which tasks get with their code; nothing is shuffled.
+    matches are windows of words that don't overlap, as windows_of() has them, with the lines (numbered from 0, split at new
+    lines) where they begin and end; licenses are their distinct names, sorted, joined by commas. A null or empty text,
+    or one of a single word, has no match: best_license and best_dice are null. Repeated rows are alike, null ids stay,
+    further columns go. An empty table gives no rows. templates: all_templates() if not given; they have some twenty
+    thousand bigrams, which tasks get with their code; nothing is shuffled.
     """
-    return docs.select("doc_id", "text").mapInArrow(scanner(templates, least), FOUND)
+    return docs.select("doc_id", "text").mapInArrow(scanner(templates or all_templates(), least), FOUND)
