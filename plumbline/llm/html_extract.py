@@ -1,9 +1,16 @@
-"""Main text of web pages by tag-path ratios."""
+"""Main text of web pages by tag-path ratios.
+
+Text is aggregated by its tag path from the root to the leaf: characters and punctuation marks a node. Both ratios are
+smoothed along the page, fused, and weighed down where a class, id or role names something else than main text. Paths
+whose score reaches the page's standard deviation of scores are content. What stands between content in the same part
+of the page (headings, short paragraphs, lists) belongs to it, links apart.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,13 +26,13 @@ BLOCK = {
     "th", "thead", "tr", "ul",
 }
 #: Never main text, wherever they stand.
-NOT_TEXT = {"head", "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select", "option", "datalist", "button", "form", "nav", "menu", "footer", "aside", "dialog", "noembed", "noframes", "xmp", "label", "input"}
-#: Words of class, id and role that name parts around the main text.
+NOT_TEXT = {"head", "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "audio", "video", "select", "option", "datalist", "button", "form", "nav", "menu", "footer", "aside", "dialog", "noembed", "noframes", "xmp", "input"}
+#: Words of class, id and role that name parts around the main text: a path through one weighs less.
 NOT_TEXT_NAMES = {
-    "ad", "ads", "adbox", "advert", "advertisement", "adverts", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "complementary",
-    "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "hidden", "legal", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
+    "ad", "ads", "adbox", "advert", "advertisement", "adverts", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary",
+    "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
     "notices", "notification", "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup",
-    "site-header", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "tooltip", "topbar", "warning", "widget",
+    "site-header", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "tooltip", "topbar", "warning", "widget",
 }
 #: An open element that a new one of a kind ends, up to the nearest of its own container.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
@@ -33,33 +40,65 @@ SCOPE = {"table", "td", "th", "caption", "html", "button", "object", "template"}
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "head", "body"}
 MARK = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: What a path through a named part weighs, in an article or main element and elsewhere.
+WEIGHT_INSIDE, WEIGHT_OUTSIDE = 0.5, 0.01
+#: Elements that belong to the text around them, even if what they hold is short.
+FLOW = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "ul", "ol", "dl", "li", "dt", "dd", "table", "blockquote", "pre", "figure", "figcaption", "hr", "address"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 PUNCTUATION = frozenset(".,;:!?…。，、؟")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int
     parent: int
-    out: bool
+    block: int  # the nearest element at or above it that makes a block
+    out: bool = False
     bound: bool = False  # in an article or main element, or one itself
-    named: bool = False  # there, in a part with a name of NOT_TEXT_NAMES: text only where ratios say so
-    chars: int = 0
+    named: bool = False  # its name speaks against it
+    link: bool = False
 
 
 @dataclass
 class Page:
-    """Elements in page order, and text pieces as (element, block number, text)."""
+    """Elements in page order, text pieces as (element, block number, text), and the weight of each tag path."""
 
-    elements: list[Element] = field(default_factory=lambda: [Element("", "", -1, False)])
+    elements: list[Element] = field(default_factory=lambda: [Element("", 0, -1, 0)])
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    weights: list[float] = field(default_factory=lambda: [1.0])
+
+
+class Stack:
+    """The open elements; where the last one of each tag is takes no search, so deep pages take linear time."""
+
+    def __init__(self):
+        self.items: list[tuple[int, str]] = [(0, "")]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []  # depths of elements that make a block or a scope
+
+    def push(self, element: int, tag: str) -> None:
+        self.depths[tag].append(len(self.items))
+        if tag in SCOPE or tag in BLOCK:
+            self.walls.append(len(self.items))
+        self.items.append((element, tag))
 
+    def cut(self, depth: int) -> None:
+        while len(self.items) > depth:
+            tag = self.items.pop()[1]
+            self.depths[tag].pop()
+            if self.walls and self.walls[-1] == len(self.items):
+                self.walls.pop()
 
-def left_out(tag: str, attributes: str, stack: list[int], page: Page) -> tuple[str, bool, bool]:
+    def nearest(self, tags) -> int:
+        """The depth of the last open element with one of the tags, or 0."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+
+def described(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
     """The step of a tag path, whether the element is never main text, and whether its names speak against it."""
-    if tag == "header" and not any(page.elements[i].tag in ("article", "main") for i in stack):
-        return tag, True, False
-    step, out, named = tag, tag in NOT_TEXT, False
+    step, out, named = tag, tag in NOT_TEXT or (tag == "header" and not inside), False
     if attributes:
         for name, *values in NAMES.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -76,11 +115,11 @@ def left_out(tag: str, attributes: str, stack: list[int], page: Page) -> tuple[s
 
 def parse(source: str) -> Page:
     """A tolerant reading of tags: ends that are missing are implied, ends without a start are passed over."""
-    page, stack, block, at, size = Page(), [0], 0, 0, len(source)
+    page, stack, block, at, size = Page(), Stack(), 0, 0, len(source)
 
     def text(piece: str) -> None:
         if piece:
-            page.pieces.append((stack[-1], block, html.unescape(piece)))
+            page.pieces.append((stack.items[-1][0], block, html.unescape(piece)))
 
     while at < size:
         mark = MARK.search(source, at)
@@ -94,35 +133,34 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if closing:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if page.elements[stack[d]].tag == tag), 0)
-            if depth and (tag in BLOCK or not any(page.elements[i].tag in SCOPE or page.elements[i].tag in BLOCK for i in stack[depth + 1 :])):
-                del stack[depth:]
-            elif depth:  # an inline end across blocks: only that element's formatting ends
-                pass
+            depth = stack.nearest((tag,))
+            if depth and (tag in BLOCK or not stack.walls or stack.walls[-1] <= depth):  # an inline end across blocks ends nothing
+                stack.cut(depth)
             block += tag in BLOCK
             continue
-        if tag in ENDS_P:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if page.elements[stack[d]].tag == "p" or page.elements[stack[d]].tag in SCOPE), 0)
-            if depth and page.elements[stack[depth]].tag == "p":
-                del stack[depth:]
+        if tag in ENDS_P and (depth := stack.nearest(("p",))) and depth > stack.nearest(SCOPE):
+            stack.cut(depth)
         if tag in ENDS:
             ended, within = ENDS[tag]
-            for d in range(len(stack) - 1, 0, -1):
-                name = page.elements[stack[d]].tag
-                if name in within:
+            while (depth := stack.nearest(ended)) > stack.nearest(within):
+                stack.cut(depth)
+                if tag != "tr":
                     break
-                if name in ended:
-                    del stack[d:]
-                    if tag != "tr":
-                        break
         block += tag in BLOCK
         if tag == "br":
             text(" ")
         if tag in VOID:
             continue
-        step, out, named = left_out(tag, attributes, stack, page)
-        above = page.elements[stack[-1]]
-        page.elements.append(Element(tag, f"{above.path}/{step}", stack[-1], out or above.out or (named and not above.bound), above.bound or tag in ("article", "main"), above.named or (named and above.bound)))
+        inside = bool(stack.nearest(("article", "main")))
+        step, out, named = described(tag, attributes, inside)
+        parent = stack.items[-1][0]
+        above = page.elements[parent]
+        key = (above.path, step + "!" * named)
+        if key not in page.paths:
+            page.paths[key] = len(page.weights)
+            page.weights.append(min(page.weights[above.path], (WEIGHT_INSIDE if inside else WEIGHT_OUTSIDE) if named else 1.0))
+        i = len(page.elements)
+        page.elements.append(Element(tag, page.paths[key], parent, i if tag in BLOCK else above.block, out or above.out, above.bound or tag in ("article", "main"), named, tag == "a" or above.link))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             at = end.start() if end else size
@@ -130,7 +168,7 @@ def parse(source: str) -> Page:
             at = end + 1 if end >= 0 else size
             continue
         if not attributes.endswith("/") or tag in BLOCK:
-            stack.append(len(page.elements) - 1)
+            stack.push(i, tag)
     return page
 
 
@@ -143,9 +181,9 @@ def smooth(values: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
-def path_scores(page: Page) -> dict[str, float]:
-    """For each root-to-leaf tag path with text: characters a node and punctuation a node, over the path's nodes on
-    the page, smoothed along the order in which paths first appear, and multiplied."""
+def path_scores(page: Page) -> dict[int, float]:
+    """For each tag path with text: characters a node and punctuation a node, over the path's nodes on the page, as they
+    are and smoothed along the order in which paths first appear, fused by their geometric mean and weighed."""
     chars, marks, nodes = {}, {}, {}
     for element, _, piece in page.pieces:
         if page.elements[element].out or not (piece := piece.strip()):
@@ -159,87 +197,80 @@ def path_scores(page: Page) -> dict[str, float]:
     count = np.array([nodes[p] for p in chars], float)
     tpr = np.array([chars[p] for p in chars], float) / count
     ppr = np.array([marks[p] for p in chars], float) / count
-    own = tpr * (1 + ppr)
-    fused = smooth(tpr) * (1 + smooth(ppr))
-    return dict(zip(chars, np.sqrt(own * fused) * np.sqrt(count), strict=True))
+    fused = np.sqrt(tpr * (1 + ppr) * smooth(tpr) * (1 + smooth(ppr)))
+    return dict(zip(chars, np.sqrt(fused * np.array([page.weights[p] for p in chars])), strict=True))
+
+
+def content_paths(page: Page) -> set[int]:
+    """The paths whose score reaches the standard deviation of the page's scores."""
+    scores = path_scores(page)
+    values = np.array(list(scores.values()))
+    limit = min(values.std(), values.max()) if scores else 0.0
+    return {p for p, s in scores.items() if s >= limit}
 
 
 def main_text(source: str | None) -> str:
     """The text of the content nodes, blocks joined by two new lines; empty if there is none.
 
-    Paths whose fused ratio reaches the page's standard deviation of ratios are content. The content element is the
-    deepest that holds nearly all text on such paths (the outermost article elements with such text, or else main
-    elements, where there are any); all of its blocks belong to the text, but for the parts that are named as something
-    else and whose paths are not content. Blocks on content paths outside of it belong to the text too, if no name
-    speaks against them.
+    A block belongs to the text if its own path, or that of inline text in it, is a content path. Around content
+    there are containers: the parent of a block on a content path, elements with content in two parts or more, and what
+    has content in these. Blocks of low ratios that stand in a container are text too where they are running text
+    (headings, paragraphs, lists, tables and the like; in article and main elements any), unless a name speaks against
+    them or they are lists of links.
     """
     if not source:
         return ""
     page = parse(source)
-    scores = path_scores(page)
-    if not scores:
-        return ""
-    values = np.array(list(scores.values()))
-    limit = min(values.std(), values.max())
-    content = {p for p, s in scores.items() if s >= limit}
-    articles = False
+    elements, content = page.elements, content_paths(page)
+    n = len(elements)
+    chars, links, n_links, parts, high = [0] * n, [0] * n, [0] * n, [0] * n, set()
+    found, inner = [False] * n, [False] * n
     for element, _, piece in page.pieces:
-        e = page.elements[element]
-        if not e.out and e.path in content:
-            n, i = len(piece.strip()), element
-            while i >= 0:
-                page.elements[i].chars += n
-                i = page.elements[i].parent
-    total = page.elements[0].chars
-    if not total:
-        return ""
-    chosen = set()
-    for tag in ("article", "main"):
-        found = [i for i, e in enumerate(page.elements) if e.tag == tag and not e.out and e.chars]
-        outer = [i for i in found if not any(page.elements[i].path.startswith(page.elements[j].path + "/") and inside(page, i, j) for j in found)]
-        if outer:
-            chosen, articles = set(outer), True
-            break
-    if not articles:
-        best = 0
-        for i, e in enumerate(page.elements):
-            if e.chars >= 0.9 * total and not e.out and e.tag not in ("p", "b", "i", "em", "strong", "span", "a", "li", "td"):
-                best = i  # elements come in page order, so the last is the deepest
-        chosen = {best}
-    within = [False] * len(page.elements)
-    for i, e in enumerate(page.elements):
-        within[i] = not e.out and (i in chosen or (e.parent >= 0 and within[e.parent]))
-    high = {page.elements[block_of(page, element)].path for element, _, piece in page.pieces if piece.strip() and page.elements[element].path in content}
+        e = elements[element]
+        if e.out or not (size := len(piece.strip())):
+            continue
+        chars[element] += size
+        links[element] += size * e.link
+        if e.path in content:
+            high.add(elements[e.block].path)
+            found[e.block] = True
+    for i, e in enumerate(elements):
+        n_links[i] += e.tag == "a"
+        if e.block == i and e.path in high and not e.out:
+            found[i] = True
+    for i in range(n - 1, 0, -1):  # elements come in page order, parents first
+        up = elements[i].parent
+        chars[up] += chars[i]
+        links[up] += links[i]
+        n_links[up] += n_links[i]
+        if found[i]:
+            inner[elements[up].block] |= elements[i].block == i and elements[i].path in high
+            parts[up] += 1
+            found[up] = True
+    lifted, container, named = [False] * n, [False] * n, [False] * n  # named: by a name at or above it, and without content
+    for i, e in enumerate(elements):
+        up = e.parent
+        named[i] = (e.named and not found[i]) or (up >= 0 and named[up])
+        container[i] = found[i] and (inner[i] or parts[i] > 1 or e.path in high or (up >= 0 and container[up]))
+        if up < 0 or e.out or named[i]:
+            continue
+        listed = n_links[i] > 1 and 2 * links[i] >= chars[i] and e.tag not in HEADINGS
+        running = e.tag in FLOW or e.tag not in BLOCK or e.bound
+        lifted[i] = (lifted[up] or (container[up] and running)) and not listed and not found[i]
     blocks, last = [], None
     for element, block, piece in page.pieces:
-        e = page.elements[element]
-        if not e.out and (within[element] and not e.named or page.elements[block_of(page, element)].path in high):
+        e = elements[element]
+        if not e.out and (lifted[element] or elements[e.block].path in high or not named[element] and (lifted[e.block] or (container[e.block] and e.bound))):
             if block != last:
                 blocks.append([])
             blocks[-1].append(piece)
             last = block
-        elif not page.elements[element].out or piece.strip():
+        elif not e.out or piece.strip():
             last = None if block != last else last
     texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n\n".join(t for t in texts if t)
 
 
-def block_of(page: Page, i: int) -> int:
-    """The nearest element at or above i that makes a block."""
-    while page.elements[i].parent >= 0 and page.elements[i].tag not in BLOCK:
-        i = page.elements[i].parent
-    return i
-
-
-def inside(page: Page, i: int, j: int) -> bool:
-    i = page.elements[i].parent
-    while i >= 0:
-        if i == j:
-            return True
-        i = page.elements[i].parent
-    return False
-
-
 def extract_batches(batches):
     for batch in batches:
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
