@@ -14,8 +14,6 @@ from .common import checkpointed, slices, word_spans
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
-#: Offsets that are tried for a source, evenly apart from a random one; the one that comes nearest to its target is used.
-OFFSETS = 16
 
 
 def count_words(batches):
@@ -37,7 +35,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
     weights go round the sources in code-point order, null last. What a capped source can't take is shared among
     the others by weight until none is above its cap: with the caps in order of cap / weight, the level (words a
-    unit of weight) is the first that its own source's cap allows, which is the greatest of those allowed. One row a source reaches the global windows.
+    unit of weight) is the first that its own source's cap allows, which is the greatest of those allowed. One row a source reaches the global windows. Without rows there
+    are no targets; a null source is the last.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -63,11 +62,12 @@ def offset(source: F.Column, seed: int) -> F.Column:
 def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, bytes, size, source_size, target, copies.
 
-    A document of a source expects target / source_size copies. Within a source, in order of size, the prefix
-    sums of these plus one offset are taken; each integer that a document's step crosses is one copy. The order by
-    size spreads the copies over all lengths, so the words taken miss the target by the longest document at most;
-    of OFFSETS offsets, evenly apart from a random start, the one that misses it least is used. Prefix sums come from ranges of (source, size, id): a count for each range and source, then a place
-    within the range, so that a source with most of the rows is no single task's.
+    A document of a source expects target / source_size copies. Within a source the prefix sums of these plus one
+    random offset are taken; each integer that a document's step crosses is one copy. Documents stand by size, every
+    other one on the way up, the rest on the way down again: copies spread over all lengths, and what the offset adds on
+    the way up it takes back on the way down, so the words taken come near the target (by one of the longest documents
+    at worst). Ranks come from ranges of (source, size, id): a count for each range and source, then a place within
+    the range, so that a source with most of the rows is no single task's.
 
     Nulls: a null text has size 0, a null source is a source of its own (the last), a null doc_id sorts first.
     Repeated rows are documents of their own. A source without words has target 0 and takes no copies. An empty
@@ -78,24 +78,17 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     ranged = checkpointed(sizes.repartitionByRange(*ordered).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("source", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    starts = counts.select("source", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy("source")).alias("docs"))
     targets = source_targets(sizes, weights, most)
-    known = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("of"), F.col("part").alias("at"), "before", "source_size", "target")
-    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id")))
+    known = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("of"), F.col("part").alias("at"), "before", "docs", "source_size", "target")
+    placed = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id")))
     joined = placed.join(known, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
+    rank = F.col("before") + F.col("nth")
+    place = F.when(rank % 2 == 1, F.shiftright(rank + 1, 1)).otherwise(F.col("docs") - F.shiftright(rank, 1) + 1)
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = joined.select("doc_id", "source", "bytes", "size", "source_size", "target", (F.col("before") + F.col("place")).alias("place"), step.alias("step"))
-
-    def copies(shift: F.Column) -> F.Column:
-        crossed = F.floor(F.col("place") * F.col("step") + shift) - F.floor((F.col("place") - 1) * F.col("step") + shift)
-        return F.least(crossed, F.lit(most)).cast("long")
-
-    start = offset(F.col("source"), seed)
-    takes = rows.groupBy("source", "target").agg(*[F.sum(copies((start + k) / OFFSETS) * F.col("size")).alias(f"take{k}") for k in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"take{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
-    chosen = takes.select(F.col("source").alias("_source"), ((offset(F.col("source"), seed) + nearest) / OFFSETS).alias("_shift"))
-    shifted = rows.join(chosen, F.col("source").eqNullSafe(F.col("_source")))
-    return shifted.select("doc_id", "source", "bytes", "size", "source_size", "target", copies(F.col("_shift")).alias("copies"))
+    crossed = F.floor(F.col("place") * F.col("step") + F.col("shift")) - F.floor((F.col("place") - 1) * F.col("step") + F.col("shift"))
+    rows = joined.select("doc_id", "source", "bytes", "size", "source_size", "target", place.alias("place"), step.alias("step"), offset(F.col("source"), seed).alias("shift"))
+    return rows.select("doc_id", "source", "bytes", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame, **parameters) -> DataFrame:
@@ -104,15 +97,16 @@ def mix_report(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies, with all columns of docs.
+    """docs as the mix takes them: each row as often as it has copies, with all columns of docs, of any names.
 
-    Rows that agree in doc_id, source and length of text share out the copies planned for them.
+    Rows that agree in doc_id, source and length of text share out the copies planned for them. Nulls, repeated rows
+    and empty tables: as in mix_plan().
     """
-    key = ["_id", "_source", "_bytes"]
     plan = mix_plan(docs, **parameters).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("bytes").alias("_bytes")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.select("*", F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes2"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id2", "_source2", "_bytes2").orderBy("text")))
-    on = [F.col(f"{k}2").eqNullSafe(F.col(k)) for k in key]
+    size = F.coalesce(F.octet_length("_row.text"), F.lit(0))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    nth = F.row_number().over(Window.partitionBy("_row.doc_id", "_row.source", size).orderBy("_row.text"))
+    on = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")) & (size == F.col("_bytes"))
+    joined = packed.withColumn("_nth", nth).join(plan, on)
     taken = F.element_at("_copies", F.col("_nth")).cast("int")
-    joined = keyed.join(plan, on[0] & on[1] & on[2]).where(taken > 0)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), taken))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.where(taken > 0).select("_row", F.explode(F.sequence(F.lit(1), taken)).alias("_copy")).select("_row.*")

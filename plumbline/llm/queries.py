@@ -32,19 +32,14 @@ levels AS (
 targets AS (
   SELECT source, source_size, least(weight * max(CASE WHEN weight * (rest / rest_weight) <= source_size * 3 THEN rest / rest_weight END) OVER (), CAST(source_size * 3 AS DOUBLE)) AS target
   FROM levels),
-placed AS (
-  SELECT doc_id, s.source, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS place,
+ranked AS (
+  SELECT doc_id, s.source, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS rank, count(*) OVER (PARTITION BY s.source) AS docs,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
-    CAST(('0x' || substr(md5('17:' || coalesce(s.source, chr(0))), 1, 4)) AS BIGINT) / 65536 AS u
+    CAST(('0x' || substr(md5('17:' || coalesce(s.source, chr(0))), 1, 4)) AS BIGINT) / 65536 AS shift
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-offsets AS (SELECT CAST(range AS INTEGER) AS k FROM range(16)),
-takes AS (
-  SELECT source, k, min(u) AS u, abs(sum(least(floor(place * step + (u + k) / 16) - floor((place - 1) * step + (u + k) / 16), 3) * size) - min(target)) AS off
-  FROM placed, offsets GROUP BY source, k),
-chosen AS (
-  SELECT source, (u + k) / 16 AS shift FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM takes) WHERE n = 1)
+placed AS (SELECT *, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE docs - rank // 2 + 1 END AS place FROM ranked)
 SELECT doc_id, size, source_size, target, CAST(least(floor(place * step + shift) - floor((place - 1) * step + shift), 3) * size AS BIGINT) AS taken
-FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
+FROM placed
 """
 
 QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
@@ -62,7 +57,26 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+CHAT_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    length('<turn> ### ' || regexp_replace(regexp_replace(role, '(\\*)(<turn>|</turn>|###)', '\\\1\2', 'g'), ':(\\*)\n', ':\\\1' || chr(10), 'g') || ':' || chr(10)
+      || regexp_replace(text, '(\\*)(<turn>|</turn>|###)', '\\\1\2', 'g') || ' </turn>' || chr(10)) AS chars
+  FROM given),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS context FROM turns)
+SELECT conv_id, CAST(min(n) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR place = n THEN context ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
 QUERIES |= {"op5_chat_formatting": op5_chat_formatting, "op8_fingerprints": op8_fingerprints}
+ORACLES |= {"op5_chat_formatting": CHAT_SQL}
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
