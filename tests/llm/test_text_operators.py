@@ -2,9 +2,14 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import chat_format, fingerprint, html_extract, license_scan, mixing, quality_rules, sentence_pieces
 
@@ -64,22 +69,53 @@ def test_license_scan(spark, hard_docs, no_docs):
     assert license_scan.scan_licenses(hard_docs).count() == hard_docs.count()
 
 
-def test_license_scan_against_all_runs(spark):
-    """Every run of lines against every template, without bounds."""
-    lines = ["alpha beta", "Released under the MIT", "License.", "", "This work is licensed under the GNU General Public License version 3", "Licensed under CC BY 4.0", "rights reserved all rights reserved"]
-    text = "\n".join(lines)
-    norm = lambda s: re.findall(r"[a-z0-9\x80-￿]+", s.lower())
-    grams = lambda w: set(zip(w, w[1:], strict=False))
-    best = 0.0
-    for variants in license_scan.TEMPLATES.values():
-        for t in variants:
-            g = grams(norm(t))
-            for i in range(len(lines)):
-                for j in range(i, len(lines)):
-                    run = set().union(*(grams(norm(x)) for x in lines[i : j + 1]))
-                    best = max(best, 2 * len(run & g) / (len(run) + len(g)) if run or g else 0.0)
-    got = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert got.best_dice == pytest.approx(best)
+def windows_brute(text, templates, least):
+    """Each window of each template's length against it, by sets of tuples; the better first."""
+    norm = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+    words, found = norm(text), []
+    pairs = list(zip(words, words[1:], strict=False))
+    for k, (name, template) in enumerate(templates):
+        grams = norm(template)
+        grams = list(zip(grams, grams[1:], strict=False))
+        for i in range(max(1, len(pairs) - len(grams) + 1) if pairs else 0):
+            window = pairs[i : i + len(grams)]
+            dice = 2 * len(set(window) & set(grams)) / (len(set(window)) + len(set(grams)))
+            if dice >= least - 1e-12:
+                found.append((-dice, -len(grams), k, i, i + len(window), name))
+    taken, out = set(), []
+    for dice, _, _, first, last, name in sorted(found):
+        if not taken & set(range(first, last + 1)):
+            taken |= set(range(first, last + 1))
+            out.append((name, -dice, first, last))
+    return sorted(out, key=lambda x: x[2])
+
+
+def test_license_scan_against_all_windows(spark):
+    rng = random.Random(9)
+    templates = {"one": ["alpha beta gamma delta alpha beta", "beta gamma"], "two": ["gamma delta epsilon alpha"], "short": ["word"]}
+    flat = [(n, t) for n, ts in templates.items() for t in ts if " " in t]
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma,", "delta", "epsilon"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["alpha beta gamma delta alpha beta " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (0.5, 0.8, 1.0):
+        got = by_id(license_scan.scan_licenses(docs, templates, least))
+        for i, text in enumerate(texts):
+            want = windows_brute(text, flat, least)
+            assert [(m.license, m.dice) for m in got[i].matches] == [(n, pytest.approx(d)) for n, d, _, _ in want], text
+            assert got[i].best_dice == (pytest.approx(max(d for _, d, _, _ in want)) if want else None)
+
+
+def test_whole_licenses_are_found(spark):
+    texts = {path.stem: path.read_text() for path in license_scan.FOLDER.glob("*.txt")}
+    docs = spark.createDataFrame([(i, "before\n" + t + "\nafter") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = by_id(license_scan.scan_licenses(docs))
+    assert len(texts) == 7 and [got[i].best_license for i in range(7)] == list(texts)
+
+
+def test_many_license_lines():
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["All rights reserved.\n" * 100_000])], ["doc_id", "text"])
+    began = time.time()
+    (found,) = license_scan.scanner(license_scan.all_templates(), 0.8)([batch])
+    assert found.column("n_matches").to_pylist() == [100_000] and time.time() - began < 40
 
 
 def test_pieces_equal_the_library(hard_docs, hard_texts, no_docs, clashing):
@@ -131,6 +167,59 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def random_page(rng):
+    """A page and the blocks of its article."""
+    sentence = lambda n: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(n)).capitalize() + rng.choice([", yes.", ".", "; no, never."])
+    junk = [f"<nav><a href=a>{sentence(2)}</a><a>b</a></nav>", f"<div class='{rng.choice(['ad', 'cookie-notice', 'sidebar', 'promo box'])}'>{sentence(9)} {sentence(3)}</div>", "<footer>&copy; someone, 2020.</footer>", f"<div id=comments><p>{sentence(14)}</p><p>{sentence(6)}</p></div>", "<form><label>Name</label><input></form>", f"<aside><p>{sentence(12)}</p></aside>", "<script>var a = '<p>no, no.</p>';</script>", "<ul class=menu><li><a>x</a></li><li><a>y</a></li></ul>"]
+    rng.shuffle(junk)
+    blocks, parts = [sentence(3)], []
+    parts.append(f"<h1>{blocks[0]}</h1>")
+    for _ in range(rng.randint(2, 7)):
+        kind, text = rng.random(), " ".join(sentence(rng.randint(8, 25)) for _ in range(rng.randint(1, 4)))
+        if kind < 0.7:
+            parts.append(f"<p>{text.replace('two', '<b>two</b>')}</p>")
+            blocks.append(text)
+        elif kind < 0.85:
+            items = [sentence(2) for _ in range(3)]
+            parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" + f"<p>{text}</p>")
+            blocks += [*items, text]
+        else:
+            parts.append(f"<h2>{sentence(2)}</h2><p>{text}")
+            blocks += [re.search("<h2>(.*?)</h2>", parts[-1])[1], text]
+    around = rng.choice(["<article>{}</article>", "<div class=post>{}</div>", "<main><div>{}</div></main>", "<div id=content><section>{}</section></div>"])
+    k = rng.randint(0, 4)
+    return f"<html><head><title>{sentence(4)}</title></head><body>{''.join(junk[:k])}{around.format(chr(10).join(parts))}{''.join(junk[k:])}</body></html>", blocks
+
+
+def test_html_against_known_articles():
+    rng = random.Random(5)
+    for _ in range(300):
+        page, blocks = random_page(rng)
+        assert html_extract.main_text(page).split("\n\n") == blocks, page
+
+
+def test_html_ratios_decide(monkeypatch):
+    pages = [random_page(random.Random(i))[0] for i in range(60)]
+    real, scores, rng = [html_extract.main_text(p) for p in pages], html_extract.path_scores, random.Random(1)
+    monkeypatch.setattr(html_extract, "path_scores", lambda page: {k: rng.random() for k in scores(page)})
+    assert sum(html_extract.main_text(p) != r for p, r in zip(pages, real, strict=True)) > 30
+
+
+def test_html_of_deep_pages():
+    began = time.time()
+    assert html_extract.main_text("<div>" * 100_000 + "some text, here." + "<p>x" * 10).startswith("some text, here.")
+    assert html_extract.main_text("<div>text, a" * 30_000 + "</span>" * 30_000).count("text, a") == 30_000
+    assert time.time() - began < 40
+
+
+def test_html_named_parts_with_content():
+    long = "A long sentence, with a comma and more words. " * 12
+    page = f"<body><div><a>home</a> <a>x</a></div><div class='search-result'><h2>Head</h2><p>{long}</p><section><h3>Sub</h3><div><p>{long}</p></div></section></div><div><a>rel one</a><a>rel two</a></div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", long.strip(), "Sub", long.strip()]
+    page = f"<body><article><h1><a href=x>T</a></h1><p class=byline>By A. B.</p><p>{long}</p><p>Let <math><mi>x</mi></math> be <label>labelled</label>.</p><div>short note</div><ul><li><a>s1</a></li><li><a>s2</a></li></ul></article></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["T", "By A. B.", long.strip(), "Let x be labelled.", "short note"]
+
+
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -174,24 +263,51 @@ def test_fingerprints(hard_docs, hard_texts, no_docs, clashing):
         if len(a | b) > 300:
             errors.append(abs(r.near_edited - len(a & b) / len(a | b)))
         assert (r.fingerprint == "") == (not a)
+        assert len(r.fingerprint) < 17 + 17 * len(a)
         if text == following:
             assert r.near_next == 1.0
-    assert errors and sum(errors) / len(errors) < 0.08
+    assert errors and sum(errors) / len(errors) < 0.1
     assert got[8].fingerprint == got[9].fingerprint
     assert fingerprint.edited_fingerprints(no_docs).count() == 0
     assert fingerprint.edited_fingerprints(clashing).count() == 5
 
 
 def test_fingerprints_merge(spark):
-    a, b = " ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(60))
+    a, b = " ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(160))
     whole = spark.createDataFrame([(a, b, f"{a} {b}")], "a string, b string, c string")
-    from pyspark.sql import functions as F
-
     s = whole.select(*[fingerprint.sketch(F.col(c)).alias(c) for c in "abc"])
     r = s.select(fingerprint.containment(F.col("b"), F.col("c")).alias("inside"), fingerprint.merged(F.array("a", "b")).alias("m"), "a", "b", "c").first()
     assert r.inside == 1.0 and set(r.m) <= set(r.c) and set(r.a) | set(r.b) == set(r.m)
 
 
+def test_sketches_of_short_texts(spark):
+    """A sketch has nothing but hashes below the bound, so a part's hashes are in the whole's; digests tell the rest."""
+    data = [(i, " ".join(f"s{i}w{k}" for k in range(7)), " ".join(f"s{i}w{k}" for k in range(307))) for i in range(200)]
+    rows = spark.createDataFrame(data, "doc_id long, a string, b string").select("doc_id", fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
+    for r in rows.select("a", "b", fingerprint.containment(F.col("a.sketch"), F.col("b.sketch")).alias("inside"), fingerprint.likeness(F.col("a"), F.col("a")).alias("self")).collect():
+        assert r.inside == (1.0 if r.a.sketch else None) and r.self == 1.0 and set(r.a.sketch) <= set(r.b.sketch)
+        assert all(0 <= h < (1 << 64) // fingerprint.SCALE for h in r.b.sketch)
+    two = rows.where("doc_id < 2").select(F.collect_list("a").alias("x")).select(fingerprint.likeness(F.col("x")[0], F.col("x")[1]).alias("d"), F.col("x")).first()
+    assert two.d == 0.0 and two.x[0].digest != two.x[1].digest
+
+
+def test_sketches_against_plain_code(spark):
+    """The sketch is that of all shingle hashes below the bound: hashed by Spark row by row, and then chosen here."""
+    texts = ["a b c d e f a b c d e f g", "one two", "", " ".join(f"w{i % 40}" for i in range(300)), "é ü \u3000 x\ty\nz"]
+    hashed = spark.createDataFrame([(i, k, w) for i, t in enumerate(texts) for k, w in enumerate(WORD.findall(t))], "doc_id long, k long, w string").select("doc_id", "k", F.xxhash64("w").alias("h"))
+    words = collections.defaultdict(list)
+    for r in hashed.orderBy("doc_id", "k").collect():
+        words[r.doc_id].append(r.h)
+    wanted = {}
+    for i in range(len(texts)):
+        h = words[i]
+        rows = [tuple(h[j : j + 5]) for j in range(len(h) - 4)]
+        found = [r.x for r in spark.createDataFrame(rows, "a long, b long, c long, d long, e long").select(F.xxhash64("a", "b", "c", "d", "e").alias("x")).collect()] if rows else [spark.createDataFrame([(h,)], "h array<long>").select(F.xxhash64("h").alias("x")).first().x] if h else []
+        wanted[i] = sorted({x for x in found if 0 <= x < (1 << 64) // fingerprint.SCALE})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.sketch for r in fingerprint.fingerprints(docs).collect()} == wanted
+
+
 def water_levels(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -217,7 +333,7 @@ def test_mixing(spark, hard_docs, no_docs, clashing):
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 40 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 37 for s in want)
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
     words = collections.Counter()
