@@ -13,7 +13,7 @@ import pyarrow as pa
 ASKED = "bucket int, block long, flow int, hashes binary, extra binary"
 ANSWER = "block long, bucket int, flow int, bits binary"
 #: Bytes of text in a block and of questions in a bucket, at most (a block: plus one document).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 
 
@@ -24,7 +24,7 @@ def sizes(total_bytes: int, text_per_asked: float) -> tuple[int, int]:
     A message has a hash at least, so there are never more messages than hashes; at 1 TB there are about forty hashes to
     each message, at 10 TB four, and beyond that the exchange is one of single hashes, as a plain join of them is.
     """
-    return max(1 << 16, min(BLOCK_BYTES, total_bytes // 64)), max(8, int(total_bytes / text_per_asked / BUCKET_BYTES), min(48, total_bytes >> 20))
+    return max(1 << 16, min(BLOCK_BYTES, total_bytes // 32)), max(8, int(total_bytes / text_per_asked / BUCKET_BYTES), min(48, total_bytes >> 20))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -2,15 +2,17 @@
 
 The new words of a batch are laid end to end, their suffixes sorted to the length of the longest piece, and every
 piece of the vocabulary is binary-searched for the range of suffixes that begin with it. Each occurrence is an edge;
-edges are laid out by position, and relaxed: for a unigram model by the best sum of scores to each position, for a
+edges are sorted by position, and relaxed: for a unigram model by the best sum of scores to each position, for a
 BPE model by the order of merges, a merge being an edge over two neighbouring tokens. Words recur, so a worker keeps
-the tokens of those it has met, up to a bound.
+the tokens of those it has met, up to a bound. Texts are indexed in runs of bounded length, longer words in pieces that
+overlap; their edges take a few bytes a character.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -162,99 +164,163 @@ def merge_words(table: np.ndarray, start: np.ndarray, size: np.ndarray, rank: np
     return word[order], left[order], right[order]
 
 
-def merge_long(table: np.ndarray, start: int, size: int, rank: np.ndarray) -> list[tuple[int, int]]:
-    """BPE of one long word with a heap of merges."""
-    depth = table.shape[1] - 1
-    end = {i: i + 1 for i in range(start, start + size)}
-    before = {i: i - 1 for i in range(start + 1, start + size)}
-    agenda: list[tuple[int, int, int, int]] = []
+class Edges:
+    """The edges of one long word, sorted by position and length: ids and lengths, and where each position's begin."""
+
+    def __init__(self, text: np.ndarray, t: dict):
+        depth, at, lengths, ids, counts = t["depth"], 0, [], [], []
+        while at < len(text):  # in pieces; an edge may reach into the next one
+            table = edges_of(text[at : at + INDEX_CHARS + depth], t)[: min(INDEX_CHARS, len(text) - at)]
+            place, length = np.nonzero(table >= 0)
+            lengths.append(length.astype(np.uint8))
+            ids.append(table[place, length])
+            counts.append(np.bincount(place, minlength=len(table)))
+            at += INDEX_CHARS
+        self.lengths, self.ids = np.concatenate(lengths), np.concatenate(ids)
+        self.begin = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def piece(self, start: int, end: int) -> int:
+        """The piece from start to end, or -1."""
+        for i in range(self.begin[start], self.begin[start + 1]):
+            if self.lengths[i] == end - start:
+                return int(self.ids[i])
+        return -1
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and ids of the edges over two characters."""
+        two = np.flatnonzero(self.lengths == 2)
+        return np.searchsorted(self.begin, two, side="right") - 1, self.ids[two]
+
+
+def merge_long(edges: Edges, size: int, rank: np.ndarray) -> list[tuple[int, int]]:
+    """BPE of one long word: the best merge first, of equal ones the first; those of two characters come in one sorted
+    array, later ones by a heap. A merge is its rank and position in one number."""
+    end, before = array("q", range(1, size + 1)), array("q", range(-1, size - 1))  # of tokens by their start; -1: gone
+    place, ids = edges.pairs()
+    first = np.sort((rank[ids].max(initial=0) - rank[ids] << 40) | place) if len(ids) else np.zeros(0, np.int64)
+    top = int(rank[ids].max(initial=0)) if len(ids) else 0
+    later: list[int] = []
+    mask = (1 << 40) - 1
 
     def offer(a: int) -> None:
-        b = end.get(a)
-        if b in end and end[b] - a <= depth and (i := table[a, end[b] - a]) >= 0:
-            heapq.heappush(agenda, (-int(rank[i]), a, b, end[b]))
-
-    for i in range(start, start + size):
-        offer(i)
-    while agenda:
-        _, a, b, c = heapq.heappop(agenda)
-        if end.get(a) != b or end.get(b) != c:
+        b = end[a]
+        if b < size and (i := edges.piece(a, end[b])) >= 0:
+            heapq.heappush(later, (top - int(rank[i]) << 40) + a)
+
+    at, chunk, taken = 0, [], 0
+    while True:
+        if at == len(chunk):
+            chunk, at = first[taken : taken + 65536].tolist(), 0
+            taken += len(chunk)
+        if chunk and (not later or chunk[at] <= later[0]):
+            key, at = chunk[at], at + 1
+        elif later:
+            key = heapq.heappop(later)
+        else:
+            break
+        a, worth = key & mask, top - (key >> 40)
+        b = end[a]
+        if b < 0 or b >= size:
+            continue
+        c = end[b]
+        i = edges.piece(a, c)
+        if i < 0 or rank[i] != worth:  # one of the two has been merged since
             continue
-        end[a] = c
-        del end[b]
-        if c in end:
+        end[a], end[b] = c, -1
+        if c < size:
             before[c] = a
         offer(a)
-        if a in before:
+        if before[a] >= 0:
             offer(before[a])
-    return sorted(end.items())
+    out, a = [], 0
+    while a < size:
+        out.append((a, end[a]))
+        a = end[a]
+    return out
 
 
-def best_path(table: np.ndarray, start: int, size: int, scores: np.ndarray, unknown: float) -> list[tuple[int, int]]:
+def best_path(edges: Edges, size: int, scores: np.ndarray, unknown: float) -> list[tuple[int, int]]:
     """Unigram: relaxes the edges by position; an uncovered character costs as an unknown one."""
-    best, back = [0.0] + [-np.inf] * size, [0] * (size + 1)
+    best, back = array("d", [0.0]) + array("d", [-np.inf]) * size, array("q", [0]) * (size + 1)
     for i in range(size):
-        row = table[start + i]
-        for length in range(1, min(table.shape[1] - 1, size - i) + 1):
-            if (piece := row[length]) >= 0 and best[i] + scores[piece] > best[i + length]:
-                best[i + length], back[i + length] = best[i] + scores[piece], i
-        if row[1] < 0 and best[i] + unknown > best[i + 1]:
+        covered = False
+        for e in range(edges.begin[i], edges.begin[i + 1]):
+            length, worth = int(edges.lengths[e]), best[i] + float(scores[edges.ids[e]])
+            covered |= length == 1
+            if worth > best[i + length]:
+                best[i + length], back[i + length] = worth, i
+        if not covered and best[i] + unknown > best[i + 1]:
             best[i + 1], back[i + 1] = best[i] + unknown, i
     path, i = [], size
     while i:
-        path.append((start + back[i], start + i))
+        path.append((back[i], i))
         i = back[i]
     return path[::-1]
 
 
+def spelled(ids: list[int], spans: list[tuple[int, int]], word: str, t: dict) -> tuple[int, ...]:
+    """ids with -1 replaced by the bytes of what stands there, or one unknown piece for a run of such."""
+    if -1 not in ids:
+        return tuple(ids)
+    out: list[int] = []
+    for i, (a, b) in zip(ids, spans, strict=True):
+        if i >= 0:
+            out.append(i)
+        elif t["bytes"]:
+            out += [t["bytes"][x] for x in word[a:b].encode("utf-8", "surrogatepass")]
+        elif not out or out[-1] != t["unknown"]:
+            out.append(t["unknown"])
+    return tuple(out)
+
+
+def letters(text: str, t: dict) -> np.ndarray:
+    return t["letter"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def encode_long(word: str, model: Model) -> tuple[int, ...]:
+    """Token ids of one word on its own."""
+    t = model.prepare()
+    edges, size = Edges(letters(word, t), t), len(word)
+    if model.kind == BPE:
+        spans = merge_long(edges, size, t["rank"])
+    else:
+        lowest = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0) - 10.0
+        spans = best_path(edges, size, np.array(model.scores), lowest)
+    return spelled([edges.piece(a, b) for a, b in spans], spans, word, t)
+
+
 def encode_words(words: list[str], model: Model) -> list[tuple[int, ...]]:
-    """Token ids of each word."""
+    """Token ids of each word: short ones of a BPE model together, others one by one."""
     t = model.prepare()
-    out: list[tuple[int, ...]] = []
+    ints = t["ints"]
+    out: list[tuple[int, ...] | None] = [None] * len(words)
+    short = []
+    for k, word in enumerate(words):
+        if model.kind == BPE and len(word) <= LONG_WORD:
+            short.append(k)
+        else:
+            out[k] = encode_long(word, model)
     at = 0
-    while at < len(words):
+    while at < len(short):
         stop, chars = at, 0
-        while stop < len(words) and (stop == at or chars + len(words[stop]) < INDEX_CHARS):
-            chars += len(words[stop]) + 1
+        while stop < len(short) and (stop == at or chars + len(words[short[stop]]) < INDEX_CHARS):
+            chars += len(words[short[stop]]) + 1
             stop += 1
-        run = words[at:stop]
-        joined = "\n".join(run) + "\n"
+        run = [words[k] for k in short[at:stop]]
         size = np.array([len(w) for w in run], dtype=np.int64)
         start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        text = t["letter"][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        text = letters("\n".join(run) + "\n", t)
         text[start + size] = 2
         table = edges_of(text, t)
-        if model.kind == BPE:
-            short = np.flatnonzero(size <= LONG_WORD)
-            word, left, right = merge_words(table, start[short], size[short], t["rank"])
-            spans = {int(k): merge_long(table, int(start[k]), int(size[k]), t["rank"]) for k in np.flatnonzero(size > LONG_WORD)}
-            word = short[word]
-        else:
-            scores = np.array(model.scores)
-            lowest = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0) - 10.0
-            spans, word, left, right = {k: best_path(table, int(start[k]), int(size[k]), scores, lowest) for k in range(len(run))}, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-        if spans:
-            flat = [(k, a, b) for k, path in spans.items() for a, b in path]
-            more = np.array(flat, dtype=np.int64).reshape(-1, 3)
-            word, left, right = np.concatenate([word, more[:, 0]]), np.concatenate([left, more[:, 1]]), np.concatenate([right, more[:, 2]])
-            order = np.argsort(left, kind="stable")
-            word, left, right = word[order], left[order], right[order]
+        word, left, right = merge_words(table, start, size, t["rank"])
         ids = table[left, np.minimum(right - left, t["depth"])].tolist()
         bounds = np.searchsorted(word, np.arange(len(run) + 1)).tolist()
-        ints, unknown, byte_ids = t["ints"], t["unknown"], t["bytes"]
-        for k in range(len(run)):
-            mine = ids[bounds[k] : bounds[k + 1]]
+        for j, k in enumerate(short[at:stop]):
+            mine = ids[bounds[j] : bounds[j + 1]]
             if -1 in mine:
-                spelled: list[int] = []
-                for place, i in zip(range(bounds[k], bounds[k + 1]), mine, strict=True):
-                    if i >= 0:
-                        spelled.append(i)
-                    elif byte_ids:
-                        spelled += [byte_ids[b] for b in joined[left[place] : right[place]].encode("utf-8", "surrogatepass")]
-                    elif not spelled or spelled[-1] != unknown:
-                        spelled.append(unknown)
-                mine = spelled
-            out.append(tuple([ints[i] for i in mine]))
+                own = slice(bounds[j], bounds[j + 1])
+                mine = spelled(mine, list(zip((left[own] - start[j]).tolist(), (right[own] - start[j]).tolist(), strict=True)), words[k], t)
+            out[k] = tuple([ints[i] for i in mine])
         at = stop
     return out
 
@@ -275,10 +341,8 @@ def encode(texts: list[str | None], model: Model) -> list[list[int]]:
         new = list(set(chain.from_iterable(split)).difference(known))
         of = dict(zip(new, encode_words(new, model), strict=True))
         if len(known) + len(new) <= REMEMBERED:
-            known.update(of)
-            get = known.__getitem__
-        else:
-            get = lambda w: of[w] if w in of else known[w]
+            known.update({w: i for w, i in of.items() if len(w) <= LONG_WORD})
+        get = known.__getitem__ if known.keys() >= of.keys() else lambda w: of[w] if w in of else known[w]
         out += [list(chain.from_iterable(map(get, words))) for words in split]
         at = stop
     return out

@@ -137,6 +137,26 @@ def test_pieces_of_odd_texts():
         assert ids == lib.encode(text) and sentence_pieces.decode(ids, model) == text.replace("▁", " ")
 
 
+def test_pieces_of_long_words(monkeypatch):
+    """Words without spaces, indexed in pieces that overlap, have the library's ids and are not remembered."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL_PATH)
+    monkeypatch.setattr(sentence_pieces, "INDEX_CHARS", 512)
+    model, rng = sentence_pieces.load(), random.Random(2)
+    texts = ["".join(rng.choice(["the", "and", "tion", "er", "é", "日", "Z"]) for _ in range(3000)), "x" * 2500, "ab" * 1700, "\t\n" * 900]
+    assert sentence_pieces.encode(texts, model) == [lib.encode(x) for x in texts]
+    assert all(len(w) <= sentence_pieces.LONG_WORD for w in model.tables["known"])
+
+
+def test_long_texts_without_spaces():
+    """Millions of characters without a space come back; their edges take some thirty bytes a character."""
+    model, rng = sentence_pieces.load(), random.Random(4)
+    text = "".join(rng.choice(["the", "and", "tion", "er", "Z"]) for _ in range(400_000))
+    assert sentence_pieces.decode(sentence_pieces.encode([text], model)[0], model) == text
+    edges = sentence_pieces.Edges(sentence_pieces.letters(text, model.prepare()), model.prepare())
+    assert edges.lengths.nbytes + edges.ids.nbytes + edges.begin.nbytes < 32 * len(text)
+
+
 def test_unigram_takes_the_best_path():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bab"]
     scores = [0.0, -3.0, -2.0, -2.5, -2.2, -2.6, -4.0, -2.1, -6.0]
