@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import after_thinking, every, found, last, last_some, lines, strip
@@ -221,3 +223,22 @@ def response_format(text: Column) -> Column:
     return (
         F.when(text.rlike(r"(?m)^\s*[•\-*]\s"), "bullet_points").when(text.rlike(r"(?m)^\s*\d+\."), "numbered_list").when(words > 10, "prose").when(text.contains(","), "comma_separated").otherwise("simple")
     )
+
+
+def longest_mention(texts: DataFrame, names: DataFrame, keys: Sequence[str], most_words: int = 8) -> DataFrame:
+    """keys, name, mentions: of each text the longest name (then the last by name) that stands in it between spaces, in
+    any case, and how many do. Runs of words as long as the names' are joined with them on equality; a run is an
+    array of a text's own words, so what is shuffled grows with the texts. Names of more than most_words words are an error.
+    """
+    known = names.select("name").distinct().withColumn("_run", F.lower("name")).withColumn("_words", F.size(F.split("_run", " ")))
+    lengths = [r[0] for r in known.select("_words").distinct().limit(most_words + 1).collect()]
+    if any(n > most_words for n in lengths):
+        raise ValueError(f"a name has more than {most_words} words")
+    rows = texts.select(*keys, F.split(F.lower("text"), " ").alias("_all"))
+
+    def runs(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size("_all") - n + 1), lambda i: F.array_join(F.slice("_all", i, n), " "))
+        return F.when(F.size("_all") >= n, some).otherwise(F.array().cast("array<string>"))
+
+    found = rows.select(*keys, F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("_run")).join(known, "_run")
+    return found.groupBy(*keys).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count("*").alias("mentions"))

@@ -74,12 +74,14 @@ def draw(rep: Column, slot: Column, n: Column | int, seed: int = 0) -> Column:
     return ((rep * 7919 + slot * 104729 + rep * slot * 31 + (seed + 1) * 15485863) % 1000003 * 48271 % 2147483647) % n
 
 
-def bootstrap_tau(cells: DataFrame, reps: int = 100, n_models: int = 10, seed: int = 0) -> DataFrame:
-    """Percentile interval of tau for each pair of tasks, models drawn with replacement; replicates with fewer than
-    three different models don't count. The pairs of slots are made once for each replicate, not for each task pair."""
-    spark = cells.sparkSession
-    slots = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_models - 1).cast("long"))).alias("slot"))
-    drawn = slots.select("rep", "slot", draw(F.col("rep"), F.col("slot"), n_models, seed).alias("model_id"))
+def bootstrap_tau(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
+    """Percentile interval of tau for each pair of tasks, models (of any ids) drawn with replacement, as many as there are;
+    replicates with fewer than three different models don't count. The pairs of slots are made once for each
+    replicate, not for each task pair."""
+    models = cells.select("model_id").distinct().select("model_id", (F.row_number().over(Window.orderBy("model_id")) - 1).cast("long").alias("place"))  # a row for each model
+    slots = models.select(F.col("place").alias("slot"), F.count("*").over(Window.partitionBy()).alias("n"))
+    slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    drawn = slots.select("rep", "slot", draw(F.col("rep"), F.col("slot"), F.col("n"), seed).alias("place")).join(models, "place").drop("place")
     good = drawn.groupBy("rep").agg(F.countDistinct("model_id").alias("k")).where("k >= 3").select("rep")
     drawn = drawn.join(good, "rep", "left_semi")
     a, b = drawn.alias("a"), drawn.alias("b")
@@ -139,49 +141,111 @@ def within_across(values: DataFrame, parents: DataFrame, value: str) -> DataFram
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.25).alias("p25"), F.percentile(value, 0.75).alias("p75"))
 
 
+#: A digest of 64 hex digits gives so many numbers of six digits.
+DRAWS = 10
+
+
+def poisson_limits(most: int = 11) -> list[float]:
+    """P(X < k) of the Poisson distribution of mean 1 for k from 1; beyond most it is 1 in the 24 bits of a draw."""
+    total, term, out = 0.0, float(np.exp(-1)), []
+    for k in range(1, most + 1):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
 def item_bootstrap(scored: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
     """Ranking stability: items are drawn with Poisson(1) weights in each replicate, models ranked by weighted accuracy
     under two protocols (a, b), and the rankings correlated. Returns replicates, mean rho and its percentile interval.
 
-    scored: model_id, idx, a, b (booleans). A replicate's draw of an item is a hash, so all of its models share it. Only sums for each (replicate, model)
-    are shuffled, whatever the number of items.
+    scored: task, model_id, idx, a, b (booleans); an item is a task's idx. Its draw in a replicate is a part of a digest, so
+    all of its models share it; each digest serves DRAWS replicates. Only sums for each (replicate, model) are
+    shuffled beyond the items, whatever their number.
     """
-    hit = F.sequence(F.lit(0), F.lit(reps - 1))
-    u = F.pmod(F.xxhash64("idx", "rep", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    weight = F.lit(0)
-    total, term = 0.0, float(np.exp(-1))
-    for k in range(1, 8):  # thresholds of the Poisson distribution
-        total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    wide = scored.groupBy("model_id", "idx").agg(F.first("a").alias("a"), F.first("b").alias("b")).withColumn("rep", F.explode(hit)).withColumn("w", weight)
+    items = scored.groupBy("task", "idx").agg(F.collect_list(F.struct("model_id", "a", "b")).alias("said"))  # an element for each model
+    digests = items.withColumn("tenth", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // DRAWS))))
+    digests = digests.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), "task", F.col("idx").cast("string"), F.col("tenth").cast("string")), 256))
+    drawn = digests.select("said", "tenth", "digest", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
+    u = F.conv(F.substring(F.col("digest"), F.col("k") * 6 + 1, F.lit(6)), 16, 10).cast("double") / float(1 << 24)
+    drawn = drawn.select("said", (F.col("tenth") * DRAWS + F.col("k")).alias("rep"), u.alias("u"))
+    weight = sum((F.when(F.col("u") >= limit, 1).otherwise(0) for limit in poisson_limits()), F.lit(0))
+    wide = drawn.where(f"rep < {reps}").select("rep", weight.alias("w"), "said").where("w > 0").select("rep", "w", F.inline("said"))
     acc = wide.groupBy("rep", "model_id").agg(F.try_divide(F.sum(F.when(F.col("a"), F.col("w")).otherwise(0)), F.sum("w")).alias("acc_a"), F.try_divide(F.sum(F.when(F.col("b"), F.col("w")).otherwise(0)), F.sum("w")).alias("acc_b"))
     ranked = acc.select("rep", average_rank(F.round("acc_a", 12), ["rep"]).alias("ra"), average_rank(F.round("acc_b", 12), ["rep"]).alias("rb"))
     rho = ranked.groupBy("rep").agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
     return rho.agg(F.count("rho").alias("reps"), F.avg("rho").alias("mean"), F.percentile("rho", 0.025).alias("lo"), F.percentile("rho", 0.975).alias("hi"))
 
 
+def filled(cells: DataFrame, value: str = "acc") -> DataFrame:
+    """cells without the models that have no value at all."""
+    return cells.join(cells.where(F.col(value).isNotNull()).select("model_id").distinct(), "model_id", "left_semi")
+
+
 def matrix(cells: DataFrame, models: Sequence[int]) -> DataFrame:
-    """A row for each task with one column for each model that has any value."""
+    """A row for each task with one column for each of the models."""
     return cells.groupBy("task").pivot("model_id", list(models)).agg(F.first("acc"))
 
 
+#: Features of a PCA at most; its covariance matrix is made on the driver.
+MOST_MODELS = 4096
+
+
+def standardised(cells: DataFrame) -> tuple[list[int], DataFrame]:
+    """The models with values, and task with the vector s of standardised columns; a missing value counts as its
+    column's mean, so no task is dropped. More than MOST_MODELS models are an error."""
+    from pyspark.ml.feature import VectorAssembler
+
+    stats = filled(cells).groupBy("model_id").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("sd"))
+    models = [r.model_id for r in stats.select("model_id").orderBy("model_id").limit(MOST_MODELS + 1).collect()]
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    scaled = cells.join(stats, "model_id").withColumn("acc", (F.col("acc") - F.col("mean")) / F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd")))
+    columns = [f"m{i}" for i in range(len(models))]
+    wide = matrix(scaled, models).toDF("task", *columns).na.fill(0.0)
+    return models, VectorAssembler(inputCols=columns, outputCol="s").transform(wide).select("task", "s")
+
+
+def fitted(rows: DataFrame, n_models: int, k: int):
+    """A PCA of k components at most, and the sign that makes the largest loading of each positive."""
+    from pyspark.ml.feature import PCA
+
+    fit = PCA(k=min(k, n_models), inputCol="s", outputCol="p").fit(rows)
+    loadings = fit.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    return fit, np.where(signs == 0, 1, signs)
+
+
 def principal_components(cells: DataFrame, k: int = 3) -> DataFrame:
-    """Shares of variance of the first k components of standardised columns (features are models, rows are tasks)."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    """component, share, cumulative: shares of variance of the first k components of standardised columns (features are
+    models, rows are tasks)."""
+    models, rows = standardised(cells)
+    shares = fitted(rows, len(models), k)[0].explainedVariance.toArray()
+    return cells.sparkSession.createDataFrame([(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))], "component int, share double, cumulative double")
 
-    models = [str(r[0]) for r in cells.select("model_id").distinct().orderBy("model_id").limit(1000).collect()]  # features of a PCA are bounded
-    wide = matrix(cells, [int(m) for m in models]).dropna()
-    rows = VectorAssembler(inputCols=models, outputCol="v").transform(wide)
-    scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(rows).transform(rows)
-    fit = PCA(k=min(k, len(models)), inputCol="s", outputCol="p").fit(scaled)
-    return cells.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(fit.explainedVariance)], "component int, share double")
+
+def component_loadings(cells: DataFrame, k: int = 3) -> DataFrame:
+    """model_id, component, loading: unit vectors, the largest loading of each positive."""
+    models, rows = standardised(cells)
+    fit, signs = fitted(rows, len(models), k)
+    loadings = fit.pc.toArray() * signs
+    return cells.sparkSession.createDataFrame([(int(m), c + 1, float(loadings[i, c])) for i, m in enumerate(models) for c in range(loadings.shape[1])], "model_id long, component int, loading double")
+
+
+def component_scores(cells: DataFrame, k: int = 3) -> DataFrame:
+    """task, component, score: the tasks projected on the components."""
+    from pyspark.ml.functions import vector_to_array
+
+    models, rows = standardised(cells)
+    fit, signs = fitted(rows, len(models), k)
+    out = fit.transform(rows).select("task", F.posexplode(vector_to_array("p")).alias("c", "x"))
+    return out.select("task", (F.col("c") + 1).alias("component"), (F.col("x") * F.element_at(F.array(*[F.lit(float(x)) for x in signs]), F.col("c") + 1)).alias("score"))
 
 
 def horn_counts(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
     """Parallel analysis: observed shares of variance against the 95th percentile of shares of random normal tables of
     the same shape; each replicate is a group of its own."""
-    shape = cells.agg(F.countDistinct("task").alias("rows"), F.countDistinct("model_id").alias("columns"))
+    shape = filled(cells).agg(F.countDistinct("task").alias("rows"), F.countDistinct("model_id").alias("columns"))
 
     def null(frame: pd.DataFrame) -> pd.DataFrame:
         rep, rows, columns = (int(frame[c].iloc[0]) for c in ("rep", "rows", "columns"))
@@ -191,4 +255,11 @@ def horn_counts(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
 
     reps_ = cells.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(shape))
     limits = reps_.groupBy("rep").applyInPandas(null, "component int, share double").groupBy("component").agg(F.percentile("share", 0.95).alias("limit"))
-    return principal_components(cells, 10).join(limits, "component").withColumn("kept", F.col("share") > F.col("limit"))
+    return principal_components(cells, MOST_MODELS).join(limits, "component").withColumn("kept", F.col("share") > F.col("limit"))
+
+
+def effective_dimension(cells: DataFrame, target: float = 0.9, reps: int = 100) -> DataFrame:
+    """One row: n_for_target, the components whose shares first reach the target, and horn_n, those above the limits of
+    horn_counts()."""
+    short = F.count_if(F.col("cumulative") < target - 1e-12) + 1
+    return horn_counts(cells, reps).agg(F.least(short, F.count("*")).alias("n_for_target"), F.count_if("kept").alias("horn_n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +51,62 @@ def mantel(distances: DataFrame, reps: int = 200) -> DataFrame:
     return null.crossJoin(F.broadcast(observed)).groupBy("r", "pairs").agg(((F.count_if(F.col("r0") >= F.col("r") - 1e-9) + 1) / (F.count("r0") + 1)).alias("p"))
 
 
-def clusters(vectors: DataFrame, max_distance: float = 0.9, min_size: int = 3, bucket: float = 1.0, tables: int = 6, seed: int = 5) -> DataFrame:
-    """vec_id, cluster: components of pairs of unit vectors within a distance, found by locality-sensitive hashing;
-    components under min_size are -1. The hashing can miss pairs; tables and bucket set how many."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = vectors.select("vec_id", array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), norm))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxSimilarityJoin(unit, unit, max_distance, "d").where("datasetA.vec_id < datasetB.vec_id").select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"))
-    labels = components(vectors.select(F.col("vec_id").alias("id")), near)
-    size = F.count("*").over(Window.partitionBy("label"))
-    return labels.select(F.col("id").alias("vec_id"), F.when(size >= min_size, F.col("label")).otherwise(F.lit(-1)).alias("cluster"))
+#: Vectors that share a bucket of one table by chance, about; and the share of pairs at the distance that is found.
+BUCKET, RECALL = 256, 0.95
+
+
+def shape_of(n: int, max_distance: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a code and number of tables for n unit vectors: a bit is the side of a random plane, on which two vectors
+    at a distance agree with probability 1 - angle / pi."""
+    bits = max(4, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
+    agree = 1 - 2 * np.arcsin(min(max_distance, 2.0) / 2) / np.pi
+    return bits, int(np.ceil(np.log(1 - recall) / np.log1p(-(agree**bits))))
+
+
+def clusters(vectors: DataFrame, max_distance: float = 0.9, min_size: int = 3, seed: int = 5, recall: float = RECALL) -> DataFrame:
+    """vec_id, cluster: components of pairs of unit vectors within a distance; components under min_size are -1.
+
+    Locality-sensitive hashing: every vector has a code in each table, and vectors that share one are compared exactly.
+    Pairs at max_distance meet with probability recall, nearer ones with more. A bucket gives a link for each member at
+    most, to the vector from which it was reached, so a bucket of near-equal vectors takes linear time. Equal vectors are
+    one. A null vector is in no cluster. Further columns don't matter.
+    """
+    known = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    firsts = known.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
+    n, width = firsts.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    bits, tables = shape_of(n, max_distance, recall)
+
+    def coded(batches):
+        planes = np.random.default_rng(seed).normal(size=(tables * bits, width or 1))
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            x = np.array(batch.column("embedding").to_pylist(), float).reshape(len(batch), -1)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            codes = ((x @ planes.T > 0).reshape(len(x), tables, bits) * powers).sum(2)
+            unit = pa.array(list(x), pa.list_(pa.float64()))
+            for k in range(tables):
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(np.full(len(x), k), pa.int32()), pa.array(codes[:, k], pa.int64()), unit], ["vec_id", "table", "code", "unit"])
+
+    def reached(frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids, links = np.stack(frame["unit"].to_numpy()), frame["vec_id"].to_numpy(), []
+        left = np.arange(len(ids))
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = 2 - 2 * (x[left] @ x[at]) <= max_distance * max_distance
+                links += [(ids[at], ids[i]) for i in left[near]]
+                queue += left[near].tolist()
+                left = left[~near]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    codes = firsts.select("vec_id", "embedding").mapInArrow(coded, "vec_id long, table int, code long, unit array<double>")
+    links = codes.groupBy("table", "code").applyInPandas(reached, "a long, b long").distinct()
+    parts = components(firsts.select(F.col("vec_id").alias("id")), links)
+    labels = known.join(firsts.withColumnRenamed("vec_id", "id"), "embedding").join(parts, "id").select("vec_id", "label")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    large = labels.join(sizes.where(F.col("size") >= min_size), "label").select("vec_id", F.col("label").alias("cluster"))
+    return vectors.select("vec_id").join(large, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def purity(assigned: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ def vote(predictions: DataFrame, keys: Sequence[str], weight: Column | None = No
     """Weighted plurality of each item: winner, its weight, the total, fraction and voters.
 
     Predictions that are null don't vote; weights of 0 and less don't count, though their voters do. On a tie the
-    prediction of the earliest model wins.
+    prediction of the earliest model wins; weights that differ by less than 1e-9 are a tie.
     """
     rows = predictions.where("pred is not null").withColumn("_w", weight if weight is not None else F.lit(1.0))
     voters = F.count("*").alias("voters")
     options = rows.groupBy(*keys, "pred").agg(F.sum(F.when(F.col("_w") > 0, F.col("_w"))).alias("w"), F.min(F.when(F.col("_w") > 0, F.col(order))).alias("first"), F.count_if(F.col("_w") > 0).alias("supporters"), voters)
-    top = F.max_by(F.struct("pred", "w", "supporters"), F.struct("w", (-F.col("first")).alias("early")))
+    top = F.max_by(F.struct("pred", "w", "supporters"), F.struct(F.round("w", 9).alias("even"), (-F.col("first")).alias("early")))
     out = options.groupBy(*keys).agg(top.alias("top"), F.sum("w").alias("total"), F.sum("voters").alias("voters")).where("total > 0")
     return out.select(*keys, F.col("top.pred").alias("winner"), F.col("top.w").alias("winner_weight"), F.col("total"), (F.col("top.w") / F.col("total")).alias("fraction"), F.col("top.supporters").alias("supporters"), "voters")
 
@@ -59,10 +59,12 @@ def sweep(votes: DataFrame, gold: DataFrame, thresholds: Sequence[float] = THRES
 
 
 def ranks(cells: DataFrame) -> DataFrame:
-    """cells (task, model_id, acc) with rank in the task, its linear and its harmonic weight."""
+    """cells (task, model_id, acc) with rank in the task, its linear and its harmonic weight, and points: the linear
+    weight in whole numbers, so that sums of it are exact."""
     by = Window.partitionBy("task").orderBy(F.col("acc").desc(), "model_id")
     n = F.count("*").over(Window.partitionBy("task"))
     ranked = cells.withColumn("rank", F.row_number().over(by)).withColumn("n_models", n)
+    ranked = ranked.withColumn("points", (F.col("n_models") - F.col("rank") + 1).cast("long"))
     return ranked.withColumn("linear", (F.col("n_models") - F.col("rank") + 1) / F.col("n_models")).withColumn("harmonic", 1 / F.col("rank"))
 
 

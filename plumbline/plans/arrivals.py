@@ -1,25 +1,19 @@
 """Queries that stream derived responses through files of the shared folder."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..sources import files
+from ..sources.folders import new_folder, read_once
 from ..streaming import arrivals
 from .registry import add
 
 SCHEMA = "task string, model_id long, idx long, gold string, text string"
 
 
-def shared(spark) -> str:
-    """A new folder that all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/arrivals-{uuid.uuid4()}"
-
-
 def landed(t):
     """Answers as JSON files, in three deliveries of which the last repeats rows of the first."""
-    folder = shared(t.spark)
+    folder = new_folder(t.spark, "arrivals")
     for part in ("idx % 2 = 0", "idx % 2 = 1", "idx % 10 = 0"):
         t.answers.where(part).write.mode("append").json(f"{folder}/in")
     return folder
@@ -31,19 +25,19 @@ def scored(rows):
 
 def incremental(t):
     folder = landed(t)
-    return arrivals.score_arrivals(arrivals.arriving(t.spark, f"{folder}/in", SCHEMA, 4), scored, f"{folder}/out", f"{folder}/log")
+    return read_once(arrivals.score_arrivals(arrivals.arriving(t.spark, f"{folder}/in", SCHEMA, 4), scored, f"{folder}/out", f"{folder}/log"), folder)
 
 
 def running(t):
     folder = landed(t)
-    return arrivals.latest(arrivals.running_accuracy(scored(arrivals.arriving(t.spark, f"{folder}/in", SCHEMA))), f"{folder}/out", f"{folder}/log")
+    return read_once(arrivals.latest(arrivals.running_accuracy(scored(arrivals.arriving(t.spark, f"{folder}/in", SCHEMA))), f"{folder}/out", f"{folder}/log"), folder)
 
 
 def refreshed(t):
-    path = shared(t.spark) + "/cells"
+    path = new_folder(t.spark, "cells")
     files.refresh(t.cells.withColumn("acc", F.lit(0.0)), path, ("task",))
     files.refresh(t.cells.where("task < 'src5'"), path, ("task",))
-    return t.spark.read.parquet(path).groupBy("task").agg(F.count("*").alias("n"), F.sum("acc").alias("acc"))
+    return read_once(t.spark.read.parquet(path).groupBy("task").agg(F.count("*").alias("n"), F.sum("acc").alias("acc")), path)
 
 
 LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"

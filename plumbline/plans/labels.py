@@ -32,11 +32,11 @@ add(
 )
 RANKED = "SELECT task, model_id, acc, row_number() OVER (PARTITION BY task ORDER BY acc DESC, model_id) AS rank, count(*) OVER (PARTITION BY task) AS n_models FROM cells"
 add("g05_rank_weights", lambda t: votes.ranks(t.cells).select("task", "model_id", F.col("rank").cast("long").alias("rank"), "linear", "harmonic"), "SELECT task, model_id, rank, (n_models - rank + 1) / n_models AS linear, 1 / rank AS harmonic FROM ranked", ranked=RANKED)
-WEIGHTED = "SELECT p.task, p.idx, p.gold, pred, sum((n_models - rank + 1) / n_models) AS w, min(p.model_id) AS first FROM predictions p JOIN ranked r ON p.task = r.task AND p.model_id = r.model_id WHERE pred IS NOT NULL GROUP BY ALL"
+WEIGHTED = "SELECT p.task, p.idx, p.gold, pred, sum(n_models - rank + 1) AS w, min(p.model_id) AS first FROM predictions p JOIN ranked r ON p.task = r.task AND p.model_id = r.model_id WHERE pred IS NOT NULL GROUP BY ALL"
 add(
     "g05_weighted_vote",
-    lambda t: votes.vote(t.predictions.join(votes.ranks(t.cells).select("task", "model_id", "linear"), ["task", "model_id"]), ["task", "idx"], F.round("linear", 6)).select("task", "idx", "winner", F.round("fraction", 9).alias("fraction")),
-    "SELECT task, idx, arg_max(pred, round(w, 6) * 1000000 - first / 100) AS winner, round(max(w) / sum(w), 9) AS fraction FROM weighted GROUP BY ALL",
+    lambda t: votes.vote(t.predictions.join(votes.ranks(t.cells).select("task", "model_id", "points"), ["task", "model_id"]), ["task", "idx"], F.col("points")).select("task", "idx", "winner", F.round("fraction", 9).alias("fraction")),
+    "SELECT task, idx, arg_max(pred, w * 1000 - first) AS winner, round(max(w) / sum(w), 9) AS fraction FROM weighted GROUP BY ALL",
     ranked=RANKED, weighted=WEIGHTED,
 )
 TOPK = "SELECT p.task, k, idx, gold, pred, count(*) AS n, min(p.model_id) AS first FROM predictions p JOIN ranked r ON p.task = r.task AND p.model_id = r.model_id JOIN (SELECT unnest(range(1, 11)) AS k) ON rank <= k AND k <= n_models WHERE pred IS NOT NULL GROUP BY ALL"

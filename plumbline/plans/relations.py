@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import correlation, embeddings, graphs
-from .registry import add
+from .registry import ORACLES, QUERIES, Tables, add
 
 REPS = 40
 RANKS = "SELECT task, model_id, rank() OVER (PARTITION BY task ORDER BY round(acc, 9)) + (count(*) OVER (PARTITION BY task, round(acc, 9)) - 1) / 2 AS r FROM cells"
@@ -21,7 +21,6 @@ BOOT = f"""SELECT task_a, task_b, count(tau) AS reps, quantile_cont(tau, 0.025)
   SELECT task_a, task_b, rep, sum(sx * sy) / sqrt(nullif(CAST(sum(abs(sx)) AS DOUBLE) * sum(abs(sy)), 0)) AS tau FROM (
     SELECT p.task_a, p.task_b, a.rep, sign(round(q.x - p.x, 9)) AS sx, sign(round(q.y - p.y, 9)) AS sy
     FROM drawn a JOIN drawn b ON a.rep = b.rep AND a.slot < b.slot JOIN xy p ON p.model_id = a.model_id JOIN xy q ON q.model_id = b.model_id AND p.task_a = q.task_a AND p.task_b = q.task_b) GROUP BY ALL) GROUP BY ALL"""
-DRAWN = f"SELECT rep, slot, {DRAW} AS model_id FROM (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range(10)) AS slot) QUALIFY (SELECT count(DISTINCT ((rep * 7919 + s * 104729 + rep * s * 31 + 15485863) % 1000003 * 48271 % 2147483647) % 10) FROM (SELECT unnest(range(10)) AS s)) >= 3"
 DRAWN = f"SELECT rep, slot, m AS model_id FROM (SELECT *, len(list_distinct(list(m) OVER (PARTITION BY rep))) AS k FROM (SELECT rep, slot, {DRAW} AS m FROM (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range(10)) AS slot))) WHERE k >= 3"
 
 
@@ -61,10 +60,22 @@ add(
 
 def two_protocols(t):
     judged = t.verdicts.where("judge = 'def' and not skipped").select("task", "model_id", "idx", F.col("is_correct").alias("b"))
-    return t.predictions.join(judged, ["task", "model_id", "idx"]).select("model_id", "idx", F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).alias("a"), "b")
+    return t.predictions.join(judged, ["task", "model_id", "idx"]).select("task", "model_id", "idx", F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).alias("a"), "b")
 
 
-add("c10_item_bootstrap", lambda t: correlation.item_bootstrap(two_protocols(t), 50))
+WEIGHT = " + ".join(f"CASE WHEN u >= {limit!r} THEN 1 ELSE 0 END" for limit in correlation.poisson_limits())
+add(
+    "c10_item_bootstrap",
+    lambda t: correlation.item_bootstrap(two_protocols(t), 50).select("reps", *[F.round(c, 8).alias(c) for c in ("mean", "lo", "hi")]),
+    f"""SELECT count(rho) AS reps, round(avg(rho), 8) AS mean, round(quantile_cont(rho, 0.025), 8) AS lo, round(quantile_cont(rho, 0.975), 8) AS hi FROM (
+        SELECT rep, {CORR.format(x='ra', y='rb')} AS rho FROM (
+          SELECT rep, rank() OVER (PARTITION BY rep ORDER BY round(a, 12)) + (count(*) OVER (PARTITION BY rep, round(a, 12)) - 1) / 2 AS ra,
+            rank() OVER (PARTITION BY rep ORDER BY round(b, 12)) + (count(*) OVER (PARTITION BY rep, round(b, 12)) - 1) / 2 AS rb FROM (
+            SELECT rep, model_id, sum(CASE WHEN a THEN w ELSE 0 END) / sum(w) AS a, sum(CASE WHEN b THEN w ELSE 0 END) / sum(w) AS b FROM protocols JOIN weights USING (task, idx) WHERE w > 0 GROUP BY ALL)) GROUP BY ALL)""",
+    protocols="SELECT p.task, p.model_id, p.idx, coalesce(p.pred = p.gold, FALSE) AS a, v.is_correct AS b FROM predictions p JOIN verdicts v ON p.task = v.task AND p.model_id = v.model_id AND p.idx = v.idx WHERE v.judge = 'def' AND NOT v.skipped",
+    weights=f"""SELECT task, idx, rep, {WEIGHT} AS w FROM (SELECT task, idx, rep, CAST(('0x' || substr(sha256(concat_ws(':', '0', task, CAST(idx AS VARCHAR), CAST(rep // 10 AS VARCHAR))), rep % 10 * 6 + 1, 6)) AS BIGINT) / 16777216 AS u
+        FROM (SELECT DISTINCT task, idx FROM protocols), (SELECT unnest(range(50)) AS rep))""",
+)
 THREE = "SELECT model_id, avg(CAST(coalesce(pred = gold, FALSE) AS INT)) AS x, avg(CAST(starts_with(model_response, gold) AS INT)) AS y, avg(CAST(is_correct AS INT)) AS z FROM predictions JOIN responses USING (task, model_id, idx) JOIN (SELECT * FROM verdicts WHERE judge = 'def' AND NOT skipped) USING (task, model_id, idx) GROUP BY ALL"
 
 
@@ -82,12 +93,22 @@ add(
     f"SELECT round({CORR.format(x='rx', y='ry')}, 8) AS rho_xy, round({CORR.format(x='rx', y='rz')}, 8) AS rho_xz FROM (SELECT " + ", ".join(f"rank() OVER (ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2 AS r{c}" for c in "xyz") + " FROM three)",
     three=THREE,
 )
+
+
+def sparse_cells(t):
+    """The cells, of which a quarter of the models have no value and some others lack single ones."""
+    return t.cells.withColumn("acc", F.when((F.col("model_id") % 4 != 1) & ~F.col("task").isin("src3", "src7"), F.col("acc")))
+
+
 add("c12_principal_components", lambda t: correlation.principal_components(t.cells))
+add("c12_loadings", lambda t: correlation.component_loadings(t.cells))
+add("c12_projection", lambda t: correlation.component_scores(t.cells))
 add("c13_parallel_analysis", lambda t: correlation.horn_counts(t.cells, 40))
+add("c13_effective_dimension", lambda t: correlation.effective_dimension(t.cells, reps=40))
 add(
     "c14_filled_models",
-    lambda t: t.cells.withColumn("acc", F.when(F.col("model_id") % 4 != 1, F.col("acc"))).groupBy("model_id").agg(F.count("acc").alias("n")).where("n > 0"),
-    "SELECT model_id, count(*) AS n FROM cells WHERE model_id % 4 <> 1 GROUP BY ALL",
+    lambda t: correlation.filled(sparse_cells(t)).select("task", "model_id", "acc"),
+    "SELECT task, model_id, CASE WHEN task NOT IN ('src3', 'src7') THEN acc END AS acc FROM cells WHERE model_id % 4 <> 1",
 )
 
 # embeddings
@@ -116,20 +137,21 @@ add(
         JOIN both_ e ON e.a = least(m1.as_name, m2.as_name) AND e.b = greatest(m1.as_name, m2.as_name) GROUP BY ALL) GROUP BY r, pairs""",
     flat=FLAT, unit=UNIT, cos_=COS, sizes=SIZES, both_="SELECT a, b, cosine, tau FROM cos_ JOIN sizes USING (a, b)", named="SELECT label AS name, row_number() OVER (ORDER BY label) AS pos FROM (SELECT DISTINCT label FROM embeddings)", lmoves=LMOVES,
 )
+NEAR = "SELECT p.vec_id AS a, q.vec_id AS b FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id AND 2 - 2 * list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) <= {0} * {0}"
+LINKED = "WITH RECURSIVE near_ AS (" + NEAR + "), reach(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, n.b FROM reach r JOIN near_ n ON r.reached = n.a), parts AS (SELECT id, min(reached) AS part FROM reach GROUP BY id)"
+LINKED += ", clustered AS (SELECT id AS vec_id, CASE WHEN count(*) OVER (PARTITION BY part) >= 3 THEN part ELSE -1 END AS cluster FROM parts), assigned AS (SELECT cluster, label AS grp FROM clustered JOIN embeddings USING (vec_id))"
+#: The driver's vectors have no clusters at the usual distance; at this one some do.
+WIDE = 1.05
+
+
+def assigned(t):
+    return embeddings.clusters(t.embeddings, WIDE).join(t.embeddings.select("vec_id", F.col("label").alias("grp")), "vec_id").select("cluster", "grp")
+
+
 add("b05_clusters", lambda t: embeddings.clusters(t.embeddings))
-ASSIGNED = "SELECT vec_id % 7 AS cluster, label AS grp FROM embeddings"
-add(
-    "b06_purity",
-    lambda t: embeddings.purity(t.sql(ASSIGNED)),
-    "SELECT cluster, CAST(sum(k) AS BIGINT) AS size, arg_max(grp, k * 1000 - grp) AS dominant, max(k) / sum(k) AS share, array_to_string(list(grp ORDER BY k DESC, grp)[1:3], ',') AS top3, count(*) AS groups FROM (SELECT cluster, grp, count(*) AS k FROM assigned GROUP BY ALL) GROUP BY ALL",
-    assigned=ASSIGNED,
-)
-add(
-    "b07_group_overlap",
-    lambda t: embeddings.group_overlap(t.sql(ASSIGNED)).withColumn("overlap", F.round("overlap", 9)),
-    """SELECT least(a, b) AS a, greatest(a, b) AS b, round(sum(share) / 2, 9) AS overlap FROM (SELECT p.grp AS a, q.grp AS b, sum(p.k) / min(p.total) AS share FROM counts_ p JOIN counts_ q ON p.cluster = q.cluster AND p.grp <> q.grp WHERE q.k >= q.total * 0.1 GROUP BY ALL) GROUP BY 1, 2 ORDER BY overlap DESC, a, b LIMIT 30""",
-    assigned=ASSIGNED, counts_="SELECT *, sum(k) OVER (PARTITION BY grp) AS total FROM (SELECT cluster, grp, count(*) AS k FROM assigned GROUP BY ALL)",
-)
+ORACLES["b05_clusters"] = LINKED.format(0.9) + " SELECT vec_id, cluster FROM clustered"
+add("b06_purity", lambda t: embeddings.purity(assigned(t)))
+add("b07_group_overlap", lambda t: embeddings.group_overlap(assigned(t)).withColumn("overlap", F.round("overlap", 9)))
 add(
     "b08_missing_vectors",
     lambda t: embeddings.missing_vectors(t.embeddings, t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("grp"))),
@@ -147,8 +169,6 @@ def recursive(sql: str) -> str:
     return PARTS.replace("WITH RECURSIVE ", f"WITH RECURSIVE edges AS ({EDGES}), ") + " " + sql
 
 
-from .registry import ORACLES, QUERIES, Tables  # noqa: E402
-
 QUERIES["t01_reachability"] = lambda spark, d: graphs.graph_labels(Tables(spark, d).edges).select("id", "alias_part", "part", "alias_degree", "degree")
 ORACLES["t01_reachability"] = recursive("SELECT p.id, alias_part, part, alias_degree, degree FROM (SELECT id, min(reached) AS part FROM rp GROUP BY id) p JOIN (SELECT id, min(reached) AS alias_part FROM ra GROUP BY id) q USING (id) JOIN (SELECT id, count(*) AS degree, count(CASE WHEN kind = 'alias' THEN 1 END) AS alias_degree FROM (SELECT src AS id, kind FROM edges UNION ALL SELECT dst, kind FROM edges) GROUP BY id) USING (id)")
 NAMED = "SELECT p_partkey AS item, p_partkey % 60 + 1 AS gold, (p_partkey * 7) % 60 + 1 AS pred FROM part"

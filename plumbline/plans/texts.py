@@ -84,12 +84,11 @@ policy(
 policy("e18_several_letters", extract.several_letters, f"coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(upper(text), '[A-Z]+'), lambda x: x IN ('A', 'B', 'C', 'D')))), ''), ''), nullif(array_to_string(list_sort(list_distinct({all_of('([ABCD])', 'upper(text)')})), ''), ''))")
 policy("e19_any_ids", listed(extract.any_ids), sorted_set(all_of(r"\b(T\d{4}(?:\.\d{3})?|CWE-\d+)\b", "upper(text)")))
 policy("e21_strict_ids", listed(extract.strict_ids), sorted_set(all_of(r"(T\d{4}(?:\.?\d{1,3})?)", r"list_last(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)))")))
-NAMES = "SELECT n_nationkey AS name_id, substr(lower(n_name), 1, 3) AS name FROM nation"
-ACTORS = "SELECT doc_id AS idx, lower(text) AS text FROM documents WHERE doc_id % 7 = 3"
+NAMES = "SELECT item_id, array_join(slice(split(text, ' '), 1, CAST(2 + item_id % 3 AS INT)), ' ') AS name FROM benchmark"
 add(
     "e22_longest_mention",
-    lambda t: t.documents.select(F.col("doc_id").alias("idx"), F.lower("text").alias("low")).join(F.broadcast(t.sql("SELECT DISTINCT substr(text, 1, 4) AS name FROM benchmark")), F.col("low").contains(F.lower("name"))).groupBy("idx").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count("*").alias("mentions")),
-    "SELECT idx, max(name) AS name, count(*) AS mentions FROM (SELECT doc_id AS idx, lower(text) AS low FROM documents) JOIN (SELECT DISTINCT substr(text, 1, 4) AS name FROM benchmark) ON contains(low, lower(name)) GROUP BY ALL",
+    lambda t: extract.longest_mention(t.documents.select(F.col("doc_id").alias("idx"), "text"), t.sql(NAMES), ["idx"]),
+    "SELECT idx, arg_max(name, printf('%09d', length(name)) || name) AS name, count(*) AS mentions FROM (SELECT doc_id AS idx, ' ' || lower(text) || ' ' AS low FROM documents) JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2 + item_id % 3], ' ') AS name FROM benchmark) ON contains(low, ' ' || lower(name) || ' ') GROUP BY ALL",
 )
 policy("e23_generated_letter", extract.generated_letter, r"coalesce(nullif(regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^([A-D])\b', 1), ''), nullif(regexp_extract(text, '\b([A-D])\b', 1), ''), '?')")
 LOGITS = "SELECT vec_id, [embedding[1]::DOUBLE, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE embedding[2]::DOUBLE END, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS lp FROM embeddings"
@@ -134,7 +133,7 @@ add(
 )
 
 # prompts
-FIELDS = "SELECT doc_id AS idx, source AS task, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS prompt, lang AS question, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 7 AS STRING) END AS answer, 'C' AS label FROM documents"
+FIELDS = "SELECT doc_id AS idx, source AS task, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS prompt, lang AS question, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 7 AS STRING) END AS answer, 'C' AS label FROM documents"
 add(
     "p01_fields",
     lambda t: prompts.normalised(t.sql(FIELDS.replace("AS prompt", "AS p1")), ["p1", "question"], ["answer", "label"]).select("idx", "prompt", "gold"),
@@ -145,10 +144,10 @@ add("p02_nested_gold", lambda t: t.events.select("event_id", prompts.nested_gold
 add("p03_side_gold", lambda t: t.items.join(t.labels.select(F.col("doc_id").alias("idx"), F.col("quality").cast("string").alias("side")), "idx", "left").select("idx", F.coalesce("side", "gold").alias("gold")), "SELECT idx, coalesce(CAST(quality AS VARCHAR), gold) AS gold FROM items LEFT JOIN labels ON doc_id = idx")
 add(
     "p04_mcq_prompt",
-    lambda t: t.documents.select("doc_id", prompts.mcq_prompt(F.substring("text", 1, 10), F.array("lang", "source", F.lit("x"), F.lit("y"), F.lit("z"))).alias("prompt")),
-    "SELECT doc_id, concat_ws(chr(10), substr(text, 1, 10), concat('A) ', lang), concat('B) ', source), 'C) x', 'D) y') AS prompt FROM documents",
+    lambda t: t.documents.select("doc_id", prompts.mcq_prompt(F.col("text"), F.array("lang", "source", F.lit("x"), F.lit("y"), F.lit("z"))).alias("prompt")),
+    "SELECT doc_id, concat_ws(chr(10), text, concat('A) ', lang), concat('B) ', source), 'C) x', 'D) y') AS prompt FROM documents",
 )
-PROMPT = "SELECT source AS task, doc_id AS idx, substr(text, 1, 12) AS prompt FROM documents"
+PROMPT = "SELECT source AS task, doc_id AS idx, text AS prompt FROM documents"
 add(
     "p05_few_shot",
     lambda t: prompts.few_shot(t.sql(PROMPT).where("idx % 2 = 1"), t.sql(PROMPT).where("idx % 2 = 0").select("task", F.col("idx").alias("ord"), F.col("prompt").alias("shot")), 3).select("task", "idx", "prompt"),
@@ -160,10 +159,20 @@ ORDER = "(idx * 7919 + {0} * 104729) % 1000003 * 48271 % 2147483647, idx"
 add("p07_split", lambda t: prompts.split(t.sql(PROMPT), 2, 20).select("task", "idx", "part"), f"SELECT task, idx, CASE WHEN n <= 2 THEN 'shot' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY {ORDER.format(42)}) AS n FROM prompt_) WHERE n <= 22", prompt_=PROMPT)
 add("p08_stratified", lambda t: prompts.stratified(t.sql(PROMPT), 15).select("task", "idx"), f"SELECT task, idx FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY {ORDER.format(0)}) AS n FROM prompt_) WHERE n <= 15", prompt_=PROMPT)
 add("p09_head", lambda t: prompts.head(t.sql(PROMPT), 5).select("task", "idx"), "SELECT task, idx FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY idx) AS n FROM prompt_) WHERE n <= 5", prompt_=PROMPT)
-add("p10_without_chinese", lambda t: prompts.without_chinese(t.documents.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring("text", 1, 5), F.lit("日本"))).otherwise(F.substring("text", 1, 5)).alias("t")), "t").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0")
+MIXED = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, '日本') ELSE text END AS t FROM documents"
+add("p10_without_chinese", lambda t: prompts.without_chinese(t.sql(MIXED), "t").select("doc_id"), "SELECT doc_id FROM mixed_ WHERE NOT regexp_matches(t, '[\\x{4E00}-\\x{9FFF}]')", mixed_=MIXED)
 add("p11_valid_rows", lambda t: t.documents.where((F.col("lang") == "en") & (F.trim("text") != "") & F.col("source").isNotNull()).select("doc_id"), "SELECT doc_id FROM documents WHERE lang = 'en' AND trim(text) <> '' AND source IS NOT NULL")
-NOISY = "SELECT doc_id, concat(substr(text, 1, 30), CASE doc_id % 4 WHEN 0 THEN ' Answer with the option letter from the given choices directly.' WHEN 1 THEN concat(chr(10), 'Answer: ') WHEN 2 THEN ' Ensure the last line of your response contains only the CWE ID.' ELSE ' plain' END) AS text FROM documents"
-add("p12_boilerplate", lambda t: t.sql(NOISY).select("doc_id", text.without_boilerplate(F.col("text")).alias("text")), r"SELECT doc_id, regexp_replace(concat(substr(text, 1, 30), CASE doc_id % 4 WHEN 3 THEN ' plain' ELSE '' END), '^\s+|\s+$', '', 'g') AS text FROM documents")
+PLANTED = (
+    " Choose the correct answer (A, B, C, or D) only. Always return in this format: ''ANSWER: X''.", " Return your answer as a single uppercase letter: A, B, C, or D. **Important:** The last line of your answer should contain only the single letter corresponding to the best option, with no additional text.",
+    " Answer with the option letter (A, B, C, D) from the given choices directly.", " answer with the option letter from the given choices directly", " Ensure the final line contains only the IDs for the main techniques, separated by commas, excluding any subtechnique IDs.", " Provide the MITRE technique IDs as a comma separated list.",
+    " Ensure the final line of your response contains only the CVSS v3 Vector String in the following format: x. Example format: CVSS:3.1/AV:N", " Ensure the final line of your response contains only the CVSS v3 Vector String.", " Return your answer as either T (for True) or F (for False). If you do not know the answer, return X. Provide only the letter corresponding to your choice (T, F, or X) without any additional text or explanations.",
+    " Ensure the last line of your response contains only the CWE ID.", "~Answer: ", " plain",
+)
+NOISY = "SELECT doc_id, concat(text, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN replace('{p}', '~', chr(10))" for i, p in enumerate(PLANTED)) + " END) AS text FROM documents"
+STRIPPED = "text"
+for pattern in text.BOILERPLATE:
+    STRIPPED = "regexp_replace({}, '(?im){}', '', 'g')".format(STRIPPED, pattern.replace("'", "''"))
+add("p12_boilerplate", lambda t: t.sql(NOISY).select("doc_id", text.without_boilerplate(F.col("text")).alias("text")), rf"SELECT doc_id, regexp_replace({STRIPPED}, '^\s+|\s+$', '', 'g') AS text FROM noisy", noisy=NOISY)
 
 
 def turns(t):
@@ -202,12 +211,6 @@ add(
 )
 
 # sources that are queries over tables
-add("s03_models", lambda t: t.verdicts.select(F.concat(F.lit("m"), F.col("model_id").cast("string"), F.when(F.col("judge") != "def", F.concat(F.lit("_"), "judge")).otherwise("")).alias("dir")).distinct().where(~F.col("dir").contains("_smoke")).select(F.regexp_replace("dir", "_v[12]$", "").alias("model")).distinct(), "SELECT DISTINCT concat('m', CAST(model_id AS VARCHAR)) AS model FROM verdicts")
-add(
-    "s09_option_letters",
-    lambda t: t.embeddings.select("vec_id", F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), F.array_position(F.slice("embedding", 1, 4), F.array_max(F.slice("embedding", 1, 4))).cast("int")).alias("letter")),
-    "SELECT vec_id, substr('ABCD', list_position(embedding[1:4], list_max(embedding[1:4])), 1) AS letter FROM embeddings",
-)
 add(
     "s11_first_available",
     lambda t: agreement.first_available(t.verdicts.where("not (judge = 'def' and model_id % 2 = 0)"), t.judges).groupBy("task", "model_id").agg(F.max("judge").alias("judge"), F.count("*").alias("n")),

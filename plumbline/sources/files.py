@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESPONSE = "task string, index string, prompt string, ground_truth string, model_response string, metadata string"
@@ -14,9 +14,10 @@ VERDICT = (
     "index string, question string, ground_truth string, model_response string, extracted_answer string, judge_response string, judge_justification string, is_correct boolean, skipped boolean, "
     "extracted_vector string, extraction_success boolean, mad double, tp int, fp int, fn int, exact_match boolean, score int, reason string"
 )
-#: Where model, task and judge stand in a path.
-RESPONSE_PATH = r"responses_([^/]+)/([^/]+?)_responses\.jsonl"
-VERDICT_PATH = r"([^/]+?)_judge_([^/]+?)(_v1|_v2|__by_[^/]+)?/([^/]+?)_detailed\.jsonl"
+#: Where model, task and judge stand in a path, in folders with a name or of the form column=name.
+RESPONSE_PATH = r"(?:^|[/=])responses_([^/]+)/(?:[^/=]+=)?([^/]+?)_responses\.jsonl"
+VERDICT_PATH = r"(?:^|[/=])([^/=]+?)_judge_([^/]+?)(_v1|_v2|__by_[^/]+)?/(?:[^/=]+=)?([^/]+?)_detailed\.jsonl"
+MODEL_PATH = r"(?:^|[/=])(?:responses|judge)_([^/]+)/"
 
 
 def with_path(rows: DataFrame) -> DataFrame:
@@ -37,6 +38,18 @@ def verdict_tree(spark: SparkSession, root: str, schema: str = VERDICT, names: s
     return rows.select("*", *parts).drop("_path")
 
 
+def discovered(spark: SparkSession, root: str, order: Sequence[str] = (), names: str = "*") -> DataFrame:
+    """model, place: the models with a folder responses_... or judge_... below root, without smoke tests and verdicts by
+    other judges, and without suffixes of versions; those of order first, in it, then the others by name. Only paths
+    are read."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root).select("path")
+    model = F.regexp_extract("path", MODEL_PATH, 1)
+    found = paths.select(model.alias("model")).where("model <> '' and not endswith(model, '_smoke') and not contains(model, '__by_')")
+    found = found.select(F.regexp_replace("model", "_v[12]$", "").alias("model")).distinct()
+    known = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(m) for m in order]).cast("array<string>"), F.col("model")), F.lit(0)), F.lit(1 << 40))
+    return found.select("model", F.row_number().over(Window.orderBy(known, "model")).cast("long").alias("place"))  # a row for each model
+
+
 def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines without the broken ones."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -116,6 +129,29 @@ def write(rows: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...]
     rows.repartition(*keys).write.mode("overwrite").partitionBy(*keys).format(form).save(path) if keys else rows.write.mode("overwrite").format(form).save(path)
 
 
+SUMMARY = "tasks map<string,struct<accuracy:double,correct:bigint,total:bigint>>, total_correct bigint, total_samples bigint, overall_accuracy double"
+
+
+def write_summary(cells: DataFrame, path: str) -> None:
+    """A summary for each model, as one JSON document in the model's folder. cells: model, task, correct, total."""
+    cell = F.struct("task", F.struct((F.col("correct") / F.col("total")).alias("accuracy"), "correct", "total").alias("cell"))
+    of = cells.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("tasks"), F.sum("correct").alias("total_correct"), F.sum("total").alias("total_samples"))  # a cell for each task
+    whole = of.withColumn("overall_accuracy", F.col("total_correct") / F.col("total_samples"))
+    whole.select("model", F.to_json(F.struct("tasks", "total_correct", "total_samples", "overall_accuracy")).alias("value")).write.mode("overwrite").partitionBy("model").text(path)
+
+
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    """model, task, accuracy, correct, total, overall_accuracy of the summaries below path."""
+    rows = spark.read.schema(f"{SUMMARY}, model string").json(path)
+    return rows.select("model", "overall_accuracy", F.explode("tasks").alias("task", "cell")).select("model", "task", "cell.*", "overall_accuracy")
+
+
+def write_table(cells: DataFrame, path: str, models: Sequence) -> None:
+    """A CSV table with a row for each task and a column for each of the models: accuracies of four places, or NA."""
+    shown = cells.groupBy("task").pivot("model", list(models)).agg(F.first(F.format_string("%.4f", F.col("acc"))))
+    shown.na.fill("NA").orderBy("task").write.mode("overwrite").option("header", True).csv(path)
+
+
 def refresh(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
     """Replaces only the partitions that rows has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -2,9 +2,12 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import agreement, correlation, scores, votes
+from plumbline.functions import extract
+from plumbline.operators import agreement, correlation, embeddings, scores, votes
 from plumbline.plans.registry import Tables
 from plumbline.sources import files
 from plumbline.streaming import arrivals
@@ -62,11 +65,112 @@ def test_tau_and_constant_columns(spark):
 
 
 def test_item_bootstrap_of_equal_protocols(spark):
-    rows = spark.createDataFrame([(m, i, (i * 7 + m) % 10 < m, (i * 7 + m) % 10 < m) for m in range(1, 6) for i in range(200)], "model_id long, idx long, a boolean, b boolean")
+    rows = spark.createDataFrame([(t, m, i, (i * 7 + m) % 10 < m, (i * 7 + m) % 10 < m) for t in "st" for m in range(1, 6) for i in range(100)], "task string, model_id long, idx long, a boolean, b boolean")
     r = correlation.item_bootstrap(rows, 20).first()
     assert r.reps == 20 and abs(r.mean - 1.0) < 1e-9
 
 
+def test_bootstrap_of_models_with_any_ids(spark):
+    rows = [(t, m, (k * (3 if t == "a" else 2)) % 7 / 7) for t in "ab" for k, m in enumerate((-4, 17, 1000, 2000, 5, 6))]
+    cells = spark.createDataFrame(rows, "task string, model_id long, acc double")
+    renamed = spark.createDataFrame([(t, sorted((-4, 17, 1000, 2000, 5, 6)).index(m), a) for t, m, a in rows], "task string, model_id long, acc double")
+    one, two = (correlation.bootstrap_tau(c, 60).first() for c in (cells, renamed))
+    assert one == two and one.reps > 50
+
+
+def test_principal_components_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=(9, 4)) @ rng.normal(size=(4, 4))
+    rows = [(f"t{i}", m, float(table[i, k]) if (i, k) != (2, 1) else None) for i in range(9) for k, m in enumerate((3, 8, 11, 40))] + [(f"t{i}", 99, None) for i in range(9)]
+    cells = spark.createDataFrame(rows, "task string, model_id long, acc double")
+    x = table.copy()
+    x[2, 1] = np.delete(table[:, 1], 2).mean()
+    sd = np.array([np.delete(table[:, 1], 2).std() if k == 1 else table[:, k].std() for k in range(4)])
+    x = (x - x.mean(0)) / sd
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    sign = np.array([np.sign(v[np.abs(v).argmax()]) for v in vt])
+    shares = correlation.principal_components(cells, 4).orderBy("component").collect()
+    assert np.allclose([r.share for r in shares], s**2 / (s**2).sum()) and abs(shares[-1].cumulative - 1) < 1e-9
+    loadings = {(r.model_id, r.component): r.loading for r in correlation.component_loadings(cells, 3).collect()}
+    assert len(loadings) == 12 and all(abs(loadings[m, c + 1] - sign[c] * vt[c, k]) < 1e-6 for k, m in enumerate((3, 8, 11, 40)) for c in range(3))
+    scores_ = {(r.task, r.component): r.score for r in correlation.component_scores(cells, 3).collect()}
+    assert len(scores_) == 27 and all(abs(scores_[f"t{i}", c + 1] - sign[c] * u[i, c] * s[c]) < 1e-6 for i in range(9) for c in range(3))
+    r = correlation.effective_dimension(cells, 0.9, reps=20).first()
+    assert r.n_for_target == int(np.searchsorted(np.cumsum(s**2 / (s**2).sum()), 0.9) + 1) and 0 <= r.horn_n <= 4
+
+
+def test_clusters_find_near_pairs(spark):
+    """Recall of links and components against brute force: families of vectors at and within the distance."""
+    rng, rows = np.random.default_rng(2), []
+    for _ in range(150):
+        at = rng.normal(size=64)
+        at /= np.linalg.norm(at)
+        for _ in range(int(rng.integers(1, 5))):
+            off = rng.normal(size=64)
+            off -= off @ at * at
+            angle = rng.uniform(0.1, 0.92)
+            rows.append(np.cos(angle) * at + np.sin(angle) * off / np.linalg.norm(off))
+    rows += [rows[0], rows[0]]
+    x = np.array(rows, dtype=np.float32)
+    x64 = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = 2 - 2 * x64 @ x64.T <= 0.81
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(9999, None, 0)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.cluster for r in embeddings.clusters(vectors, 0.9, 1).collect()}
+    pairs = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 100 and found >= 0.9 * len(pairs) and all(got[i] != got[j] or label[i] == label[j] for i in range(80) for j in range(i))
+    assert got[len(x) - 1] == got[0] and got[9999] == -1
+
+
+def test_longest_mention(spark):
+    texts = spark.createDataFrame([(1, "we saw Red Fox and the red fox den"), (2, "redfox"), (3, None), (4, "")], "idx long, text string")
+    names = spark.createDataFrame([("red fox",), ("Red Fox Den",), ("fox",), ("den",), ("fox",)], "name string")
+    assert [tuple(r) for r in extract.longest_mention(texts, names, ["idx"]).collect()] == [(1, "Red Fox Den", 4)]
+
+
+def test_model_discovery(spark, tmp_path):
+    for name in ("responses_b", "responses_a_v1", "judge_a", "judge_c__by_x", "responses_d_smoke", "judge_e_v2", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.jsonl").write_text("{}")
+    got = [(r.model, r.place) for r in files.discovered(spark, str(tmp_path), ["e", "z"]).orderBy("place").collect()]
+    assert got == [("e", 1), ("a", 2), ("b", 3)]
+
+
+def test_summaries_and_tables(spark, tmp_path):
+    cells = spark.createDataFrame([("m1", "t", 1, 4), ("m1", "u", 3, 4), ("m2", "t", 0, 2)], "model string, task string, correct long, total long")
+    files.write_summary(cells, str(tmp_path / "s"))
+    got = {(r.model, r.task): (r.accuracy, r.correct, r.total, r.overall_accuracy) for r in files.summaries(spark, str(tmp_path / "s")).collect()}
+    assert got == {("m1", "t"): (0.25, 1, 4, 0.5), ("m1", "u"): (0.75, 3, 4, 0.5), ("m2", "t"): (0.0, 0, 2, 0.0)}
+    files.write_table(cells.selectExpr("model", "task", "correct / total AS acc"), str(tmp_path / "t"), ["m1", "m2"])
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "t")).collect())) == [("t", "0.2500", "0.0000"), ("u", "0.7500", "NA")]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from plumbline.sources import folders
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isEmpty = lambda self: True
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        folders.shared_folder(Session())
+
+
 def test_response_tree(spark, tmp_path):
     for model, task, lines in [("m1", "cti-mcq", ['{"index": "1", "model_response": "A"}', "broken {", '{"index": "2", "metadata": "{\\"x\\": 1}"}']), ("m2", "vsp", ['{"index": "9"}']), ("m3_smoke", "vsp", ['{"index": "1"}'])]:
         folder = tmp_path / f"responses_{model}"
