@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from . import blobs
 from .common import LOWER, checkpointed, id_blocks, mix, slices, span_hashes, windows, word_spans
-from .graph import components
 
 WORDS = 4
 PERCENT = 85
 #: N-grams that a task's stored and probing sets have, at most (6 bytes each); one set may have more.
-STORED, PROBING = 1 << 21, 1 << 20
+STORED, PROBING = 1 << 19, 1 << 18
 #: N-grams are told apart by the first 48 of 64 bits: among 10^13 n-grams about ten are mistaken for one of a given set.
 KEPT = np.uint64((1 << 64) - (1 << 16))
 #: Text bytes for each byte of a question, about.

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import line_dedup, ngram_join, quality_rules, substring_dedup
-from plumbline.llm.graph import components
+from plumbline.operators.graphs import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
