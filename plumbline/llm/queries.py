@@ -90,21 +90,65 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+LINES_SQL = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM split),
+wordy AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS after
+  FROM counted WHERE words > 0),
+windows AS (
+  SELECT a.doc_id, a.seq AS first, z.seq AS last FROM wordy a ASOF JOIN wordy z ON a.doc_id = z.doc_id AND a.before + 50 <= z.after
+  UNION SELECT z.doc_id, a.seq, z.seq FROM wordy z ASOF JOIN wordy a ON a.doc_id = z.doc_id AND z.after - 50 >= a.before),
+texts AS (SELECT w.doc_id, first, last, string_agg(line, chr(10) ORDER BY seq) AS run FROM windows w JOIN wordy l ON l.doc_id = w.doc_id AND l.seq BETWEEN first AND last GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM texts) WHERE nth > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.pos FROM later r JOIN wordy l ON l.doc_id = r.doc_id AND l.seq BETWEEN first AND last),
+kept AS (SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS removed_lines FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES |= {"op1_line_dedup": op1_line_dedup}
+ORACLES |= {"op1_line_dedup": LINES_SQL}
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+BYTES_SQL = r"""
+WITH given AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS i FROM given WHERE length(h) >= 200),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 200)) AS string FROM starts),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY string ORDER BY doc_id, i) AS nth FROM strings) WHERE nth > 1),
+fresh AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS new FROM later),
+numbered AS (SELECT *, count_if(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM fresh),
+runs AS (SELECT doc_id, run, min(i) AS first, max(i) + 99 AS last FROM numbered GROUP BY ALL),
+gaps AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM runs),
+cut AS (SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (first - before - 1)), '' ORDER BY run) || substr(any_value(h), 2 * max(last) + 1) AS kept FROM gaps JOIN given USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM given LEFT JOIN cut USING (doc_id)
+"""
+
 QUERIES |= {"op10_suffix_array_dedup": op10_suffix_array_dedup}
+ORACLES |= {"op10_suffix_array_dedup": BYTES_SQL}
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+JOIN_SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM worded),
+sizes AS (SELECT doc_id, len(grams) AS n FROM sets),
+single AS (SELECT doc_id, hash(unnest(grams)) AS gram FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM single a JOIN single b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM reach JOIN both_ ON reached = a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM sizes JOIN (SELECT id, min(reached) AS component_id FROM reach GROUP BY id) ON id = doc_id
+"""
+
 QUERIES |= {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+ORACLES |= {"op3_ngram_jaccard_join": JOIN_SQL}
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
