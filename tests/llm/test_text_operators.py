@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -51,6 +52,47 @@ def test_rules_learn_a_threshold(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(60))
 
 
+def brute_test(x, bad):
+    """The best threshold of any column by FOIL gain, by trying all."""
+    best, base = (0.0, None), math.log2(bad.sum() / len(bad))
+    for k in range(x.shape[1]):
+        values = sorted(set(x[:, k]))
+        for limit in [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]:
+            for most in (True, False):
+                met = (x[:, k] <= limit) if most else (x[:, k] > limit)
+                p = int(bad[met].sum())
+                gain = p * (math.log2(p / met.sum()) - base) if p else 0.0
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f"f{k}", most, limit))
+    return best
+
+
+def test_best_threshold_against_all():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        x, bad = rng.integers(0, 6, size=(40, 3)).astype(float), rng.random(40) < 0.4
+        got, (gain, want) = quality_rules.best_test(x, bad, ["f0", "f1", "f2"]), brute_test(x, bad)
+        met = quality_rules.holds([got], x, ["f0", "f1", "f2"])
+        p = int(bad[met].sum())
+        assert p * (math.log2(p / met.sum()) - math.log2(bad.sum() / 40)) == pytest.approx(gain) and want is not None
+
+
+def test_verdicts_against_plain_code(spark):
+    """The fitted list applied by hand: statistics counted in Python, rules tried in order, the first that holds rejects."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = quality_rules.fit(quality_rules.statistics(docs), labels)
+    judged = by_id(quality_rules.judge(docs, labels))
+    for d in docs.collect():
+        r, n = judged[d.doc_id], counts(d.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        base = n[0] < 20 or 100 * n[4] > 30 * n[0]
+        names = {c: r[c] for c in quality_rules.COUNTS} | {"greatest": max, "double": float}
+        value = {name: eval(expression, {}, names) for name, expression in quality_rules.FEATURES.items()}
+        rule = next((k for k, rule in enumerate(rules, 1) if all((value[f] <= limit) if most else (value[f] > limit) for f, most, limit in rule.tests)), None)
+        assert (r.base_failed, r.rule, r.kept) == (base, rule, not base and rule is None)
+    assert rules and all(rule.precision >= 0.9 for rule in rules)
+
+
 def test_rules_without_labels_or_documents(spark, hard_docs, no_docs, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     for r in quality_rules.judge(hard_docs, none).collect():
@@ -342,6 +384,31 @@ def water_levels(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
+def plan_brute(rows, seed=17):
+    """Copies of (doc_id, source, words): systematic sampling by hand, one offset a source."""
+    sizes = collections.Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    targets, out = water_levels(dict(sizes)), {}
+    for source in sizes:
+        own = sorted((n, i) for i, s, n in rows if s == source)
+        order = own[::2] + own[1::2][::-1]
+        shift = int(hashlib.md5(f"{seed}:{chr(0) if source is None else source}".encode()).hexdigest()[:4], 16) / 65536
+        step = targets[source] / sizes[source] if sizes[source] else 0.0
+        for place, (_, i) in enumerate(order, 1):
+            out[i] = min(math.floor(place * step + shift) - math.floor((place - 1) * step + shift), 3)
+    return out
+
+
+def test_mixing_against_plain_code(spark):
+    rng = random.Random(6)
+    data = [(i, " ".join(["w"] * min(int(rng.expovariate(0.02)), 400)), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = plan_brute([(i, s, len(t.split())) for i, t, s in data])
+    assert {r.doc_id: r.copies for r in mixing.mix_plan(docs).collect()} == want
+    assert collections.Counter(r.doc_id for r in mixing.mixed(docs).collect()) == {i: n for i, n in want.items() if n}
+
+
 def test_mixing(spark, hard_docs, no_docs, clashing):
     data = [(i, " ".join(["w"] * (i % 37)), f"s{i % 7}" if i % 7 else None) for i in range(2000)] + [(5000 + i, "tiny text", "a") for i in range(9)] + [(6000, None, "zero"), (6001, "", "zero")]
     docs = spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, source string, copies long")
