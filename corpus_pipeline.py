@@ -1,4 +1,8 @@
-"""A training-data pipeline over the table documents: each stage is one operator of plumbline.llm."""
+"""A training-data pipeline over the table documents: each stage is one operator of plumbline.llm.
+
+Every stage takes documents with any further columns, of any names, and passes them on (the last one gives tokens). An
+empty table gives an empty table. What a stage does with nulls, ties and repeated rows its function says.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,19 @@ NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. The rules are learned from the labelled documents among docs."""
+    """Documents that the quality rules reject go. The rules are learned from the labelled documents among docs.
+
+    A null, empty or very short text goes. Repeated rows are kept or go together, a null doc_id has no label.
+    """
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go from the texts, n_chars follows; a text of which nothing is left goes."""
+    """Later copies of repeated runs of lines go from the texts, n_chars follows; a text of which nothing is left goes.
+
+    Of rows with equal doc_id and text one counts as first; null ids come before all others. A null text, or one without
+    a word, that loses no line stays as it is.
+    """
     cut = line_dedup.dedup_lines(docs)
     left = (F.col("removed_lines") == 0) | (F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r")) != "")
     n_chars = F.when(F.col("removed_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long")
@@ -27,17 +38,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one of least doc_id."""
+    """One document of each group of linked documents stays, the one of least doc_id.
+
+    Rows that share this doc_id all stay, as do rows without words, with a null text or with a null doc_id.
+    """
     return ngram_join.first_of_each(docs, SHINGLE_WORDS, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come in as many copies (none to three) as the targets of their sources ask for."""
+    """Documents come in as many copies (none to three) as the targets of their sources ask for.
+
+    A null source is one of its own, the last; a null text has no words; repeated rows are documents of their own; ties
+    of size stand by doc_id. A source without words comes to nothing.
+    """
     return mixing.mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids of each document of the mix. A null or empty text has none; repeated rows are alike, null ids stay."""
     return sentence_pieces.encode_documents(docs)
 
 
