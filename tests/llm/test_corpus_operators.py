@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +68,15 @@ def test_line_runs(spark, lists):
         assert [got[i] for i in range(len(texts))] == line_brute(texts, 7)
 
 
+def test_copies_of_long_texts():
+    """A copied text of many MB loses its lines without a set of all places."""
+    text = "\n".join(f"line {i} of a long text" for i in range(400_000))
+    batch = pa.RecordBatch.from_pydict({"_row": [1, 2], "_text": [text, text], "_spans": [None, [{"seq": 0, "need": 399_999}]], "_copy": [2, 1]})
+    began = time.time()
+    (out,) = line_dedup.rewriter(50)([batch])
+    assert out.column("_text").to_pylist() == ["", "line 399999 of a long text"] and out.column("_removed").to_pylist() == [400_000, 399_999] and time.time() - began < 20
+
+
 def byte_brute(texts, length):
     seen, out = set(), []
     for text in texts:
