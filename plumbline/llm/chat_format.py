@@ -18,13 +18,15 @@ ASSISTANT = "assistant"
 CONTROL = r"(\\*)(<turn>|</turn>|###)"
 CONTROL_BACK = r"\\(\\*)(<turn>|</turn>|###)"
 
-DELTAS = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("delta", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
 EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
 DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 #: A batch of full examples ends once it has so many code points.
 BATCH_CHARS = 4_000_000
 
 
+FORMATTED = ("conv_id", "place", "is_reply", "piece", "n")
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -45,64 +47,56 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", text("role"), text("text"))
 
 
-def examples(conversations: DataFrame) -> DataFrame:
-    """One row per example: conv_id, example, delta, loss_from, loss_to.
+def formatted(conversations: DataFrame) -> DataFrame:
+    """One row per turn: conv_id, place (from 1), is_reply, piece (the turn as the template writes it), n (code points of
+    its text there).
 
-    Example k of a conversation is trained on its k-th assistant turn; its text is the deltas of examples 1 to k,
-    each holding the turns since the reply before and then this reply. Only the code points of delta from loss_from
-    up to loss_to (counted from 0, the end not included) carry loss; earlier deltas are context. So the expansion
-    takes as much room as the conversations, however long they are; expand() writes the texts out. Turns after the last assistant
-    turn (or all, without one) are a last row without loss, so that the output holds every turn. Turns are ordered
-    by turn (null first), then role, then text; repeated rows are turns of their own. A null conv_id is a
-    conversation of its own. No rows give no examples.
+    Turns are ordered by turn (null first), then role, then text; repeated rows are turns of their own. A null conv_id
+    is a conversation of its own. Rows of a conversation stand together, in order; they are rows all the way, so a
+    long run of turns between two replies is no large value.
     """
-    turns = turns_of(conversations)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    reply = (F.col("role") == ASSISTANT).cast("int")
-    rows = turns.select(
-        "conv_id",
-        F.row_number().over(order).alias("place"),
-        (F.sum(reply).over(order.rowsBetween(Window.unboundedPreceding, 0)) - reply).alias("before"),
-        (F.col("role") == ASSISTANT).alias("is_reply"),
-        F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(HEAD + "\n")).alias("head"),
-        escape(F.col("text")).alias("body"),
-    )
-    piece = F.struct("place", "is_reply", "head", "body")
-    packed = rows.groupBy("conv_id", "before").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
-    full = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n"))), "")
-    last = F.element_at("turns", -1)
-    end = F.char_length("delta") - len(CLOSE + "\n")
-    return packed.select("conv_id", (F.col("before") + 1).alias("example"), full.alias("delta"), last["is_reply"].alias("is_reply"), F.char_length(last["body"]).alias("n")).select(
-        "conv_id", "example", "delta", F.when(F.col("is_reply"), end - F.col("n")).cast("long").alias("loss_from"), F.when(F.col("is_reply"), end).cast("long").alias("loss_to")
-    )
+    rows = turns_of(conversations).select("conv_id", F.row_number().over(order).cast("long").alias("place"), (F.col("role") == ASSISTANT).alias("is_reply"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("body"))
+    piece = F.concat(F.lit(OPEN), "role", F.lit(HEAD + "\n"), "body", F.lit(CLOSE + "\n"))
+    return rows.select("conv_id", "place", "is_reply", piece.alias("piece"), F.char_length("body").cast("long").alias("n")).sortWithinPartitions("conv_id", "place")
 
 
 def expand_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full examples of sorted rows; only the context of one conversation and a batch are held."""
-    now, context, out, size = None, None, [], 0
+    """Full examples of formatted turns; only the context of one conversation and a batch are held."""
+    now, example, out, size = None, 0, [], 0
+    context, open_ = None, False  # open: turns have come since the last example
+
     for batch in batches:
-        for conv, example, delta, start, end in zip(*(batch.column(c).to_pylist() for c in DELTAS.names), strict=True):
+        for conv, _, reply, piece, n in zip(*(batch.column(c).to_pylist() for c in FORMATTED), strict=True):
             if context is None or conv != now:
-                now, context = conv, ""
-            before = len(context)
-            context += delta
-            out.append((conv, example, context, None if start is None else before + start, None if end is None else before + end))
-            size += len(context)
+                if open_:
+                    out.append((now, example + 1, context, None, None))
+                now, context, example = conv, "", 0
+            context += piece
+            open_ = not reply
+            if reply:
+                example += 1
+                end = len(context) - len(CLOSE + "\n")
+                out.append((conv, example, context, end - n, end))
+                size += len(context)
             if size >= BATCH_CHARS:
                 yield batch_of(out, EXAMPLES)
                 out, size = [], 0
+    if open_:
+        out.append((now, example + 1, context, None, None))
     if out:
         yield batch_of(out, EXAMPLES)
 
 
-def in_order(formatted: DataFrame) -> DataFrame:
-    return formatted.select(*DELTAS.names).repartition("conv_id").sortWithinPartitions("conv_id", "example")
+def examples(turns: DataFrame) -> DataFrame:
+    """One row per example of formatted() turns: conv_id, example, text, loss_from, loss_to.
 
-
-def expand(formatted: DataFrame) -> DataFrame:
-    """examples() written out: conv_id, example, text, loss_from, loss_to. The output grows with the square of the
-    number of replies of a conversation, as full contexts do. Rows of a conversation stand together, in order."""
-    return in_order(formatted).mapInArrow(expand_stream, "conv_id long, example long, text string, loss_from long, loss_to long")
+    Every assistant turn is an example: its text is all turns before it and the turn, and only the code points from
+    loss_from up to loss_to (counted from 0, the end not included), those of the reply, carry loss. Turns after the
+    last reply (or all, without one) give a last example without loss, so that the output holds every turn. The output
+    grows with the square of the number of replies of a conversation, as full contexts do. No rows give no examples.
+    """
+    return turns.mapInArrow(expand_stream, "conv_id long, example long, text string, loss_from long, loss_to long")
 
 
 def turns_in(text: str) -> list[tuple[str, str]]:
@@ -113,7 +107,7 @@ def turns_in(text: str) -> list[tuple[str, str]]:
 
 
 def digest_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the conversations of expand()'s rows; the last example of a conversation holds all of its turns."""
+    """Digests of the conversations of examples()'s rows; the last example of a conversation holds all of its turns."""
     now, last, loss_chars, loss_hash, chars = None, None, 0, hashlib.sha256(), 0
 
     def close():
@@ -140,10 +134,11 @@ def digest_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch_of([close()], DIGESTS)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the full examples.
+def digests(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the full examples of
+    formatted() turns.
 
     formatted_chars is the sum of the lengths of the full texts. These are made and read in one task for a
     conversation, a batch of BATCH_CHARS at a time, and are neither stored nor shuffled.
     """
-    return in_order(formatted).mapInArrow(lambda batches: digest_stream(expand_stream(batches)), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(lambda batches: digest_stream(expand_stream(batches)), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -50,7 +50,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_format.digests(chat_format.examples(given.unionByName(added)))
+    return chat_format.digests(chat_format.formatted(given.unionByName(added)))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,7 +291,7 @@ def test_chats_come_back(spark):
     data = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(12) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "user"][: c % 7])]
     data += [(50, 0, "assistant", "same"), (50, 0, "assistant", "same"), (51, 0, "we:\nird\\", "x"), (51, 1, None, "y"), (None, 0, "user", "q"), (None, 1, "assistant", "a")]
     table = spark.createDataFrame([(*d, "x") for d in data], "conv_id long, turn long, role string, text string, example string")
-    got = {r.conv_id: r for r in chat_format.digests(chat_format.examples(table)).collect()}
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.formatted(table)).collect()}
     groups = collections.defaultdict(list)
     for c, t, r, x in data:
         groups[c].append((t, r or "", x or ""))
@@ -301,9 +301,19 @@ def test_chats_come_back(spark):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), digest("".join(f"{r}\n{x}\n" for _, r, x in turns)))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), digest(loss))
-    written = chat_format.expand(chat_format.examples(table)).where("conv_id = 6").orderBy("example").collect()
+    every = collections.defaultdict(list)
+    for r in chat_format.examples(chat_format.formatted(table)).orderBy("example").collect():
+        every[r.conv_id].append(r)
+    for c, turns in groups.items():  # an example for each reply, with all turns before it, and one for what follows the last
+        turns, want = sorted(turns), []
+        for k, (_, role, text) in enumerate(turns):
+            if role == "assistant" or k == len(turns) - 1:
+                want.append(([(r, x) for _, r, x in turns[: k + 1]], text if role == "assistant" else None))
+        loss = lambda r: None if r.loss_from is None else re.sub(chat_format.CONTROL_BACK, r"\1\2", r.text[r.loss_from : r.loss_to])
+        assert [(chat_format.turns_in(r.text), loss(r)) for r in every[c]] == want
+    written = every[6]
     assert len(written) == 3 and written[1].text.startswith(written[0].text) and written[2].loss_from is None
-    assert chat_format.digests(chat_format.examples(table.limit(0))).count() == 0
+    assert chat_format.digests(chat_format.formatted(table.limit(0))).count() == 0
 
 
 def shingles(text):

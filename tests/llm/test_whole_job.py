@@ -56,7 +56,7 @@ def test_html_keeps_all_content():
 
 def test_chat_digests_read_full_examples(spark):
     data = [(c, t, r, f"text {t} <turn> " * (t + 1)) for c in (1, 2, None) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "assistant", "user"][: 7 - (c or 0)])]
-    formatted = chat_format.examples(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    formatted = chat_format.formatted(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
     expected = {}
     for c, t, r, _ in data:  # each reply, and turns after the last one, with all turns before
         turns = [x for x in data if x[0] == c and x[1] <= t]
