@@ -214,25 +214,38 @@ class PrefixTree:
                 yield member
 
 
-def linker(percent: int):
-    """Links between the probing and the stored sets of a group that have different labels."""
+MEMBER = ("probing", "seq", "n", "id", "label")
+
 
-    def links(key, table):
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("probing", "seq", "n", "id", "label")], strict=True))
-        tree = PrefixTree([(s, n, i) for probing, s, n, i, _ in rows if not probing])
-        label = {i: part for _, _, _, i, part in rows}
-        a, b = [], []
-        for probing, seq, n, i, part in rows:
-            if probing:
-                for other in tree.probe(seq, n, percent):
-                    if label[other] != part:
-                        a.append(i)
-                        b.append(other)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def group_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between the probing and the stored sets of a group that have different labels."""
+    tree = PrefixTree([(s, n, i) for probing, s, n, i, _ in rows if not probing])
+    label = {i: part for _, _, _, i, part in rows}
+    return [(i, other) for probing, seq, n, i, part in rows if probing for other in tree.probe(seq, n, percent) if label[other] != part]
+
+
+def linker(percent: int, keys: list[str]):
+    """Links of the groups of sorted rows; a group at a time is held."""
+
+    def links(batches):
+        now, rows = None, []
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in MEMBER), strict=True), strict=True):
+                if key != now:
+                    out += group_links(rows, percent)
+                    now, rows = key, []
+                rows.append(row)
+            yield pairs_of(out)
+        yield pairs_of(group_links(rows, percent))
 
     return links
 
 
+def pairs_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def near_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (size of the set), key, seq, rare of each row; see set_maker()."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -257,7 +270,8 @@ def set_links(sets: DataFrame, percent: int, stored: int = STORED, probing: int
     columns = ["id", "n", "label", "seq"]
 
     def linked(rows: DataFrame, *keys: str) -> DataFrame:
-        return checkpointed(rows.groupBy(*keys).applyInArrow(linker(percent), "a long, b long").distinct())
+        together = rows.repartition(*keys).sortWithinPartitions(*keys)
+        return checkpointed(together.mapInArrow(linker(percent, list(keys)), "a long, b long").distinct())
 
     ordinary = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("id")).alias("first"), F.col("n"))
     centers = tokens.groupBy("token").agg(F.max(ordinary).alias("top"), F.count("*").alias("members")).where("members > 1")
