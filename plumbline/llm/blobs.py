@@ -21,10 +21,10 @@ def sizes(total_bytes: int, text_per_asked: float) -> tuple[int, int]:
     """Bytes of text in a block, and the number of buckets.
 
     Both have bounded sizes, so a task's memory doesn't grow with the input; small inputs get smaller ones, to be spread.
-    A message has a hash at least, so there are never more messages than hashes; at 1 TB there are about forty hashes to
-    each message, at 10 TB four, and beyond that the exchange is one of single hashes, as a plain join of them is.
+    A message has a hash at least, so there are never more messages than hashes; at 1 TB there are some twenty hashes to
+    each message, at 10 TB two, and beyond that the exchange is one of single hashes, as a plain join of them is.
     """
-    return max(1 << 16, min(BLOCK_BYTES, total_bytes // 32)), max(8, int(total_bytes / text_per_asked / BUCKET_BYTES), min(48, total_bytes >> 20))
+    return max(1 << 16, min(BLOCK_BYTES, total_bytes // 8)), max(8, int(total_bytes / text_per_asked / BUCKET_BYTES), min(48, total_bytes >> 20))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
