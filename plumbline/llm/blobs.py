@@ -13,7 +13,7 @@ import pyarrow as pa
 ASKED = "bucket int, block long, flow int, hashes binary, extra binary"
 ANSWER = "block long, bucket int, flow int, bits binary"
 #: Bytes of text in a block and of questions in a bucket, at most (a block: plus one document).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
 
 
