@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, mixing, ngram_join, quality_rules, sentence_pieces, substring_dedup
+from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality_rules, sentence_pieces, substring_dedup
 from .common import table
 
 
@@ -164,3 +166,46 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_license_scans": op6_license_scans}
+
+
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For one doc_id in ten the words from some place on go round and round; a null doc_id changes nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), looped)
+
+
+#: The unsigned crc32 of doc_id as decimal digits, bit by bit; 3988292384 is the reversed polynomial.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: list_transform(range(8), lambda i: ((ascii(ch) >> i) & 1)::BIGINT)))),
+    lambda c, bit: xor(c >> 1, (xor(c, bit) & 1) * 3988292384)))"""
+
+RUNS_SQL = rf"""
+WITH given AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {CRC} AS h FROM documents),
+sized AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS round, h // 10 AS g FROM given),
+placed AS (SELECT *, CASE WHEN round THEN g % n ELSE n END AS a FROM sized),
+looped AS (SELECT doc_id, n, w, a, CASE WHEN round THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM placed),
+words AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM looped)),
+six AS (SELECT doc_id, i, md5_number(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) AS gram, n - i >= 6 AS whole FROM words),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i WHERE x.whole AND y.whole),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 AS m FROM islands GROUP BY doc_id, q, island HAVING m >= greatest(12 - q, q)),
+runs AS (SELECT doc_id, start, m + q AS length, q AS period FROM stretches QUALIFY row_number() OVER (PARTITION BY doc_id, start, m + q ORDER BY q) = 1),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES |= {"op13_periodic_runs": op13_periodic_runs}
+ORACLES |= {"op13_periodic_runs": RUNS_SQL}
