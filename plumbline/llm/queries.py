@@ -5,8 +5,9 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality_rules, sentence_pieces, substring_dedup
+from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, merkle_manifest, mixing, ngram_join, periodic_runs, quality_rules, sentence_pieces, substring_dedup
 from .common import table
 
 
@@ -209,3 +210,42 @@ FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN longest USING (doc_id
 
 QUERIES |= {"op13_periodic_runs": op13_periodic_runs}
 ORACLES |= {"op13_periodic_runs": RUNS_SQL}
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle_manifest.document_manifest(table(spark, sf_dir, "documents"), F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+MERKLE_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, source, text, {" || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, CASE WHEN ({CRC}) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || {FIELD.format("text")}) AS leaf, sha256(head || {FIELD.format("other")}) AS changed, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM given),
+tree AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY source, level, pos // 3, n),
+subroots AS (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, digest FROM subroots
+  UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+fold AS (
+  SELECT doc_id, source, 0 AS level, pos, n, changed AS digest FROM leaves
+  UNION ALL SELECT f.doc_id, f.source, f.level + 1, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.digest ELSE t.digest END, '' ORDER BY t.pos))
+  FROM fold f JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.level = f.level AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.level, f.pos, f.n),
+fold_top AS (
+  SELECT f.doc_id, 0 AS level, s.pos, s.n, f.digest FROM fold f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+  UNION ALL SELECT f.doc_id, f.level + 1, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.digest ELSE t.digest END, '' ORDER BY t.pos))
+  FROM fold_top f JOIN top t ON t.level = f.level AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.level, f.pos, f.n),
+siblings AS (
+  SELECT f.doc_id, 0 AS stage, t.level, t.pos, t.digest FROM fold f JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.level = f.level AND t.pos // 3 = f.pos // 3 AND t.pos <> f.pos WHERE f.n > 1
+  UNION ALL SELECT f.doc_id, 1, t.level, t.pos, t.digest FROM fold_top f JOIN top t ON t.level = f.level AND t.pos // 3 = f.pos // 3 AND t.pos <> f.pos WHERE f.n > 1),
+proofs AS (SELECT doc_id, sha256(string_agg(digest, '' ORDER BY stage, level, pos)) AS proof FROM siblings GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top r ON r.n = 1 JOIN fold_top f ON f.doc_id = l.doc_id AND f.n = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+"""
+
+QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest}
+ORACLES |= {"op12_merkle_manifest": MERKLE_SQL}
