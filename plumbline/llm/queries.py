@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, merkle_manifest, mixing, ngram_join, periodic_runs, quality_rules, sentence_pieces, substring_dedup
+from . import chat_format, fingerprint, html_extract, license_scan, line_dedup, merkle_manifest, mixing, ngram_join, periodic_runs, personal_data, quality_rules, sentence_pieces, substring_dedup
 from .common import table
 
 
@@ -249,3 +249,10 @@ FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top
 
 QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest}
 ORACLES |= {"op12_merkle_manifest": MERKLE_SQL}
+
+
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op11_personal_data": op11_personal_data}
