@@ -21,7 +21,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIXING_SQL = r"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source),
@@ -37,11 +37,18 @@ targets AS (
   FROM levels),
 ranked AS (
   SELECT doc_id, s.source, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS rank, count(*) OVER (PARTITION BY s.source) AS docs,
-    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
     CAST(('0x' || substr(md5('17:' || coalesce(s.source, chr(0))), 1, 4)) AS BIGINT) / 65536 AS shift
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-placed AS (SELECT *, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE docs - rank // 2 + 1 END AS place FROM ranked)
-SELECT doc_id, size, source_size, target, CAST(least(floor(place * step + shift) - floor((place - 1) * step + shift), 3) * size AS BIGINT) AS taken
+large AS (
+  SELECT source, 0 AS k, CAST(max(target) AS DOUBLE) AS left_, CAST(max(source_size) AS BIGINT) AS rest, CAST(max(shift) AS DOUBLE) AS at_, 0::BIGINT AS copies FROM ranked GROUP BY source
+  UNION ALL SELECT source, k, left_ - got * size, rest - size, next_, got FROM (
+    SELECT *, CASE WHEN size > 0 THEN greatest(least(3, greatest(CAST(floor(next_) - floor(at_) AS BIGINT), CAST(ceil((left_ - (rest - size) * 3) / size) AS BIGINT)), CAST(floor(left_ / size) AS BIGINT)), 0) ELSE 0 END AS got FROM (
+      SELECT r.source, r.size, k + 1 AS k, left_, rest, at_, at_ + CASE WHEN rest > 0 THEN left_ / rest ELSE 0 END AS next_
+      FROM large l JOIN ranked r ON r.source IS NOT DISTINCT FROM l.source AND r.docs - r.rank = l.k WHERE l.k < 128))),
+others AS (SELECT source, CASE WHEN rest > 0 THEN left_ / rest ELSE 0 END AS step FROM large QUALIFY row_number() OVER (PARTITION BY source ORDER BY k DESC) = 1),
+placed AS (SELECT r.*, step, copies, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE docs - 128 - rank // 2 + 1 END AS place
+  FROM ranked r JOIN others o ON r.source IS NOT DISTINCT FROM o.source LEFT JOIN large l ON r.source IS NOT DISTINCT FROM l.source AND r.docs - r.rank + 1 = l.k)
+SELECT doc_id, size, source_size, target, CAST(coalesce(copies, least(floor(place * step + shift) - floor((place - 1) * step + shift), 3)) * size AS BIGINT) AS taken
 FROM placed
 """
 

@@ -394,22 +394,53 @@ def water_levels(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
-def plan_brute(rows, seed=17):
-    """Copies of (doc_id, source, words): systematic sampling by hand, one offset a source."""
+def plan_brute(rows, seed=17, largest=128):
+    """Copies of (doc_id, source, words): the largest documents by hand, then systematic sampling, one offset a source."""
     sizes = collections.Counter()
     for _, source, n in rows:
         sizes[source] += n
     targets, out = water_levels(dict(sizes)), {}
     for source in sizes:
         own = sorted((n, i) for i, s, n in rows if s == source)
-        order = own[::2] + own[1::2][::-1]
         shift = int(hashlib.md5(f"{seed}:{chr(0) if source is None else source}".encode()).hexdigest()[:4], 16) / 65536
-        step = targets[source] / sizes[source] if sizes[source] else 0.0
+        left, rest, at = targets[source], sizes[source], shift
+        for n, i in own[::-1][:largest]:
+            then = at + (left / rest if rest else 0.0)
+            rest -= n
+            got = min(max(math.floor(then) - math.floor(at), math.ceil((left - 3 * rest) / n)), math.floor(left / n)) if n else 0
+            out[i], at = min(max(got, 0), 3), then
+            left -= out[i] * n
+        own = own[: max(len(own) - largest, 0)]
+        order, step = own[::2] + own[1::2][::-1], left / rest if rest else 0.0
         for place, (_, i) in enumerate(order, 1):
             out[i] = min(math.floor(place * step + shift) - math.floor((place - 1) * step + shift), 3)
     return out
 
 
+def test_words_taken_come_near_the_targets(spark):
+    """Targets and errors by themselves: sources with one giant document, with few, with many documents, with a cap."""
+    rng = random.Random(8)
+    sizes = {"giant": [5000, *[rng.randint(5, 300) for _ in range(120)]], "few": [900, 40, 800, 3, 20, 700], "many": [min(int(rng.lognormvariate(5, 1.2)), 9000) + 1 for _ in range(1500)], "small": [7, 9, 30], None: [rng.randint(1, 400) for _ in range(300)]}
+    docs = spark.createDataFrame([(10_000 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)], "doc_id long, text string, source string")
+    rows = mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    want, taken = water_levels({s: sum(n) for s, n in sizes.items()}), collections.Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        assert r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r.size
+    for s, n in sizes.items():
+        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], sorted(n)[len(n) // 2]), (s, taken[s], want[s])
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.01", 0.02), ("sf0.1", 0.01)])
+def test_mix_of_the_given_tables(spark, sf, most):
+    """No source of the given tables is further off its target than 2 % (50 documents a source) or 1 % (500)."""
+    from plumbline.llm.common import table
+
+    docs = table(spark, f"/root/testdata/{sf}", "documents")
+    rows = mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= most * r["max(target)"] for r in rows), max(abs(r["sum(taken)"] / r["max(target)"] - 1) for r in rows)
+
+
 def test_mixing_against_plain_code(spark):
     rng = random.Random(6)
     data = [(i, " ".join(["w"] * min(int(rng.expovariate(0.02)), 400)), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
