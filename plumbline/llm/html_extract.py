@@ -26,7 +26,7 @@ BLOCK = {
     "th", "thead", "tr", "ul",
 }
 #: Never main text, wherever they stand.
-NOT_TEXT = {"head", "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "audio", "video", "select", "option", "datalist", "button", "form", "nav", "menu", "footer", "aside", "dialog", "noembed", "noframes", "xmp", "input"}
+NOT_TEXT = {"head", "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "audio", "video", "select", "option", "datalist", "button", "nav", "menu", "footer", "aside", "dialog", "noembed", "noframes", "xmp", "input"}
 #: Words of class, id and role that name parts around the main text: a path through one weighs less.
 NOT_TEXT_NAMES = {
     "ad", "ads", "adbox", "advert", "advertisement", "adverts", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary",
@@ -169,9 +169,34 @@ def parse(source: str) -> Page:
             continue
         if not attributes.endswith("/") or tag in BLOCK:
             stack.push(i, tag)
+    settle_forms(page)
     return page
 
 
+def settle_forms(page: Page) -> None:
+    """Forms are no text, but for one around the page's own text: half of all text and more, with headings of the page, an
+    article or two paragraphs in it. Of such a form only labels and legends go, besides the controls."""
+    elements, n = page.elements, len(page.elements)
+    if not any(e.tag == "form" for e in elements):
+        return
+    chars, parts, heads = [0] * n, [0] * n, [False] * n
+    for element, _, piece in page.pieces:
+        if not elements[element].out:
+            chars[element] += len(piece.strip())
+    for i in range(n - 1, 0, -1):
+        e = elements[i]
+        if not e.out:
+            up = e.parent
+            chars[up] += chars[i]
+            parts[up] += parts[i] + (e.tag == "p" and chars[i] > 0)
+            heads[up] |= heads[i] or e.tag in ("article", "main", "h1")
+    around = [False] * n
+    for i, e in enumerate(elements[1:], 1):
+        form = e.tag == "form"
+        around[i] = (around[e.parent] and not form) or (form and 2 * chars[i] >= chars[0] and (heads[i] or parts[i] > 1))
+        e.out = e.out or elements[e.parent].out or (form and not around[i]) or (around[i] and e.tag in ("label", "legend"))
+
+
 def smooth(values: np.ndarray, radius: int = 1) -> np.ndarray:
     """Gaussian means of neighbours."""
     if len(values) < 2:
