@@ -306,19 +306,33 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, **para
     """doc_id, n_shingles, component_id for each row of docs.
 
     Rows link where 100 * shared >= percent * all of their sets of distinct n-word shingles (A-Z lower-cased; fewer
-    words: the whole sequence). component_id is the least doc_id of the rows that links reach. Without words, or with
-    a null text, the set is empty and the row is linked with nothing. Rows with a null doc_id take part in no links
-    and get a null component_id. Repeated rows are alike. An empty table gives no rows; further columns go.
+    words: the whole sequence). component_id is the least doc_id of the rows that links reach; rows that share a
+    doc_id are one document in this, even where their texts differ. Without words, or with a null text, the set is
+    empty and the row is linked with nothing (but with other rows of its doc_id). Rows with a null doc_id take part in
+    no links and get a null component_id. Repeated rows are alike. An empty table gives no rows; further columns go.
     """
     sets = checkpointed(near_sets(docs, n, percent))
-    able = sets.where("key is not null and doc_id is not null").select("doc_id", "key", "n")
-    classes = able.groupBy("key", "n").agg(F.min("doc_id").alias("id"))
-    leaders = classes.where("n > 1").select("id", F.col("key").alias("_key"))
-    firsts = sets.where("seq is not null").join(leaders, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["id"]).select("id", "n", "seq", "rare")
+    able = sets.where("doc_id is not null")
+    same = (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n"))
+    classes = able.where("key is not null").groupBy(F.col("key").alias("_key"), F.col("n").alias("_n")).agg(F.min("doc_id").alias("least"))
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))  # one number for each set
+    firsts = sets.where("seq is not null").join(classes.where("_n > 1"), (F.col("doc_id") == F.col("least")) & same).dropDuplicates(["id"]).select("id", "n", "seq", "rare")
     _, labels = set_links(checkpointed(firsts), percent, **parameters)
-    known = classes.join(labels, "id", "left").select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.coalesce("label", "id").alias("label"))
-    least = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(known, (F.col("key") == F.col("_key")) & (F.col("n_shingles") == F.col("_n")), "left")
-    return least.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    of = classes.join(labels, "id", "left").select("_key", "_n", "least", F.coalesce("label", "id").alias("label"))
+    several = able.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("one"), F.max(F.struct("key", "n")).alias("other")).where("one <> other").select("doc_id")
+    if several.head(1):  # rows of one doc_id with unequal sets join their components
+        met = able.join(several, "doc_id").join(of, same).select("doc_id", "label").distinct()
+        edges = met.join(met.groupBy("doc_id").agg(F.min("label").alias("first")), "doc_id").where("label <> first").select(F.col("first").alias("a"), F.col("label").alias("b"))
+        merged = components(of.select(F.col("label").alias("id")).distinct(), edges).select("id", F.col("label").alias("joined"))
+        of = of.join(merged, F.col("label") == F.col("id")).select("_key", "_n", "least", F.col("joined").alias("label"))
+    reached = of.groupBy("label").agg(F.min("least").alias("component"))
+    known = of.join(reached, "label").select("_key", "_n", "component")
+    out = sets.join(known, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    if several.head(1):  # an empty set shares its document's component
+        least = out.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
+    return out
 
 
 def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
