@@ -183,7 +183,10 @@ def best_test(x: np.ndarray, bad: np.ndarray, names: list[str]):
 
 def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float = 0.9, min_cover: int = 8, max_rules: int = 12, max_tests: int = 4, seed: int = 7) -> list[Rule]:
     """Sequential covering: grow a conjunction on two thirds of the rows, prune its last tests on the rest, keep it
-    if it is precise enough, take its rows away, go on. Rules without enough precision end the list."""
+    if it is precise enough, take its rows away, go on. Rules without enough precision end the list.
+
+    max_rules and max_tests bound the list and the tests of a rule, so that it can be read; with more bad rows of many
+    kinds than so many rules cover, raise them."""
     rng, rules, left = np.random.default_rng(seed), [], np.ones(len(x), dtype=bool)
     while len(rules) < max_rules and bad[left].sum() >= min_cover:
         rows = rng.permutation(np.flatnonzero(left))
@@ -212,11 +215,13 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **parameters) -> list[Rule]:
     """A decision list from the labelled rows. labels: doc_id, quality (1 good, 0 bad; null rows don't count).
 
-    At most fit_rows labelled rows are used, those of least hash of doc_id; nothing else is gathered. Documents
-    that fail the base rules teach nothing. Without rows of both kinds the list is empty.
+    At most fit_rows labelled documents are used, those of least hash of doc_id; nothing else is gathered. Of rows that
+    share a doc_id one counts, that of least statistics. Documents that fail the base rules teach nothing. Without
+    rows of both kinds the list is empty.
     """
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = stats.join(chosen, "doc_id").where(~base_failed()).select("quality", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+    features = F.struct("quality", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+    rows = stats.join(chosen, "doc_id").where(~base_failed()).groupBy("doc_id").agg(F.min(features).alias("of")).select("of.*")
     frame = rows.toPandas().sort_values(["quality", *FEATURES])
     if not len(frame):
         return []

@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import chat_format, html_extract, license_scan, line_dedup
+from plumbline.llm import chat_format, html_extract, license_scan, line_dedup, ngram_join, quality_rules
 
 
 def words(n, tag):
@@ -72,3 +72,33 @@ def test_license_scan_of_words(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert [got[i].licenses for i in range(len(texts))] == ["proprietary", "proprietary", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0,proprietary"]
     assert all(r.best_dice == 1.0 for r in got.values()) and (got[1].matches[0].first_line, got[1].matches[0].last_line) == (0, 1)
+
+
+def test_join_of_rows_that_share_an_id(spark):
+    """Rows of one doc_id with unlike texts: each keeps its links, and the document is one."""
+    a, b = words(60, "a"), words(60, "b")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, words(50, "c")), (1, None), (5, ""), (5, words(50, "c") + " x")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.jaccard_join(docs).collect()}
+    assert {i: c for (i, _), c in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and got[1, 0] == 1 and got[5, 0] == 4
+
+
+def test_html_of_a_page_in_a_form():
+    para = "A sentence of some length, with a comma and a stop. " * 6
+    page = f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><h1>Title</h1><p>{para}</p><p>{para}</p><label>Your name</label><input><form class=search><label>Find</label><input><button>Go</button></form></form></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", para.strip(), para.strip()]
+    page = f"<body><article><h1>Title</h1><p>{para}</p><p>{para}</p></article><form><h3>Write to us</h3><p>Your name, please.</p><label>Name</label></form></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", para.strip(), para.strip()]
+
+
+def test_rules_are_fitted_on_as_many_documents_as_stated(spark):
+    """Many rows of one doc_id are one labelled document."""
+    docs = spark.createDataFrame([(1, words(30 + i, "w")) for i in range(200)] + [(i, words(40, f"v{i}")) for i in range(2, 6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)] * 3, "doc_id long, quality int")
+    seen = []
+    learn = quality_rules.learn
+    quality_rules.learn = lambda x, bad, names, **_: seen.append(len(x)) or []
+    try:
+        quality_rules.fit(quality_rules.statistics(docs), labels, fit_rows=4)
+    finally:
+        quality_rules.learn = learn
+    assert seen and seen[0] <= 4
