@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import correlation, embeddings, graphs
+from ..operators import correlation, density, embeddings, graphs
 from .registry import ORACLES, QUERIES, Tables, add
 
 REPS = 40
@@ -148,8 +148,16 @@ def assigned(t):
     return embeddings.clusters(t.embeddings, WIDE, recall=SURE).join(t.embeddings.select("vec_id", F.col("label").alias("grp")), "vec_id").select("cluster", "grp")
 
 
-add("b05_clusters", lambda t: embeddings.clusters(t.embeddings))
-ORACLES["b05_clusters"] = LINKED.format(0.9) + " SELECT vec_id, cluster FROM clustered"
+add("b05_clusters", lambda t: embeddings.clusters(t.embeddings, WIDE, recall=SURE))
+ORACLES["b05_clusters"] = LINKED.format(WIDE) + " SELECT vec_id, cluster FROM clustered"
+add("b05_density_clusters", lambda t: density.density_clusters(t.embeddings))
+add(
+    "b05_neighbours",
+    lambda t: density.neighbours(t.embeddings).select("vec_id", F.array_join(F.array_sort(F.transform("near", lambda n: n["id"])), ",").alias("near")),
+    """SELECT a AS vec_id, string_agg(b, ',' ORDER BY b) AS near FROM (
+        SELECT p.vec_id AS a, q.vec_id AS b, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, q.vec_id) AS place FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id)
+        WHERE place <= 15 GROUP BY a""",
+)
 add("b06_purity", lambda t: embeddings.purity(assigned(t)))
 ORACLES["b06_purity"] = LINKED.format(WIDE) + """ SELECT cluster, CAST(sum(k) AS BIGINT) AS size, arg_max(grp, k * 1000 - grp) AS dominant, max(k) / sum(k) AS share, array_to_string(list(grp ORDER BY k DESC, grp)[1:3], ',') AS top3, count(*) AS groups
   FROM (SELECT cluster, grp, count(*) AS k FROM assigned GROUP BY ALL) GROUP BY ALL"""
