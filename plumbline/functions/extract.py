@@ -223,22 +223,3 @@ def response_format(text: Column) -> Column:
     return (
         F.when(text.rlike(r"(?m)^\s*[•\-*]\s"), "bullet_points").when(text.rlike(r"(?m)^\s*\d+\."), "numbered_list").when(words > 10, "prose").when(text.contains(","), "comma_separated").otherwise("simple")
     )
-
-
-def longest_mention(texts: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, name, mentions: of each text the longest name (then the last by name) that stands in it between spaces, in
-    any case, and how many do; keys are one row each.
-
-    Texts and names meet in an equi-join on a hash of a name's first two words (or its only one), of which a text has
-    as many as it has words; the whole name is looked for only in texts that have these.
-    """
-    words = lambda c: F.split(F.lower(c), " ")
-    known = names.select("name", words("name").alias("_w")).distinct()
-    known = known.select("name", F.when(F.size("_w") > 1, F.xxhash64(F.col("_w")[0], F.try_element_at("_w", F.lit(2)))).otherwise(F.xxhash64(F.col("_w")[0])).alias("_lead"))
-    rows = texts.select(*keys, words("text").alias("_w"))
-    both = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1]))
-    leads = F.concat(F.transform("_w", lambda w: F.xxhash64(w)), F.when(F.size("_w") > 1, both).otherwise(F.array().cast("array<long>")))
-    near = rows.select(*keys, F.explode(F.array_distinct(leads)).alias("_lead")).join(known, "_lead").drop("_lead")
-    spaced = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
-    found = near.join(texts.select(*keys, "text"), list(keys)).where(F.contains(spaced("text"), spaced("name")))
-    return found.groupBy(*keys).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count("*").alias("mentions"))

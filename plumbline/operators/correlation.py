@@ -41,32 +41,69 @@ def spearman_pairs(cells: DataFrame) -> DataFrame:
     return task_pairs(with_ranks(cells), ["rank"]).groupBy("task_a", "task_b").agg(F.count("*").alias("n"), safe_corr(F.col("x_rank"), F.col("y_rank")).alias("rho"))
 
 
-def tau(sign_x: Column, sign_y: Column, drop_double_ties: bool = True) -> Column:
-    """Kendall's tau-b over pairs of models, from the signs of both differences. The other variant keeps pairs that
-    tie on both sides in the denominators."""
-    num = F.sum(sign_x * sign_y)
-    if drop_double_ties:
-        nx, ny = F.sum(F.abs(sign_x)), F.sum(F.abs(sign_y))
-    else:
-        both = F.count_if((sign_x == 0) & (sign_y == 0))
-        nx, ny = F.sum(F.abs(sign_x)) + both, F.sum(F.abs(sign_y)) + both
-    product = nx.cast("double") * ny.cast("double")
-    return F.try_divide(num, F.sqrt(F.when(product > 0, product)))
-
-
-def model_pairs(pairs: DataFrame, keys: Sequence[str], slot: str = "model_id") -> DataFrame:
-    """Signs of the differences of x_acc and y_acc over pairs of models within keys."""
-    a, b = pairs.alias("a"), pairs.alias("b")
-    same = F.col(f"a.{slot}") < F.col(f"b.{slot}")
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    sign = lambda c: F.signum(F.round(F.col(f"b.{c}") - F.col(f"a.{c}"), 9))
-    return a.join(b, same).select(*[F.col(f"a.{k}").alias(k) for k in keys], sign("x_acc").alias("sx"), sign("y_acc").alias("sy"))
+def crossed_weight(y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each row of weights the sum of products over pairs i < j with y[i] > y[j]: inversions, by merging.
+
+    At each width the left half of a block is before the right one; in the order of y within blocks, running sums of the
+    left's weights say what a right one meets above it. Time n log n a row, and n log^2 n for the orders.
+    """
+    n, total, width = len(y), np.zeros(len(weights)), 1
+    place = np.arange(n)
+    while width < n:
+        block, left = place // (2 * width), (place // width) % 2 == 0
+        order = np.lexsort((left, -y, block))  # larger y first, among equal ones the right half first
+        sums = np.cumsum(weights[:, order] * left[order], axis=1)
+        starts = np.searchsorted(block[order], block[order])
+        before = np.where(starts > 0, sums[:, np.maximum(starts - 1, 0)], 0.0)
+        total += ((sums - before) * weights[:, order] * ~left[order]).sum(1)
+        width *= 2
+    return total
+
+
+def tied_weight(groups: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each row of weights the sum of squares of its sums over the groups."""
+    order = np.argsort(groups, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(groups[order]) != 0]))
+    return (np.add.reduceat(weights[:, order], starts, axis=1) ** 2).sum(1)
+
+
+def taus(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kendall's tau-b for each row of weights (how often each model counts), NaN where a side has no order; and the
+    variant that keeps pairs that tie on both sides in the denominators. Values alike to nine digits tie."""
+    _, x = np.unique(np.round(x, 9), return_inverse=True)
+    _, y = np.unique(np.round(y, 9), return_inverse=True)
+    order = np.lexsort((y, x))
+    x, y, w = x[order], y[order], weights[:, order].astype(float)
+    whole, in_x, in_y = w.sum(1) ** 2, tied_weight(x, w), tied_weight(y, w)
+    in_both, one = tied_weight(x * (len(x) + 1) + y, w), (w * w).sum(1)
+    unlike = (whole - in_x - in_y + in_both) / 2  # pairs that tie on no side
+    score = unlike - 2 * crossed_weight(y, w)
+    nx, ny, both = (whole - in_x) / 2, (whole - in_y) / 2, (in_both - one) / 2
+    divided = lambda p: np.where(p > 0, score / np.sqrt(np.where(p > 0, p, 1)), np.nan)
+    return divided(nx * ny), divided((nx + both) * (ny + both))
+
+
+def paired_lists(cells: DataFrame, *columns: str) -> DataFrame:
+    """task_a, task_b and the lists x, y and columns over the models of both: a row for each pair of tasks."""
+    pairs = task_pairs(cells, ["acc", *columns])
+    each = F.struct(F.col("x_acc").alias("x"), F.col("y_acc").alias("y"), *[F.col(f"x_{c}").alias(c) for c in columns])
+    packed = pairs.groupBy("task_a", "task_b").agg(F.collect_list(each).alias("_m"))
+    return packed.select("task_a", "task_b", *[F.col("_m")[c].alias(c) for c in ("x", "y", *columns)])
 
 
 def kendall_pairs(cells: DataFrame) -> DataFrame:
-    signs = model_pairs(task_pairs(cells, ["acc"]), ["task_a", "task_b"])
-    return signs.groupBy("task_a", "task_b").agg(tau(F.col("sx"), F.col("sy")).alias("tau"), tau(F.col("sx"), F.col("sy"), False).alias("tau_fast"))
+    """task_a, task_b, tau, tau_fast of each pair of tasks, by counting inversions of ranks: no pairs of models are made.
+
+    Models without a value in either task don't count. A pair whose values are all alike on one side has null.
+    """
+
+    def counted(frames):
+        for frame in frames:
+            both = [taus(np.array(x, float), np.array(y, float), np.ones((1, len(x)))) for x, y in zip(frame["x"], frame["y"], strict=True)]
+            yield pd.DataFrame({"task_a": frame["task_a"], "task_b": frame["task_b"], "tau": [t[0][0] for t in both], "tau_fast": [t[1][0] for t in both]})
+
+    found = paired_lists(cells.where("acc is not null")).mapInPandas(counted, "task_a string, task_b string, tau double, tau_fast double")
+    return found.select("task_a", "task_b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("tau", "tau_fast")])
 
 
 def draw(rep: Column, slot: Column, n: Column | int, seed: int = 0) -> Column:
@@ -74,29 +111,43 @@ def draw(rep: Column, slot: Column, n: Column | int, seed: int = 0) -> Column:
     return ((rep * 7919 + slot * 104729 + rep * slot * 31 + (seed + 1) * 15485863) % 1000003 * 48271 % 2147483647) % n
 
 
+#: Replicates whose weights are held at once.
+REPS_AT_ONCE = 256
+
+
+def drawn_weights(reps: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """How often each of n models is drawn in each replicate, by the numbers of draw()."""
+    rep, slot = reps[:, None].astype(np.int64), np.arange(n, dtype=np.int64)[None, :]
+    place = ((rep * 7919 + slot * 104729 + rep * slot * 31 + (seed + 1) * 15485863) % 1000003 * 48271 % 2147483647) % n
+    return np.stack([np.bincount(p, minlength=n) for p in place])
+
+
 def bootstrap_tau(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
     """Percentile interval of tau for each pair of tasks, models (of any ids) drawn with replacement, as many as there are;
-    replicates with fewer than three different models don't count. The pairs of slots are made once for each
-    replicate, not for each task pair."""
-    models = cells.select("model_id").distinct().select("model_id", (F.row_number().over(Window.orderBy("model_id")) - 1).cast("long").alias("place"))  # a row for each model
-    slots = models.select(F.col("place").alias("slot"), F.count("*").over(Window.partitionBy()).alias("n"))
-    slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    drawn = slots.select("rep", "slot", draw(F.col("rep"), F.col("slot"), F.col("n"), seed).alias("place")).join(models, "place").drop("place")
-    good = drawn.groupBy("rep").agg(F.countDistinct("model_id").alias("k")).where("k >= 3").select("rep")
-    drawn = drawn.join(good, "rep", "left_semi")
-    a, b = drawn.alias("a"), drawn.alias("b")
-    combos = a.join(b, (F.col("a.rep") == F.col("b.rep")) & (F.col("a.slot") < F.col("b.slot"))).select(F.col("a.rep").alias("rep"), F.col("a.model_id").alias("m1"), F.col("b.model_id").alias("m2"))
-    combos = combos.groupBy("rep", "m1", "m2").agg(F.count("*").alias("w"))  # equal pairs of a replicate are one row
-    pairs = task_pairs(cells, ["acc"])
-    p, q = pairs.alias("p"), pairs.alias("q")
-    both = p.join(q, (F.col("p.task_a") == F.col("q.task_a")) & (F.col("p.task_b") == F.col("q.task_b"))).select(
-        F.col("p.task_a").alias("task_a"), F.col("p.task_b").alias("task_b"), F.col("p.model_id").alias("m1"), F.col("q.model_id").alias("m2"),
-        F.signum(F.round(F.col("q.x_acc") - F.col("p.x_acc"), 9)).alias("sx"), F.signum(F.round(F.col("q.y_acc") - F.col("p.y_acc"), 9)).alias("sy"),
-    )
-    rows = both.join(F.broadcast(combos) if reps <= 1000 else combos, ["m1", "m2"])  # at most 45,000 rows are broadcast
-    product = F.sum(F.abs("sx") * F.col("w")) * F.sum(F.abs("sy") * F.col("w"))
-    taus = rows.groupBy("task_a", "task_b", "rep").agg(F.try_divide(F.sum(F.col("sx") * F.col("sy") * F.col("w")), F.sqrt(F.when(product > 0, product))).alias("tau"))
-    return taus.groupBy("task_a", "task_b").agg(F.count("tau").alias("reps"), F.percentile("tau", 0.025).alias("lo"), F.percentile("tau", 0.975).alias("hi"))
+    replicates with fewer than three different models don't count.
+
+    A pair of tasks is one row with the lists of its models' values, a replicate a row of weights over them: neither pairs
+    of models nor rows of replicates are made.
+    """
+    places = cells.select("model_id").distinct().select("model_id", (F.row_number().over(Window.orderBy("model_id")) - 1).cast("long").alias("place"))  # a row for each model
+    n = places.count()
+    placed = cells.where("acc is not null").join(places, "model_id")
+
+    def intervals(frames):
+        for frame in frames:
+            found = [[] for _ in range(len(frame))]
+            for low in range(0, reps, REPS_AT_ONCE):
+                weights = drawn_weights(np.arange(low, min(low + REPS_AT_ONCE, reps)), n, seed)
+                weights = weights[(weights > 0).sum(1) >= 3]
+                for out, x, y, place in zip(found, frame["x"], frame["y"], frame["place"], strict=True):
+                    if len(weights):
+                        tau = taus(np.array(x, float), np.array(y, float), weights[:, np.array(place)])[0]
+                        out.append(tau[~np.isnan(tau)])
+            found = [np.concatenate(f) if f else np.zeros(0) for f in found]
+            at = lambda q: [float(np.quantile(f, q)) if len(f) else None for f in found]
+            yield pd.DataFrame({"task_a": frame["task_a"], "task_b": frame["task_b"], "reps": [len(f) for f in found], "lo": at(0.025), "hi": at(0.975)})
+
+    return paired_lists(placed, "place").mapInPandas(intervals, "task_a string, task_b string, reps long, lo double, hi double")
 
 
 def permutation_p(cells: DataFrame, reps: int = 100) -> DataFrame:
@@ -107,7 +158,7 @@ def permutation_p(cells: DataFrame, reps: int = 100) -> DataFrame:
     moves = shuffled.join(models.select(F.col("model_id").alias("as_model"), F.col("place").alias("to")), "to").select("rep", "model_id", "as_model")
     observed = pearson_pairs(cells).select("task_a", "task_b", "r")
     x, y = cells.alias("x"), cells.alias("y")
-    moved = x.join(F.broadcast(moves), "model_id").join(y, (F.col("as_model") == F.col("y.model_id")) & (F.col("x.task") < F.col("y.task")))
+    moved = x.join(moves, "model_id").join(y, (F.col("as_model") == F.col("y.model_id")) & (F.col("x.task") < F.col("y.task")))
     null = moved.groupBy(F.col("x.task").alias("task_a"), F.col("y.task").alias("task_b"), "rep").agg(safe_corr(F.col("x.acc"), F.col("y.acc")).alias("r0"))
     both = null.join(observed, ["task_a", "task_b"])
     return both.groupBy("task_a", "task_b").agg(((F.count_if(F.abs("r0") >= F.abs("r") - 1e-9) + 1) / (F.count("r0") + 1)).alias("p"))

@@ -16,6 +16,13 @@ add("c01_pearson", lambda t: correlation.pearson_pairs(t.cells).withColumn("r",
 add("c02_spearman", lambda t: correlation.spearman_pairs(t.cells).withColumn("rho", F.round("rho", 8)), f"SELECT a.task AS task_a, b.task AS task_b, count(*) AS n, round({CORR.format(x='a.r', y='b.r')}, 8) AS rho FROM ranks a JOIN ranks b ON a.model_id = b.model_id AND a.task < b.task GROUP BY ALL", ranks=RANKS)
 add("c03_kendall", lambda t: correlation.kendall_pairs(t.cells).select("task_a", "task_b", F.round("tau", 8).alias("tau")), "SELECT task_a, task_b, round(tau, 8) AS tau FROM tau_", xy=XY, signs=SIGNS, tau_=TAU)
 add("c04_kendall_variant", lambda t: correlation.kendall_pairs(t.cells).select("task_a", "task_b", F.round("tau_fast", 8).alias("tau_fast")), "SELECT task_a, task_b, round(tau_fast, 8) AS tau_fast FROM tau_", xy=XY, signs=SIGNS, tau_=TAU)
+#: Many models with many ties: customers, by the share of their orders of each priority that are dear.
+MANY = "SELECT o_orderpriority AS task, o_custkey AS model_id, avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END) AS acc FROM orders GROUP BY o_orderpriority, o_custkey"
+add(
+    "c03_kendall_many_models",
+    lambda t: correlation.kendall_pairs(t.sql(MANY)).select("task_a", "task_b", F.round("tau", 8).alias("tau"), F.round("tau_fast", 8).alias("tau_fast")),
+    "SELECT task_a, task_b, round(tau, 8) AS tau, round(tau_fast, 8) AS tau_fast FROM tau_", many=MANY, xy=XY.replace("cells a", "many a").replace("cells b", "many b"), signs=SIGNS, tau_=TAU,
+)
 DRAW = "((rep * 7919 + slot * 104729 + rep * slot * 31 + 15485863) % 1000003 * 48271 % 2147483647) % 10"
 BOOT = f"""SELECT task_a, task_b, count(tau) AS reps, quantile_cont(tau, 0.025) AS lo, quantile_cont(tau, 0.975) AS hi FROM (
   SELECT task_a, task_b, rep, sum(sx * sy) / sqrt(nullif(CAST(sum(abs(sx)) AS DOUBLE) * sum(abs(sy)), 0)) AS tau FROM (

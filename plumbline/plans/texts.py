@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import agreement, citations, prompts
+from ..operators import agreement, citations, mentions, prompts
 from .registry import add
 
 ID = ["task", "model_id", "idx"]
@@ -87,8 +87,8 @@ policy("e21_strict_ids", listed(extract.strict_ids), sorted_set(all_of(r"(T\d{4}
 NAMES = "SELECT item_id, array_join(slice(split(text, ' '), 1, CAST(2 + item_id % 3 AS INT)), ' ') AS name FROM benchmark"
 add(
     "e22_longest_mention",
-    lambda t: extract.longest_mention(t.documents.select(F.col("doc_id").alias("idx"), "text"), t.sql(NAMES), ["idx"]),
-    "SELECT idx, arg_max(name, printf('%09d', length(name)) || name) AS name, count(*) AS mentions FROM (SELECT doc_id AS idx, ' ' || lower(text) || ' ' AS low FROM documents) JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2 + item_id % 3], ' ') AS name FROM benchmark) ON contains(low, ' ' || lower(name) || ' ') GROUP BY ALL",
+    lambda t: mentions.longest_mention(t.documents.select(F.col("doc_id").alias("idx"), "text"), t.sql(NAMES), ["idx"]),
+    "SELECT idx, arg_max(name, printf('%09d', length(name)) || name) AS name, count(*) AS mentions FROM (SELECT doc_id AS idx, lower(text) AS low FROM documents) JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2 + item_id % 3], ' ') AS name FROM benchmark) ON contains(low, lower(name)) GROUP BY ALL",
 )
 policy("e23_generated_letter", extract.generated_letter, r"coalesce(nullif(regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^([A-D])\b', 1), ''), nullif(regexp_extract(text, '\b([A-D])\b', 1), ''), '?')")
 LOGITS = "SELECT vec_id, [embedding[1]::DOUBLE, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE embedding[2]::DOUBLE END, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS lp FROM embeddings"

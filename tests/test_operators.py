@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import extract
-from plumbline.operators import agreement, correlation, embeddings, scores, votes
+from plumbline.operators import agreement, correlation, embeddings, mentions, scores, votes
 from plumbline.plans.registry import Tables
 from plumbline.sources import files
 from plumbline.streaming import arrivals
@@ -129,9 +129,18 @@ def test_clusters_find_near_pairs(spark):
 
 
 def test_longest_mention(spark):
-    texts = spark.createDataFrame([(1, "we saw Red Fox and the red fox den"), (2, "redfox"), (3, None), (4, "")], "idx long, text string")
-    names = spark.createDataFrame([("red fox",), ("Red Fox Den",), ("fox",), ("den",), ("fox",)], "name string")
-    assert [tuple(r) for r in extract.longest_mention(texts, names, ["idx"]).collect()] == [(1, "Red Fox Den", 4)]
+    """Names as substrings: beside punctuation, inside words, overlapping, alike but for case; in one shard and in many."""
+    texts = [(1, "by the Red Fox Den and red fox"), (2, "It was APT28, I think."), (3, "(Turla)"), (4, "xxturlaxx"), (5, "none"), (6, None), (7, ""), (8, "apt41 apt4"), (9, "the \u00c9quipe")]
+    names = ["Red Fox", "Red Fox Den", "fox", "APT28", "apt28", "Turla", "APT4", "APT41", "", None, "\u00e9quipe"]
+    docs, known = spark.createDataFrame(texts, "idx long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    want = {}
+    for i, text in texts:
+        hits = sorted({n for n in names if n and n.lower() in (text or "").lower()}, key=lambda n: (len(n), n))
+        if hits:
+            want[i] = (hits[-1], len(hits))
+    for size in (8 << 20, 12):
+        assert {r.idx: (r.name, r.mentions) for r in mentions.longest_mention(docs, known, ["idx"], shard_bytes=size).collect()} == want
+    assert mentions.longest_mention(docs, known.limit(0), ["idx"]).count() == 0 and mentions.longest_mention(docs.limit(0), known, ["idx"]).count() == 0
 
 
 def test_model_discovery(spark, tmp_path):
@@ -231,3 +240,36 @@ def test_arrivals_resume(spark, tmp_path):
     assert run() == {(1, 5), (2, 6)}
     put([("t", 1, 2, 7)])
     assert run() == {(1, 5), (2, 7)} and run() == {(1, 5), (2, 7)}
+
+
+def tau_brute(x, y, weights):
+    """Sums over all pairs of places."""
+    sign = lambda v: np.sign(np.round(v[None, :] - v[:, None], 9))
+    i, j = np.triu_indices(len(x), 1)
+    sx, sy, w = sign(x)[i, j], sign(y)[i, j], (weights[:, None] * weights[None, :])[i, j]
+    nx, ny, both = (np.abs(sx) * w).sum(), (np.abs(sy) * w).sum(), ((sx == 0) & (sy == 0)) @ w
+    num = (sx * sy * w).sum()
+    return [num / np.sqrt(p) if p > 0 else np.nan for p in (nx * ny, (nx + both) * (ny + both))]
+
+
+def test_tau_by_inversions():
+    rng = np.random.default_rng(2)
+    for n, values in [(1, 3), (2, 2), (5, 2), (17, 4), (60, 9), (60, 1000)]:
+        x, y, w = rng.integers(0, values, n) / 7, rng.integers(0, values, n) / 7, rng.integers(0, 4, (6, n))
+        got = correlation.taus(x, y, np.concatenate([w, np.ones((1, n), int)]))
+        want = np.array([tau_brute(x, y, v) for v in [*w, np.ones(n, int)]])
+        assert np.allclose(np.stack(got, axis=1), want, equal_nan=True)
+
+
+def test_tau_of_many_models(spark):
+    """5,000 models with ties: no join of models with models, and the same value as by all pairs."""
+    rng = np.random.default_rng(4)
+    values = {t: rng.integers(0, 40, 5000) / 40 for t in ("a", "b", "c")}
+    values["b"] = np.round((values["a"] + values["b"]) / 2, 2)
+    cells = spark.createDataFrame([(t, int(i), float(v)) for t, vs in values.items() for i, v in enumerate(vs)], "task string, model_id long, acc double")
+    pairs = correlation.kendall_pairs(cells)
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().toString() and "BroadcastNestedLoop" not in pairs._jdf.queryExecution().toString()
+    got = {(r.task_a, r.task_b): r.tau for r in pairs.collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert all(abs(got[p] - tau_brute(values[p[0]], values[p[1]], np.ones(5000, int))[0]) < 1e-9 for p in got)
+    assert all(r.reps == 300 and r.lo < got[r.task_a, r.task_b] < r.hi for r in correlation.bootstrap_tau(cells.where("model_id < 400"), 300).where("task_b = 'b'").collect())
