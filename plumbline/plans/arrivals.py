@@ -29,8 +29,14 @@ def incremental(t):
 
 
 def running(t):
-    folder = landed(t)
-    return read_once(arrivals.latest(arrivals.running_accuracy(scored(arrivals.arriving(t.spark, f"{folder}/in", SCHEMA))), f"{folder}/out", f"{folder}/log"), folder)
+    """Three deliveries; the last one corrects a tenth of the answers."""
+    folder = new_folder(t.spark, "arrivals")
+    fixed = F.when(F.col("delivery") == 2, F.concat(F.lit("ANSWER: "), F.col("gold"))).otherwise(F.col("text"))
+    for number, part in enumerate(("idx % 2 = 0", "idx % 2 = 1", "idx % 10 = 0")):
+        t.answers.where(part).withColumn("delivery", F.lit(number)).withColumn("text", fixed).write.mode("append").json(f"{folder}/in")
+    stream = arrivals.arriving(t.spark, f"{folder}/in", f"{SCHEMA}, delivery long")
+    judged = stream.withColumn("correct", F.coalesce(extract.cascade(F.col("text")) == F.col("gold"), F.lit(False)))
+    return read_once(arrivals.running_accuracy(judged.select(*arrivals.KEY, "delivery", "correct"), f"{folder}/out", f"{folder}/log"), folder)
 
 
 def refreshed(t):
@@ -53,5 +59,5 @@ CASCADE = "coalesce(" + ", ".join(last_line(m) for m in (
 SCORED = f"SELECT task, model_id, idx, coalesce({CASCADE} = gold, FALSE) AS correct FROM answers"
 
 add("t02_incremental_scores", incremental, "SELECT * FROM scored", scored=SCORED)
-add("t03_running_accuracy", running, "SELECT task, model_id, count(*) AS n, count_if(correct) AS correct FROM scored GROUP BY ALL", scored=SCORED)
+add("t03_running_accuracy", running, "SELECT task, model_id, count(*) AS n, count_if(correct OR (idx % 10 = 0 AND gold IS NOT NULL)) AS correct FROM scored JOIN (SELECT DISTINCT task, idx, gold FROM answers) USING (task, idx) GROUP BY ALL", scored=SCORED)
 add("t04_refreshed_partitions", refreshed, "SELECT task, count(*) AS n, sum(CASE WHEN task < 'src5' THEN acc ELSE 0 END) AS acc FROM cells GROUP BY ALL")

@@ -273,3 +273,23 @@ def test_tau_of_many_models(spark):
     assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
     assert all(abs(got[p] - tau_brute(values[p[0]], values[p[1]], np.ones(5000, int))[0]) < 1e-9 for p in got)
     assert all(r.reps == 300 and r.lo < got[r.task_a, r.task_b] < r.hi for r in correlation.bootstrap_tau(cells.where("model_id < 400"), 300).where("task_b = 'b'").collect())
+
+
+def test_last_verdict_counts(spark, tmp_path):
+    """Corrected deliveries change the cells, older and repeated ones don't; a restart goes on from the checkpoint."""
+    schema = "task string, model_id long, idx long, delivery long, correct boolean"
+
+    def deliver(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def run():
+        stream = arrivals.arriving(spark, str(tmp_path / "in"), schema)
+        return {(r.task, r.model_id): (r.n, r.correct) for r in arrivals.running_accuracy(stream, str(tmp_path / "out"), str(tmp_path / "log")).collect()}
+
+    deliver(("a", 1, 1, 0, True), ("a", 1, 2, 0, False), ("a", 2, 1, 0, True), ("b", 1, 7, 0, False))
+    assert run() == {("a", 1): (2, 1), ("a", 2): (1, 1), ("b", 1): (1, 0)}
+    assert run() == {("a", 1): (2, 1), ("a", 2): (1, 1), ("b", 1): (1, 0)}
+    deliver(("a", 1, 1, 1, False), ("a", 1, 2, 1, True), ("a", 1, 3, 1, True), ("b", 1, 7, 1, True), ("a", 2, None, 1, True), ("a", 2, 5, 1, None))
+    assert run() == {("a", 1): (3, 2), ("a", 2): (1, 1), ("b", 1): (1, 1)}
+    deliver(("a", 1, 1, 0, True), ("b", 1, 7, 2, False), ("b", 1, 7, 3, True), ("b", 1, 7, 2, False), ("a", 1, 3, 4, False), ("a", 1, 3, 4, True))
+    assert run() == {("a", 1): (3, 2), ("a", 2): (1, 1), ("b", 1): (1, 1)}
