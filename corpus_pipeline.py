@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, ngram_join, quality_rules, sentence_pieces
 from plumbline.llm.common import table
+from plumbline.sources.folders import new_folder, remove
 
 #: Near duplicates: five words and a similarity of 0.8.
 SHINGLE_WORDS = 5
@@ -66,8 +67,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages applied to documents.
+
+    Each stage but the last is written once to the shared folder and read again by the next; a stage's files are deleted
+    when the next one is written. Those of the last but one stay, as the result reads them.
+    """
+    docs, held = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        out, path = stage(spark, docs, sf_dir), new_folder(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if held:
+            remove(spark, held)
+        held = path
+    return STAGES[-1][1](spark, docs, sf_dir)
