@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import cvss, extract
-from ..operators import agreement, scores, votes
+from ..operators import agreement, reverdict, scores, votes
 from .registry import add
 
 KEPT = "SELECT task, model_id, idx, judge, is_correct FROM verdicts WHERE NOT skipped"
@@ -209,11 +209,24 @@ add(
     r"SELECT task, avg(CAST(model_response = ground_truth AS INT)) AS exact, avg(CAST(starts_with(model_response, ground_truth) AS INT)) AS prefix, avg(CAST(regexp_extract(model_response, '\b([ABCD])\b', 1) = ground_truth AS INT)) AS pattern FROM responses GROUP BY ALL",
 )
 add("m16_ordinal", lambda t: t.verdicts.groupBy("judge").agg(F.avg(scores.ordinal(F.col("idx") % 8 - 1)).alias("score")), "SELECT judge, avg(greatest(1, least(5, idx % 8 - 1))) AS score FROM verdicts GROUP BY ALL")
+
+
+def metric_cells(t):
+    return reverdict.metric_cells(t.verdicts.where("judge = 'def'"), cvss_scored(t), set_scored(t), t.task_dim)
+
+
+DEVIATIONS = "SELECT task, model_id, round(avg(coalesce(round(abs(p - g), 2), 10.0)), 3) AS mad FROM scored GROUP BY ALL"
+COUNTS = "SELECT task, model_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(np - tp) AS BIGINT) AS fp, CAST(sum(ng - tp) AS BIGINT) AS fn, coalesce(2 * (sum(tp) / nullif(sum(np), 0)) * (sum(tp) / nullif(sum(ng), 0)) / nullif(sum(tp) / nullif(sum(np), 0) + sum(tp) / nullif(sum(ng), 0), 0), 0) AS f1 FROM sets GROUP BY ALL"
+METRICS = """SELECT task, model_id, CASE task_type WHEN 'vsp' THEN 'mad' WHEN 'ids' THEN 'f1' ELSE 'accuracy' END AS metric, CASE task_type WHEN 'vsp' THEN mad WHEN 'ids' THEN f1 ELSE correct / total END AS value,
+  CASE task_type WHEN 'vsp' THEN greatest(0.0, 1 - mad / 7.7) WHEN 'ids' THEN f1 ELSE correct / total END AS normal, total, correct, CASE WHEN task_type = 'ids' THEN tp END AS tp, CASE WHEN task_type = 'ids' THEN fp END AS fp, CASE WHEN task_type = 'ids' THEN fn END AS fn
+  FROM (SELECT task, model_id, count(*) AS total, count_if(is_correct) AS correct FROM verdicts WHERE judge = 'def' AND NOT skipped GROUP BY ALL) JOIN devs USING (task, model_id) JOIN counts USING (task, model_id) JOIN task_dim USING (task)"""
+WITH_METRICS = {"gold_cvss": GOLD_CVSS, "pred_cvss": PRED_CVSS, "scored": SCORED, "sets": SETS, "devs": DEVIATIONS, "counts": COUNTS, "metrics": METRICS}
+add("m17_primary_scores", lambda t: metric_cells(t).select("task", "model_id", "value", F.col("metric").alias("unit")), "SELECT task, model_id, value, metric AS unit FROM metrics", **WITH_METRICS)
 add(
-    "m17_primary_scores",
-    lambda t: t.cells.join(F.broadcast(t.task_dim), "task").select("task", "model_id", F.when(F.col("task_type") == "vsp", 1 - F.col("acc") * 7.7).otherwise(F.col("acc")).alias("value"), F.when(F.col("task_type") == "vsp", "mad").when(F.col("task_type") == "ids", "f1").otherwise("accuracy").alias("unit")),
-    "SELECT task, model_id, CASE WHEN task_type = 'vsp' THEN 1 - acc * 7.7 ELSE acc END AS value, CASE task_type WHEN 'vsp' THEN 'mad' WHEN 'ids' THEN 'f1' ELSE 'accuracy' END AS unit FROM cells JOIN task_dim USING (task)",
-)
+    "m18_metric_summary", lambda t: reverdict.metric_summary(metric_cells(t)),
+    """SELECT * FROM metrics UNION ALL SELECT 'ALL' AS task, model_id, 'mean' AS metric, avg(normal) AS value, avg(normal) AS normal, CAST(sum(total) AS BIGINT) AS total, CAST(sum(correct) AS BIGINT) AS correct,
+       CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM metrics GROUP BY model_id""", **WITH_METRICS,
+)
 add("m18_summary", lambda t: scores.summary(t.verdicts.where("judge = 'def'")), "SELECT model_id, coalesce(task, 'ALL') AS task, count(*) AS total, count_if(is_correct) AS correct, count_if(is_correct) / count(*) AS accuracy FROM verdicts WHERE judge = 'def' AND NOT skipped GROUP BY GROUPING SETS ((model_id, task), (model_id))")
 add(
     "m19_native_cells",
@@ -236,3 +249,29 @@ add(
     lambda t: t.predictions.join(t.verdicts.where("not skipped"), ["task", "model_id", "idx"]).groupBy("judge").agg(F.count("*").alias("n"), F.avg((F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)) != F.col("is_correct")).cast("int")).alias("differ_rate")),
     "SELECT judge, count(*) AS n, avg(CAST(coalesce(pred = gold, FALSE) <> is_correct AS INT)) AS differ_rate FROM predictions JOIN verdicts USING (task, model_id, idx) WHERE NOT skipped GROUP BY ALL",
 )
+
+
+#: Answers as a judge extracts them, of seven kinds, in four ways: alike but for notation, alike, unlike, nothing.
+JUDGED = """SELECT task, model_id, idx, kind, judge, stated, truth, CASE WHEN way = 3 THEN 'NONE' WHEN way = 1 THEN truth WHEN way = 0 THEN like_it ELSE unlike END AS extracted FROM (
+  SELECT v.task, v.model_id, v.idx, v.judge, v.is_correct AS stated, (v.idx * 7 + v.model_id * 3) % 4 AS way,
+    CASE v.idx % 8 WHEN 0 THEN 'letter' WHEN 1 THEN 'letters' WHEN 2 THEN 'cwe' WHEN 3 THEN 'vector' WHEN 4 THEN 'techniques' WHEN 5 THEN 'mitigations' WHEN 6 THEN 'actor' ELSE 'meaning' END AS kind,
+    CASE v.idx % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'ACD' WHEN 2 THEN concat('CWE-', CAST(20 + v.idx % 70 AS STRING)) WHEN 3 THEN 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N' WHEN 4 THEN concat('T1059.001, T', CAST(1000 + v.idx % 40 AS STRING)) WHEN 5 THEN 'M1018,M1026'
+      WHEN 6 THEN concat('Actor ', CAST(v.idx % 9 + 1 AS STRING)) ELSE 'any' END AS truth,
+    CASE v.idx % 8 WHEN 0 THEN ' b' WHEN 1 THEN 'd, a, C' WHEN 2 THEN CAST(20 + v.idx % 70 AS STRING) WHEN 3 THEN 'cvss:3.0/av:n/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N' WHEN 4 THEN concat('T', CAST(1000 + v.idx % 40 AS STRING), '.002,T1059') WHEN 5 THEN 'm1026 and m1018'
+      WHEN 6 THEN concat('ACTOR ', CAST(v.idx % 9 + 2 AS STRING)) ELSE 'all' END AS like_it,
+    CASE v.idx % 8 WHEN 0 THEN 'C' WHEN 1 THEN 'AC' WHEN 2 THEN concat('CWE-', CAST(20 + v.idx % 70 AS STRING), ', CWE-1') WHEN 3 THEN 'AV:L/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N' WHEN 4 THEN 'T1059' WHEN 5 THEN 'M1018' WHEN 6 THEN concat('Actor ', CAST(v.idx % 9 + 70 AS STRING)) ELSE 'none' END AS unlike
+  FROM verdicts v WHERE NOT v.skipped)"""
+ALIASES = "SELECT concat('actor ', CAST(src AS STRING)) AS a, concat('Actor ', CAST(dst AS STRING)) AS b FROM edges WHERE kind = 'alias'"
+add(
+    "m23_stated_rules",
+    lambda t: reverdict.rates(reverdict.re_verdicts(t.sql(JUDGED), t.sql(ALIASES)), ["kind", "judge"]),
+    r"""SELECT kind, judge, count(*) AS n, count_if(stated) AS stated_correct, count_if(same) AS rule_correct, avg(CAST(stated <> same AS INT)) AS differ_rate FROM (
+      SELECT kind, judge, stated, CASE kind WHEN 'letter' THEN upper(trim(extracted)) = truth WHEN 'letters' THEN extracted <> 'NONE' AND list_sort(list_distinct(regexp_extract_all(upper(extracted), '[A-Z]'))) = list_sort(regexp_extract_all(truth, '[A-Z]'))
+        WHEN 'cwe' THEN list_sort(list_distinct(list_transform(regexp_extract_all(extracted, '\d+'), lambda x: x::INT))) = list_transform(regexp_extract_all(truth, '\d+'), lambda x: x::INT) WHEN 'vector' THEN regexp_replace(upper(extracted), '^CVSS:3.[01]/', '') = substr(truth, 10)
+        WHEN 'techniques' THEN list_sort(list_distinct(list_transform(regexp_extract_all(extracted, 'T\d{4}(\.\d+)?'), lambda x: x[1:5]))) = list_sort(list_distinct(list_transform(regexp_extract_all(truth, 'T\d{4}(\.\d+)?'), lambda x: x[1:5])))
+        WHEN 'mitigations' THEN list_sort(list_distinct(regexp_extract_all(upper(extracted), 'M\d{4}'))) = list_sort(regexp_extract_all(truth, 'M\d{4}'))
+        ELSE lower(extracted) = lower(truth) OR EXISTS (SELECT 1 FROM reach WHERE x = lower(extracted) AND y = lower(truth)) END AS same FROM judged WHERE kind <> 'meaning') GROUP BY ALL""",
+    judged=JUDGED.replace("STRING", "VARCHAR"), pairs_="SELECT concat('actor ', CAST(p.s AS VARCHAR)) AS x, concat('actor ', CAST(q.s AS VARCHAR)) AS y FROM (SELECT unnest(range(1, 100)) AS s) p, (SELECT unnest(range(1, 100)) AS s) q WHERE (p.s - 1) // 7 = (q.s - 1) // 7",
+    ends_="SELECT 'actor ' || CAST(src AS VARCHAR) AS name FROM edges WHERE kind = 'alias' UNION SELECT 'actor ' || CAST(dst AS VARCHAR) FROM edges WHERE kind = 'alias'",
+    reach="SELECT x, y FROM pairs_ WHERE x IN (SELECT name FROM ends_) AND y IN (SELECT name FROM ends_)",
+)

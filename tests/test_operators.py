@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import extract
-from plumbline.operators import agreement, correlation, embeddings, mentions, scores, votes
+from plumbline.operators import agreement, correlation, embeddings, mentions, reverdict, scores, votes
 from plumbline.plans.registry import Tables
 from plumbline.sources import files
 from plumbline.streaming import arrivals
@@ -293,3 +293,31 @@ def test_last_verdict_counts(spark, tmp_path):
     assert run() == {("a", 1): (3, 2), ("a", 2): (1, 1), ("b", 1): (1, 1)}
     deliver(("a", 1, 1, 0, True), ("b", 1, 7, 2, False), ("b", 1, 7, 3, True), ("b", 1, 7, 2, False), ("a", 1, 3, 4, False), ("a", 1, 3, 4, True))
     assert run() == {("a", 1): (3, 2), ("a", 2): (1, 1), ("b", 1): (1, 1)}
+
+
+def test_stated_rules(spark):
+    """Each rule in and out of its own notation; nothing extracted; kinds judged by meaning."""
+    rows = [
+        ("letter", "b ", "B", True), ("letter", "C", "B", False), ("letter", "NONE", "B", False), ("letter", None, "B", False),
+        ("letters", "c,a", "AC", True), ("letters", "AB", "ABC", False), ("letters", "ABCD", "ABC", False), ("letters", "NONE", "ENO", False),
+        ("cwe", "79", "CWE-79", True), ("cwe", "cwe-89, CWE-079", "CWE-79,CWE-89", True), ("cwe", "CWE-79", "CWE-79,CWE-89", False),
+        ("vector", "CVSS:3.0/av:n/AC:L", "CVSS:3.1/AV:N/AC:L", True), ("vector", "AV:N/AC:L", "CVSS:3.1/AV:N/AC:L", True), ("vector", "AV:L/AC:L", "CVSS:3.1/AV:N/AC:L", False),
+        ("techniques", "T1027, t1059.003", "T1059.001,T1027", True), ("techniques", "T1059", "T1059,T1027", False), ("techniques", "NONE", "NONE", False),
+        ("mitigations", "m1026 M1018", "M1018,M1026", True), ("mitigations", "M1018", "M1018,M1026", False),
+        ("actor", " FANCY Bear", "apt28", True), ("actor", "Sofacy", "APT28", True), ("actor", "Turla", "APT28", False), ("actor", "unknown x", "Unknown X", True), ("actor", "NONE", "APT28", False),
+        ("meaning", "a", "a", None),
+    ]
+    aliases = spark.createDataFrame([("APT28", "Fancy Bear"), ("fancy bear", "Sofacy"), ("Turla", "Snake")], "a string, b string")
+    got = reverdict.re_verdicts(spark.createDataFrame([(k, x, y, i) for i, (k, x, y, _) in enumerate(rows)], "kind string, extracted string, truth string, i int"), aliases).orderBy("i").collect()
+    assert [(rows[r.i], r.rederived) for r in got] == [(r, r[3]) for r in rows]
+
+
+def test_cells_by_their_metric(spark):
+    tasks = spark.createDataFrame([("m", "mcq"), ("v", "vsp"), ("s", "ids"), ("w", "vsp")], "task string, task_type string")
+    verdicts = spark.createDataFrame([(t, 1, t != "s", False) for t in "mvsw"] + [("m", 1, False, False), ("m", 1, False, True)], "task string, model_id long, is_correct boolean, skipped boolean")
+    devs = spark.createDataFrame([("v", 1, 5.0, 7.0), ("v", 1, 5.0, None)], "task string, model_id long, score_gold double, score_pred double")
+    sets = spark.createDataFrame([("s", 1, ["a", "b"], ["b", "c", "d"])], "task string, model_id long, p array<string>, g array<string>").select("task", "model_id", scores.set_scores(F.col("p"), F.col("g")).alias("s"))
+    got = {r.task: r for r in reverdict.metric_summary(reverdict.metric_cells(verdicts, devs, sets, tasks)).collect()}
+    assert (got["m"].metric, got["m"].value, got["m"].total) == ("accuracy", 0.5, 2) and (got["v"].metric, got["v"].value, got["v"].normal) == ("mad", 6.0, pytest.approx(1 - 6 / 7.7))
+    assert (got["s"].metric, got["s"].value, got["s"].tp, got["s"].fp, got["s"].fn) == ("f1", pytest.approx(0.4), 1, 1, 2) and (got["w"].metric, got["w"].value) == ("accuracy", 1.0)
+    assert got["ALL"].value == pytest.approx((0.5 + 1 - 6 / 7.7 + 0.4 + 1) / 4)
