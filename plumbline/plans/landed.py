@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import files, ranges
 from ..sources.folders import new_folder, read_once
 from .registry import add
 
@@ -51,6 +51,15 @@ def concatenated(t):
     return read_once(files.concatenated(t.spark, path).select(F.get_json_object("object", "$.idx").cast("long").alias("idx"), F.get_json_object("object", "$.s").alias("s")), path)
 
 
+def concatenated_ranges(t):
+    """All items in a few files without any separator, and small ranges, so that many objects lie across their ends."""
+    path = new_folder(t.spark, "ranges")
+    item = F.concat(F.lit('{"idx": '), F.col("idx").cast("string"), F.lit(', "s": "}{\\\\\\"é{", "deep": {"gold": "'), F.col("gold"), F.lit('"}}'))
+    t.items.select(item.alias("value")).coalesce(2).write.text(path, lineSep=" ")
+    rows = ranges.concatenated_ranges(t.spark, path, 1000)
+    return read_once(rows.select(F.get_json_object("object", "$.idx").cast("long").alias("idx"), F.get_json_object("object", "$.s").alias("s"), F.get_json_object("object", "$.deep.gold").alias("gold")), path)
+
+
 def tsv(t):
     path = new_folder(t.spark, "tsv")
     t.items.select(F.concat(F.col("idx").cast("string"), F.when(F.col("idx") % 3 != 0, F.concat(F.lit('\t"'), F.col("gold"))).otherwise(F.lit(""))).alias("value")).write.text(path)
@@ -131,6 +140,7 @@ def all_strings(t):
 add("s04_tolerant_lines", tolerant, "SELECT task, idx, CASE WHEN idx % 4 <> 0 THEN gold END AS gold FROM items WHERE idx % 10 <> 0")
 add("s05_all_strings", all_strings, "SELECT task, CAST(idx AS VARCHAR) AS idx, CASE WHEN idx % 4 <> 0 THEN gold ELSE '' END AS gold FROM items")
 add("s06_concatenated", concatenated, "SELECT idx, '}{' AS s FROM items")
+add("s06_concatenated_ranges", concatenated_ranges, "SELECT idx, concat('}{', chr(92), chr(34), 'é{') AS s, gold FROM items")
 add("s07_tsv", tsv, "SELECT idx, CASE WHEN idx % 3 <> 0 THEN concat('\"', gold) ELSE '' END AS gold FROM items")
 add("s08_nested_arrays", nested, "SELECT idx, gold FROM items")
 add("s10_verdict_files", verdict_files, "SELECT task, idx, agent, verdict FROM verifications")
