@@ -118,6 +118,25 @@ def backward(text: Column, pattern: str, group: int = 1) -> Column:
     return last_some(F.transform(all_lines, at))
 
 
+def backward_vector(text: Column) -> Column:
+    return backward(text, r"(?i)(CVSS:3\.1/\S+)")
+
+
+def backward_technique(text: Column) -> Column:
+    """The parent of the technique found."""
+    return F.element_at(F.split(F.upper(backward(text, r"(?i)(T\d{4}(?:\.\d{3})?)")), r"\."), 1)
+
+
+def backward_text(text: Column) -> Column:
+    """The line found without quotes around it and with single spaces."""
+    return F.regexp_replace(F.trim(backward(text, "(.+)"), F.lit("\"'")), r"\s+", " ")
+
+
+def backward_mitigations(text: Column) -> Column:
+    """All mitigation ids of the line found, as they stand; empty without any."""
+    return F.array_join(F.regexp_extract_all(F.upper(backward_text(text)), F.lit(r"(M\d{4})")), ", ")
+
+
 def answer_colon(text: Column) -> Column:
     return F.upper(found(text, r"(?i)ANSWER:?\s*([A-D])"))
 
@@ -199,6 +218,36 @@ def judge_reply(reply: Column) -> Column:
     return F.struct((~failed & (verdict == "CORRECT")).alias("is_correct"), F.when(failed, F.lit("")).otherwise(answer).alias("extracted_answer"), failed.alias("skipped"))
 
 
+def reply_json(reply: Column) -> Column:
+    """The JSON of a judge's reply, in a fence or from the first to the last brace, as a variant; null if it is none."""
+    return F.try_parse_json(F.coalesce(found(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), found(reply, r"(?s)(\{.*\})"), reply))
+
+
+def vector_reply(reply: Column) -> Column:
+    """vector and success of a reply to a vector task: the JSON's fields, or else the first vector of the text."""
+    parsed = reply_json(reply)
+    loose = found(reply, r"(?i)((?:CVSS:3\.[01]/)?AV:[A-Z]+/AC:[A-Z]+/PR:[A-Z]+/UI:[A-Z]+/S:[A-Z]+/C:[A-Z]+/I:[A-Z]+/A:[A-Z]+)")
+    stated = F.coalesce(F.try_variant_get(parsed, "$.extracted_vector", "string"), F.lit(""))
+    success = F.coalesce(F.try_variant_get(parsed, "$.extraction_success", "boolean"), F.lit(False))
+    return F.struct(F.when(parsed.isNotNull(), stated).otherwise(F.coalesce(loose, F.lit(""))).alias("vector"), F.when(parsed.isNotNull(), success).otherwise(loose.isNotNull()).alias("success"))
+
+
+def score_reply(reply: Column) -> Column:
+    """The score of 1 to 5 of a reply: the JSON's, cut to a whole number, 1 if it is none; or else the number after
+    "score", the first digit from 1 to 5 that stands alone, or 3."""
+    parsed = reply_json(reply)
+    stated = F.coalesce(F.try_variant_get(parsed, "$.score", "string").try_cast("double"), F.lit(1.0)).cast("long")
+    loose = F.coalesce(found(reply, r"[\"']?score[\"']?\s*[:=]\s*(\d+)\b").try_cast("long"), found(reply, r"\b([1-5])\b").cast("long"), F.lit(3).cast("long"))
+    return F.greatest(F.lit(1), F.least(F.lit(5), F.when(parsed.isNotNull(), stated).otherwise(loose)))
+
+
+def text_reply(reply: Column) -> Column:
+    """Whether a reply says CORRECT: the JSON's verdict, or else the word without INCORRECT anywhere."""
+    parsed, upper = reply_json(reply), F.upper(reply)
+    stated = F.upper(strip(F.coalesce(F.try_variant_get(parsed, "$.verdict", "string"), F.lit("")))) == "CORRECT"
+    return F.coalesce(F.when(parsed.isNotNull(), stated).otherwise(upper.contains("CORRECT") & ~upper.contains("INCORRECT")), F.lit(False))
+
+
 def class_reply(text: Column) -> Column:
     """Class K or A of a reply and how it was found: a JSON envelope, the last key and value, the last explicit
     statement, the last declarative one, the last letter of the end, the last letter anywhere."""

@@ -65,6 +65,11 @@ def backward(pattern: str) -> str:
 
 policy("e12_backward_letter", lambda c: F.upper(extract.backward(c, r"(?i)\b([A-E])\b")), f"upper({backward(chr(92) + 'b([A-E])' + chr(92) + 'b')})")
 policy("e12_backward_cwe", lambda c: F.upper(extract.backward(c, r"(?i)(CWE-\d+)")), f"upper({backward('(CWE-' + chr(92) + 'd+)')})")
+policy("e12_backward_vector", extract.backward_vector, backward(r"(CVSS:3\.1/\S+)"))
+policy("e12_backward_technique", extract.backward_technique, f"string_split(upper({backward(r'(T\d{4}(?:\.\d{3})?)')}), '.')[1]")
+FREE = f"regexp_replace(trim({backward('(.+)')}, chr(34) || chr(39)), '\\s+', ' ', 'g')"
+policy("e12_backward_text", extract.backward_text, FREE)
+policy("e12_backward_mitigations", extract.backward_mitigations, f"array_to_string(regexp_extract_all(upper({FREE}), 'M\\d{{4}}'), ', ')")
 policy("e13_answer_colon", extract.answer_colon, r"upper(nullif(regexp_extract(text, 'ANSWER:?\s*([A-D])', 1, 'i'), ''))")
 policy("e14_letters_anywhere", extract.letters_anywhere, f"nullif(array_to_string(list_sort(list_distinct({all_of('([A-D])', "replace(text, 'Answer:', '')")})), ''), '')")
 CLEAN = "replace(x, '**', ' ')"
@@ -103,6 +108,19 @@ add(
     lambda t: t.judge_replies.select("task", "model_id", "idx", "judge", extract.judge_reply(F.col("reply")).alias("r")).select("task", "model_id", "idx", "judge", "r.*"),
     """SELECT task, model_id, idx, judge, NOT skipped AND is_correct AS is_correct, CASE WHEN NOT skipped AND idx % 3 = 0 THEN 'B' ELSE '' END AS extracted_answer, skipped FROM verdicts""",
 )
+#: Replies of older judges: JSON in a fence, amid text, without the fields; broken JSON; plain text with the fields, without, and nothing.
+OLD = """SELECT task, model_id, idx, judge, is_correct, form, vector, score, concat('so: ', CASE form WHEN 0 THEN concat('```json {"verdict": "', word, '", "score": ', CAST(score AS STRING), ', "extracted_vector": "', vector, '", "extraction_success": true} ``` {"score": 2}')
+  WHEN 1 THEN concat('I say {"verdict": " ', lower(word), ' ", "score": "', CAST(score AS STRING), '.7", "extracted_vector": "', vector, '", "extraction_success": false} done') WHEN 2 THEN '{"reason": "none", "score": "high"}'
+  WHEN 3 THEN concat('{"verdict": "', word, '", "score": ', CAST(score AS STRING), ', "extracted_vector": "', vector, '", oops') WHEN 4 THEN concat('It is ', lower(word), '. Score = ', CAST(score AS STRING), ' of all, ', lower(vector)) WHEN 5 THEN 'neither one' ELSE '' END) AS reply FROM (
+  SELECT v.task, v.model_id, v.idx, v.judge, v.is_correct, v.idx % 7 AS form, (v.idx * 3 + v.model_id) % 9 AS score, CASE WHEN v.is_correct THEN 'CORRECT' ELSE 'INCORRECT' END AS word, concat('CVSS:3.1/AV:', substr('NALP', CAST(v.idx % 4 + 1 AS INT), 1), '/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N') AS vector FROM verdicts v)"""
+add(
+    "e25_older_replies",
+    lambda t: t.sql(OLD).select("task", "model_id", "idx", "judge", extract.vector_reply(F.col("reply")).alias("v"), extract.score_reply(F.col("reply")).alias("score"), extract.text_reply(F.col("reply")).alias("is_correct")).select("task", "model_id", "idx", "judge", "v.*", "score", "is_correct"),
+    """SELECT task, model_id, idx, judge, CASE form WHEN 2 THEN '' WHEN 4 THEN lower(vector) WHEN 5 THEN '' WHEN 6 THEN '' ELSE vector END AS vector, form IN (0, 3, 4) AS success,
+      CAST(CASE form WHEN 0 THEN greatest(1, least(5, score)) WHEN 1 THEN greatest(1, least(5, score)) WHEN 2 THEN 1 WHEN 3 THEN greatest(1, least(5, score)) WHEN 4 THEN CASE WHEN score BETWEEN 1 AND 5 THEN score ELSE 3 END ELSE 3 END AS BIGINT) AS score,
+      is_correct AND form IN (0, 1, 3, 4) AS is_correct FROM old_""",
+    old_=OLD.replace("STRING", "VARCHAR"),
+)
 add(
     "e26_class_replies",
     lambda t: t.class_replies.select("idx", "rater", extract.class_reply(F.col("reply")).alias("r")).select("idx", "rater", "r.label", "r.mode"),
