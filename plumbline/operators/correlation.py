@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,23 +208,55 @@ def poisson_limits(most: int = 11) -> list[float]:
     return out
 
 
+#: Replicates that one pass over the items serves, and items whose weights are held at once.
+BLOCK_REPS, ITEMS_AT_ONCE = 1000, 512
+
+
+def poisson_weights(keys: Sequence[str], low: int, reps: int) -> np.ndarray:
+    """The weight of each item (a row) in each of reps replicates from low on, DRAWS of them from one digest."""
+    tenths = range(low // DRAWS, -(-(low + reps) // DRAWS))
+    digests = b"".join(hashlib.sha256(f"{k}:{t}".encode()).digest()[: 3 * DRAWS] for k in keys for t in tenths)
+    parts = np.frombuffer(digests, np.uint8).reshape(len(keys), len(tenths) * DRAWS, 3).astype(np.int64)
+    u = (parts[..., 0] << 16 | parts[..., 1] << 8 | parts[..., 2]) / float(1 << 24)
+    return np.searchsorted(poisson_limits(), u, side="right")[:, low % DRAWS :][:, :reps]
+
+
 def item_bootstrap(scored: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
     """Ranking stability: items are drawn with Poisson(1) weights in each replicate, models ranked by weighted accuracy
     under two protocols (a, b), and the rankings correlated. Returns replicates, mean rho and its percentile interval.
 
     scored: task, model_id, idx, a, b (booleans); an item is a task's idx. Its draw in a replicate is a part of a digest, so
-    all of its models share it; each digest serves DRAWS replicates. Only sums for each (replicate, model) are
-    shuffled beyond the items, whatever their number.
+    all of its models share it; each digest serves DRAWS replicates. Items are read once for BLOCK_REPS replicates and
+    make no rows of replicates: a task adds up an array of weighted sums a model, and hands on one row for each
+    (replicate, model), whatever the number of items.
     """
     items = scored.groupBy("task", "idx").agg(F.collect_list(F.struct("model_id", "a", "b")).alias("said"))  # an element for each model
-    digests = items.withColumn("tenth", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // DRAWS))))
-    digests = digests.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), "task", F.col("idx").cast("string"), F.col("tenth").cast("string")), 256))
-    drawn = digests.select("said", "tenth", "digest", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
-    u = F.conv(F.substring(F.col("digest"), F.col("k") * 6 + 1, F.lit(6)), 16, 10).cast("double") / float(1 << 24)
-    drawn = drawn.select("said", (F.col("tenth") * DRAWS + F.col("k")).alias("rep"), u.alias("u"))
-    weight = sum((F.when(F.col("u") >= limit, 1).otherwise(0) for limit in poisson_limits()), F.lit(0))
-    wide = drawn.where(f"rep < {reps}").select("rep", weight.alias("w"), "said").where("w > 0").select("rep", "w", F.inline("said"))
-    acc = wide.groupBy("rep", "model_id").agg(F.try_divide(F.sum(F.when(F.col("a"), F.col("w")).otherwise(0)), F.sum("w")).alias("acc_a"), F.try_divide(F.sum(F.when(F.col("b"), F.col("w")).otherwise(0)), F.sum("w")).alias("acc_b"))
+    keyed = items.select(F.concat_ws(":", F.lit(str(seed)), "task", F.col("idx").cast("string")).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK_REPS))).alias("low"), "said")
+
+    def summed(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, ITEMS_AT_ONCE):
+                part = batch.slice(first, ITEMS_AT_ONCE)
+                lows = part.column("low").to_numpy()
+                for low in np.unique(lows).tolist():
+                    mine = part.filter(pa.array(lows == low))
+                    weights = poisson_weights(mine.column("key").to_pylist(), low, min(BLOCK_REPS, reps - low))
+                    said = mine.column("said")
+                    item = np.repeat(np.arange(len(mine)), np.diff(said.offsets.to_numpy()))
+                    flat = said.flatten()
+                    model = flat.field("model_id").to_numpy()
+                    for m in np.unique(model).tolist():
+                        of = model == m
+                        w = weights[item[of]]
+                        right = [(w * np.asarray(flat.field(c).fill_null(False).filter(pa.array(of)).to_numpy(zero_copy_only=False), np.int64)[:, None]).sum(0) for c in ("a", "b")]
+                        sums[m, low] = sums.get((m, low), 0) + np.stack([w.sum(0), *right])
+        for (m, low), (w, x, y) in sums.items():
+            rep = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(rep + low, pa.int64()), pa.array(np.full(len(rep), m), pa.int64()), *[pa.array(v[rep], pa.int64()) for v in (w, x, y)]], ["rep", "model_id", "w", "x", "y"])
+
+    parts = keyed.mapInArrow(summed, "rep long, model_id long, w long, x long, y long")
+    acc = parts.groupBy("rep", "model_id").agg((F.sum("x") / F.sum("w")).alias("acc_a"), (F.sum("y") / F.sum("w")).alias("acc_b"))
     ranked = acc.select("rep", average_rank(F.round("acc_a", 12), ["rep"]).alias("ra"), average_rank(F.round("acc_b", 12), ["rep"]).alias("rb"))
     rho = ranked.groupBy("rep").agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
     return rho.agg(F.count("rho").alias("reps"), F.avg("rho").alias("mean"), F.percentile("rho", 0.025).alias("lo"), F.percentile("rho", 0.975).alias("hi"))

@@ -321,3 +321,26 @@ def test_cells_by_their_metric(spark):
     assert (got["m"].metric, got["m"].value, got["m"].total) == ("accuracy", 0.5, 2) and (got["v"].metric, got["v"].value, got["v"].normal) == ("mad", 6.0, pytest.approx(1 - 6 / 7.7))
     assert (got["s"].metric, got["s"].value, got["s"].tp, got["s"].fp, got["s"].fn) == ("f1", pytest.approx(0.4), 1, 1, 2) and (got["w"].metric, got["w"].value) == ("accuracy", 1.0)
     assert got["ALL"].value == pytest.approx((0.5 + 1 - 6 / 7.7 + 0.4 + 1) / 4)
+
+
+def test_item_bootstrap_of_many_replicates(spark):
+    """More replicates than one pass serves: weights by hand give the same accuracies, so the same correlations."""
+    rng = np.random.default_rng(6)
+    data = [(t, m, i, bool(rng.random() < 0.3 + 0.1 * m), bool(rng.random() < 0.35 + 0.08 * m)) for t in ("x", "y") for i in range(12) for m in range(5) if (i + m) % 7]
+    reps = correlation.BLOCK_REPS + 25
+    r = correlation.item_bootstrap(spark.createDataFrame(data, "task string, model_id long, idx long, a boolean, b boolean"), reps).first()
+    keys = sorted({(t, i) for t, _, i, _, _ in data})
+    drawn = correlation.poisson_weights([f"0:{t}:{i}" for t, i in keys], 0, reps)
+    weights = dict(zip(keys, drawn, strict=True))
+    assert abs(drawn.mean() - 1) < 0.02 and (correlation.poisson_weights(["0:x:3"], 1000, 25) == weights["x", 3][1000:]).all()
+    total, right = np.zeros((5, reps)), np.zeros((2, 5, reps))
+    for t, m, i, a, b in data:
+        total[m] += weights[t, i]
+        right[:, m] += np.array([a, b])[:, None] * weights[t, i]
+    rank = lambda v: (v[:, None] > v[None]).sum(1) + (v[:, None] == v[None]).sum(1) / 2
+    rhos = []
+    for k in range(reps):
+        x, y = (rank(np.round(right[p, :, k] / total[:, k], 12)) for p in (0, 1))
+        if x.std() * y.std() > 1e-12:
+            rhos.append(np.corrcoef(x, y)[0, 1])
+    assert (r.reps, r.mean, r.lo, r.hi) == (len(rhos), pytest.approx(np.mean(rhos)), pytest.approx(np.quantile(rhos, 0.025)), pytest.approx(np.quantile(rhos, 0.975)))
