@@ -68,22 +68,60 @@ def ranks(cells: DataFrame) -> DataFrame:
     return ranked.withColumn("linear", (F.col("n_models") - F.col("rank") + 1) / F.col("n_models")).withColumn("harmonic", 1 / F.col("rank"))
 
 
+def running_votes(predictions: DataFrame, cells: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
+    """Items with a vote and flagged items of each task when only the best k models vote, for every k, in one pass.
+
+    Votes on an item are taken in the order of their models' ranks. An option's votes and first model change only when
+    it gets a vote, and then its votes rise; so the winner of the first votes is the greatest (votes, first model) of all
+    states so far, and each vote gives out how the item's standing changes at its rank. Changes are added up by rank, then
+    along the ranks. A prediction stays one row: the shuffle doesn't grow with k. Ties are those of vote().
+    """
+    order = ranks(cells).select("task", "model_id", F.col("rank").cast("long").alias("k"))
+    rows = predictions.where("pred is not null").select("task", "idx", "model_id", "pred").join(order, ["task", "model_id"]).repartition("task", "idx").join(gold.select("task", "idx", "gold"), ["task", "idx"])
+    option = Window.partitionBy("task", "idx", "pred").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    by_rank = Window.partitionBy("task", "idx").orderBy("k", "pred")
+    so_far = by_rank.rowsBetween(Window.unboundedPreceding, 0)
+    state = rows.withColumn("_state", F.struct(F.count("*").over(option).alias("votes"), (-F.min("model_id").over(option)).alias("early"), "pred"))
+    state = state.withColumn("_top", F.max("_state").over(so_far)).withColumn("_total", F.count("*").over(so_far))
+    wrong = ((F.col("_top.pred") != F.col("gold")) & (F.col("_top.votes") / F.col("_total") >= threshold)).cast("int")
+    state = state.withColumn("_wrong", F.coalesce(wrong, F.lit(0)))
+    change = state.select("task", "k", (F.col("_total") == 1).cast("int").alias("n"), (F.col("_wrong") - F.lag("_wrong", 1, 0).over(by_rank)).alias("flagged"))
+    at = change.groupBy("task", "k").agg(F.sum("n").alias("n"), F.sum("flagged").alias("flagged"))
+    along = Window.partitionBy("task").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row for each model of the task
+    sums = [F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in ("n", "flagged")]
+    return order.select("task", "k").join(at, ["task", "k"], "left").select("task", "k", *sums)
+
+
 def top_k(predictions: DataFrame, cells: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
-    """Flagged items of each task when only the best k models vote, for every k."""
-    chosen = ranks(cells).select("task", "model_id", F.explode(F.sequence(F.col("rank").cast("long"), F.col("n_models"))).alias("k"))  # a model of rank r is among the best k from k = r on
-    rows = predictions.join(chosen.select("task", "model_id", "k"), ["task", "model_id"])
-    votes = vote(rows, ["task", "k", "idx"]).join(gold, ["task", "idx"])
-    return votes.groupBy("task", "k").agg(F.count("*").alias("n"), F.count_if((F.col("winner") != F.col("gold")) & (F.col("fraction") >= threshold)).alias("flagged"))
+    """Flagged items of each task when only the best k models vote, for every k at which an item has a vote."""
+    return running_votes(predictions, cells, gold, threshold).where("n > 0")
 
 
 def acceptance(predictions: DataFrame, cells: DataFrame, gold: DataFrame, threshold: float, alphas: Sequence[float] = ALPHAS, quorum: int = QUORUM) -> DataFrame:
-    """Flagged items when models with alpha times the best accuracy vote; null where fewer than quorum are eligible."""
+    """Flagged items when models with alpha times the best accuracy vote; null where fewer than quorum are eligible.
+
+    Such models are the best k for some k, so the result is read from running_votes() at that k."""
     levels = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
-    able = cells.withColumn("best", F.max("acc").over(Window.partitionBy("task"))).select("task", "model_id", "acc", "best", levels).where(F.col("acc") >= F.col("alpha") * F.col("best"))
+    able = cells.withColumn("best", F.max("acc").over(Window.partitionBy("task"))).select("task", "acc", "best", levels).where(F.col("acc") >= F.col("alpha") * F.col("best"))
     counts = able.groupBy("task", "alpha").agg(F.count("*").alias("eligible"))
-    votes = vote(predictions.join(able.select("task", "model_id", "alpha"), ["task", "model_id"]), ["task", "alpha", "idx"]).join(gold, ["task", "idx"])
-    hits = votes.groupBy("task", "alpha").agg(F.count_if((F.col("winner") != F.col("gold")) & (F.col("fraction") >= threshold)).alias("flagged"))
-    return counts.join(hits, ["task", "alpha"], "left").withColumn("flagged", F.when(F.col("eligible") >= quorum, F.coalesce("flagged", F.lit(0))))
+    met = running_votes(predictions, cells, gold, threshold).select("task", F.col("k").alias("eligible"), "flagged")
+    return counts.join(met, ["task", "eligible"], "left").select("task", "alpha", "eligible", F.when(F.col("eligible") >= quorum, F.coalesce("flagged", F.lit(0))).alias("flagged"))
+
+
+def flag_rates(predictions: DataFrame, cells: DataFrame, gold: DataFrame, threshold: float = 0.5, thresholds: Sequence[float] = THRESHOLDS, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """kind (threshold, k, alpha), level, task, flagged, n, rate: the share of a task's votable items that is flagged.
+
+    At k and alpha the threshold is fixed. Where the quorum failed, flagged and rate are null. Task ALL adds up the tasks
+    that have the level and, at an alpha, the quorum.
+    """
+    swept = sweep(vote(predictions, ["task", "idx"]), gold, thresholds)
+    sizes = swept.select("task", "n")
+    by_threshold = swept.select("task", F.posexplode(F.array(*[f"t{i}" for i in range(len(thresholds))])).alias("_i", "flagged")).select(F.lit("threshold").alias("kind"), F.element_at(F.array(*[F.lit(float(x)) for x in thresholds]), F.col("_i") + 1).alias("level"), "task", "flagged")
+    by_k = running_votes(predictions, cells, gold, threshold).select(F.lit("k").alias("kind"), F.col("k").cast("double").alias("level"), "task", "flagged")
+    by_alpha = acceptance(predictions, cells, gold, threshold, alphas).select(F.lit("alpha").alias("kind"), F.col("alpha").alias("level"), "task", "flagged")
+    rows = by_threshold.unionByName(by_k).unionByName(by_alpha).join(sizes, "task")
+    every = rows.where("flagged is not null").groupBy("kind", "level").agg(F.lit("ALL").alias("task"), F.sum("flagged").alias("flagged"), F.sum("n").alias("n"))
+    return rows.unionByName(every).select("kind", "level", "task", "flagged", "n", (F.col("flagged") / F.col("n")).alias("rate"))
 
 
 def tier(fraction: Column, thresholds: Sequence[float] = THRESHOLDS) -> Column:
@@ -122,6 +160,16 @@ def label_impact(verdicts: DataFrame, suspects: DataFrame) -> DataFrame:
     return both.withColumn("rank_change", F.col("baseline_rank") - F.col("filtered_rank"))
 
 
+def cell_deltas(verdicts: DataFrame, suspects: DataFrame, top: int = 15) -> DataFrame:
+    """The cells (task, model_id) whose accuracy changes most when items of suspect labels go: baseline, filtered, delta
+    in percentage points, items dropped. Cells of which nothing is left have no delta and are not listed."""
+    kept = verdicts.join(suspects.select("task", "idx").distinct(), ["task", "idx"], "left_anti")
+    of = lambda rows, acc, n: majority_cells(rows).select("task", "model_id", F.col("accuracy").alias(acc), F.col("n").alias(n))
+    both = of(verdicts, "baseline", "n").join(of(kept, "filtered", "n_kept"), ["task", "model_id"])
+    out = both.select("task", "model_id", "baseline", "filtered", F.round((F.col("filtered") - F.col("baseline")) * 100, 6).alias("delta_pp"), (F.col("n") - F.col("n_kept")).alias("n_dropped"))
+    return out.orderBy(F.abs("delta_pp").desc(), "task", "model_id").limit(top)
+
+
 def representative(flags: DataFrame, parents: DataFrame, per_parent: int = 2) -> DataFrame:
     """The flag of greatest share (then least idx) of each task, for at most so many tasks of a parent."""
     best = Window.partitionBy("task").orderBy(F.col("frac").desc(), "idx")

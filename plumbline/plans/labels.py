@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, votes
+from ..operators import agreement, quantiles, votes
+from ..sources.folders import new_folder, read_once
 from .registry import add
 
 OPTIONS = "SELECT task, idx, gold, pred, count(*) AS k, min(model_id) AS first FROM predictions WHERE pred IS NOT NULL GROUP BY ALL"
@@ -55,6 +56,16 @@ add(
          SELECT p.task, alpha, idx, gold, pred, count(*) AS n, min(p.model_id) AS first FROM predictions p JOIN able a ON p.task = a.task AND p.model_id = a.model_id WHERE pred IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) v ON e.task = v.task AND e.alpha = v.alpha""",
     able=ABLE,
 )
+SWEPT = "SELECT task, x AS level, count_if(winner <> gold AND fraction >= x) AS flagged FROM voted, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 2 / 3, 0.75, 5 / 6, 0.9, 1.0]::DOUBLE[]) AS x) GROUP BY ALL"
+BESTK = "SELECT task, k, count_if(winner <> gold AND f >= 0.5) AS flagged FROM (SELECT task, k, idx, gold, arg_max(pred, 1000 * n - first) AS winner, max(n) / sum(n) AS f FROM topk GROUP BY ALL) GROUP BY ALL"
+ACCEPTED = "SELECT e.task, e.alpha, CASE WHEN eligible >= 3 THEN coalesce(flagged, 0) END AS flagged FROM (SELECT task, alpha, count(*) AS eligible FROM able GROUP BY ALL) e LEFT JOIN bestk b ON b.task = e.task AND b.k = e.eligible"
+LEVELS = "SELECT 'threshold' AS kind, level, task, flagged FROM swept UNION ALL SELECT 'k', CAST(k AS DOUBLE), task, flagged FROM bestk UNION ALL SELECT 'alpha', alpha, task, flagged FROM accepted"
+add(
+    "k17_flag_rates_by_level",
+    lambda t: votes.flag_rates(t.predictions, t.cells, golds(t)).withColumn("level", F.round("level", 6)),
+    "SELECT kind, round(level, 6) AS level, task, flagged, n, flagged / n AS rate FROM (SELECT * FROM levels JOIN sizes USING (task) UNION ALL BY NAME SELECT 'ALL' AS task, kind, level, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(n) AS BIGINT) AS n FROM levels JOIN sizes USING (task) WHERE flagged IS NOT NULL GROUP BY kind, level)",
+    options=OPTIONS, voted=VOTED, ranked=RANKED, topk=TOPK, able=ABLE, swept=SWEPT, bestk=BESTK, accepted=ACCEPTED, levels=LEVELS, sizes="SELECT task, count(*) AS n FROM voted GROUP BY ALL",
+)
 add(
     "g08_fixed_set_vote",
     lambda t: votes.vote(t.predictions.where("model_id < 6"), ["task", "idx"]).join(golds(t), ["task", "idx"]).where("winner <> gold").groupBy("task").agg(*[F.count_if(F.col("supporters") >= k).alias(f"of{k}") for k in range(1, 7)]),
@@ -77,6 +88,14 @@ add(
     "SELECT model_id, baseline, baseline_rank, filtered, filtered_rank, baseline_rank - filtered_rank AS rank_change FROM base JOIN filt USING (model_id)",
     items_=ITEMS, base=MEANS.format("baseline", ""), filt=MEANS.format("filtered", "WHERE NOT EXISTS (SELECT 1 FROM flagged f WHERE f.task = i.task AND f.idx = i.idx)"),
 )
+add(
+    "g11_cell_deltas",
+    lambda t: votes.cell_deltas(t.verdicts, t.flagged),
+    """SELECT b.task, b.model_id, b.acc AS baseline, f.acc AS filtered, round((f.acc - b.acc) * 100, 6) AS delta_pp, b.n - f.n AS n_dropped FROM cell_base b JOIN cell_filt f USING (task, model_id)
+       ORDER BY abs(round((f.acc - b.acc) * 100, 6)) DESC, b.task, b.model_id LIMIT 15""",
+    items_=ITEMS, cell_base="SELECT task, model_id, count(*) AS n, avg(CAST(ok AS INT)) AS acc FROM items_ GROUP BY ALL",
+    cell_filt="SELECT task, model_id, count(*) AS n, avg(CAST(ok AS INT)) AS acc FROM items_ i WHERE NOT EXISTS (SELECT 1 FROM flagged f WHERE f.task = i.task AND f.idx = i.idx) GROUP BY ALL",
+)
 add(
     "g12_examples",
     lambda t: votes.representative(t.flagged, t.task_dim.select("task", "parent", "ord")).select("task", "parent", "idx", "frac", F.col("place").cast("long").alias("place")),
@@ -136,6 +155,22 @@ add(
     lambda t: agreement.token_budgets(t.documents.withColumn("tokens", F.floor(F.col("n_chars") / 4)), ["source"], "tokens", 4096),
     "SELECT source, n, mean, p[1] AS p50, p[2] AS p90, p[3] AS p95, p[4] AS p99, truncated, CAST(least(pow(2, ceil(log2(greatest(p[4] * 1.5, 1)))), 4096) AS BIGINT) AS budget FROM (SELECT source, count(*) AS n, avg(n_chars // 4) AS mean, quantile_cont(n_chars // 4, [0.5, 0.9, 0.95, 0.99]) AS p, avg(CAST(n_chars // 4 >= 4096 AS INT)) AS truncated FROM documents GROUP BY ALL)",
 )
+
+
+def delivered_budgets(t):
+    """Token counts of the documents, which come in three deliveries; each one's sketches are kept, and merged at the end."""
+    folder = new_folder(t.spark, "sketches")
+    rows = t.documents.select("source", F.floor(F.col("n_chars") / 4).alias("tokens"), (F.col("doc_id") % 3).alias("delivery"))
+    for d in range(3):
+        quantiles.keep(quantiles.sketches(rows.where(F.col("delivery") == d), ["source"], "tokens", 4096), folder, str(d))
+    return read_once(quantiles.budgets(quantiles.kept(t.spark, folder), ["source"], 4096), folder)
+
+
+add(
+    "k12_merged_sketches",
+    delivered_budgets,
+    "SELECT source, n, mean, p[1] AS p50, p[2] AS p90, p[3] AS p95, p[4] AS p99, truncated, CAST(least(pow(2, ceil(log2(greatest(p[4] * 1.5, 1)))), 4096) AS BIGINT) AS budget FROM (SELECT source, count(*) AS n, avg(n_chars // 4) AS mean, quantile_disc(n_chars // 4, [0.5, 0.9, 0.95, 0.99]) AS p, avg(CAST(n_chars // 4 >= 4096 AS INT)) AS truncated FROM documents GROUP BY ALL)",
+)
 add("k13_top_categories", lambda t: t.events.groupBy("event_type").count().withColumnRenamed("count", "n").orderBy(F.col("n").desc(), "event_type").limit(10), "SELECT event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type LIMIT 10")
 add(
     "k14_mode_pivot",
