@@ -92,3 +92,26 @@ def judge_prompts(rows: DataFrame, rules: dict = JUDGE_RULES) -> DataFrame:
     known = rows.join(F.broadcast(table), "task_type", "left")  # a row for each type
     text = F.format_string("Question: %s\nGold answer: %s\nResponse: %s\nExpected form: %s. Rule: %s.", "question", "gold", "response", "hint", "rule")
     return known.withColumn("judge_prompt", F.when(F.col("hint").isNull(), F.raise_error(F.lit("unknown type of task"))).otherwise(text)).drop("hint", "rule")
+
+
+#: The letters of options.
+LETTERS = "ABCDEFGHIJ"
+
+
+def choice_block(choices: Column) -> Column:
+    """The options as lines, from JSON text: a list is lettered ("A) x"), an object's entries come in the order of their
+    keys ("A. x"), any other text stands as it is. Null for nothing, for an empty text, list or object."""
+    text = F.trim(choices)
+    listed = F.from_json(text, "array<string>")
+    # an item past the last letter has its number
+    lettered = F.transform(listed, lambda c, i: F.concat(F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in LETTERS]), i + 1), (i + 1).cast("string")), F.lit(") "), F.coalesce(c, F.lit(""))))
+    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+    keyed = F.transform(entries, lambda e: F.concat(e["key"], F.lit(". "), F.coalesce(e["value"], F.lit(""))))
+    block = F.when(text.startswith("["), F.array_join(F.coalesce(lettered, F.array(text)), "\n")).when(text.startswith("{"), F.array_join(F.coalesce(keyed, F.array(text)), "\n")).otherwise(text)
+    return F.nullif(block, F.lit(""))
+
+
+def question_block(question: Column, choices: Column, task_type: Column, with_choices: Sequence[str] = ("mcq",)) -> Column:
+    """A question and, for the types that have options, the block of these after it."""
+    block = F.when(task_type.isin(*with_choices), choice_block(choices))
+    return F.concat(F.coalesce(question, F.lit("")), F.coalesce(F.concat(F.lit("\n\nAnswer choices:\n"), block), F.lit("")))

@@ -84,6 +84,20 @@ VIEWS = {
     "verifications": """
       SELECT task, idx, agent, CASE (idx * 7 + an * 3) % 5 WHEN 0 THEN 'gold_correct' WHEN 1 THEN 'gold_wrong' WHEN 2 THEN 'gold_wrong' WHEN 3 THEN 'uncertain' ELSE 'gold_correct' END AS verdict
       FROM flagged CROSS JOIN (SELECT 0 AS an, 'a0' AS agent UNION ALL SELECT 1 AS an, 'a1' AS agent) a WHERE (idx * 11 + an * 5) % 7 <> 0""",
+    "judged_answers": """
+      SELECT v.task, v.model_id, v.idx, v.judge, v.is_correct, v.skipped,
+        CASE WHEN (v.idx * 7 + v.model_id * 3 + j.jn * 5) % 23 = 0 THEN 'NONE' WHEN (v.idx * 5 + v.model_id + j.jn * 3) % 29 = 0 THEN concat(' ', coalesce(p.pred, 'none'), ' ')
+             WHEN (v.idx * 3 + v.model_id * 2 + j.jn) % 31 = 0 THEN 'D' ELSE coalesce(p.pred, 'NONE') END AS extracted
+      FROM verdicts v JOIN judges j ON v.judge = j.judge JOIN predictions p ON v.task = p.task AND v.model_id = p.model_id AND v.idx = p.idx""",
+    "annotations": """
+      SELECT task, model_id, idx, CASE WHEN (idx * 17 + model_id * 5) % 7 = 0 THEN ' ' WHEN (idx * 19 + model_id * 11) % 9 = 0 THEN 'incorrect' WHEN pred = gold THEN 'Correct' ELSE 'incorrect ' END AS human
+      FROM predictions WHERE (idx + model_id * 3) % 11 <> 0""",
+    "judge_summaries": """
+      SELECT v.task, v.model_id, v.judge, CAST(sum(CASE WHEN v.is_correct AND NOT v.skipped THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy
+      FROM verdicts v JOIN judges j ON v.judge = j.judge WHERE (v.model_id + length(v.task) + j.jn) % 3 <> 0 GROUP BY v.task, v.model_id, v.judge""",
+    "mode_runs": """
+      SELECT r.task, r.model_id, r.idx, m.mode, ((r.idx * 7919 + r.model_id * 104729) % 10007) % 100 < 40 + 4 * r.model_id + CASE WHEN m.mode = 'few_shot' THEN 6 WHEN m.mode = 'cot' THEN 12 - 3 * (r.idx % 9) ELSE 0 END AS correct
+      FROM responses r CROSS JOIN (SELECT 'zero_shot' AS mode UNION ALL SELECT 'few_shot' AS mode UNION ALL SELECT 'cot' AS mode) m WHERE NOT (m.mode = 'cot' AND r.task = 'src3' AND r.model_id > 6)""",
 }
 
 

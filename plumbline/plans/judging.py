@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import cvss, extract
-from ..operators import agreement, reverdict, scores, votes
+from ..operators import agreement, judges, reverdict, scores, votes
 from .registry import add
 
 KEPT = "SELECT task, model_id, idx, judge, is_correct FROM verdicts WHERE NOT skipped"
@@ -125,6 +125,75 @@ add(
     "SELECT CASE WHEN pred IS NULL THEN 'no answer' WHEN (pred = gold) <> is_correct THEN 'conflict' ELSE 'agreed' END AS stratum, count(*) AS n, avg(CAST(is_correct AS INT)) AS judged_right FROM predictions JOIN verdicts USING (task, model_id, idx) WHERE judge = 'def' AND NOT skipped GROUP BY ALL",
 )
 
+# judges by what they extract, their leaderboards, strata with human labels, versions
+COMMON = "SELECT task, model_id, idx, count(DISTINCT is_correct) > 1 AS v, count(DISTINCT trim(extracted)) > 1 AS e FROM judged_answers WHERE NOT skipped GROUP BY ALL HAVING count(DISTINCT judge) = 3"
+add(
+    "j04_extraction_comparison",
+    lambda t: judges.comparison(t.judged_answers, 3),
+    "SELECT coalesce(task, 'ALL') AS task, model_id, count(*) AS common, count_if(v) AS verdict_disagreements, count_if(e) AS extraction_disagreements, count_if(v OR e) AS either FROM common_ GROUP BY ROLLUP (task, model_id)",
+    common_=COMMON,
+)
+add(
+    "j04_verdict_distribution",
+    lambda t: judges.verdict_distribution(t.judged_answers, 3),
+    "SELECT task, judge, count_if(is_correct) AS n_correct, count_if(NOT is_correct) AS n_incorrect, count_if(upper(trim(extracted)) = 'NONE') AS n_none FROM judged_answers JOIN common_ USING (task, model_id, idx) GROUP BY ALL",
+    common_=COMMON,
+)
+BOARD = "SELECT judge, model_id, round(avg(CAST(is_correct AS INT)), 9) AS acc FROM verdicts WHERE NOT skipped GROUP BY ALL"
+BOTH = "SELECT a.judge AS first, b.judge AS second, a.acc AS x, b.acc AS y FROM board a JOIN board b ON a.model_id = b.model_id AND a.judge < b.judge"
+PLACED = "SELECT first, second, " + ", ".join(f"rank() OVER (PARTITION BY first, second ORDER BY {c}) + (count(*) OVER (PARTITION BY first, second, {c}) - 1) / 2 AS r{c}" for c in "xy") + " FROM both_"
+add(
+    "j17_leaderboard_rho",
+    lambda t: judges.leaderboard_rho(t.verdicts).withColumn("rho", F.round("rho", 8)),
+    "SELECT first, second, count(*) AS models, round(CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-12 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END, 8) AS rho, max(abs(rx - ry)) AS largest_shift FROM placed GROUP BY ALL",
+    board=BOARD, both_=BOTH, placed=PLACED,
+)
+add(
+    "j17_family_gains",
+    lambda t: judges.family_gains(t.verdicts, t.models.select("model_id", (F.col("model_id") % 4).alias("family")), t.judges.select("judge", F.col("jn").cast("long").alias("family"))),
+    """SELECT model_id, model_id % 4 AS family, avg(acc) FILTER (WHERE jn = model_id % 4) AS own, avg(acc) FILTER (WHERE jn <> model_id % 4) AS others, avg(acc) FILTER (WHERE jn = model_id % 4) - avg(acc) FILTER (WHERE jn <> model_id % 4) AS gain
+       FROM (SELECT judge, model_id, avg(CAST(is_correct AS INT)) AS acc FROM verdicts WHERE NOT skipped GROUP BY ALL) JOIN judges USING (judge) GROUP BY ALL""",
+)
+STRATA = """SELECT task, model_id, idx, is_correct, CASE WHEN upper(trim(extracted)) IN ('', 'NONE') THEN 'none' WHEN is_correct <> coalesce(pred = gold, FALSE) THEN 'conflict' ELSE 'control' END AS stratum
+  FROM judged_answers JOIN predictions USING (task, model_id, idx) WHERE judge = 'def' AND NOT skipped AND task IN (SELECT task FROM task_dim WHERE task_type = 'mcq')"""
+
+
+def of_options(t, rows):
+    return rows.join(F.broadcast(t.task_dim.where("task_type = 'mcq'").select("task")), "task", "left_semi")  # a row for each task
+
+
+add(
+    "j17_strata_agreement",
+    lambda t: judges.strata_agreement(of_options(t, t.judged_answers), t.predictions, "def", "v1"),
+    "SELECT stratum, count(*) AS n, avg(CAST(s.is_correct = v.is_correct AS INT)) AS agreement, count_if(s.is_correct AND NOT v.is_correct) AS only_first, count_if(v.is_correct AND NOT s.is_correct) AS only_second FROM strata s JOIN verdicts v USING (task, model_id, idx) WHERE v.judge = 'v1' AND NOT v.skipped GROUP BY ALL",
+    strata=STRATA,
+)
+add(
+    "j18_annotated_strata",
+    lambda t: judges.annotated_strata(judges.strata(of_options(t, t.judged_answers), t.predictions, "def"), t.annotations, 60),
+    """SELECT stratum, n, sampled, labelled, agreement, adjudicated, upheld FROM (SELECT stratum, count(*) AS n FROM strata GROUP BY ALL) JOIN (
+         SELECT stratum, count(*) AS sampled, count(right_) AS labelled, avg(CAST(right_ = is_correct AS INT)) AS agreement, avg(CAST(right_ AS INT)) AS adjudicated, count_if(right_ = is_correct) AS upheld FROM (
+           SELECT s.*, CASE lower(trim(human)) WHEN 'correct' THEN TRUE WHEN 'incorrect' THEN FALSE END AS right_ FROM (
+             SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws(':', '0', task, CAST(model_id AS VARCHAR), CAST(idx AS VARCHAR)))) AS place FROM strata) s
+           LEFT JOIN annotations a USING (task, model_id, idx) WHERE place <= 60) GROUP BY ALL) USING (stratum)""",
+    strata=STRATA,
+)
+DETAILS = "SELECT task, model_id, judge, avg(CAST(is_correct AS INT)) AS mean_, count(*) AS k FROM verdicts WHERE NOT skipped AND NOT (judge = 'v2' AND model_id % 4 = 3) GROUP BY ALL"
+VERSIONS = "SELECT task, model_id, judge, coalesce(accuracy, mean_) AS acc, coalesce(k, 0) AS n, CASE WHEN accuracy IS NOT NULL THEN 'summary' ELSE 'details' END AS source FROM judge_summaries FULL JOIN details USING (task, model_id, judge)"
+
+
+def versions(t):
+    return judges.versions(t.judge_summaries, t.verdicts.where("not (judge = 'v2' and model_id % 4 = 3)"))
+
+
+add("j05_versions", versions, "SELECT * FROM versions", details=DETAILS, versions=VERSIONS)
+add(
+    "j05_version_gaps",
+    lambda t: judges.version_gaps(versions(t), "v2"),
+    "SELECT task, model_id, acc, base, round(abs(acc - base), 9) AS gap FROM (SELECT task, model_id, max(acc) FILTER (WHERE judge = 'v2') AS acc, avg(acc) FILTER (WHERE judge <> 'v2') AS base FROM versions GROUP BY ALL) WHERE round(abs(acc - base), 9) >= 0.05 ORDER BY gap DESC, task, model_id LIMIT 20",
+    details=DETAILS, versions=VERSIONS,
+)
+
 # scoring
 VALID = "pred IN ('A', 'B', 'C', 'D') AND pred IS NOT NULL"
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, quantiles, votes
+from ..operators import agreement, judges, quantiles, votes
 from ..sources.folders import new_folder, read_once
 from .registry import add
 
@@ -177,6 +177,14 @@ add(
     lambda t: t.verdicts.where("not skipped").groupBy("model_id").pivot("judge", ["def", "v1", "v2"]).agg(F.avg(F.col("is_correct").cast("int"))).withColumn("gain", F.col("v2") - F.col("def")),
     "SELECT model_id, def, v1, v2, v2 - def AS gain FROM (SELECT model_id, " + ", ".join(f"avg(CAST(is_correct AS INT)) FILTER (WHERE judge = '{j}') AS {j}" for j in ("def", "v1", "v2")) + " FROM verdicts WHERE NOT skipped GROUP BY ALL)",
 )
+MODES = "SELECT task, model_id, zero_shot * 100 AS zero_shot, few_shot * 100 AS few_shot, cot * 100 AS cot, (cot - zero_shot) * 100 AS delta FROM (SELECT task, model_id, " + ", ".join(f"avg(CAST(correct AS INT)) FILTER (WHERE mode = '{m}') AS {m}" for m in ("zero_shot", "few_shot", "cot")) + " FROM mode_runs GROUP BY ALL) WHERE zero_shot IS NOT NULL AND few_shot IS NOT NULL AND cot IS NOT NULL"
+add("k14_prompt_modes", lambda t: judges.mode_pivot(t.mode_runs), "SELECT * FROM modes_", modes_=MODES)
+add(
+    "k14_mode_effects",
+    lambda t: judges.mode_effects(judges.mode_pivot(t.mode_runs)),
+    "SELECT model_id, count(*) AS tasks, avg(zero_shot) AS zero_shot, avg(few_shot) AS few_shot, avg(cot) AS cot, avg(delta) AS mean_delta, count_if(round(delta, 9) > 0) AS gained, count_if(round(delta, 9) < 0) AS lost, arg_min(task, {'d': -round(delta, 9), 't': task}) AS gains_most FROM modes_ GROUP BY ALL",
+    modes_=MODES,
+)
 add("k15_run_consistency", lambda t: t.verdicts.where("not skipped").groupBy("task", "model_id", "judge").agg(F.round(F.avg(F.col("is_correct").cast("int")), 2).alias("acc")).groupBy("task", "model_id").agg((F.countDistinct("acc") == 1).alias("consistent")), "SELECT task, model_id, count(DISTINCT acc) = 1 AS consistent FROM (SELECT task, model_id, judge, round(avg(CAST(is_correct AS INT)), 2) AS acc FROM verdicts WHERE NOT skipped GROUP BY ALL) GROUP BY ALL")
 add("k16_comparable_means", lambda t: t.cells.join(t.task_dim.where("task_type not in ('vsp', 'ids')"), "task", "left_semi").groupBy("model_id").agg(F.count("*").alias("tasks"), F.avg("acc").alias("accuracy")), "SELECT model_id, count(*) AS tasks, avg(acc) AS accuracy FROM cells WHERE task IN (SELECT task FROM task_dim WHERE task_type NOT IN ('vsp', 'ids')) GROUP BY ALL")
 add(

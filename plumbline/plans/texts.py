@@ -227,6 +227,20 @@ add(
     lambda t: prompts.judge_prompts(t.answers.join(F.broadcast(t.task_dim), "task").select(*ID, "task_type", F.col("task").alias("question"), "gold", text.after_thinking(F.col("text")).alias("response"))).select(*ID, "judge_prompt"),
     f"SELECT task, model_id, idx, concat('Question: ', task, chr(10), 'Gold answer: ', gold, chr(10), 'Response: ', {THINK}, chr(10), 'Expected form: ', hint, '. Rule: ', rule, '.') AS judge_prompt FROM answers JOIN task_dim USING (task) JOIN (" + " UNION ALL ".join(f"SELECT '{k}' AS task_type, '{h}' AS hint, '{r}' AS rule" for k, (h, r) in prompts.JUDGE_RULES.items()) + ") USING (task_type)",
 )
+CHOICES = """CASE idx % 5 WHEN 0 THEN concat('["first ', CAST(idx AS STRING), '", "second", "third"]') WHEN 1 THEN concat('{"B": "two", "A": "one ', CAST(idx AS STRING), '"}') WHEN 2 THEN concat('A) one', chr(10), 'B) two') WHEN 3 THEN '[]' END"""
+CHOICE_BLOCK = """CASE WHEN task_type = 'mcq' AND idx % 5 < 3 THEN concat(chr(10), chr(10), 'Answer choices:', chr(10), CASE idx % 5 WHEN 0 THEN concat('A) first ', idx, chr(10), 'B) second', chr(10), 'C) third') WHEN 1 THEN concat('A. one ', idx, chr(10), 'B. two') ELSE concat('A) one', chr(10), 'B) two') END) ELSE '' END"""
+
+
+def asked(t):
+    rows = t.answers.join(F.broadcast(t.task_dim), "task").withColumn("choices", F.expr(CHOICES))
+    return rows.select(*ID, "task_type", prompts.question_block(F.col("task"), F.col("choices"), F.col("task_type")).alias("question"), "gold", text.after_thinking(F.col("text")).alias("response"))
+
+
+add(
+    "p21_prompts_with_choices",
+    lambda t: prompts.judge_prompts(asked(t)).select(*ID, "judge_prompt"),
+    f"SELECT task, model_id, idx, concat('Question: ', task, {CHOICE_BLOCK}, chr(10), 'Gold answer: ', gold, chr(10), 'Response: ', {THINK}, chr(10), 'Expected form: ', hint, '. Rule: ', rule, '.') AS judge_prompt FROM answers JOIN task_dim USING (task) JOIN (" + " UNION ALL ".join(f"SELECT '{k}' AS task_type, '{h}' AS hint, '{r}' AS rule" for k, (h, r) in prompts.JUDGE_RULES.items()) + ") USING (task_type)",
+)
 
 # sources that are queries over tables
 add(

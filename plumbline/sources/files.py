@@ -155,3 +155,22 @@ def write_table(cells: DataFrame, path: str, models: Sequence) -> None:
 def refresh(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
     """Replaces only the partitions that rows has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+#: Fixed value: what a summary holds of each task.
+SUMMARY = "struct<tasks: map<string, struct<accuracy: double, total: double>>>"
+
+
+def summary_entries(documents: DataFrame, value: str = "value") -> DataFrame:
+    """A row for each task in the summaries, which are JSON texts with a map "tasks" from a task's key to its entry: the
+    other columns, key, accuracy, total. A text that is null, broken or without the map gives no rows."""
+    others = [c for c in documents.columns if c != value]
+    return documents.select(*others, F.explode(F.from_json(value, SUMMARY)["tasks"]).alias("key", "_entry")).select(*others, "key", F.col("_entry.accuracy").alias("accuracy"), F.col("_entry.total").alias("total"))
+
+
+def summary_lookup(wanted: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """wanted (keys, task) with accuracy (null where the summary lacks the task or the number), total (0 where it does) and
+    found. A task's key has capitals and underscores only."""
+    key = F.upper(F.replace(F.col("task"), F.lit("-"), F.lit("_")))
+    found = wanted.withColumn("_key", key).join(entries.withColumnRenamed("key", "_key").withColumn("_found", F.lit(True)), [*keys, "_key"], "left")
+    return found.select(*wanted.columns, "accuracy", F.coalesce(F.col("total").cast("long"), F.lit(0)).alias("total"), F.coalesce("_found", F.lit(False)).alias("found"))
