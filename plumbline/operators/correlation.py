@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson's r as an aggregate; null for a constant side."""
@@ -267,64 +269,157 @@ def filled(cells: DataFrame, value: str = "acc") -> DataFrame:
     return cells.join(cells.where(F.col(value).isNotNull()).select("model_id").distinct(), "model_id", "left_semi")
 
 
-def matrix(cells: DataFrame, models: Sequence[int]) -> DataFrame:
-    """A row for each task with one column for each of the models."""
-    return cells.groupBy("task").pivot("model_id", list(models)).agg(F.first("acc"))
+#: Keys of the smaller side at most for the exact Gram matrix; it is 8 MB on the driver then.
+SMALL_SIDE = 1024
+#: For two large sides: vectors beyond the components asked for, rounds at most, and the change of shares that ends them.
+SPARE, ROUNDS, STILL = 16, 60, 1e-10
+#: Components at most for two large sides.
+MOST_COMPONENTS = 64
+#: Rows of the other side that a task multiplies at once.
+ROWS_AT_ONCE = 2048
 
 
-#: Features of a PCA at most; its covariance matrix is made on the driver.
-MOST_MODELS = 4096
+def standardised(cells: DataFrame) -> DataFrame:
+    """task, model_id, z of the cells with a value, each model's values standardised over tasks. A missing value counts as
+    the model's mean, so it is no row."""
+    stats = cells.groupBy("model_id").agg(F.avg("acc").alias("_mean"), F.stddev_pop("acc").alias("_sd"))
+    scale = F.when(F.col("_sd") < 1e-12, 1.0).otherwise(F.col("_sd"))
+    return checkpointed(cells.where(F.col("acc").isNotNull()).join(stats, "model_id").select("task", "model_id", ((F.col("acc") - F.col("_mean")) / scale).alias("z")))
 
 
-def standardised(cells: DataFrame) -> tuple[list[int], DataFrame]:
-    """The models with values, and task with the vector s of standardised columns; a missing value counts as its
-    column's mean, so no task is dropped. More than MOST_MODELS models are an error."""
-    from pyspark.ml.feature import VectorAssembler
+def gram(z: DataFrame, side: str, other: str) -> tuple[list, np.ndarray]:
+    """The keys of a side (SMALL_SIDE at most) and the matrix of products of their columns, summed over the other side.
 
-    stats = filled(cells).groupBy("model_id").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("sd"))
-    models = [r.model_id for r in stats.select("model_id").orderBy("model_id").limit(MOST_MODELS + 1).collect()]
-    if len(models) > MOST_MODELS:
-        raise ValueError(f"more than {MOST_MODELS} models")
-    scaled = cells.join(stats, "model_id").withColumn("acc", (F.col("acc") - F.col("mean")) / F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd")))
-    columns = [f"m{i}" for i in range(len(models))]
-    wide = matrix(scaled, models).toDF("task", *columns).na.fill(0.0)
-    return models, VectorAssembler(inputCols=columns, outputCol="s").transform(wide).select("task", "s")
+    A task multiplies its rows of the other side in blocks and hands on one matrix; these are summed by rows of it."""
+    keys = [r[0] for r in z.select(side).distinct().orderBy(side).collect()]
+    size = len(keys)
+    places = z.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{side} {z.schema[side].dataType.simpleString()}, _p int")
+    rows = z.join(F.broadcast(places), side).groupBy(other).agg(F.collect_list("_p").alias("p"), F.collect_list("z").alias("z"))  # SMALL_SIDE elements at most
 
+    def products(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                p, values = part.column("p"), part.column("z")
+                dense = np.zeros((part.num_rows, size))
+                dense[np.repeat(np.arange(part.num_rows), np.diff(p.offsets.to_numpy())), p.flatten().to_numpy()] = values.flatten().to_numpy()
+                total += dense.T @ dense
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["p", "g"])
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"p": frame["p"].iloc[:1], "g": [np.sum(np.stack(frame["g"].to_list()), axis=0)]})
+
+    parts = rows.select("p", "z").mapInArrow(products, "p int, g array<double>")
+    out = np.zeros((size, size))
+    for r in parts.groupBy("p").applyInPandas(added, "p int, g array<double>").collect():
+        out[r.p] = r.g
+    return keys, (out + out.T) / 2
+
+
+def times(z: DataFrame, vectors: DataFrame, by: str, to: str, size: int) -> DataFrame:
+    """The table of z times vectors (by, v), added up to (to, v)."""
+    sums = [F.sum(F.col("z") * F.col("v")[i]).alias(f"_{i}") for i in range(size)]
+    return z.join(vectors, by).groupBy(to).agg(*sums).select(to, F.array(*[f"_{i}" for i in range(size)]).alias("v"))
+
+
+def mixed(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
+    """Each v times a small matrix."""
+    return vectors.select(key, F.array(*[sum(F.col("v")[i] * float(by[i, j]) for i in range(by.shape[0])) for j in range(by.shape[1])]).alias("v"))
+
+
+def inner(vectors: DataFrame, size: int) -> np.ndarray:
+    """The small matrix of inner products of the columns of v."""
+    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+    row = vectors.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"_{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((size, size))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"_{i}_{j}"] or 0.0
+    return out
 
-def fitted(rows: DataFrame, n_models: int, k: int):
-    """A PCA of k components at most, and the sign that makes the largest loading of each positive."""
-    from pyspark.ml.feature import PCA
 
-    fit = PCA(k=min(k, n_models), inputCol="s", outputCol="p").fit(rows)
-    loadings = fit.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    return fit, np.where(signs == 0, 1, signs)
+def descending(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(matrix)
+    return np.maximum(values[::-1], 0), vectors[:, ::-1]
+
+
+def iterated(z: DataFrame, k: int, total: float) -> tuple[np.ndarray, DataFrame]:
+    """The first k eigenvalues of the models' products and their vectors (model_id, v) by subspace iteration: hashed start
+    vectors, multiplied by the table and back, made orthonormal by the small matrix of their inner products, until the
+    shares stand still. Neither side's matrix is made; a round shuffles the cells twice."""
+    size, last = k + SPARE, np.zeros(k)
+    start = [F.xxhash64(F.lit(i), "model_id") / F.lit(2.0**63) for i in range(size)]
+    vectors = z.select("model_id").distinct().select("model_id", F.array(*start).alias("v"))
+    for _ in range(ROUNDS):
+        vectors = checkpointed(times(z, times(z, vectors, "model_id", "task", size), "task", "model_id", size))
+        values, turn = descending(inner(vectors, size))
+        real = values > values[0] * 1e-20
+        vectors = mixed(vectors, "model_id", turn[:, real] / np.sqrt(values[real]))
+        size = int(real.sum())
+        now = np.zeros(k)
+        now[: min(k, size)] = np.sqrt(values[real])[:k] / total
+        if np.abs(now - last).max() < STILL:
+            break
+        last = now
+    values, turn = descending(inner(times(z, vectors, "model_id", "task", size), size))
+    return values[:k], mixed(vectors, "model_id", turn[:, :k])
+
+
+def components(cells: DataFrame, k: int, small: int = SMALL_SIDE) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """The standardised cells, shares of variance of the first k components at most, and their vectors (model_id, v).
+
+    The Gram matrix of models, else of tasks, where one has small keys at most; else subspace iteration, which takes
+    MOST_COMPONENTS components at most."""
+    z = standardised(cells)
+    size = z.agg(F.countDistinct("model_id").alias("models"), F.countDistinct("task").alias("tasks"), F.sum(F.col("z") * F.col("z")).alias("total")).first()
+    total = size.total or 1.0
+    spark = z.sparkSession
+    if size.models <= small or size.tasks <= small:
+        side, other = ("model_id", "task") if size.models <= small else ("task", "model_id")
+        keys, products = gram(z, side, other)
+        values, vectors = descending(products)
+        k = min(k, len(keys))
+        table = spark.createDataFrame([(key, vectors[i, :k].tolist()) for i, key in enumerate(keys)], f"{side} {z.schema[side].dataType.simpleString()}, v array<double>")
+        if side == "task":
+            real = np.sqrt(values[:k])
+            table = mixed(times(z, F.broadcast(table), "task", "model_id", k), "model_id", np.diag(np.where(real > 1e-9, 1 / np.maximum(real, 1e-9), 0)))
+        return z, values[:k] / total, table
+    if k > MOST_COMPONENTS:
+        raise ValueError(f"more than {small} models and tasks: at most {MOST_COMPONENTS} components")
+    values, table = iterated(z, k, total)
+    return z, values / total, table
+
+
+def signed(table: DataFrame, k: int) -> DataFrame:
+    """Vectors with the largest entry of each (the first of equal ones) positive."""
+    row = table.agg(*[F.max_by(F.signum(F.col("v")[i]), F.struct(F.abs(F.col("v")[i]), -F.col("model_id"))).alias(f"_{i}") for i in range(k)]).first()
+    return mixed(table, "model_id", np.diag([row[f"_{i}"] or 1.0 for i in range(k)]))
 
 
 def principal_components(cells: DataFrame, k: int = 3) -> DataFrame:
     """component, share, cumulative: shares of variance of the first k components of standardised columns (features are
     models, rows are tasks)."""
-    models, rows = standardised(cells)
-    shares = fitted(rows, len(models), k)[0].explainedVariance.toArray()
+    shares = components(cells, k)[1]
     return cells.sparkSession.createDataFrame([(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))], "component int, share double, cumulative double")
 
 
 def component_loadings(cells: DataFrame, k: int = 3) -> DataFrame:
     """model_id, component, loading: unit vectors, the largest loading of each positive."""
-    models, rows = standardised(cells)
-    fit, signs = fitted(rows, len(models), k)
-    loadings = fit.pc.toArray() * signs
-    return cells.sparkSession.createDataFrame([(int(m), c + 1, float(loadings[i, c])) for i, m in enumerate(models) for c in range(loadings.shape[1])], "model_id long, component int, loading double")
+    _, shares, table = components(cells, k)
+    if not len(shares):
+        return cells.sparkSession.createDataFrame([], "model_id long, component int, loading double")
+    out = signed(table, len(shares)).select("model_id", F.posexplode("v").alias("c", "loading"))
+    return out.select("model_id", (F.col("c") + 1).alias("component"), "loading")
 
 
 def component_scores(cells: DataFrame, k: int = 3) -> DataFrame:
-    """task, component, score: the tasks projected on the components."""
-    from pyspark.ml.functions import vector_to_array
-
-    models, rows = standardised(cells)
-    fit, signs = fitted(rows, len(models), k)
-    out = fit.transform(rows).select("task", F.posexplode(vector_to_array("p")).alias("c", "x"))
-    return out.select("task", (F.col("c") + 1).alias("component"), (F.col("x") * F.element_at(F.array(*[F.lit(float(x)) for x in signs]), F.col("c") + 1)).alias("score"))
+    """task, component, score: the tasks projected on the components; a task without any value is at 0."""
+    z, shares, table = components(cells, k)
+    if not len(shares):
+        return cells.sparkSession.createDataFrame([], "task string, component int, score double")
+    scores = times(z, signed(table, len(shares)), "model_id", "task", len(shares)).select("task", F.posexplode("v").alias("c", "score")).select("task", (F.col("c") + 1).alias("component"), "score")
+    every = filled(cells).select("task").distinct().crossJoin(cells.sparkSession.range(1, len(shares) + 1).select(F.col("id").cast("int").alias("component")))  # k rows a task
+    return every.join(scores, ["task", "component"], "left").select("task", "component", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def horn_counts(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
@@ -340,7 +435,7 @@ def horn_counts(cells: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
 
     reps_ = cells.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(shape))
     limits = reps_.groupBy("rep").applyInPandas(null, "component int, share double").groupBy("component").agg(F.percentile("share", 0.95).alias("limit"))
-    return principal_components(cells, MOST_MODELS).join(limits, "component").withColumn("kept", F.col("share") > F.col("limit"))
+    return principal_components(cells, SMALL_SIDE).join(limits, "component").withColumn("kept", F.col("share") > F.col("limit"))
 
 
 def effective_dimension(cells: DataFrame, target: float = 0.9, reps: int = 100) -> DataFrame:

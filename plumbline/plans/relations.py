@@ -107,9 +107,30 @@ def sparse_cells(t):
     return t.cells.withColumn("acc", F.when((F.col("model_id") % 4 != 1) & ~F.col("task").isin("src3", "src7"), F.col("acc")))
 
 
-add("c12_principal_components", lambda t: correlation.principal_components(t.cells))
-add("c12_loadings", lambda t: correlation.component_loadings(t.cells))
-add("c12_projection", lambda t: correlation.component_scores(t.cells))
+def rounded(df, name):
+    return df.withColumn(name, F.round(name, 6))
+
+
+# eigenvectors by 4,000 rounds of power iteration, each component taken out of the matrix before the next
+POWER = """SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS lam FROM (WITH RECURSIVE it(n, v) AS (
+    SELECT 0 AS n, list_transform(range(1, len(c) + 1), lambda i: sin(i::DOUBLE)) AS v FROM {0}
+    UNION ALL SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT n, list_transform(c, lambda r: list_dot_product(r, v)) AS w FROM it, {0} WHERE n < 4000)) SELECT v FROM it WHERE n = 4000), {0}"""
+LESS = "SELECT list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j: c[i][j] - lam * v[i] * v[j])) AS c FROM {0}, {1}"
+COMPONENTS = {
+    "zs": "SELECT task, model_id, (acc - avg(acc) OVER w) / (CASE WHEN stddev_pop(acc) OVER w < 1e-12 THEN 1 ELSE stddev_pop(acc) OVER w END) AS z FROM cells WINDOW w AS (PARTITION BY model_id)",
+    "gram1": "SELECT list(r ORDER BY a) AS c FROM (SELECT a, list(s ORDER BY b) AS r FROM (SELECT p.model_id AS a, q.model_id AS b, sum(p.z * q.z) AS s FROM zs p JOIN zs q USING (task) GROUP BY ALL) GROUP BY a)",
+    "one": POWER.format("gram1"), "gram2": LESS.format("gram1", "one"), "two": POWER.format("gram2"), "gram3": LESS.format("gram2", "two"), "three_": POWER.format("gram3"),
+    "found": "SELECT component, lam, list_transform(v, lambda x: x * sign(list_sum(list_transform(v, lambda y: CASE WHEN abs(y) = list_max(list_transform(v, lambda q: abs(q))) THEN y ELSE 0 END)))) AS v FROM (SELECT 1 AS component, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM three_)",
+}
+LOADED = "SELECT component, model_id, v[place] AS loading FROM found, (SELECT model_id, row_number() OVER (ORDER BY model_id) AS place FROM (SELECT DISTINCT model_id FROM zs))"
+add(
+    "c12_principal_components",
+    lambda t: rounded(rounded(correlation.principal_components(t.cells), "share"), "cumulative"),
+    "SELECT component, round(lam / total, 6) AS share, round(sum(lam / total) OVER (ORDER BY component), 6) AS cumulative FROM found, (SELECT sum(z * z) AS total FROM zs)",
+    **COMPONENTS,
+)
+add("c12_loadings", lambda t: rounded(correlation.component_loadings(t.cells), "loading"), "SELECT model_id, component, round(loading, 6) AS loading FROM loaded", **COMPONENTS, loaded=LOADED)
+add("c12_projection", lambda t: rounded(correlation.component_scores(t.cells), "score"), "SELECT task, component, round(sum(z * loading), 6) AS score FROM zs JOIN loaded USING (model_id) GROUP BY ALL", **COMPONENTS, loaded=LOADED)
 add("c13_parallel_analysis", lambda t: correlation.horn_counts(t.cells, 40))
 add("c13_effective_dimension", lambda t: correlation.effective_dimension(t.cells, reps=40))
 add(
