@@ -133,4 +133,4 @@ def mode_pivot(runs: DataFrame, modes: Sequence[str] = ("zero_shot", "few_shot",
 def mode_effects(pivoted: DataFrame, modes: Sequence[str] = ("zero_shot", "few_shot", "cot")) -> DataFrame:
     """model_id, tasks, mean of each mode, mean_delta, gained and lost tasks, and the task that gains most."""
     d = F.round("delta", 9)
-    return pivoted.groupBy("model_id").agg(F.count("*").alias("tasks"), *[F.avg(m).alias(m) for m in modes], F.avg("delta").alias("mean_delta"), F.count_if(d > 0).alias("gained"), F.count_if(d < 0).alias("lost"), F.min_by("task", F.struct((-d).alias("d"), "task")).alias("gains_most"))
+    return pivoted.groupBy("model_id").agg(F.count("*").alias("tasks"), *[F.avg(m).alias(m) for m in modes], (F.round(F.avg("delta"), 9) + 0.0).alias("mean_delta"), F.count_if(d > 0).alias("gained"), F.count_if(d < 0).alias("lost"), F.min_by("task", F.struct((-d).alias("d"), "task")).alias("gains_most"))

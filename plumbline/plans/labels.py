@@ -182,7 +182,7 @@ add("k14_prompt_modes", lambda t: judges.mode_pivot(t.mode_runs), "SELECT * FROM
 add(
     "k14_mode_effects",
     lambda t: judges.mode_effects(judges.mode_pivot(t.mode_runs)),
-    "SELECT model_id, count(*) AS tasks, avg(zero_shot) AS zero_shot, avg(few_shot) AS few_shot, avg(cot) AS cot, avg(delta) AS mean_delta, count_if(round(delta, 9) > 0) AS gained, count_if(round(delta, 9) < 0) AS lost, arg_min(task, {'d': -round(delta, 9), 't': task}) AS gains_most FROM modes_ GROUP BY ALL",
+    "SELECT model_id, count(*) AS tasks, avg(zero_shot) AS zero_shot, avg(few_shot) AS few_shot, avg(cot) AS cot, round(avg(delta), 9) + 0.0 AS mean_delta, count_if(round(delta, 9) > 0) AS gained, count_if(round(delta, 9) < 0) AS lost, arg_min(task, {'d': -round(delta, 9), 't': task}) AS gains_most FROM modes_ GROUP BY ALL",
     modes_=MODES,
 )
 add("k15_run_consistency", lambda t: t.verdicts.where("not skipped").groupBy("task", "model_id", "judge").agg(F.round(F.avg(F.col("is_correct").cast("int")), 2).alias("acc")).groupBy("task", "model_id").agg((F.countDistinct("acc") == 1).alias("consistent")), "SELECT task, model_id, count(DISTINCT acc) = 1 AS consistent FROM (SELECT task, model_id, judge, round(avg(CAST(is_correct AS INT)), 2) AS acc FROM verdicts WHERE NOT skipped GROUP BY ALL) GROUP BY ALL")
