@@ -158,14 +158,14 @@ def refresh(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
 
 
 #: Fixed value: what a summary holds of each task.
-SUMMARY = "struct<tasks: map<string, struct<accuracy: double, total: double>>>"
+SUMMARY_TEXT = "struct<tasks: map<string, struct<accuracy: double, total: double>>>"
 
 
 def summary_entries(documents: DataFrame, value: str = "value") -> DataFrame:
     """A row for each task in the summaries, which are JSON texts with a map "tasks" from a task's key to its entry: the
     other columns, key, accuracy, total. A text that is null, broken or without the map gives no rows."""
     others = [c for c in documents.columns if c != value]
-    return documents.select(*others, F.explode(F.from_json(value, SUMMARY)["tasks"]).alias("key", "_entry")).select(*others, "key", F.col("_entry.accuracy").alias("accuracy"), F.col("_entry.total").alias("total"))
+    return documents.select(*others, F.explode(F.from_json(value, SUMMARY_TEXT)["tasks"]).alias("key", "_entry")).select(*others, "key", F.col("_entry.accuracy").alias("accuracy"), F.col("_entry.total").alias("total"))
 
 
 def summary_lookup(wanted: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
