@@ -31,17 +31,17 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes, and the end."""
-    return np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+def cuts(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted buckets: those that are met, and where each of them begins, with the end."""
+    first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
+    return where[first], np.append(first, len(where))
 
 
 def ask(block: int, flow: int, hashes: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
     """Rows of ASKED for sorted distinct hashes; extra: a value of fixed width for each."""
-    at = cuts(hashes, buckets)
-    some = np.flatnonzero(np.diff(at))
-    parts = [hashes[at[b] : at[b + 1]].tobytes() for b in some]
-    more = [extra[at[b] : at[b + 1]].tobytes() if extra is not None else b"" for b in some]
+    some, at = cuts(bucket_of(hashes, buckets))
+    parts = [hashes[a:z].tobytes() for a, z in zip(at, at[1:], strict=False)]
+    more = [extra[a:z].tobytes() if extra is not None else b"" for a, z in zip(at, at[1:], strict=False)]
     n = len(some)
     return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "flow": pa.array(np.full(n, flow), pa.int32()), "hashes": pa.array(parts, pa.binary()), "extra": pa.array(more, pa.binary())})
 
@@ -60,9 +60,10 @@ def answers(asked: pa.Table, values: np.ndarray, starts: np.ndarray) -> pa.Table
 
 
 def read_values(replies: pa.Table, flow: int, hashes: np.ndarray, buckets: int, kind=np.uint32) -> np.ndarray:
-    at = cuts(hashes, buckets)
+    some, at = cuts(bucket_of(hashes, buckets))
     out = np.zeros(len(hashes), dtype=kind)
-    for b, f, bits in zip(replies.column("bucket").to_pylist(), replies.column("flow").to_pylist(), replies.column("bits").to_pylist(), strict=True):
+    place = np.searchsorted(some, replies.column("bucket").to_numpy())
+    for b, f, bits in zip(place.tolist(), replies.column("flow").to_pylist(), replies.column("bits").to_pylist(), strict=True):
         if f == flow:
             out[at[b] : at[b + 1]] = np.frombuffer(bits, kind)
     return out

@@ -135,8 +135,12 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return mix(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
 
-#: Bounds of blocks are looked up in two steps, so many at a time.
-FAN = 1 << 10
+#: Bounds of blocks are looked up in two steps: at most HEADS groups of FAN bounds or more, then the bounds of a group.
+FAN, HEADS = 1 << 10, 1 << 12
+#: Groups of bounds are broadcast up to so many bytes, 32 a bound: with blocks of 12 MB that serves 100 TB of text.
+BROADCAST_BYTES = 256 << 20
+#: Parts that rows of one group are dealt to where the groups are too large for that, and join by a shuffle.
+SALTS = 64
 
 
 def order_key() -> F.Column:
@@ -145,29 +149,38 @@ def order_key() -> F.Column:
     return F.struct(known, F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
-def block_bounds(docs: DataFrame, block_bytes: int) -> list[tuple[int, int, int]]:
-    """The keys with which blocks of about block_bytes of text begin, in order; the first block has no bound.
+BOUND = ("known", "id", "hash")
+
+
+def block_bounds(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """known, id, hash, number, first: the keys with which blocks of about block_bytes of text begin, numbered from 1 in
+    their order, and the number of the first block that begins with the same key, 0 if that is the first of all; this
+    one has no bound. Written to the shared folder.
 
     Keys and sizes (40 bytes a document) are dealt out by ranges of keys, and each range is cut where its running sum of
     bytes passes a multiple of block_bytes. So neither far ids nor null or equal ids, nor a few long texts, gather in
-    one block; a single text may exceed it. One row a block comes to the driver: 24 bytes for each block_bytes of text.
+    one block; a single text may exceed it. Bounds are numbered within their range and by the ranges' counts.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     slim = docs.select(order_key().alias("key"), size.alias("size")).select("key.*", "size")
-    ranged = slim.repartitionByRange("known", "id", "hash").withColumn("part", F.spark_partition_id())
-    running = F.sum("size").over(Window.partitionBy("part").orderBy("known", "id", "hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    cuts = ranged.select("known", "id", "hash", "part", F.floor(running / block_bytes).alias("cut"))
-    firsts = cuts.groupBy("part", "cut").agg(F.min(F.struct("known", "id", "hash")).alias("key")).select("key.*").toPandas()
-    return sorted(firsts.itertuples(index=False, name=None))[1:]
-
-
-def below(bounds: F.Column, key: F.Column, strictly: bool = False, fan: int = FAN) -> F.Column:
-    """How many of the sorted bounds (fan at most) are not above the key, or are below it: a binary search."""
+    ranged = slim.repartitionByRange(*BOUND).withColumn("part", F.spark_partition_id())
+    running = F.sum("size").over(Window.partitionBy("part").orderBy(*BOUND).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    cuts = ranged.select(*BOUND, "part", F.floor(running / block_bytes).alias("cut"))
+    firsts = checkpointed(cuts.groupBy("part", "cut").agg(F.min(F.struct(*BOUND)).alias("key")).select("part", "cut", "key.*"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shuffle partition
+    ranges = firsts.groupBy("part").agg(F.count("*").alias("begun")).select(F.col("part").alias("of"), F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("before"))
+    order = Window.partitionBy("part").orderBy(*BOUND)
+    numbered = firsts.select(*BOUND, "part", F.row_number().over(order).alias("nth"), F.rank().over(order).alias("rank")).join(ranges, F.col("part") == F.col("of"))
+    return checkpointed(numbered.select(*BOUND, (F.col("before") + F.col("nth") - 1).alias("number"), (F.col("before") + F.col("rank") - 1).alias("first")).where("number > 0"))
+
+
+def below(bounds: F.Column, key: F.Column, fan: int) -> F.Column:
+    """How many of the sorted bounds (fan at most) are not above the key: a binary search."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(fan.bit_length()))])
 
     def step(at: F.Column, by: F.Column) -> F.Column:
         bound = F.get(bounds, at + by - 1)
-        return F.when(bound.isNotNull() & ((bound < key) if strictly else (bound <= key)), at + by).otherwise(at)
+        return F.when(bound.isNotNull() & (bound <= key), at + by).otherwise(at)
 
     return F.aggregate(steps, F.lit(0), step)
 
@@ -175,30 +188,35 @@ def below(bounds: F.Column, key: F.Column, strictly: bool = False, fan: int = FA
 def id_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """docs (doc_id, text, ...) with block, a number that never falls as documents ascend by order_key().
 
-    The bounds of block_bounds() are looked up in two steps: the group of FAN bounds, then the bound in it, from a table
-    of one row a group that is broadcast (24 bytes a bound). Of rows that agree in id and text and are more than a
-    block holds, each goes to one of the blocks that begin with them.
+    The bounds of block_bounds() are looked up in two steps: the group of bounds, by the first bound of each (HEADS at
+    most, the only ones that come to the driver), then the bound in it. Groups are rows with an array of bounds each;
+    they are broadcast while BROADCAST_BYTES hold them, beyond that rows and groups meet by a shuffle, in SALTS parts a
+    group. Of rows that agree in id and text and are more than a block holds, each goes to one of the blocks that
+    begin with them.
     """
-    spark, bounds = docs.sparkSession, block_bounds(docs, block_bytes)
-    if not bounds:
+    bounds = block_bounds(docs, block_bytes)
+    count, repeats = bounds.agg(F.count("*"), F.max(F.col("first") < F.col("number"))).first()
+    if not count:
         return docs.withColumn("block", F.lit(0).cast("long"))
-    kind = "struct<known:int,id:long,hash:long>"
-    literal = lambda b: F.struct(*[F.lit(int(x)).cast(t).alias(n) for x, n, t in zip(b, ("known", "id", "hash"), ("int", "long", "long"), strict=True)])
-    groups = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]
+    fan = max(FAN, -(-count // HEADS))
+    groups = bounds.groupBy(F.floor((F.col("number") - 1) / fan).alias("_group")).agg(F.array_sort(F.collect_list(F.struct(F.struct(*BOUND).alias("key"), "number", "first"))).alias("of"))
+    groups = groups.select("_group", F.col("of.key").alias("_bounds"), F.col("of.first").alias("_firsts"))
+    first = bounds.where((F.col("number") - 1) % fan == 0).orderBy("number").select(*BOUND).collect()
+    kinds = ("int", "long", "long")
+    heads = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(b, kinds, BOUND, strict=True)]) for b in first])
     key = F.col("_key")
-
-    def looked_up(strictly: bool) -> F.Column:
-        if len(groups) == 1:
-            return below(F.array(*[literal(b) for b in bounds]), key, strictly).cast("long")
-        return (F.col("_group") * FAN + below(F.col("_bounds"), key, strictly)).cast("long")
-
-    keyed = docs.withColumn("_key", order_key())
-    if len(groups) > 1:  # a group's own first bound is not above the key, but for keys before all bounds
-        heads = F.array(*[literal(g[0]) for g in groups])
-        rows = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], f"_group long, _bounds array<{kind}>")
-        keyed = keyed.withColumn("_at", F.greatest(below(heads, key, fan=len(groups)) - 1, F.lit(0)).cast("long")).join(F.broadcast(rows), F.col("_at") == F.col("_group"))
-    block = looked_up(False)
-    if any(a == b for a, b in zip(bounds, bounds[1:], strict=False)):  # only then may a key fill several blocks
-        low = F.least(looked_up(True) + 1, block)
+    # a group's own first bound is not above the key, but for keys before all bounds
+    keyed = docs.withColumn("_key", order_key()).withColumn("_at", F.greatest(below(heads, key, len(first)) - 1, F.lit(0)).cast("long"))
+    if count * 32 <= BROADCAST_BYTES:
+        keyed = keyed.join(F.broadcast(groups), F.col("_at") == F.col("_group"))
+    else:
+        dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("_key.id", "_key.hash"), F.lit(SALTS)).cast("int"))
+        keyed = keyed.join(dealt, (F.col("_at") == F.col("_group")) & (F.col("_part") == F.col("_salt")))
+    keyed = keyed.withColumn("_nth", below(F.col("_bounds"), key, fan))
+    block = (F.col("_group") * fan + F.col("_nth")).cast("long")
+    if repeats:  # only then may a key fill several blocks
+        begins = F.get("_bounds", F.col("_nth") - 1) == key
+        low = F.when(begins, F.get("_firsts", F.col("_nth") - 1)).otherwise(block)
         block = low + F.pmod(F.monotonically_increasing_id(), block - low + 1)
     return keyed.withColumn("block", block).select(*docs.columns, "block")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_blocks, order_key
+from .common import checkpointed, id_blocks, order_key
 
 WORDS = 5
 #: One shingle hash in so many is kept: a text of 300 words has about 37, a likeness of 1/3 a standard error of 0.07.
 SCALE = 8
 BLOCK_BYTES = 4 << 20
+#: The first keys of blocks are broadcast while there are so many of them or fewer, some 64 bytes each.
+BROADCAST_BLOCKS = 1 << 22
+#: Blocks are numbered by runs of so many, so that one task sees a row for each 16 GB of text at most.
+RUN = 1 << 12
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -78,6 +82,18 @@ def fingerprints(docs: DataFrame, n: int = WORDS, scale: int = SCALE) -> DataFra
     return docs.select("doc_id", fingerprint(F.col("text"), n, scale).alias("of")).select("doc_id", "of.*")
 
 
+def first_keys(blocks: DataFrame) -> DataFrame:
+    """block, first_key, previous of each block of rows (block, key): the block before it, before the first the last.
+
+    Runs of RUN blocks are one group each; the last block of each run before comes from a row a run.
+    """
+    begun = checkpointed(blocks.groupBy("block").agg(F.min("key").alias("first_key")).withColumn("run", F.floor(F.col("block") / RUN)))
+    last = begun.agg(F.max("block")).first()[0]
+    runs = begun.groupBy("run").agg(F.max("block").alias("top")).select(F.col("run").alias("of"), F.lag("top").over(Window.orderBy("run")).alias("before"))
+    inner = F.lag("block").over(Window.partitionBy("run").orderBy("block"))
+    return begun.withColumn("inner", inner).join(runs, F.col("run") == F.col("of")).select("block", "first_key", F.coalesce("inner", "before", F.lit(last).cast("long")).alias("previous"))
+
+
 def with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, print of each row with next_text, next_print of the row that follows by doc_id.
 
@@ -89,9 +105,8 @@ def with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block_bytes = max(1 << 14, min(block_bytes, total // (16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     plain = id_blocks(given, block_bytes).withColumn("key", order_key())
-    begun = plain.groupBy("block").agg(F.min("key").alias("first_key"))
-    blocks = begun.select("block", "first_key", F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy())).alias("previous"))
-    known = plain.join(F.broadcast(blocks), "block")  # one row for each block_bytes of text
+    blocks = checkpointed(first_keys(plain))
+    known = plain.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks.hint("merge"), "block")
     rows = known.withColumn("print", fingerprint(F.col("text")))
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("previous").alias("block"), F.lit(True).alias("guest"))

@@ -229,23 +229,23 @@ class Open:
         low, counts = np.concatenate([parse.low[some], hot]), np.concatenate([parse.high[some] - parse.low[some] + 1, np.ones(len(hot), np.int64)])
         where = np.concatenate([blobs.bucket_of(parse.trigger[some], buckets), blobs.bucket_of(string_hashes(parse.data, hot, parse.length), buckets)])
         order = np.lexsort((low, where))
-        self.low, self.counts, where = low[order], counts[order], where[order]
-        self.cuts = np.searchsorted(where, np.arange(buckets + 1))
+        self.low, self.counts = low[order], counts[order]
+        self.met, self.cuts = blobs.cuts(where[order])  # buckets, and where the places for each begin
 
     def ask(self, parse: Parse, block: int) -> pa.Table:
-        some = np.flatnonzero(np.diff(self.cuts))
         counts, texts = [], []
-        for b in some:
-            low, n = self.low[self.cuts[b] : self.cuts[b + 1]], self.counts[self.cuts[b] : self.cuts[b + 1]]
+        for a, z in zip(self.cuts, self.cuts[1:], strict=False):
+            low, n = self.low[a:z], self.counts[a:z]
             counts.append(n.astype(np.int32).tobytes())
             texts.append(parse.data[runs(low, n + parse.length - 1)].tobytes())
-        n = len(some)
-        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "flow": pa.array(np.full(n, STRINGS), pa.int32()), "hashes": pa.array(counts, pa.binary()), "extra": pa.array(texts, pa.binary())})
+        n = len(self.met)
+        return pa.table({"bucket": pa.array(self.met, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "flow": pa.array(np.full(n, STRINGS), pa.int32()), "hashes": pa.array(counts, pa.binary()), "extra": pa.array(texts, pa.binary())})
 
     def repeats(self, replies: pa.Table) -> np.ndarray:
         """Starts of the strings that occur before."""
         found = [self.known]
-        for b, flow, bits in zip(*(replies.column(c).to_pylist() for c in ("bucket", "flow", "bits")), strict=True):
+        at = np.searchsorted(self.met, replies.column("bucket").to_numpy()).tolist()
+        for b, flow, bits in zip(at, replies.column("flow").to_pylist(), replies.column("bits").to_pylist(), strict=True):
             if flow == STRINGS:
                 own = slice(self.cuts[b], self.cuts[b + 1])
                 place = runs(self.low[own], self.counts[own])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import line_dedup, ngram_join, quality_rules, substring_dedup
+from plumbline.llm import blobs, line_dedup, ngram_join, quality_rules, substring_dedup
 from plumbline.operators.graphs import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -283,6 +283,30 @@ def test_blocks_follow_the_ids(spark):
     assert len({b for _, b in blocks_of(docs, 1)}) == 9
 
 
+def test_bounds_are_the_keys_that_blocks_begin_with(spark):
+    from plumbline.llm.common import block_bounds, id_blocks
+
+    docs = spark.createDataFrame([(i * 7 % 500, f"{i} " + "x" * (i % 90)) for i in range(500)], "doc_id long, text string")
+    bounds = sorted((r.number, r.id) for r in block_bounds(docs, 700).collect())
+    begun = {}
+    for r in id_blocks(docs, 700).collect():
+        begun[r.block] = min(begun.get(r.block, r.doc_id), r.doc_id)
+    assert [n for n, _ in bounds] == list(range(1, len(bounds) + 1)) and len(bounds) > 30
+    assert sorted(begun.items()) == [(0, 0), *bounds]
+
+
+def test_bucket_cuts():
+    rng = np.random.default_rng(4)
+    for n, buckets in ((0, 8), (1, 8), (200, 7), (50, 10**6)):
+        hashes = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        asked = blobs.ask(3, 0, hashes, buckets, np.arange(len(hashes), dtype=np.uint8))
+        assert b"".join(asked.column("hashes").to_pylist()) == hashes.tobytes() and asked.column("block").to_pylist() == [3] * len(asked)
+        assert asked.column("bucket").to_pylist() == sorted(set(blobs.bucket_of(hashes, buckets).tolist()))
+        replies = pa.table({"bucket": asked.column("bucket"), "flow": asked.column("flow"), "bits": [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in asked.column("hashes").to_pylist()]})
+        replies = replies.take(pa.array(rng.permutation(len(replies))))
+        assert (blobs.read_values(replies, 0, hashes, buckets) == hashes.astype(np.uint32)).all()
+
+
 def test_blocks_are_bounded(spark, monkeypatch):
     """One far id, half of the ids null, one id for all rows, one row repeated: no block takes much over its size."""
     from plumbline.llm import common
@@ -291,13 +315,17 @@ def test_blocks_are_bounded(spark, monkeypatch):
     half = [(None if i % 2 else i, f"text {i} " + "x" * 90) for i in range(2000)]
     one = [(7, f"text {i} " + "x" * 90) for i in range(2000)]
     same = [(7, "x" * 100)] * 2000
-    for fan in (common.FAN, 4):
+    for fan, most in ((common.FAN, common.BROADCAST_BYTES), (4, common.BROADCAST_BYTES), (4, 0)):  # 0: groups of bounds are not broadcast
         monkeypatch.setattr(common, "FAN", fan)
-        monkeypatch.setattr(common.below, "__defaults__", (False, fan))
-        for rows in (far, half, one, same) if fan > 4 else (far, half):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        for rows in (far, half, one, same) if fan > 4 else (far, same) if most else (half, same):
             docs = spark.createDataFrame(rows, "doc_id long, text string")
             sizes = collections.Counter(b for _, b in blocks_of(docs, 5000))
             assert len(sizes) >= 40 and max(sizes.values()) <= (60 if rows is not same else 120), (fan, sizes.most_common(3))
+    monkeypatch.setattr(common, "HEADS", 3)  # groups grow so that few of them come to the driver
+    docs = spark.createDataFrame(far, "doc_id long, text string")
+    got = blocks_of(docs, 5000)
+    assert [b for _, b in got] == sorted(b for _, b in got) and len({b for _, b in got}) >= 40
     texts = [t for _, t in one[:40]] + [one[0][1]]
     docs = spark.createDataFrame([(None if i % 2 else 1 << 62, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert docs.count() == substring_dedup.dedup_substrings(docs).count() == ngram_join.jaccard_join(docs).count() == 41

@@ -344,6 +344,22 @@ def test_fingerprints(hard_docs, hard_texts, no_docs, clashing):
     assert fingerprint.edited_fingerprints(clashing).count() == 5
 
 
+def test_next_documents_over_many_blocks(spark, monkeypatch):
+    """Null ids first, ties by a hash of the text, repeated rows one after the other, the first after the last."""
+    rng = random.Random(8)
+    ids = [None] * 9 + [rng.randint(-60, 60) for _ in range(300)]
+    rows = [(i, f"{rng.random()} " + "x" * 1500) for i in ids] + [(5, "same " + "y" * 9000)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))
+    order = [r.text for r in docs.orderBy(key).collect()]
+    wanted = sorted(zip(order, order[1:] + order[:1], strict=True))
+    for run, most in ((fingerprint.RUN, fingerprint.BROADCAST_BLOCKS), (4, 0)):  # 0: first keys of blocks are not broadcast
+        monkeypatch.setattr(fingerprint, "RUN", run)
+        monkeypatch.setattr(fingerprint, "BROADCAST_BLOCKS", most)
+        got = fingerprint.with_next(docs)
+        assert sorted((r.text, r.next_text) for r in got.select("text", "next_text").collect()) == wanted
+
+
 def test_fingerprints_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(160))
     whole = spark.createDataFrame([(a, b, f"{a} {b}")], "a string, b string, c string")
