@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import buffers, id_blocks, lanes, mix
+from .common import buffers, id_blocks, lanes, mix, span_hashes
 
 LENGTH = 100
 GRAM = 40
@@ -110,14 +110,11 @@ class Parse:
         first = np.flatnonzero(new)
         low, high = start[first], start[np.append(first[1:], len(start)) - 1]
         size = high - low + self.length
-        phrase = size.astype(np.uint64)
-        for k in range(-(-int(size.max()) // self.gram)):  # grams that cover the phrase
-            phrase = mix(phrase * STEP + grams[low + np.minimum(k * self.gram, size - self.gram)])
-        ends = (size.astype(np.uint64) + phrase) ^ mix(phrase + lanes(piece)[low])
-        for k in range(0, int(size.max()), self.gram):
-            ends = mix(ends ^ grams[low + np.minimum(k, size - self.gram)])
+        # two hashes of the phrase's bytes, in which those of the grams have no part, so that a phrase whose trigger meets
+        # another by chance is still told apart by 96 bits
+        phrase, check = (span_hashes(piece, low, low + size, seed) for seed in (2, 3))
         # least hashes are small ones; mixed again they spread over the buckets
-        return mix(grams[owner[first]]), phrase, (ends >> np.uint64(32)).astype(np.uint32), low + begin, high + begin
+        return mix(grams[owner[first]]), phrase, (check >> np.uint64(32)).astype(np.uint32), low + begin, high + begin
 
     def places(self, which: np.ndarray) -> np.ndarray:
         """Starts of the strings in the phrases given, one phrase after the other."""
