@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
 from .graphs import components
 
 
@@ -51,61 +51,125 @@ def mantel(distances: DataFrame, reps: int = 200) -> DataFrame:
     return null.crossJoin(F.broadcast(observed)).groupBy("r", "pairs").agg(((F.count_if(F.col("r0") >= F.col("r") - 1e-9) + 1) / (F.count("r0") + 1)).alias("p"))
 
 
-#: Vectors that share a bucket of one table by chance, about; and the share of pairs at the distance that is found.
-BUCKET, RECALL = 256, 0.95
+#: A block of vectors: bytes at most; a twelfth of all vectors, but so many at least. Vectors that are compared at once.
+BLOCK_BYTES, BLOCKS, LEAST, TILE = 1 << 22, 12, 1024, 1024
 
 
-def shape_of(n: int, max_distance: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a code and number of tables for n unit vectors: a bit is the side of a random plane, on which two vectors
-    at a distance agree with probability 1 - angle / pi."""
-    bits = max(4, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
-    agree = 1 - 2 * np.arcsin(min(max_distance, 2.0) / 2) / np.pi
-    return bits, int(np.ceil(np.log(1 - recall) / np.log1p(-(agree**bits))))
+def in_blocks(known: DataFrame, n: int, width: int) -> DataFrame:
+    """block, ids, x: vectors (vec_id, embedding) packed as binary values of bounded size, a partition each."""
+    rows = max(1, min(max(n // BLOCKS, LEAST), BLOCK_BYTES // (8 * width)))
 
+    def block(held):
+        ids, x = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("vec_id", "embedding"))
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.to_numpy(), x.flatten().to_numpy(zero_copy_only=False))], ["ids", "x"])
 
-def clusters(vectors: DataFrame, max_distance: float = 0.9, min_size: int = 3, seed: int = 5, recall: float = RECALL) -> DataFrame:
+    def packed(batches):
+        held, count = [], 0
+        for batch in batches:
+            for low in range(0, len(batch), rows):
+                part = batch.slice(low, rows)
+                if held and count + len(part) > 2 * rows:
+                    yield block(held)
+                    held, count = [], 0
+                held, count = [*held, part], count + len(part)
+        if count:
+            yield block(held)
+
+    return checkpointed(known.repartition(-(-n // rows) or 1).mapInArrow(packed, "ids binary, x binary").select(F.monotonically_increasing_id().alias("block"), "ids", "x"))
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, the least place in reach of each place, after links from a to b."""
+    a, b = label[a], label[b]
+    while len(a):
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        label, a, b = up[label], up[a], up[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+    return label
+
+
+def linked(x: np.ndarray, y: np.ndarray | None, max_distance: float) -> np.ndarray:
+    """The least place in reach of each row of x, then of y, by links from x to y, or inside x if y is None.
+
+    Products of single precision settle all pairs but those very near the distance, which are compared in double. Two
+    members of the component that is the largest so far are not compared.
+    """
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    every = unit((x if y is None else np.concatenate([x, y])).astype(float))
+    rough, label, begin = every.astype(np.float32), np.arange(len(every)), 0 if y is None else len(x)
+    least, off = 1 - max_distance * max_distance / 2, 1e-6 + 1.2e-7 * x.shape[1]
+    for r in range(0, len(x), TILE):
+        top = np.bincount(label).argmax()
+        for c in range(r if y is None else begin, len(every), TILE):
+            rows, columns = np.arange(r, min(r + TILE, len(x))), np.arange(c, min(c + TILE, len(every)))
+            inside, beside = label[rows] == top, label[columns] != top
+            for i, j in ((rows[~inside], columns), (rows[inside], columns[beside])):
+                if len(i) and len(j):
+                    near = rough[i] @ rough[j].T
+                    p, q = np.nonzero(near >= least - off)
+                    doubtful = near[p, q] < least + off
+                    p, q = i[p], j[q]
+                    new = label[p] != label[q]
+                    p, q, doubtful = p[new], q[new], doubtful[new]
+                    if doubtful.any():
+                        some = np.flatnonzero(doubtful)
+                        good = np.ones(len(p), bool)
+                        for low in range(0, len(some), 1 << 16):
+                            at = some[low : low + (1 << 16)]
+                            good[at] = 2 - 2 * (every[p[at]] * every[q[at]]).sum(1) <= max_distance * max_distance
+                        p, q = p[good], q[good]
+                    label = joined(label, p, q)
+                    top = label[top]
+    return label
+
+
+def clusters(vectors: DataFrame, max_distance: float = 0.9, min_size: int = 3) -> DataFrame:
     """vec_id, cluster: components of pairs of unit vectors within a distance; components under min_size are -1.
 
-    Locality-sensitive hashing: every vector has a code in each table, and vectors that share one are compared exactly.
-    Pairs at max_distance meet with probability recall, nearer ones with more. A bucket gives a link for each member at
-    most, to the vector from which it was reached, so a bucket of near-equal vectors takes linear time. Equal vectors are
-    one. A null vector is in no cluster. Further columns don't matter.
+    Exact. Vectors lie in blocks of bounded size, a task compares two blocks and gives a link a vector at most, and blocks are
+    read from the shared folder, not shuffled for each pair. First each block is held against itself and the first one;
+    then the vectors outside the largest component against all, so that a table with one large component, or large families
+    of copies, takes about linear time. A table without one is compared in all its pairs of blocks. A null vector is in no
+    cluster. Further columns don't matter.
     """
-    known = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    firsts = known.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    n, width = firsts.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    bits, tables = shape_of(n, max_distance, recall)
-
-    def coded(batches):
-        planes = np.random.default_rng(seed).normal(size=(tables * bits, width or 1))
-        powers = 1 << np.arange(bits, dtype=np.int64)
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    dtype = np.float32 if kind == "float" else np.float64
+    known = vectors.where("embedding is not null and size(embedding) > 0 and vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind == "float" else "array<double>"))
+    n, width = known.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = in_blocks(known, n, width or 1)
+    first = blocks.agg(F.min("block")).first()[0]
+
+    def compared(batches):
         for batch in batches:
-            x = np.array(batch.column("embedding").to_pylist(), float).reshape(len(batch), -1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            codes = ((x @ planes.T > 0).reshape(len(x), tables, bits) * powers).sum(2)
-            unit = pa.array(list(x), pa.list_(pa.float64()))
-            for k in range(tables):
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(np.full(len(x), k), pa.int32()), pa.array(codes[:, k], pa.int64()), unit], ["vec_id", "table", "code", "unit"])
-
-    def reached(frame: pd.DataFrame) -> pd.DataFrame:
-        x, ids, links = np.stack(frame["unit"].to_numpy()), frame["vec_id"].to_numpy(), []
-        left = np.arange(len(ids))
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                near = 2 - 2 * (x[left] @ x[at]) <= max_distance * max_distance
-                links += [(ids[at], ids[i]) for i in left[near]]
-                queue += left[near].tolist()
-                left = left[~near]
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    codes = firsts.select("vec_id", "embedding").mapInArrow(coded, "vec_id long, table int, code long, unit array<double>")
-    links = codes.groupBy("table", "code").applyInPandas(reached, "a long, b long").distinct()
-    parts = components(firsts.select(F.col("vec_id").alias("id")), links)
-    labels = known.join(firsts.withColumnRenamed("vec_id", "id"), "embedding").join(parts, "id").select("vec_id", "label")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    large = labels.join(sizes.where(F.col("size") >= min_size), "label").select("vec_id", F.col("label").alias("cluster"))
+            for row in batch.to_pylist():
+                a, b = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["other_ids"], np.int64)
+                x, y = (np.frombuffer(row[c], dtype).reshape(len(i), -1) for c, i in (("x", a), ("other_x", b)))
+                names, label = (a, linked(x, None, max_distance)) if row["same"] else (np.concatenate([a, b]), linked(x, y, max_distance))
+                some = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[label[some]])], ["a", "b"])
+
+    def links(some, which):
+        other = blocks.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"))
+        pairs = some.join(other.hint("shuffle_replicate_nl"), which).select("ids", "x", "other_ids", "other_x", (F.col("block") == F.col("other")).alias("same"))
+        return pairs.mapInArrow(compared, "a long, b long")
+
+    ids = known.select(F.col("vec_id").alias("id")).distinct()
+    parts = components(ids, links(blocks, (F.col("block") == F.col("other")) | ((F.col("block") == first) & (F.col("other") != first))))
+    largest = parts.groupBy("label").count().orderBy(F.col("count").desc(), "label").first()
+    rest = parts.where(F.col("label") != (largest["label"] if largest else -1))
+    outside = rest.count()
+    if outside:
+        if 2 * outside <= n:
+            found = links(in_blocks(known.join(rest, known["vec_id"] == rest["id"], "left_semi"), outside, width).withColumn("block", F.lit(-1)), F.lit(True))
+        else:
+            found = links(blocks, (F.col("block") < F.col("other")) & (F.col("block") != first))
+        parts = components(ids, found.unionByName(parts.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    sizes = known.select(F.col("vec_id").alias("id")).join(parts, "id").groupBy("label").agg(F.count("*").alias("size"))
+    large = parts.join(sizes.where(F.col("size") >= min_size), "label").select(F.col("id").alias("vec_id"), F.col("label").alias("cluster"))
     return vectors.select("vec_id").join(large, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

@@ -344,3 +344,22 @@ def test_item_bootstrap_of_many_replicates(spark):
         if x.std() * y.std() > 1e-12:
             rhos.append(np.corrcoef(x, y)[0, 1])
     assert (r.reps, r.mean, r.lo, r.hi) == (len(rhos), pytest.approx(np.mean(rhos)), pytest.approx(np.quantile(rhos, 0.025)), pytest.approx(np.quantile(rhos, 0.975)))
+
+
+def test_clusters_are_exact_and_write_little(spark, monkeypatch):
+    """Components over pairs of blocks against brute force, with one large component and without; vectors are not written once a table of codes."""
+    monkeypatch.setattr(embeddings, "LEAST", 64)
+    monkeypatch.setattr(embeddings, "TILE", 50)
+    rng = np.random.default_rng(4)
+    for distance, mixed in ((1.1, False), (0.6, False), (0.6, True)):
+        x = rng.normal(size=(900, 24)) * (0.3 if mixed else 1) + (np.arange(900) % 3 > 0)[:, None] * (2.0 if mixed else 0)
+        x = np.concatenate([x, x[:20], x[5] + rng.normal(size=(80, 24)) * 0.01]).astype(np.float32)
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        near, label = 2 - 2 * unit @ unit.T <= distance * distance, np.arange(len(x))
+        while not np.array_equal(label, new := np.array([label[near[i]].min() for i in range(len(x))])):
+            label = new
+        size = np.bincount(label, minlength=len(x))[label]
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {r.vec_id: r.cluster for r in embeddings.clusters(vectors, distance).collect()}
+        assert got == {i: int(label[i]) if size[i] >= 3 else -1 for i in range(len(x))}
+        assert embeddings.in_blocks(vectors, len(x), 24).agg(F.sum(F.octet_length("x"))).first()[0] == x.nbytes
