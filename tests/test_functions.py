@@ -75,3 +75,14 @@ def test_cvss(spark):
     }
     rows = spark.createDataFrame([(k,) for k in known], "v string")
     assert {r.v: r.s for r in rows.select("v", cvss.base_score(F.col("v")).alias("s")).collect()} == known
+
+
+def test_a_reply_is_parsed_once(spark):
+    """However many fields are read from it; replies that can be no JSON are not handed to the parser, numbers that are none not to a cast."""
+    replies = ['so: {"verdict": "correct", "score": "4.7"}', '5', ' {"score": "high"}', 'so {"score": 9, oops', 'score = 2, incorrect', '', 'nothing', '{"score": 1e0}', "```json {\"score\": 3} ``` {\"score\": 2}", None, 'true', '{"score": "9", "verdict": " Correct "} ', "Score: 4"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "idx int, reply string")
+    out = extract.with_json(rows).select("idx", *[f(F.col("reply"), F.col("parsed")).alias(c) for c, f in (("v", extract.vector_reply), ("score", extract.score_reply), ("ok", extract.text_reply))])
+    got = [(r.score, r.ok) for r in out.orderBy("idx").collect()]
+    assert got == [(4, True), (1, False), (1, False), (5, False), (2, False), (3, False), (3, False), (1, False), (3, False), (3, False), (1, False), (5, True), (4, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
