@@ -18,7 +18,7 @@ CHUNK, TABLES, ROUNDS = 512, 6, 2
 PLANES = 30
 #: Reverse neighbours that take part in a round of descent, at most: one for each value of a hash.
 REVERSE = 16
-NEAR = "array<struct<d: float, id: long>>"
+NEAR = "array<struct<d: double, id: long>>"
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -27,35 +27,48 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, unit: vectors scaled to length 1; null vectors and ids go, and vectors without a length."""
+def with_length(vectors: DataFrame) -> DataFrame:
+    """vec_id, unit: vectors as they are, of which only the direction counts; null vectors and ids go, and vectors without a
+    length."""
 
-    def scaled(batches):
+    def kept(batches):
         for batch in batches:
-            x = as_matrix(batch.column("embedding"))
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            keep = norm[:, 0] > 0
-            unit = (x / np.where(norm > 0, norm, 1))[keep]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, max(x.shape[1], 1)), pa.int32()), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(keep)), flat], ["vec_id", "unit"])
+            norm = np.linalg.norm(as_matrix(batch.column("unit")).astype(float), axis=1)
+            yield batch.filter(pa.array((norm > 0) & np.isfinite(norm)))
 
-    given = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<float>"))
-    return given.mapInArrow(scaled, "vec_id long, unit array<float>")
+    given = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<float>").alias("unit"))
+    return given.mapInArrow(kept, "vec_id long, unit array<float>")
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k nearest others of each row, ties by id."""
-    d = np.sqrt(np.maximum(2 - 2 * (x @ x.T), 0))
-    np.fill_diagonal(d, np.inf)
+    """Distances and ids of the k nearest others of each row, ties by id.
+
+    Products of single precision choose who comes near; a distance itself is summed in double, pair by pair, so that it is
+    the same to the last bit wherever and in whatever company the pair is met."""
     k = min(k, len(ids) - 1)
-    some = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), np.int64)
-    near = np.take_along_axis(d, some, 1)
-    order = np.lexsort((ids[some], near), axis=1)
-    return np.take_along_axis(near, order, 1), ids[np.take_along_axis(some, order, 1)]
+    far, other = np.zeros((len(ids), max(k, 0))), np.zeros((len(ids), max(k, 0)), np.int64)
+    if k < 1:
+        return far, other
+    exact = x.astype(float)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    rough = exact.astype(np.float32)
+    off = 2e-6 + 2.4e-7 * x.shape[1]
+    for low in range(0, len(ids), 64):
+        like = rough[low : low + 64] @ rough.T
+        like[np.arange(len(like)), np.arange(low, low + len(like))] = -9
+        row, at = np.nonzero(like >= np.partition(like, len(ids) - k, axis=1)[:, len(ids) - k, None] - off)
+        some = at != row + low
+        row, at = row[some], at[some]
+        d = np.sqrt(np.maximum(2 - 2 * (exact[row + low] * exact[at]).sum(1), 0))
+        order = np.lexsort((ids[at], d, row))
+        first = np.searchsorted(row[order], np.arange(len(like)))
+        chosen = order[first[:, None] + np.arange(k)]
+        far[low : low + 64], other[low : low + 64] = d[chosen], ids[at[chosen]]
+    return far, other
 
 
 def near_batch(owners: np.ndarray, counts: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    pairs = pa.StructArray.from_arrays([pa.array(d.astype(np.float32)), pa.array(ids.astype(np.int64))], ["d", "id"])
+    pairs = pa.StructArray.from_arrays([pa.array(d.astype(float)), pa.array(ids.astype(np.int64))], ["d", "id"])
     ends = np.concatenate([[0], np.cumsum(counts)])
     return pa.RecordBatch.from_arrays([pa.array(owners.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["vec_id", "near"])
 
@@ -165,7 +178,7 @@ def neighbours(vectors: DataFrame, k: int = 15, tables: int = TABLES, rounds: in
     Exact for chunk vectors and fewer; beyond, tests measure recall against brute force (0.9 or more). Vectors that are
     null or have no length are left out. An empty table gives no rows.
     """
-    units = checkpointed(unit_vectors(vectors))
+    units = checkpointed(with_length(vectors))
     graph = checkpointed(best(in_chunks(units, k, tables, chunk, seed), k))
     if units.count() > chunk:
         for _ in range(rounds):

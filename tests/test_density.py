@@ -100,3 +100,25 @@ def test_components_shrink_and_finish(spark, finish):
         parent[max(a, b)] = min(a, b)
     got = {r.id: r.label for r in graphs.components(spark.range(300), spark.createDataFrame(chain + hub + loose, "a long, b long"), finish).collect()}
     assert got == {i: root(i) for i in range(300)}
+
+
+def test_a_pair_has_one_distance(spark, planted):
+    """Whoever else is compared, so that no neighbour is listed twice and none is ranked by rounding; equal distances by id."""
+    x = planted[0].astype(np.float32)
+    x = np.concatenate([x[:300], x[:40], x[:40] * np.float32(3)])
+    ids = np.arange(len(x)) * 7 % len(x)
+    d, who = density.nearest(x, ids, 15)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = {(ids[i], ids[j]): 2 - 2 * (unit[i] * unit[j]).sum() for i in range(len(x)) for j in range(len(x)) if i != j}
+    for i in range(len(x)):
+        mine = sorted((max(v, 0) ** 0.5, b) for (a, b), v in true.items() if a == ids[i])[:15] if i % 29 == 0 else None
+        assert mine is None or mine == list(zip(d[i].tolist(), who[i].tolist(), strict=True))
+    rng, seen = np.random.default_rng(1), {}
+    for size in (len(x), 301, 77, 33):
+        some = rng.permutation(len(x))[:size]
+        d, who = density.nearest(x[some], ids[some], 15)
+        for i, a in enumerate(ids[some]):
+            for b, v in zip(who[i], d[i], strict=True):
+                assert seen.setdefault((min(a, b), max(a, b)), v) == v
+    got = density.neighbours(as_table(spark, planted[0]), chunk=128, tables=4, rounds=1).collect()
+    assert all(len({p.id for p in r.near}) == len(r.near) for r in got)
