@@ -95,19 +95,61 @@ def paired_lists(cells: DataFrame, *columns: str) -> DataFrame:
     return packed.select("task_a", "task_b", *[F.col("_m")[c].alias(c) for c in ("x", "y", *columns)])
 
 
-def kendall_pairs(cells: DataFrame) -> DataFrame:
-    """task_a, task_b, tau, tau_fast of each pair of tasks, by counting inversions of ranks: no pairs of models are made.
+#: Points of two values that one task puts in order.
+POINTS = 1 << 16
 
-    Models without a value in either task don't count. A pair whose values are all alike on one side has null.
-    """
 
-    def counted(frames):
-        for frame in frames:
-            both = [taus(np.array(x, float), np.array(y, float), np.ones((1, len(x)))) for x, y in zip(frame["x"], frame["y"], strict=True)]
-            yield pd.DataFrame({"task_a": frame["task_a"], "task_b": frame["task_b"], "tau": [t[0][0] for t in both], "tau_fast": [t[1][0] for t in both]})
+def kendall_pairs(cells: DataFrame, points: int = POINTS) -> DataFrame:
+    """task_a, task_b, tau, tau_fast of each pair of tasks, by counting inversions: no pairs of models are made.
 
-    found = paired_lists(cells.where("acc is not null")).mapInPandas(counted, "task_a string, task_b string, tau double, tau_fast double")
-    return found.select("task_a", "task_b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("tau", "tau_fast")])
+    Models without a value in either task don't count. A pair whose values are all alike on one side has null. Models alike in
+    both values (to nine digits) are one point with a weight. Points are cut into runs of bounded size, once in the order
+    of (x, y) and once in that of (y, x); inversions lie in one run of the first, in one of the second, or between cells of
+    the grid of both, of which only sums are kept.
+    """
+    pair, key = ["task_a", "task_b"], ["task_a", "task_b", "x", "y"]
+    alike = lambda c: F.round(c, 9) + F.lit(0.0)
+    found = task_pairs(cells.where("acc is not null"), ["acc"]).select(*pair, alike(F.col("x_acc")).alias("x"), alike(F.col("y_acc")).alias("y"))
+    weighed = checkpointed(found.groupBy(*key).agg(F.count("*").alias("w")))
+    parts = max(1, -(-weighed.count() // points))
+
+    def inversions(batches, apart):
+        """Of each pair of tasks in one run: pairs in the order of (x, y) that fall in y, those of one other run not counted if apart."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).to_pandas()
+        for names, own in rows.groupby(pair, sort=False):
+            own = own.sort_values(["x", "y"])
+            y, w = np.unique(own["y"].to_numpy(), return_inverse=True)[1], own["w"].to_numpy(float)[None, :]
+            total = crossed_weight(y, w)[0]
+            if apart:
+                total -= sum(crossed_weight(y[at], w[:, at])[0] for at in own.groupby("first").indices.values() if len(at) > 1)
+            yield pa.RecordBatch.from_pydict({"task_a": [names[0]], "task_b": [names[1]], "crossed": [float(total)]})
+
+    one, out = lambda rows: inversions(rows, False), "task_a string, task_b string, crossed double"
+    if parts == 1:
+        crossed = weighed.coalesce(1).mapInArrow(one, out)
+    else:
+        firsts = checkpointed(weighed.repartitionByRange(parts, "task_a", "task_b", "x", "y").withColumn("first", F.spark_partition_id()))
+        both = checkpointed(firsts.repartitionByRange(parts, "task_a", "task_b", "y", "x").withColumn("second", F.spark_partition_id()))
+        grid = both.groupBy(*pair, "first", "second").agg(F.sum("w").alias("w"))
+
+        def between(frame: pd.DataFrame) -> pd.DataFrame:
+            at = [np.unique(frame[c].to_numpy(), return_inverse=True) for c in ("first", "second")]
+            sums = np.zeros([len(v) for v, _ in at])
+            sums[at[0][1], at[1][1]] = frame["w"]
+            before = np.cumsum(np.cumsum(sums, axis=0)[:, ::-1], axis=1)[:, ::-1]  # of earlier and same rows, same and later columns
+            return pd.DataFrame({"task_a": frame["task_a"][:1], "task_b": frame["task_b"][:1], "crossed": [float((sums[1:, :-1] * before[:-1, 1:]).sum())]})
+
+        crossed = firsts.mapInArrow(one, out).unionByName(both.mapInArrow(lambda rows: inversions(rows, True), out)).unionByName(grid.groupBy(*pair).applyInPandas(between, out))
+    square = lambda by, c: weighed.groupBy(*pair, *by).agg(F.sum("w").alias("w")).groupBy(*pair).agg(F.sum(F.col("w") * F.col("w")).cast("double").alias(c))
+    sums = weighed.groupBy(*pair).agg(F.pow(F.sum("w").cast("double"), 2).alias("whole"), F.sum("w").cast("double").alias("one"), F.sum(F.col("w") * F.col("w")).cast("double").alias("in_both"))
+    every = sums.join(square(["x"], "in_x"), pair).join(square(["y"], "in_y"), pair).join(crossed.groupBy(*pair).agg(F.sum("crossed").alias("crossed")), pair)
+    score = (F.col("whole") - F.col("in_x") - F.col("in_y") + F.col("in_both")) / 2 - 2 * F.col("crossed")
+    nx, ny, tied = (F.col("whole") - F.col("in_x")) / 2, (F.col("whole") - F.col("in_y")) / 2, (F.col("in_both") - F.col("one")) / 2
+    divided = lambda p, q: F.when((p > 0) & (q > 0), score / F.sqrt(p * q))
+    return every.select(*pair, divided(nx, ny).alias("tau"), divided(nx + tied, ny + tied).alias("tau_fast"))
 
 
 def draw(rep: Column, slot: Column, n: Column | int, seed: int = 0) -> Column:

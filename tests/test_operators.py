@@ -363,3 +363,19 @@ def test_clusters_are_exact_and_write_little(spark, monkeypatch):
         got = {r.vec_id: r.cluster for r in embeddings.clusters(vectors, distance).collect()}
         assert got == {i: int(label[i]) if size[i] >= 3 else -1 for i in range(len(x))}
         assert embeddings.in_blocks(vectors, len(x), 24).agg(F.sum(F.octet_length("x"))).first()[0] == x.nbytes
+
+
+def test_tau_of_many_models_in_bounded_runs(spark):
+    """Runs of 40 points and one run give tau of all pairs of models; no task gets the models of a pair of tasks as a list."""
+    rng, n = np.random.default_rng(8), 400
+    values = {"a": rng.normal(size=n), "b": rng.integers(0, 9, n) / 8, "c": rng.normal(size=n)}
+    values["d"] = values["a"] + values["b"] + rng.normal(size=n) / 2
+    cells = spark.createDataFrame([(t, m, float(v[m])) for t, v in values.items() for m in range(n) if (m + ord(t)) % 7], "task string, model_id long, acc double")
+    many, one = correlation.kendall_pairs(cells, 40), correlation.kendall_pairs(cells)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    for r in many.collect():
+        keep = [m for m in range(n) if (m + ord(r.task_a)) % 7 and (m + ord(r.task_b)) % 7]
+        x, y = values[r.task_a][keep], values[r.task_b][keep]
+        sx, sy = np.sign(np.round(x[:, None] - x, 9)), np.sign(np.round(y[:, None] - y, 9))
+        assert abs(r.tau - (sx * sy).sum() / np.sqrt((sx**2).sum() * (sy**2).sum())) < 1e-12
+    assert "collect_list" not in one._jdf.queryExecution().optimizedPlan().toString()
